@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra import storage
@@ -63,10 +63,8 @@ def _matches(text: Column, rule: Rule) -> Column:
 def scan_blobs(blobs: DataFrame, rules=BASE_RULES) -> DataFrame:
     """(blob, rule, rule_version, start, stop) of every match in the ``text`` of distinct blobs; code points, end exclusive."""
     per_rule = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version"), F.lit(r.least).alias("least"), _matches(F.col("text"), r).alias("found")) for r in rules))
-    # Offsets are running sums over an array; the accumulator holds two numbers and the spans so far.
+    # The rows of a blob already lie together, so the running sums need no further shuffle.
     one = blobs.select("blob", F.explode(per_rule).alias("r")).where(F.size(F.coalesce("r.found", F.array())) > 0).select("blob", "r.rule", "r.rule_version", "r.least", F.posexplode("r.found").alias("i", "f"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("blob", "rule", "rule_version").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("f.before") + F.col("f.size")).over(w)
     spans = one.select("blob", "rule", "rule_version", "least", F.col("f.counted").alias("counted"), F.col("f.size").alias("size"), stop.alias("stop"))
@@ -105,15 +103,16 @@ def update(spark: SparkSession, versions: DataFrame, content: str, folder: str,
     ledger, run = Ledger(spark, folder), uuid.uuid4().hex
     text = F.coalesce(F.col(content), F.lit(""))
     texts = versions.select(blob_id(F.col(content)).alias("blob"), text.alias("text"))
-    want = spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, rule_version int")
+    want = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules)))
+    triples = texts.select("blob").distinct().select("blob", want.alias("w")).select("blob", "w.*")
     first = not storage.exists(spark, f"{folder}/scanned")
     if first:
         unseen = texts.dropDuplicates(["blob"])
         ledger.commit(run, "findings", scan_blobs(unseen, rules))
-        ledger.commit(run, "scanned", texts.select("blob").distinct().crossJoin(F.broadcast(want)))  # want: a row per rule
+        ledger.commit(run, "scanned", triples)
         return ledger
     todo = storage.Scratch(spark, "ledger")
-    pairs = todo.keep(texts.select("blob").distinct().crossJoin(F.broadcast(want)).join(ledger.scanned(), LEDGER_KEYS, "left_anti"), "unseen")
+    pairs = todo.keep(triples.join(ledger.scanned(), LEDGER_KEYS, "left_anti"), "unseen")
     for r in rules:  # a few rules; each scans only the blobs that lack it
         lacking = pairs.where((F.col("rule") == r.kind) & (F.col("rule_version") == r.version)).select("blob")
         fresh = texts.join(lacking, "blob", "left_semi").dropDuplicates(["blob"])
