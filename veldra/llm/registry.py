@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from veldra.llm import q_contamination, q_secrets
+from veldra.llm import q_contamination, q_neardup, q_secrets
 
-_MODULES = (q_contamination, q_secrets)
+_MODULES = (q_contamination, q_neardup, q_secrets)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
