@@ -148,3 +148,50 @@ def minwise(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def keys(n: int, seed: int = 1) -> np.ndarray:
     """``n`` fixed 64-bit keys."""
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, n, dtype=np.uint64)
+
+
+def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range; the ranges follow each other without gaps and none is empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = int(stop[-1])
+    power, inverse = _power_tables(n)
+    h = np.add.reduceat(_VALUES[data[:n]] * power[:n], start) * inverse[start]
+    return mix(h + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class PieceCache:
+    """Results of short byte strings by hash: arrays of integers in one pool. Starts anew beyond ``most`` strings."""
+
+    def __init__(self, most: int = 1 << 19, dtype=np.int32):
+        self.most, self.dtype = most, dtype
+        self._reset()
+
+    def _reset(self) -> None:
+        self.hash, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def lookup(self, hashes: np.ndarray, compute) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in ``pool`` for each hash. ``compute(indices)`` returns a list of arrays for unseen ones."""
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hash) > self.most:
+            self._reset()
+        where = np.searchsorted(self.hash, distinct)
+        seen = np.zeros(len(distinct), bool)
+        inside = where < len(self.hash)
+        seen[inside] = self.hash[where[inside]] == distinct[inside]
+        if not seen.all():
+            new = compute(first[~seen])
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            at = len(self.pool) + np.cumsum(size) - size
+            self.pool = np.concatenate((self.pool, *[np.asarray(x, self.dtype) for x in new]))
+            h = np.concatenate((self.hash, distinct[~seen]))
+            order = np.argsort(h)
+            self.hash, self.at, self.size = h[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+            where = np.searchsorted(self.hash, distinct)
+        return self.at[where][inverse], self.size[where][inverse]
+
+
+def gathered(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of ``pool`` one after another."""
+    total = np.cumsum(size)
+    return pool[np.repeat(at - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
