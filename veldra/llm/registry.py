@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from veldra.llm import q_contamination, q_neardup, q_secrets, q_tokenfiles
+from veldra.llm import q_contamination, q_langid, q_neardup, q_quality, q_secrets, q_tokenfiles
 
-_MODULES = (q_contamination, q_neardup, q_secrets, q_tokenfiles)
+_MODULES = (q_langid, q_quality, q_neardup, q_contamination, q_secrets, q_tokenfiles)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
