@@ -168,10 +168,14 @@ class PieceCache:
         self._reset()
 
     def _reset(self) -> None:
-        self.hash, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.hash, self.pool = np.zeros(0, np.uint64), np.zeros(0, self.dtype)
+        self.at, self.size, self.serial = (np.zeros(0, np.int64) for _ in range(3))
 
     def lookup(self, hashes: np.ndarray, compute) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) in ``pool`` for each hash. ``compute(indices)`` returns a list of arrays for unseen ones."""
+        """(start, size) in ``pool`` for each hash, and in ``found`` its number in the order in which hashes were first seen.
+
+        ``compute(indices)`` returns the results of unseen ones: a list of arrays, or (all of them flat, starts, sizes).
+        """
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hash) > self.most:
             self._reset()
@@ -181,13 +185,18 @@ class PieceCache:
         seen[inside] = self.hash[where[inside]] == distinct[inside]
         if not seen.all():
             new = compute(first[~seen])
-            size = np.fromiter(map(len, new), np.int64, len(new))
-            at = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate((self.pool, *[np.asarray(x, self.dtype) for x in new]))
+            if isinstance(new, list):
+                size = np.fromiter(map(len, new), np.int64, len(new))
+                new = np.concatenate([np.zeros(0, self.dtype), *[np.asarray(x, self.dtype) for x in new]]), np.cumsum(size) - size, size
+            flat, at, size = new
+            at = at + len(self.pool)
+            self.pool = np.concatenate((self.pool, flat.astype(self.dtype, copy=False)))
+            serial = len(self.hash) + np.arange(len(size))
             h = np.concatenate((self.hash, distinct[~seen]))
             order = np.argsort(h)
-            self.hash, self.at, self.size = h[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+            self.hash, self.at, self.size, self.serial = h[order], *(np.concatenate(x)[order] for x in ((self.at, at), (self.size, size), (self.serial, serial)))
             where = np.searchsorted(self.hash, distinct)
+        self.found = self.serial[where][inverse]
         return self.at[where][inverse], self.size[where][inverse]
 
 
