@@ -29,6 +29,11 @@ def mixed_nodes(nodes: DataFrame, components: DataFrame) -> DataFrame:
     """(node, item, comp, size): rows of the nodes whose items are in two components or more."""
     c = components.select(F.col("node").alias("_item"), F.col("component").alias("_comp"))
     rows = nodes.select("node", "item").join(c, F.col("item") == c["_item"], "left").select("node", "item", F.coalesce("_comp", "item").alias("comp"))
+    return mixed_rows(rows)
+
+
+def mixed_rows(rows: DataFrame) -> DataFrame:
+    """Rows (node, item, comp) of the nodes with two components or more, with the node's size."""
     mixed = rows.groupBy(F.col("node").alias("_node")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo <> _hi")
     return rows.join(mixed, rows["node"] == mixed["_node"]).select("node", "item", "comp", "size")
 

@@ -5,10 +5,12 @@ document of each class goes on. Each is embedded as ``TOKENS`` minwise tokens. A
 selected token; nodes with few documents are compared exhaustively, larger ones branch again by tokens selected by
 the node's own hash, 1/threshold branches on average, so that pairs at the threshold survive and unlike ones die out.
 Independent trees repeat this. Comparison is first by the agreement of the tokens, with a bound that a pair at the
-threshold misses with a probability under 1e-8, and then exactly, on the full sets.
+threshold misses with a probability of about 2e-6, and then exactly, on the full sets.
 
 No group is listed pair by pair: in each node documents are first compared with the smallest one (see clusters), and
-only pairs across components are compared after that. At ``LEVELS`` branchings what is left is compared outright.
+only pairs across components are compared after that. Before those, documents drop out that can't be similar to any in
+another component: with all shingles in one order, a similar pair's first common shingle lies so early in both sets
+that the rest can still reach the threshold. At ``LEVELS`` branchings what is left is compared outright.
 """
 
 from __future__ import annotations
@@ -30,11 +32,14 @@ TREES = 12
 #: Nodes of up to so many documents are compared exhaustively.
 SMALL = 32
 LEVELS = 8
-#: Equal tokens of 64 that a pair must have: 6 standard deviations under the mean at a similarity of 0.8.
-AGREE = 32
+#: Equal tokens of 64 that a pair must have: 5 standard deviations under the mean at a similarity of 0.8.
+AGREE = 35
 #: Ids that are broadcast to select texts (8 MB); more are joined.
 BROADCAST_IDS = 1 << 20
 
+#: Documents, and shingles of each, in which common shingles are looked up to put them last; any order gives right results.
+ORDER_ROWS, ORDER_SHINGLES = 1024, 512
+
 _SKETCH = "id long, n_shingles long, s1 long, s2 long, tok array<int>"
 
 
@@ -68,7 +73,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, k: int, num
     ``BROADCAST_IDS``; beyond that by a join.
     """
     pairs = scratch.keep(pairs, "candidates")
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("_want")).distinct(), "ids")
+    ids = scratch.keep(pairs.select(F.col("a").alias("_want")).union(pairs.select("b")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
     texts = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("_want"), "left_semi")
@@ -102,6 +107,78 @@ def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, k: int, num
     return links
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(id, text) of the documents whose ids are in ``ids``."""
+    want = ids.select(F.col("item").alias("_want"))
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(want) if few else want, F.col("id") == F.col("_want"), "left_semi")
+
+
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    data, offsets = tc.utf8(batch.column(1))
+    for a, b in tc.chunks(offsets):
+        h, _, _, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
+        for i in range(a, b):
+            yield i, tc.shingle_set(h[at[i - a] : at[i - a + 1]], k)
+
+
+def promising(items: DataFrame, docs: DataFrame, doc: str, text: str, k: int, numerator: int, scratch: Scratch) -> DataFrame:
+    """The ``items`` (item, comp) that can have a link to another component; none with such a link is left out.
+
+    Sets are put in one order, common shingles last. If |s & x| >= a = t / (1 + t) * (|s| + |x|) and their first common
+    shingle is at place i of s, then |s| - i + 1 >= a. Sizes are bounded by the smallest partner's, places by prefixes.
+    """
+    ids = scratch.keep(items.select("item").distinct(), "items")
+    few = ids.orderBy(F.xxhash64("item"), "item").limit(ORDER_ROWS)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, s in _sets(batch, k):
+                yield pa.RecordBatch.from_arrays([pa.array(s[:ORDER_SHINGLES].view(np.int64))], ["g"])
+
+    seen = _texts_of(few, docs, doc, text).mapInArrow(some, "g long").groupBy("g").count().where("count > 1")
+    seen = seen.orderBy(F.desc("count"), "g").limit(ORDER_ROWS * ORDER_SHINGLES // 2).collect()  # a fixed bound
+    common = np.array(sorted((r["g"] & 0xFFFFFFFFFFFFFFFF, r["count"]) for r in seen), np.uint64).reshape(-1, 2)
+    held = docs.sparkSession.sparkContext.broadcast(common)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = held.value[:, 0], held.value[:, 1].astype(np.int64)
+        for batch in batches:
+            parts = [[], [], [], []]
+            ids_ = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, s in _sets(batch, k):
+                if not len(s):
+                    continue
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                count = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                size = len(s) - -(-numerator * len(s) // 100) + 1
+                own = s[np.lexsort((s, count))[:size]]
+                for to, x in zip(parts, (np.full(size, ids_[i]), own.view(np.int64), np.arange(1, size + 1), np.full(size, len(s))), strict=True):
+                    to.append(x)
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["id", "g", "i", "n"])
+
+    rows = _texts_of(ids, docs, doc, text).mapInArrow(prefixes, "id long, g long, i long, n long")
+    c = items.select(F.col("item").alias("_item"), "comp").distinct()
+    rows = scratch.keep(rows.join(c, F.col("id") == F.col("_item")).select("id", "comp", "g", "i", "n"), "prefixes")
+
+    def shared(r: DataFrame) -> DataFrame:
+        """Rows whose shingle is in two components, with the smallest size there."""
+        g = r.groupBy(F.col("g").alias("_g")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("n").alias("_least")).where("_lo <> _hi")
+        return r.join(g, r["g"] == g["_g"]).select("id", "comp", "g", "i", "n", "_least")
+
+    t = F.lit(numerator) / F.lit(100 + numerator)
+    partner = F.greatest(F.col("_least"), F.ceil(F.col("n") * F.lit(numerator) / F.lit(100)))
+    capable = scratch.keep(shared(rows).where(F.col("n") - F.col("i") + 1 >= t * (F.col("n") + partner) - 1e-6).select("id", "comp", "g", "i", "n"), "capable")
+    x = shared(capable).select("id", "comp", "g", "i", "n")
+    y = capable.select(F.col("comp").alias("_comp"), F.col("g").alias("_g"), F.col("i").alias("_i"), F.col("n").alias("_n"))
+    least = t * (F.col("n") + F.col("_n")) - 1e-6
+    fits = (F.col("g") == F.col("_g")) & (F.col("comp") != F.col("_comp")) & (F.col("n") - F.col("i") + 1 >= least) & (F.col("_n") - F.col("_i") + 1 >= least)
+    out = scratch.keep(x.join(y, fits, "left_semi").select(F.col("id").alias("item")).distinct(), "promising")
+    scratch.drop(ids, rows, capable)
+    return out
+
+
 def _branch(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """Deal the rows (node, item, comp) of large nodes to child nodes by one token, and by a second in one of four nodes."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")
@@ -135,6 +212,9 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator:
     comps = scratch.keep(clusters.components_of(links, scratch), "components")
 
     rest = scratch.keep(clusters.mixed_nodes(nodes, comps), "mixed")
+    if not rest.isEmpty():
+        able = promising(rest.select("item", "comp").distinct(), docs, doc, text, k, numerator, scratch)
+        rest = scratch.keep(clusters.mixed_rows(rest.select("node", "item", "comp").join(able, "item", "left_semi")), "mixed")
     pairs = []
     for level in range(LEVELS):
         if rest.isEmpty():
@@ -145,8 +225,7 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator:
             rest = large
             break
         child = scratch.keep(_branch(large, tokens).distinct(), f"level{level}")
-        sizes = child.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
-        rest = scratch.keep(child.join(sizes, child["node"] == sizes["_node"]).select("node", "item", "comp", "size"), f"mixed{level}")
+        rest = scratch.keep(clusters.mixed_rows(child), f"mixed{level}")
     else:
         pairs.append(clusters.minority_pairs(rest))
     if pairs:
