@@ -27,8 +27,6 @@ LEAST_WORDS = 20
 #: Rows of a table that are broadcast, at most (16 MB of numbers); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
-_UNITS = "doc_id long, ord int, start int, stop int, n_words int, sig long, bands array<long>"
-
 
 def tuned_bands(similarity: float, recall: float) -> tuple[int, int]:
     """(bands, rows of a band) with the fewest bands that find a pair of this similarity with this probability.
@@ -39,73 +37,81 @@ def tuned_bands(similarity: float, recall: float) -> tuple[int, int]:
     return need(1), max(r for r in range(1, 9) if need(r) == need(1))
 
 
-def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Word positions at which paragraphs begin, and the number of words."""
-    n = len(hashes)
-    if n <= 2 * reach + 1:
-        return np.array([0, n], np.int64)
-    key = tc.mix(hashes[:-1] + hashes[1:] * np.uint64(0x9FB21C651E98DF25))  # of two words: single ones are too frequent
-    padded = np.concatenate((np.full(reach, np.iinfo(np.uint64).max), key, np.full(reach, np.iinfo(np.uint64).max)))
-    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1).min(axis=1)
-    at = np.flatnonzero(key == least) + 1
-    at = at[(at >= reach) & (at <= n - reach)]
-    at = at[np.concatenate(([True], np.diff(at) > 1))] if len(at) else at
-    return np.concatenate(([0], at, [n]))
-
-
-def _each_unit(data: np.ndarray, offsets: np.ndarray):
-    """(row, position, first byte, last byte, words, shingle set) of each paragraph with ``SHINGLE`` words at least."""
-    for a, b in tc.chunks(offsets):
-        h, start, stop, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
-        for i in range(a, b):
-            own = h[at[i - a] : at[i - a + 1]]
-            if len(own) < SHINGLE:
-                continue
-            edge = cuts(own)
-            every = tc.shingles(own, SHINGLE)
-            for j in range(len(edge) - 1):
-                p, q = int(edge[j]), int(edge[j + 1])
-                if q - p >= SHINGLE:
-                    base = at[i - a]
-                    yield i, j, int(start[base + p] + offsets[a]), int(stop[base + q - 1] + offsets[a]), q - p, np.unique(every[p : q - SHINGLE + 1])
-
-
-def _signature(s: np.ndarray) -> int:
-    return int(tc.mix(tc.mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
+def cuts(hashes: np.ndarray, at: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """True for each word that begins a paragraph; ``at``: index of each text's first word, one more than texts."""
+    n, size = len(hashes), np.diff(at)
+    first = np.zeros(n, bool)
+    if not n:
+        return first
+    text = np.repeat(np.arange(len(size)), size)
+    high = np.iinfo(np.uint64).max
+    place = np.arange(n) + reach * (text + 1)  # a gap around every text
+    padded = np.full(n + reach * (len(size) + 1), high, np.uint64)
+    key = np.full(n, high, np.uint64)
+    key[:-1] = tc.mix(hashes[:-1] + hashes[1:] * np.uint64(0x9FB21C651E98DF25))  # of two words: single ones are too frequent
+    key[at[1:][size > 0] - 1] = high
+    padded[place] = key
+    least = padded.copy()
+    for d in range(1, reach + 1):
+        np.minimum(least[d:], padded[:-d], out=least[d:])
+        np.minimum(least[:-d], padded[d:], out=least[:-d])
+    chosen = (least[place] == key) & (key != high)
+    since, left = np.arange(n) - at[text], at[text + 1] - np.arange(n)
+    chosen &= (since + 1 >= reach) & (left - 1 >= reach)
+    first[1:] = chosen[:-1]
+    run = first.copy()
+    run[1:] &= ~first[:-1]  # of neighbouring ties the first counts
+    run[at[:-1][size > 0]] = True
+    return run
+
+
+def _chunk_units(data: np.ndarray, offsets: np.ndarray):
+    """For the texts of one chunk: (text, position, first byte, last byte, words, signature, shingles, their first index)."""
+    h, start, stop, at = tc.words(data, offsets, tc.SPACED)
+    begin = np.flatnonzero(cuts(h, at))
+    end = np.append(begin[1:], len(h))
+    text = np.searchsorted(at, begin, "right") - 1
+    order = np.arange(len(begin)) - np.searchsorted(text, text)
+    size = end - begin
+    keep = size >= SHINGLE
+    begin, end, text, order, size = begin[keep], end[keep], text[keep], order[keep], size[keep]
+    if not len(begin):
+        return None
+    every = tc.shingles(h, SHINGLE)
+    count = size - SHINGLE + 1
+    first = np.cumsum(count) - count
+    own = tc.gathered(every, begin, count)
+    signature = tc.mix(np.add.reduceat(tc.mix(own), first) + count.astype(np.uint64)).view(np.int64)
+    return text, order, start[begin], stop[end - 1], size, signature, own, np.append(first, len(own))
 
 
 def units(docs: DataFrame, doc: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(doc_id, ord, start, stop, n_words, sig, bands) of all paragraphs; start and stop in code points.
+    """(doc_id, ord, start, stop, n_words, sig, b0, b1, ...) of all paragraphs; start and stop in code points.
 
-    ``sig``: 64-bit signature of the paragraph's set. ``bands``: one key for each band. Null texts have none.
+    ``sig``: 64-bit signature of the paragraph's shingles. ``b``: the keys of the bands. Null texts have none.
     """
     tc.bounded_batches(docs.sparkSession)
+    names = ["doc_id", "ord", "start", "stop", "n_words", "sig", *(f"b{i}" for i in range(bands))]
+    schema = "doc_id long, ord int, start int, stop int, n_words int, sig long" + "".join(f", b{i} long" for i in range(bands))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = tc.keys(bands * rows, 3)
-        fold = tc.keys(bands, 4)
         for batch in batches:
             data, offsets = tc.utf8(batch.column(1))
-            points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            found, sets = [], []
-            for x in _each_unit(data, offsets):
-                found.append(x[:5])
-                sets.append(x[5])
-            if not found:
-                continue
-            f = np.array(found, np.int64)
-            size = np.fromiter(map(len, sets), np.int64, len(sets))
-            first = np.cumsum(size) - size
-            flat = np.concatenate(sets)
-            sig = tc.mix(np.add.reduceat(tc.mix(flat), first) + size.astype(np.uint64)).view(np.int64)
-            least = np.stack([np.minimum.reduceat(tc.mix(flat ^ k), first) for k in keys], axis=1).reshape(len(sets), bands, rows)
-            band = tc.mix(least.sum(axis=2, dtype=np.uint64) + fold[None, :]).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(band.ravel()), bands).cast(pa.list_(pa.int64()))
-            zero = points[offsets[f[:, 0]]]
-            columns = [batch.column(0).take(pa.array(f[:, 0])), *(pa.array(x.astype(np.int32)) for x in (f[:, 1], points[f[:, 2]] - zero, points[f[:, 3]] - zero, f[:, 4])), pa.array(sig), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ord", "start", "stop", "n_words", "sig", "bands"])
-
-    return docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, _UNITS)
+            for a, b in tc.chunks(offsets):
+                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                found = _chunk_units(part, own)
+                if found is None:
+                    continue
+                text_, order, start, stop, size, signature, sh, first = found
+                points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+                zero = points[own[text_]]
+                least = [np.minimum.reduceat(tc.mix(sh ^ k), first[:-1]) for k in keys]
+                band = [tc.mix(np.sum(least[i * rows : (i + 1) * rows], axis=0, dtype=np.uint64) + np.uint64(i)).view(np.int64) for i in range(bands)]
+                columns = [batch.column(0).take(pa.array(text_ + a)), *(pa.array(x.astype(np.int32)) for x in (order, points[start] - zero, points[stop] - zero, size)), pa.array(signature), *map(pa.array, band)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -115,7 +121,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 def _linked(pairs: DataFrame, homes: DataFrame, docs: DataFrame, doc: str, text: str, numerator: int, scratch: Scratch) -> DataFrame:
     """Pairs of classes (a, b) with 100 * intersection >= numerator * union. ``homes``: (sig, doc_id) of each class."""
     pairs = scratch.keep(pairs, "candidates")
-    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "wanted")
+    wanted = scratch.keep(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "wanted")
     n = wanted.count()
     w = wanted.select(F.col("sig").alias("_w"))
     where = scratch.keep(homes.join(_sized(w, n), F.col("sig") == F.col("_w"), "left_semi").groupBy(F.col("doc_id").alias("_home")).agg(F.collect_set("sig").alias("_sigs")), "homes")
@@ -124,17 +130,19 @@ def _linked(pairs: DataFrame, homes: DataFrame, docs: DataFrame, doc: str, text:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tc.utf8(batch.column(0))
-            want = [set(x) for x in batch.column(1).to_pylist()]
-            sig, out = [], []
-            for i, _, _, _, _, s in _each_unit(data, offsets):
-                k = _signature(s)
-                if k in want[i]:
-                    want[i].discard(k)
-                    sig.append(k)
-                    out.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["sig", "s"])
-
-    known = scratch.keep(texts.mapInArrow(sets, "sig long, s array<long>"), "sets")
+            want = np.unique(batch.column(1).flatten().to_numpy(zero_copy_only=False))
+            for a, b in tc.chunks(offsets):
+                found = _chunk_units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if found is None:
+                    continue
+                signature, sh, first = found[5:]
+                _, at = np.unique(signature, return_index=True)
+                at = at[np.isin(signature[at], want)]
+                out = [np.unique(sh[first[i] : first[i + 1]]).view(np.int64) for i in at]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(signature[at]), pa.array(out, pa.list_(pa.int64()))], ["sig", "s"])
+
+    known = scratch.keep(texts.mapInArrow(sets, "sig long, s array<long>").groupBy("sig").agg(F.first("s").alias("s")), "sets")
     a, b = known.select(F.col("sig").alias("_a"), F.col("s").alias("_sa")), known.select(F.col("sig").alias("_b"), F.col("s").alias("_sb"))
     common = F.size(F.array_intersect("_sa", "_sb"))
     near = 100 * common >= numerator * (F.size("_sa") + F.size("_sb") - common)
@@ -156,10 +164,10 @@ def repeated_passages(docs: DataFrame, doc: str, text: str, numerator: int = 80,
     docs = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where(F.col("_doc").isNotNull())
     bands, rows = tuned_bands(numerator / 100, recall)
     u = scratch.keep(units(docs, "_doc", "_text", bands, rows), "units")
-    classes = u.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("bands").alias("bands"))
+    classes = u.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(bands)))
     classes = scratch.keep(classes, "classes")
 
-    dealt = classes.select(F.posexplode("bands").alias("i", "k"), F.col("sig").alias("item")).select(F.xxhash64("i", "k").alias("node"), "item")
+    dealt = classes.select(F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("node"), F.col("sig").alias("item"))
     sizes = scratch.keep(dealt.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("size"), F.min("item").alias("pivot")).where("size > 1"), "sizes")
     nodes = scratch.keep(dealt.join(_sized(sizes, sizes.count()), F.col("node") == F.col("_node")).select("node", "item", "size", "pivot"), "nodes")
     homes = classes.select("sig", F.col("first").alias("doc_id"))
