@@ -52,3 +52,36 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch) ->
         return scratch.spark.createDataFrame([], "node long, component long")
     roots = total.select(F.col("component").alias("node"), "component").distinct()
     return total.unionByName(roots)
+
+
+def clique_components(vertices: DataFrame, edges: DataFrame, conflicts: DataFrame, id_: str, a: str, b: str, scratch: Scratch) -> DataFrame:
+    """(id, component, size, status): components of approved edges, applied only if they are cliques without conflicts.
+
+    status: singleton, applied, incomplete (not every pair is approved) or conflict. The component of a vertex that
+    isn't applied is the vertex itself.
+    """
+    e = edges.select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).where("_a <> _b").distinct()
+    comp = scratch.keep(connected_components(e, "_a", "_b", scratch), "cliques")
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    inside = lambda rows, x, y, name: rows.join(comp.select(F.col("node").alias("_x"), F.col("component").alias("_cx")), F.col(x) == F.col("_x")).join(comp.select(F.col("node").alias("_y"), F.col("component").alias("_cy")), F.col(y) == F.col("_y")).where("_cx = _cy").groupBy(F.col("_cx").alias("component")).agg(F.count(F.lit(1)).alias(name))
+    c = conflicts.select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).distinct()
+    s = size.join(inside(e, "_a", "_b", "approved"), "component", "left").join(inside(c, "_a", "_b", "conflicts"), "component", "left")
+    status = F.when(F.col("conflicts") > 0, "conflict").when(F.col("approved") == F.col("size") * (F.col("size") - 1) / 2, "applied").otherwise("incomplete")
+    s = s.select(F.col("component").alias("_c"), "size", status.alias("status"))
+    v = vertices.select(F.col(id_).cast("long").alias("id")).join(comp, F.col("id") == F.col("node"), "left").join(s, F.col("component") == F.col("_c"), "left")
+    done = F.coalesce(F.col("status") == "applied", F.lit(False))
+    return v.select("id", F.when(done, F.col("component")).otherwise(F.col("id")).alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), F.coalesce("status", F.lit("singleton")).alias("status"))
+
+
+def groups_by_shared_keys(df: DataFrame, id_: str, keys: list[str], scratch: Scratch) -> DataFrame:
+    """(id, group): rows that share a value of any key column, directly or through others, form a group.
+
+    Items are joined to the smallest item of each key value, not to each other, so a frequent value adds one edge a row.
+    """
+    e = None
+    for k in keys:
+        hub = df.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min(id_).alias("_hub"))
+        part = df.join(hub, F.col(k) == F.col("_k")).select(F.col(id_).alias("a"), F.col("_hub").alias("b")).where("a <> b")
+        e = part if e is None else e.unionByName(part)
+    comp = connected_components(e, "a", "b", scratch)
+    return df.select(F.col(id_).alias("id")).join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("group"))
