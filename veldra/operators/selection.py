@@ -87,4 +87,4 @@ def diverse_allocation(df: DataFrame, id_: str, order: list[str], caps: dict[str
                     used[x] = used.get(x, 0) + 1
         return pd.DataFrame({"id": pd.Series(out, dtype="int64"), "position": pd.Series(range(1, len(out) + 1), dtype="int64")})
 
-    return df.select(id_, *dict.fromkeys([*order, *cols])).groupBy().applyInPandas(walk, "id long, position long")
+    return df.select(*dict.fromkeys([id_, *order, *cols])).groupBy().applyInPandas(walk, "id long, position long")

@@ -160,9 +160,10 @@ def gallery_mad_outliers(spark, sf_dir):
     return agg.mad_outliers(s, ["label"], "mean_similarity", 2.0)
 
 
-@query(f"WITH {st.HASHES} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 13")
+@query(f"WITH {st.HASHES}, h AS (SELECT vec_id, bits & 16777215 AS bits FROM hashes) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 3")
 def hamming_near_duplicates(spark, sf_dir):
-    return joins.hamming_pairs(st.hashes(spark, sf_dir), "vec_id", "bits", 13)
+    h = st.hashes(spark, sf_dir).select("vec_id", F.col("bits").bitwiseAND(F.lit(16777215)).alias("bits"))
+    return joins.hamming_pairs(h, "vec_id", "bits", 3, 24)
 
 
 _SIMILAR = """sim AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
