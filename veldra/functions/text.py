@@ -56,9 +56,9 @@ def nfkc(column: str | Column) -> Column:
     import unicodedata
 
     import pyarrow as pa
+    from pyspark.sql.pandas.functions import ArrowUDFType
 
-    @F.arrow_udf("string")
-    def run(v: pa.Array) -> pa.Array:
+    def run(v):
         return pa.array([None if x is None else unicodedata.normalize("NFKC", x).strip() for x in v.to_pylist()], pa.string())
 
-    return run(column)
+    return F.arrow_udf(run, "string", ArrowUDFType.SCALAR)(column)

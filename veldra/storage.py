@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,12 @@ class Scratch:
                 df.scratch_path = None
 
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written: they go when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that operators left in the shared folder. Results that still read them become unusable."""
     delete(spark, f"{shared_root(spark)}/veldra")
