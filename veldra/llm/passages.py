@@ -163,23 +163,29 @@ def repeated_passages(docs: DataFrame, doc: str, text: str, numerator: int = 80,
     scratch = Scratch(docs.sparkSession, "passages")
     docs = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where(F.col("_doc").isNotNull())
     bands, rows = tuned_bands(numerator / 100, recall)
-    u = scratch.keep(units(docs, "_doc", "_text", bands, rows), "units")
+    # The paragraphs are cut twice, which takes less than to keep them all.
+    u = units(docs, "_doc", "_text", bands, rows)
     classes = u.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(bands)))
     classes = scratch.keep(classes, "classes")
+    scratch.sweep()
 
     dealt = classes.select(F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("node"), F.col("sig").alias("item"))
     sizes = scratch.keep(dealt.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("size"), F.min("item").alias("pivot")).where("size > 1"), "sizes")
     nodes = scratch.keep(dealt.join(_sized(sizes, sizes.count()), F.col("node") == F.col("_node")).select("node", "item", "size", "pivot"), "nodes")
+    scratch.sweep()
     homes = classes.select("sig", F.col("first").alias("doc_id"))
     stars = scratch.keep(clusters.star_pairs(nodes), "stars")
     links = _linked(stars, homes, docs, "_doc", "_text", numerator, scratch)
     comps = clusters.components_of(links, scratch)
+    scratch.sweep()
     mixed = scratch.keep(clusters.mixed_nodes(nodes, comps), "mixed")
     rest = clusters.cross_pairs(mixed.where("size <= 32")).unionByName(clusters.minority_pairs(mixed.where("size > 32"))).distinct().join(stars, ["a", "b"], "left_anti")
     more = _linked(rest, homes, docs, "_doc", "_text", numerator, scratch)
     if not more.isEmpty():
         comps = clusters.components_of(links.unionByName(more), scratch)
 
+    scratch.drop(sizes, nodes, stars, mixed)
+    scratch.sweep()
     c = comps.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     tagged = classes.select("sig", "first", "last").join(c, F.col("sig") == c["_n"], "left").select("sig", "first", "last", F.coalesce("_c", "sig").alias("cluster"), F.col("_c").isNotNull().alias("near"))
     tagged = scratch.keep(tagged.where("near or first <> last"), "tagged")
@@ -187,6 +193,8 @@ def repeated_passages(docs: DataFrame, doc: str, text: str, numerator: int = 80,
     hit = scratch.keep(tagged.join(spans, F.col("cluster") == F.col("_k")).select(F.col("sig").alias("_sig"), "cluster", F.col("_first").alias("keep_doc_id")), "hit")
     repeats = u.select("doc_id", "ord", "start", "stop", "n_words", "sig").join(_sized(hit, hit.count()), F.col("sig") == F.col("_sig")).select("doc_id", "ord", "start", "stop", "n_words", "cluster", "keep_doc_id")
     repeats = scratch.keep(repeats, "repeats")
+    scratch.drop(classes, tagged)
+    scratch.sweep()
     # What stays: the first paragraph of the cluster in its first document.
     stays = repeats.where("doc_id = keep_doc_id").groupBy(F.col("cluster").alias("_k")).agg(F.min("ord").alias("_ord"))
     gone = repeats.join(stays, F.col("cluster") == F.col("_k"), "left").where("not (doc_id = keep_doc_id and ord = _ord)").dropDuplicates(["doc_id", "ord"])
