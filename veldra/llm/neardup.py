@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator:
     stars = scratch.keep(clusters.agreeing(clusters.star_pairs(nodes), tokens, AGREE), "stars")
     links = verified(stars, docs, doc, text, k, numerator, scratch)
     comps = scratch.keep(clusters.components_of(links, scratch), "components")
+    scratch.sweep()
 
     rest = scratch.keep(clusters.mixed_nodes(nodes, comps), "mixed")
     if not rest.isEmpty():
