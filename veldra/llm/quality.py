@@ -152,6 +152,9 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
         p = 1 / (1 + np.exp(-margin))
         margin += SHRINKAGE * np.clip(_grow(x, cuts, y - p, p * (1 - p), np.arange(len(y)), DEPTH, (), paths), -8, 8)
     distinct = sorted({_simplified(p) for p in paths})
+    if not distinct:  # too few rows for any tree
+        p = (y.sum() + 1) / (len(y) + 2)
+        return RuleEnsemble(float(np.log(p / (1 - p))), ())
     r = np.stack([_holds(x, p) for p in distinct], axis=1).astype(float)
     _, first = np.unique(r, axis=1, return_index=True)  # rules that hold for the same rows count once
     first = np.sort(first)
