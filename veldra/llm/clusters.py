@@ -38,12 +38,26 @@ def mixed_rows(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, rows["node"] == mixed["_node"]).select("node", "item", "comp", "size")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of the items of a node that are in different components; for nodes of bounded size."""
-    x = rows.select("node", F.col("item").alias("_i"), F.col("comp").alias("_ci"))
-    y = rows.select(F.col("node").alias("_node"), F.col("item").alias("_j"), F.col("comp").alias("_cj"))
-    both = x.join(y, (x["node"] == y["_node"]) & (F.col("_i") < F.col("_j")) & (F.col("_ci") != F.col("_cj")))
-    return both.select(F.col("_i").alias("a"), F.col("_j").alias("b")).distinct()
+def _agree(a: Column, b: Column) -> Column:
+    """Number of equal places."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+
+
+def cross_pairs(rows: DataFrame, tokens: DataFrame | None = None, least: int = 0) -> DataFrame:
+    """Distinct (a, b), a < b, of the items of a node that are in different components; for nodes of bounded size.
+
+    With ``tokens`` (item, tok) only pairs whose minwise tokens agree in ``least`` places at least come out of the join.
+    """
+    if tokens is not None:
+        t = tokens.select(F.col("item").alias("_item"), F.col("tok").alias("_tok"))
+        rows = rows.join(t, rows["item"] == t["_item"])
+    extra = ["_tok"] if tokens is not None else []
+    x = rows.select("node", F.col("item").alias("_i"), F.col("comp").alias("_ci"), *(F.col(c).alias("_ti") for c in extra))
+    y = rows.select(F.col("node").alias("_node"), F.col("item").alias("_j"), F.col("comp").alias("_cj"), *(F.col(c).alias("_tj") for c in extra))
+    on = (x["node"] == y["_node"]) & (F.col("_i") < F.col("_j")) & (F.col("_ci") != F.col("_cj"))
+    if extra:
+        on = on & (_agree(F.col("_ti"), F.col("_tj")) >= least)
+    return x.join(y, on).select(F.col("_i").alias("a"), F.col("_j").alias("b")).distinct()
 
 
 def minority_pairs(rows: DataFrame) -> DataFrame:
@@ -60,7 +74,7 @@ def minority_pairs(rows: DataFrame) -> DataFrame:
 def agreeing(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
     """Pairs whose minwise tokens agree in ``least`` places at least; ``tokens``: (item, tok)."""
     a, b = (tokens.select(F.col("item").alias(f"_{x}"), F.col("tok").alias(f"_t{x}")) for x in "ab")
-    same: Column = F.aggregate(F.zip_with("_ta", "_tb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+    same = _agree(F.col("_ta"), F.col("_tb"))
     return pairs.join(a, pairs["a"] == a["_a"]).join(b, pairs["b"] == b["_b"]).where(same >= least).select("a", "b").distinct()
 
 

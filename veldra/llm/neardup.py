@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator:
     for level in range(LEVELS):
         if rest.isEmpty():
             break
-        pairs.append(clusters.cross_pairs(rest.where(F.col("size") <= SMALL)))
+        pairs.append(clusters.cross_pairs(rest.where(F.col("size") <= SMALL), tokens, AGREE))
         large = rest.where(F.col("size") > SMALL)
         if large.isEmpty():
             rest = large
@@ -228,12 +228,12 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator:
         child = scratch.keep(_branch(large, tokens).distinct(), f"level{level}")
         rest = scratch.keep(clusters.mixed_rows(child), f"mixed{level}")
     else:
-        pairs.append(clusters.minority_pairs(rest))
+        pairs.append(clusters.agreeing(clusters.minority_pairs(rest), tokens, AGREE))
     if pairs:
         every = pairs[0]
         for p in pairs[1:]:
             every = every.unionByName(p)
-        every = clusters.agreeing(every.distinct().join(stars, ["a", "b"], "left_anti"), tokens, AGREE)
+        every = every.distinct().join(stars, ["a", "b"], "left_anti")
         more = verified(every, docs, doc, text, k, numerator, scratch)
         if not more.isEmpty():
             comps = scratch.keep(clusters.components_of(links.unionByName(more), scratch), "components")
