@@ -146,6 +146,49 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(df.limit(0), "doc_id", "text").count() == 0
 
 
+def _copied_pairs(n_words, pairs, seed, one=lambda rng, n: [rng.randrange(9999) for _ in range(n)]):
+    """Pairs of documents (2i, 2i + 1) that share one run of words and nothing else."""
+    import random
+
+    rng = random.Random(seed)
+    fresh = lambda: [f"f{rng.getrandbits(60)}" for _ in range(rng.randrange(30, 60))]
+    out = []
+    for i in range(pairs):
+        shared = [f"s{i}x{w}" for w in one(rng, n_words)]
+        out += [(2 * i + j, " ".join([*fresh(), *shared, *fresh()])) for j in (0, 1)]
+    return out
+
+
+def test_short_passages_are_found_like_a_scan_does(spark):
+    pairs, base = 200, 0
+    rows = []
+    for n in (51, 55, 60):
+        rows += [(d + base, t) for d, t in _copied_pairs(n, pairs, n)]
+        base += 2 * pairs
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in passages.repeated_passages(df, "doc_id", "text").collect()}
+    assert all(d % 2 for d in got)
+    for i in range(3):
+        found = sum(1 for d in got if 2 * pairs * i <= d < 2 * pairs * (i + 1))
+        assert found >= 0.98 * pairs, (i, found)
+
+
+def test_runs_under_the_least_words_stay(spark):
+    df = spark.createDataFrame(_copied_pairs(14, 300, 5), "doc_id long, text string")
+    assert passages.repeated_passages(df, "doc_id", "text").count() == 0
+
+
+def test_text_that_repeats_with_a_short_period_is_found(spark):
+    rows = []
+    for k, period in enumerate((1, 2, 3, 4)):
+        cycle = lambda rng, n, p=period: [j % p for j in range(n)]
+        rows += [(d + 100 * k, t) for d, t in _copied_pairs(55, 40, period, cycle)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in passages.repeated_passages(df, "doc_id", "text").collect()}
+    for k in range(4):
+        assert len({d // 2 for d in got if 100 * k <= d < 100 * (k + 1)}) >= 38, (k, sorted(got))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns = docs.columns

@@ -5,7 +5,9 @@ A text is cut into paragraphs at places that the words around them choose (the w
 whole paragraphs. Paragraphs with equal sets of ``SHINGLE``-word shingles form a class. Bands of minwise hashes, tuned
 for the wanted recall with the fewest rows, bring similar classes together; their exact Jaccard similarity is verified
 on full sets, and connected components of the links are the clusters. Of a cluster that spans documents, the first
-paragraph by document and position stays and all others are removals; neighbouring removals join to one span.
+first paragraph by document and position stays and all others are removals; neighbouring removals join to one span.
+A span that is short stays only if the words around one of its paragraphs go on alike in an earlier document, so far
+that the run they share is long enough.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from veldra.llm import textcodes as tc
 from veldra.storage import Scratch
 
 SHINGLE, REACH = 5, 7
-#: A span of removals has at least so many words.
+#: A span of removals, or the run of words that it shares with an earlier document, has at least so many words.
 LEAST_WORDS = 20
 #: Rows of a table that are broadcast, at most (16 MB of numbers); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
@@ -59,22 +61,43 @@ def cuts(hashes: np.ndarray, at: np.ndarray, reach: int = REACH) -> np.ndarray:
     since, left = np.arange(n) - at[text], at[text + 1] - np.arange(n)
     chosen &= (since + 1 >= reach) & (left - 1 >= reach)
     first[1:] = chosen[:-1]
-    run = first.copy()
-    run[1:] &= ~first[:-1]  # of neighbouring ties the first counts
+    run, last = first.copy(), first.copy()
+    run[1:] &= ~first[:-1]  # of neighbouring ties the first and the last count
+    last[:-1] &= ~first[1:]
+    run |= last
     run[at[:-1][size > 0]] = True
     return run
 
 
-def _chunk_units(data: np.ndarray, offsets: np.ndarray):
-    """For the texts of one chunk: (text, position, first byte, last byte, words, signature, shingles, their first index)."""
-    h, start, stop, at = tc.words(data, offsets, tc.SPACED)
+def _bounds(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, one past the last word, text, position) of the paragraphs; short cuts are joined to what follows.
+
+    The last paragraph of a text is never short, unless the whole text is; such texts have none.
+    """
     begin = np.flatnonzero(cuts(h, at))
-    end = np.append(begin[1:], len(h))
     text = np.searchsorted(at, begin, "right") - 1
+    size = np.append(begin[1:], len(h)) - begin
+    joined = np.zeros(len(begin), bool)
+    small = np.flatnonzero(size < SHINGLE)
+    words, follows = 0, -1
+    for u, n in zip(small.tolist(), size[small].tolist(), strict=True):
+        words = n + (words if u == follows else 0)
+        if words < SHINGLE and u + 1 < len(begin) and text[u + 1] == text[u]:
+            joined[u + 1], follows = True, u + 1
+        else:
+            follows = -1
+    begin, text = begin[~joined], text[~joined]
+    end = np.append(begin[1:], len(h))
     order = np.arange(len(begin)) - np.searchsorted(text, text)
+    keep = end - begin >= SHINGLE
+    return begin[keep], end[keep], text[keep], order[keep]
+
+
+def _chunk_units(data: np.ndarray, offsets: np.ndarray):
+    """For the texts of one chunk: (text, position, first byte, last byte, words, signature, shingles, their first index)."""
+    h, start, stop, at = tc.words(data, offsets, tc.SPACED)
+    begin, end, text, order = _bounds(h, at)
     size = end - begin
-    keep = size >= SHINGLE
-    begin, end, text, order, size = begin[keep], end[keep], text[keep], order[keep], size[keep]
     if not len(begin):
         return None
     every = tc.shingles(h, SHINGLE)
@@ -152,13 +175,72 @@ def _linked(pairs: DataFrame, homes: DataFrame, docs: DataFrame, doc: str, text:
     return links
 
 
+def _around(h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray, cluster: np.ndarray, lack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the paragraph, key) for every way to take ``lack`` words around a paragraph of a text, i before and the rest after."""
+    most = int(lack.max(initial=0))
+    base = np.uint64(0x9FB21C651E98DF25)
+    before, after = [np.zeros(len(begin), np.uint64)], [np.zeros(len(begin), np.uint64)]
+    for i in range(1, most + 1):
+        before.append(tc.mix(before[-1] * base + h[np.maximum(begin - i, 0)]))
+        after.append(tc.mix(after[-1] * base + h[np.minimum(end + i - 1, len(h) - 1)]))
+    after = np.stack(after)
+    which, keys = [], []
+    for i in range(most + 1):
+        on = np.flatnonzero((lack >= i) & (begin - i >= at[text]) & (end + lack - i <= at[text + 1]))
+        which.append(on)
+        keys.append(tc.mix(before[i][on] * base + after[lack[on] - i, on] + tc.mix(cluster[on].view(np.uint64) + np.uint64(i) * base)))
+    return np.concatenate(which), np.concatenate(keys).view(np.int64)
+
+
+def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, doc: str, text: str, least_words: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, ord) of paragraphs in short spans whose shared run with an earlier place has ``least_words`` words.
+
+    ``held``: removals with ``_sum``, the words of their span. The run is the paragraph and the equal words around it.
+    It may be shared with any earlier place of the cluster, in runs that at least two documents have.
+    """
+    short = scratch.keep(held.where(F.col("_sum") < least_words).select("doc_id", "ord", "cluster", (F.lit(least_words) - F.col("n_words")).cast("int").alias("lack")), "short")
+    lacks = scratch.keep(short.select(F.col("cluster").alias("_k"), F.col("lack")).distinct(), "lacks")
+    ask = repeats.select("doc_id", "ord", "cluster").join(_sized(lacks, lacks.count()), F.col("cluster") == F.col("_k"))
+    ask = scratch.keep(ask.groupBy(F.col("doc_id").alias("_home")).agg(F.collect_set(F.struct("ord", "cluster", "lack")).alias("_asks")), "asks")
+    texts = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(_sized(ask, ask.count()), F.col("d") == F.col("_home")).select("d", "t", "_asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = tc.utf8(batch.column(1))
+            row = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            order, cluster, lack = (x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
+            for a, b in tc.chunks(offsets):
+                h, _, _, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
+                begin, end, text_, _ = _bounds(h, at)
+                mine = np.flatnonzero((row >= a) & (row < b))
+                first = np.searchsorted(text_, np.arange(b - a + 1))
+                unit = first[row[mine] - a] + order[mine]
+                fits = unit < first[row[mine] - a + 1]
+                mine, unit = mine[fits], unit[fits]
+                if not len(mine):
+                    continue
+                which, keys = _around(h, at, begin[unit], end[unit], text_[unit], cluster[mine].astype(np.int64), lack[mine].astype(np.int64))
+                mine = mine[which]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[mine]]), pa.array(order[mine]), pa.array(lack[mine]), pa.array(keys)], ["doc_id", "ord", "lack", "key"])
+
+    runs = scratch.keep(texts.mapInArrow(run, "doc_id long, ord int, lack int, key long"), "runs")
+    shared = runs.groupBy(F.col("key").alias("_key"), F.col("lack").alias("_lack")).agg(F.min(F.struct("doc_id", "ord")).alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo.doc_id <> _hi")
+    shared = scratch.keep(shared, "shared")
+    found = runs.join(_sized(shared, shared.count()), (F.col("key") == F.col("_key")) & (F.col("lack") == F.col("_lack"))).where("not (doc_id = _lo.doc_id and ord = _lo.ord)")
+    longer = scratch.keep(found.select("doc_id", "ord", "lack").distinct().join(short.select("doc_id", "ord", "lack"), ["doc_id", "ord", "lack"], "left_semi").select("doc_id", "ord"), "longer")
+    scratch.drop(short, lacks, ask, runs, shared)
+    return longer
+
+
 def repeated_passages(docs: DataFrame, doc: str, text: str, numerator: int = 80, recall: float = 0.99, least_words: int = LEAST_WORDS) -> DataFrame:
     """Removals: (doc_id, start, stop, n_words, n_paragraphs, keep_doc_id, cluster).
 
     A row is a span of neighbouring paragraphs, start to stop in code points, each of which repeats a paragraph that
     stays. keep_doc_id: the document in which the first of them stays; cluster: that paragraph's cluster. Documents
     without repeats, null or short texts and rows with a null id have no rows. Repeated rows of a document are one
-    document. Spans of fewer than ``least_words`` words are left alone.
+    document. Spans of fewer than ``least_words`` words are left alone, unless the run that one of their paragraphs shares
+    with an earlier document has so many.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     docs = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where(F.col("_doc").isNotNull())
@@ -200,8 +282,12 @@ def repeated_passages(docs: DataFrame, doc: str, text: str, numerator: int = 80,
     gone = repeats.join(stays, F.col("cluster") == F.col("_k"), "left").where("not (doc_id = keep_doc_id and ord = _ord)").dropDuplicates(["doc_id", "ord"])
     w = Window.partitionBy("doc_id").orderBy("ord")
     island = gone.withColumn("_island", F.col("ord") - F.row_number().over(w))
-    out = island.groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_paragraphs"), F.min_by("keep_doc_id", "ord").alias("keep_doc_id"), F.min_by("cluster", "ord").alias("cluster"))
-    return out.where(F.col("n_words") >= least_words).drop("_island")
+    held = scratch.keep(island.withColumn("_sum", F.sum("n_words").over(Window.partitionBy("doc_id", "_island"))), "gone")
+    scratch.sweep()
+    longer = _longer(held, repeats, docs, "_doc", "_text", least_words, scratch).select(F.col("doc_id").alias("_d"), F.col("ord").alias("_o"))
+    held = held.join(longer, (F.col("doc_id") == F.col("_d")) & (F.col("ord") == F.col("_o")), "left")
+    out = held.groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_paragraphs"), F.min_by("keep_doc_id", "ord").alias("keep_doc_id"), F.min_by("cluster", "ord").alias("cluster"), F.max(F.col("_d").isNotNull()).alias("_long"))
+    return out.where((F.col("n_words") >= least_words) | F.col("_long")).drop("_island", "_long")
 
 
 def without_passages(docs: DataFrame, doc: str, text: str, removals: DataFrame) -> DataFrame:
