@@ -123,6 +123,19 @@ def test_pages_edges(spark):
     assert extraction.with_main_text(df.limit(0), "url", "html").count() == 0
 
 
+def _site(n, host, filler=0):
+    """Pages of a host with the same two unclassed texts inside their article."""
+    body = lambda i: "".join(f"<p>own{host}{i}x{j}</p>" for j in range(6 + i % 3)) + f"<p>{'w ' * filler}{i}</p>"
+    return [(f"http://{host}/{i}", f"<body><article><p>Read more on our site</p>{body(i)}<p>Sign up for the letter</p></article></body>") for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "filler"), [(2, 0), (3, 0), (12, 0), (3, 110_000)])
+def test_template_inside_an_article_goes_on_hosts_of_any_size(spark, n, filler):
+    df = spark.createDataFrame(_site(n, "a.b", filler), "url string, html string")
+    got = [r.text for r in extraction.with_main_text(df, "url", "html").collect()]
+    assert len(got) == n and all("owna.b" in x and "Read more" not in x and "Sign up" not in x for x in got)
+
+
 def test_segmentation_edges(spark, odd):
     import public_tokenizers
 

@@ -169,3 +169,9 @@ def test_wrapper_keeps_what_varies():
     out = dom.main_text(dom.parse(pages[0]), wrapper)
     assert "Welcome" not in out and "belongs" not in out and out.count("\n") == 1
     assert dom.induce([dom.parse(pages[0])] * 3) is None  # copies say nothing
+
+
+def test_long_lists_are_aligned_at_equal_subtrees():
+    page = lambda k, n: "<body>" + "".join(f"<p>{k}{i}</p>" for i in range(n)) + "<p>constant</p>" + "".join(f"<p>{k}z{i}</p>" for i in range(400)) + "</body>"
+    a, b = dom.parse(page("a", 300)), dom.parse(page("b", 450))
+    assert "constant" in {p.text for p, q in dom.align(a, b) if p.tag == "#" and p.text == q.text}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from html import unescape
 
 # Fixed values of HTML: kinds of elements.
@@ -123,6 +125,40 @@ def _pairs_by_order(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
     return out
 
 
+def _content(node: Node) -> int:
+    """Hash of the whole subtree."""
+    return hash((node.label, node.text if node.tag == "#" else None, tuple(map(_content, node.kids))))
+
+
+def _pairs_by_anchors(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of two long lists: the longest run of equal subtrees that keeps order, and what lies between by label."""
+    places: dict = {}
+    for j, q in enumerate(y):
+        places.setdefault(_content(q), []).append(j)
+    used: dict = {}
+    tails, tops, chain = [], [], []  # patience sorting
+    for i, p in enumerate(x):
+        k = _content(p)
+        at = used.get(k, 0)
+        if at >= len(places.get(k, ())):
+            continue
+        used[k], j = at + 1, places[k][at]
+        t = bisect.bisect_left(tops, j)
+        tops[t : t + 1], tails[t : t + 1] = [j], [len(chain)]
+        chain.append((i, j, tails[t - 1] if t else -1))
+    anchors, at = [], tails[-1] if tails else -1
+    while at >= 0:
+        i, j, at = chain[at]
+        anchors.append((i, j))
+    out, a, b = [], 0, 0
+    for i, j in [*reversed(anchors), (len(x), len(y))]:
+        out += _pairs_by_order(x[a:i], y[b:j])
+        if i < len(x):
+            out.append((x[i], y[j]))
+        a, b = i + 1, j + 1
+    return out
+
+
 def _score(a: Node, b: Node, kept: dict) -> float:
     """Size of the largest top-down matching that keeps order; equal texts count for two."""
     if a.label != b.label:
@@ -133,7 +169,7 @@ def _score(a: Node, b: Node, kept: dict) -> float:
     if not x or not y:
         return 1
     if len(x) * len(y) > CELLS:
-        return 1 + sum(_score(p, q, kept) for p, q in _pairs_by_order(x, y))
+        return 1 + sum(_score(p, q, kept) for p, q in _pairs_by_anchors(x, y))
     rows = [[0.0] * (len(y) + 1)]
     for p in x:
         last, row, best = rows[-1], [0.0], 0.0
@@ -164,7 +200,7 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
             continue
         rows = kept.get((id(p), id(q)))
         if rows is None:
-            todo.extend(_pairs_by_order(p.kids, q.kids))
+            todo.extend(_pairs_by_anchors(p.kids, q.kids))
             continue
         i, j = len(p.kids), len(q.kids)
         while i and j:
@@ -192,24 +228,29 @@ def _words(root: Node) -> set[str]:
     return {t.text for t in texts(root) if t.text.strip()}
 
 
-def induce(pages: list[Node], alike: float = 0.5) -> tuple[int, list] | None:
-    """Wrapper of same-host pages: (number of unlike pages, template tree), or None if all are alike.
+#: A text is template if so large a share of the unlike pages of a host has it.
+SHARE = 0.9
+
+
+def supported(seed: Node, page: Node, alike: float = 0.5) -> list[int] | None:
+    """Indexes of the seed's texts that the page has in the same place; None if the page is a copy of the seed.
 
-    Copies of a page say nothing about its template, so a page that shares half of its texts with one already used is
-    passed over. Texts that are equal in all used pages are constant. The template keeps those and what is above them,
-    as nested [label, text, children].
+    Copies of a page say nothing about its template, so a page that shares more than half of its texts is passed over.
     """
-    used, bags = [], []
-    for p in pages:
-        bag = _words(p)
-        if bag and all(len(bag & o) <= alike * min(len(bag), len(o)) for o in bags):
-            used.append(p)
-            bags.append(bag)
-    if len(used) < 2:
+    a, b = _words(seed), _words(page)
+    if not a or not b or len(a & b) > alike * min(len(a), len(b)):
         return None
-    constant = {id(t) for t in texts(used[0]) if t.text.strip()}
-    for other in used[1:]:
-        constant &= {id(a) for a, b in align(used[0], other) if a.tag == "#" and a.text == b.text}
+    equal = {id(p) for p, q in align(seed, page) if p.tag == "#" and p.text == q.text}
+    return [i for i, t in enumerate(texts(seed)) if id(t) in equal and t.text.strip()]
+
+
+def wrapper_of(seed: Node, counts: dict[int, int], others: int) -> tuple[int, list] | None:
+    """Wrapper: (number of unlike pages, template tree) from the pages other than the seed that have each of its texts.
+
+    The template keeps the texts of at least ``SHARE`` of the pages, the seed among them, and what is above them, as
+    nested [label, text, children]. None without other pages or such texts.
+    """
+    constant = {id(t) for i, t in enumerate(texts(seed)) if counts.get(i, 0) and counts[i] + 1 >= SHARE * (others + 1)}
 
     def pruned(node: Node):
         if node.tag == "#":
@@ -217,8 +258,14 @@ def induce(pages: list[Node], alike: float = 0.5) -> tuple[int, list] | None:
         kids = [x for x in map(pruned, node.kids) if x]
         return [node.label, None, kids] if kids else None
 
-    tree = pruned(used[0])
-    return (len(used), tree) if tree else None
+    tree = pruned(seed) if others else None
+    return (others + 1, tree) if tree else None
+
+
+def induce(pages: list[Node]) -> tuple[int, list] | None:
+    """Wrapper of same-host pages, with the first as the seed."""
+    found = [x for x in (supported(pages[0], p) for p in pages[1:]) if x is not None]
+    return wrapper_of(pages[0], Counter(i for x in found for i in x), len(found))
 
 
 def _template(node: list, parent: Node | None = None) -> Node:
@@ -344,17 +391,12 @@ def _densest(root: Node, template: set[int]) -> Node:
     return best
 
 
-#: Within an article or main element a text is template only if so many unlike pages of the host all have it.
-INSIDE_SUPPORT = 8
-
-
 def main_text(root: Node, wrapper: tuple[int, list] | None = None) -> str:
     """The article of a parsed page; ``wrapper``: of its host, if there is one."""
     _mark(root, False)
     template: set[int] = set()
-    support = 0
     if wrapper:
-        support, tree = wrapper
+        _, tree = wrapper
         template = {id(b) for a, b in align(_template(tree), root) if a.tag == "#" and a.text == b.text}
     found: list[Node] = []
     _regions(root, found)
@@ -364,4 +406,4 @@ def main_text(root: Node, wrapper: tuple[int, list] | None = None) -> str:
         region = _first(root, "main")
     if region is None:
         return "\n".join(blocks(_densest(root, template), template))
-    return "\n".join(blocks(region, template if support >= INSIDE_SUPPORT else set()))
+    return "\n".join(blocks(region, template))

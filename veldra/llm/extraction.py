@@ -1,7 +1,7 @@
 """HTML extraction by wrapper induction.
 
-A wrapper is induced for each host from a bounded sample of its pages: their DOM trees are aligned by simple tree
-matching; nodes that are constant become the template. Every page is then aligned with its host's template, and the
+A wrapper is induced for each host from all of its pages: their DOM trees are aligned with that of one seed page by
+simple tree matching; texts of the seed that nearly all pages have become the template. Every page is then aligned with its host's template, and the
 varying text of its article remains. Hosts with one page, or with copies of one page only, have no template; there the
 page's own structure decides.
 """
@@ -9,6 +9,7 @@ page's own structure decides.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +20,8 @@ from veldra.llm import dom
 from veldra.llm import textcodes as tc
 from veldra.storage import Scratch
 
-#: Pages of a host that its wrapper is induced from, at most.
-SAMPLE = 10
-#: Bytes of wrappers, and sampled pages, that are broadcast; more are joined.
+#: Bytes of wrappers, or of seed pages, that are broadcast; more are joined.
 BROADCAST_BYTES, BROADCAST_ROWS = 24 << 20, 1 << 20
-#: Code points of a page that is used for induction, at most; every page is extracted whole.
-SAMPLE_CHARS = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -32,24 +29,53 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _induce(group: pa.Table) -> pa.Table:
-    pages = sorted(zip(group["h"].to_pylist(), group["html"].to_pylist(), strict=True), key=lambda x: (x[0], x[1] or ""))
-    found = dom.induce([dom.parse(x or "") for _, x in pages])
-    rows = [(group["host"][0].as_py(), json.dumps(found))] if found else []
-    return pa.table({"host": pa.array([r[0] for r in rows], pa.string()), "wrapper": pa.array([r[1] for r in rows], pa.string())})
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, seed) -> (host, text, n): pages of the batch that have a text of the seed; text -1: all unlike pages."""
+    name = seed = None
+    for batch in batches:
+        sums: Counter = Counter()
+        for host, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if host != name:
+                name, seed = host, dom.parse(first)
+            found = dom.supported(seed, dom.parse(html))
+            if found is not None:
+                sums.update((host, i) for i in (-1, *found))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["host", "i", "n"])
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, seed, counts) -> (host, wrapper as JSON)."""
+    for batch in batches:
+        rows = []
+        for host, seed, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = {c["i"]: c["n"] for c in counts}
+            if found := dom.wrapper_of(dom.parse(seed), n, n.get(-1, 0)):
+                rows.append((host, json.dumps(found)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["host", "wrapper"])
 
 
 def wrappers(pages: DataFrame, url: str, html: str, scratch: Scratch) -> DataFrame:
-    """(host, wrapper as JSON) of the hosts with unlike pages. At most ``SAMPLE`` pages of a host meet in a task."""
+    """(host, wrapper as JSON) of the hosts with unlike pages. Every page is aligned with its host's seed; sums meet, not pages.
+
+    Seed: the page whose address has the smallest hash. Equal pages of a host count once.
+    """
     tc.bounded_batches(pages.sparkSession)
-    h = F.xxhash64(F.col(url))
-    base = pages.where(F.col(url).isNotNull()).select(host_of(F.col(url)).alias("host"), h.alias("h"), F.col(html).alias("html")).where("host <> ''")
-    picks = base.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("b")).agg(F.min("h").alias("h"))
-    picks = scratch.keep(picks.select(F.col("host").alias("_host"), F.col("h").alias("_h")), "picks")
-    chosen = F.broadcast(picks) if picks.count() <= BROADCAST_ROWS else picks
-    sample = base.where(F.length("html") <= SAMPLE_CHARS).join(chosen, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")), "left_semi")
-    once = sample.groupBy("host", "h").agg(F.min("html").alias("html"))
-    return scratch.keep(once.groupBy("host").applyInArrow(_induce, "host string, wrapper string"), "wrappers")
+    h = F.xxhash64(F.col(url), F.col(html))
+    base = pages.where((F.col(url).isNotNull()) & (F.col(html) != "")).select(host_of(F.col(url)).alias("host"), h.alias("h"), F.xxhash64(html).alias("c"), F.col(html).alias("html")).where("host <> ''")
+    once = scratch.keep(base.groupBy("host", "c").agg(F.min("h").alias("h")).select(F.col("host").alias("_host"), F.col("h").alias("_h")), "once")
+    first = once.groupBy("_host").agg(F.min("_h").alias("_h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("_host", "_h")
+    first = scratch.keep(first, "first")
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    on = (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))
+    seeds = base.join(sized(first), on, "left_semi").groupBy("host").agg(F.min("html").alias("seed"))
+    seeds = scratch.keep(seeds.select(F.col("host").alias("_s"), "seed"), "seeds")
+    size = seeds.agg(F.sum(F.octet_length("seed"))).first()[0] or 0
+    small = F.broadcast(seeds) if size <= BROADCAST_BYTES else seeds
+    others = base.join(sized(once), on, "left_semi").join(small, F.col("host") == F.col("_s")).where("html <> seed").select("host", "html", "seed")
+    counts = others.mapInArrow(_tally, "host string, i int, n long").groupBy("host", "i").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("host").agg(F.collect_list(F.struct("i", "n")).alias("counts"))
+    return scratch.keep(seeds.join(counts, F.col("host") == F.col("_s")).select("host", "seed", "counts").mapInArrow(_build, "host string, wrapper string"), "wrappers")
 
 
 def _extractor(held):
