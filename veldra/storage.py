@@ -12,10 +12,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only where it is unset (tests, one machine) a local one is set."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local one is set, on one machine only."""
     sc = spark.sparkContext
     found = sc.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veldra-")
         sc.setCheckpointDir(found)
         spark.conf.set(SETTING, found)
@@ -67,7 +69,6 @@ class Scratch:
                 delete(self.spark, df.scratch_path)
                 df.scratch_path = None
 
-
     def sweep(self) -> None:
         """Let Spark delete the shuffle files of steps whose results are written: they go when the driver collects garbage."""
         gc.collect()
