@@ -1,82 +1,224 @@
-"""Linking the members of nodes (buckets, bands, tree nodes) without emitting all pairs of a group.
+"""Linking the members of nodes (buckets, bands, tree nodes) without emitting the pairs of a group.
 
-A node is a set of items that may be linked. First every item is compared with its node's smallest item, which links
-large groups of near copies with one comparison each. Then only nodes whose items are still in different components
-matter, and only pairs across components are compared.
+A node is a set of items that may be linked. Only nodes whose items lie in two components or more matter. Their rows
+are dealt to blocks of bounded size, a large node by a salt; one task compares a block's items with each other and
+returns a spanning forest of the links that it finds, so what comes out never exceeds the items that went in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldra.operators.graph import connected_components
 from veldra.storage import Scratch
 
-
-def shared_nodes(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, item, size, pivot) of the nodes with at least two items; ``rows``: distinct (node, item)."""
-    sizes = rows.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("size"), F.min("item").alias("pivot")).where("size > 1")
-    return scratch.keep(rows.join(sizes, rows["node"] == sizes["_node"]).select("node", "item", "size", "pivot"), name)
-
-
-def star_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: each item with the smallest of its node."""
-    return nodes.where("item <> pivot").select(F.col("pivot").alias("a"), F.col("item").alias("b")).distinct()
+#: Items of a block and bytes of their content; larger nodes are dealt to several blocks.
+SMALL, BLOCK_BYTES = 2048, 8 << 20
+#: Nodes of up to so many blocks are compared exhaustively, block by block.
+BLOCKS = 8
+#: Cells of a dense matrix that is held at once.
+CELLS = 1 << 21
 
 
-def mixed_nodes(nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """(node, item, comp, size): rows of the nodes whose items are in two components or more."""
-    c = components.select(F.col("node").alias("_item"), F.col("component").alias("_comp"))
-    rows = nodes.select("node", "item").join(c, F.col("item") == c["_item"], "left").select("node", "item", F.coalesce("_comp", "item").alias("comp"))
-    return mixed_rows(rows)
+#: Rows of a table that are broadcast, at most (16 MB of numbers); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
 
 
-def mixed_rows(rows: DataFrame) -> DataFrame:
-    """Rows (node, item, comp) of the nodes with two components or more, with the node's size."""
-    mixed = rows.groupBy(F.col("node").alias("_node")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo <> _hi")
-    return rows.join(mixed, rows["node"] == mixed["_node"]).select("node", "item", "comp", "size")
+def sized(df: DataFrame) -> DataFrame:
+    """A written table of numbers, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Number of equal places."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+def shared_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ``rows`` (node, item, size) of the nodes with at least two items."""
+    many = rows.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_node")
+    many = scratch.keep(many, "shared")
+    out = scratch.keep(rows.join(sized(many), F.col("node") == F.col("_node"), "left_semi"), "rows")
+    scratch.drop(many)
+    return out
 
 
-def cross_pairs(rows: DataFrame, tokens: DataFrame | None = None, least: int = 0) -> DataFrame:
-    """Distinct (a, b), a < b, of the items of a node that are in different components; for nodes of bounded size.
+def mixed_rows(rows: DataFrame, components: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(node, item, size, comp, blocks): rows of the nodes whose items are in two components or more; ``rows``: (node, item, size).
 
-    With ``tokens`` (item, tok) only pairs whose minwise tokens agree in ``least`` places at least come out of the join.
+    ``components``: (node, component) of linked items; all others are their own. ``blocks``: how many blocks the node needs.
+    Both sides of the last join are plain tables, so a node with a third of all rows is split by an adaptive skew join.
     """
-    if tokens is not None:
-        t = tokens.select(F.col("item").alias("_item"), F.col("tok").alias("_tok"))
-        rows = rows.join(t, rows["item"] == t["_item"])
-    extra = ["_tok"] if tokens is not None else []
-    x = rows.select("node", F.col("item").alias("_i"), F.col("comp").alias("_ci"), *(F.col(c).alias("_ti") for c in extra))
-    y = rows.select(F.col("node").alias("_node"), F.col("item").alias("_j"), F.col("comp").alias("_cj"), *(F.col(c).alias("_tj") for c in extra))
-    on = (x["node"] == y["_node"]) & (F.col("_i") < F.col("_j")) & (F.col("_ci") != F.col("_cj"))
-    if extra:
-        on = on & (_agree(F.col("_ti"), F.col("_tj")) >= least)
-    return x.join(y, on).select(F.col("_i").alias("a"), F.col("_j").alias("b")).distinct()
-
-
-def minority_pairs(rows: DataFrame) -> DataFrame:
-    """The same pairs for nodes of any size: items outside the node's largest component with all others."""
-    per = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy(F.col("node").alias("_m")).agg(F.max(F.struct("n", "comp"))["comp"].alias("_main"))
-    tagged = rows.join(main, rows["node"] == main["_m"])
-    x = tagged.where("comp <> _main").select("node", F.col("item").alias("_i"), F.col("comp").alias("_ci"))
-    y = rows.select(F.col("node").alias("_node"), F.col("item").alias("_j"), F.col("comp").alias("_cj"))
-    both = x.join(y, (x["node"] == y["_node"]) & (F.col("_ci") != F.col("_cj")))
-    return both.select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b")).distinct()
-
-
-def agreeing(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
-    """Pairs whose minwise tokens agree in ``least`` places at least; ``tokens``: (item, tok)."""
-    a, b = (tokens.select(F.col("item").alias(f"_{x}"), F.col("tok").alias(f"_t{x}")) for x in "ab")
-    same = _agree(F.col("_ta"), F.col("_tb"))
-    return pairs.join(a, pairs["a"] == a["_a"]).join(b, pairs["b"] == b["_b"]).where(same >= least).select("a", "b").distinct()
+    own = rows.withColumn("comp", F.col("item"))
+    if components is not None:
+        c = components.select(F.col("node").alias("_item"), F.col("component").alias("_comp"))
+        own = scratch.keep(rows.join(sized(c), F.col("item") == c["_item"], "left").select("node", "item", "size", F.coalesce("_comp", "item").alias("comp")), "owned")
+    stats = own.groupBy(F.col("node").alias("_node")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes")).where("_lo <> _hi")
+    stats = scratch.keep(stats.select("_node", F.greatest(F.ceil(F.col("_n") / SMALL), F.ceil(F.col("_bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks")), "nodes")
+    out = scratch.keep(own.join(sized(stats), F.col("node") == F.col("_node")).select("node", "item", "size", "comp", "blocks"), "mixed")
+    scratch.drop(stats)
+    if components is not None:
+        scratch.drop(own)
+    return out
+
+
+def block_key(salt: int) -> Column:
+    """The block of a row (node, item, blocks); another ``salt`` deals the items of a large node differently."""
+    return F.xxhash64("node", F.pmod(F.xxhash64("item", F.lit(salt)), F.col("blocks")))
+
+
+def block_pairs(rows: DataFrame, salt: int) -> DataFrame:
+    """(key, item, comp): rows of nodes of several blocks, repeated so that any two items of a node meet in a pair of blocks."""
+    own = F.pmod(F.xxhash64("item", F.lit(salt)), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    both = rows.select("node", "item", "comp", own.alias("_i"), other.alias("_j")).where("_i <> _j")
+    return both.select(F.xxhash64("node", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("key"), "item", "comp")
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, from batches sorted by their first column, the key."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        if held and held[0].column(0)[0].as_py() != int(key[0]):
+            yield pa.concat_tables(held)
+            held = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(a, b - a))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def column(table: pa.Table, i: int) -> np.ndarray:
+    return table.column(i).to_numpy()
+
+
+def in_blocks(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``work`` on the rows of each block; the first column of ``rows`` is the key."""
+    key = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_block(batches):
+            out = work(table)
+            if out is not None and len(out):
+                yield out
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def agreeing(tokens: np.ndarray, comps: np.ndarray, least: int) -> np.ndarray:
+    """True for each item that agrees in ``least`` tokens with an item of another component."""
+    n = len(tokens)
+    out = np.zeros(n, bool)
+    step = max(1, CELLS // max(1, tokens.size))
+    for a in range(0, n, step):
+        part = tokens[a : a + step]
+        same = np.zeros((len(part), n), np.int16)
+        for j in range(tokens.shape[1]):
+            same += part[:, j][:, None] == tokens[:, j][None, :]
+        out[a : a + step] = ((same >= least) & (comps[a : a + step, None] != comps[None, :])).any(axis=1)
+    return out
+
+
+def similar(sets: list[np.ndarray], numerator: int) -> np.ndarray:
+    """Matrix of the pairs of sorted sets with 100 * intersection >= numerator * union; empty sets are like nothing."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    flat, row = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    ident = np.cumsum(new) - 1
+    shared = np.bincount(ident) > 1 if len(ident) else np.zeros(0, bool)
+    keep = shared[ident]
+    ident, row = (np.cumsum(shared) - 1)[ident[keep]], row[keep]
+    common = np.zeros((n, n), np.float32)  # whole numbers, exact up to 1 << 24
+    width, total = max(256, CELLS // max(1, n)), int(shared.sum())
+    for a in range(0, total, width):
+        lo, hi = np.searchsorted(ident, (a, a + width))
+        x = np.zeros((n, min(width, total - a)), np.float32)
+        x[row[lo:hi], ident[lo:hi] - a] = 1
+        common += x @ x.T
+    out = np.zeros((n, n), bool)
+    for a in range(0, n, max(1, CELLS // max(1, n))):
+        some = slice(a, a + max(1, CELLS // max(1, n)))
+        both = size[some, None] + size[None, :] - common[some].astype(np.int64)
+        out[some] = (100 * common[some].astype(np.int64) >= numerator * both) & (size[some, None] > 0) & (size[None, :] > 0)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    left, a, b = linked.any(axis=1), [], []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root], todo = False, [root]
+        while todo:
+            u = todo.pop()
+            found = np.flatnonzero(linked[u] & left)
+            left[found] = False
+            a += [u] * len(found)
+            b += found.tolist()
+            todo += found.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def linked_items(items: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], numerator: int) -> pa.RecordBatch:
+    """(a, b): a spanning forest of a block's links between components."""
+    links = similar(sets, numerator)
+    links &= comps[:, None] != comps[None, :]
+    a, b = forest(links)
+    return pa.RecordBatch.from_arrays([pa.array(items[a], pa.int64()), pa.array(items[b], pa.int64())], ["a", "b"])
+
+
+class Forest:
+    """The links found so far and their components, (node, component); None before the first link."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.links, self.components = scratch, None, None
+
+    def add(self, links: DataFrame) -> None:
+        """Take in more links (a, b), a written table."""
+        if links.isEmpty():
+            return
+        self.links = links if self.links is None else self.links.unionByName(links)
+        old, self.components = self.components, self.scratch.keep(components_of(self.links, self.scratch), "components")
+        self.scratch.drop(old)
+
+    def compare(self, rows: DataFrame, salt: int, linked: Callable[[DataFrame], DataFrame], last: bool = False) -> DataFrame:
+        """Compare the items of nodes, ``rows``: (node, item, size), and return the rows of nodes that are too large.
+
+        ``linked``: rows (key, item, comp) -> links of each block, a written table. The blocks of a node come first, so
+        that groups contract; what is still in several components then meets block by block, in nodes of up to
+        ``BLOCKS`` blocks, or in all of them if this is the ``last`` comparison.
+        """
+        shared = shared_rows(rows, self.scratch)
+        mixed = mixed_rows(shared, self.components, self.scratch)
+        self.add(linked(mixed.select(block_key(salt).alias("key"), "item", "comp")))
+        more = F.col("blocks") > 1 if last else F.col("blocks").between(2, BLOCKS)
+        several = mixed.where(more).select("node", "item", "size")
+        if not several.isEmpty():
+            again = mixed_rows(several, self.components, self.scratch)
+            self.add(linked(block_pairs(again.where("blocks > 1"), salt)))
+            self.scratch.drop(again)
+        large = self.scratch.keep(mixed.where(F.lit(not last) & (F.col("blocks") > BLOCKS)).select("node", "item"), "large")
+        self.scratch.drop(shared, mixed)
+        return large
+
+    def table(self) -> DataFrame:
+        return self.scratch.spark.createDataFrame([], "node long, component long") if self.components is None else self.components
 
 
 def components_of(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the links' ends; see ``graph.connected_components`` for nulls, repeats and empty tables."""
     return connected_components(links, "a", "b", scratch)

@@ -2,15 +2,19 @@
 
 A document's set holds its distinct shingles of ``k`` words. Documents with equal sets form a class, and only one
 document of each class goes on. Each is embedded as ``TOKENS`` minwise tokens. A tree deals documents to nodes by a
-selected token; nodes with few documents are compared exhaustively, larger ones branch again by tokens selected by
-the node's own hash, 1/threshold branches on average, so that pairs at the threshold survive and unlike ones die out.
-Independent trees repeat this. Comparison is first by the agreement of the tokens, with a bound that a pair at the
-threshold misses with a probability of about 2e-6, and then exactly, on the full sets.
-
-No group is listed pair by pair: in each node documents are first compared with the smallest one (see clusters), and
-only pairs across components are compared after that. Before those, documents drop out that can't be similar to any in
-another component: with all shingles in one order, a similar pair's first common shingle lies so early in both sets
-that the rest can still reach the threshold. At ``LEVELS`` branchings what is left is compared outright.
+selected token. The documents of a small node are compared exhaustively: first their tokens, with a bound that a pair
+at the threshold misses with a probability of about 2e-6, then, of those that agree with one of another component, the full
+sets. Nodes are compared in blocks, first each block for itself, so that groups of near copies contract, then pairs of
+blocks. A node of many blocks contracts alike and then branches by tokens selected by its own hash, 1.75 on average.
+Independent trees repeat this.
+
+A pair with a similarity of 0.8 follows an endless path of common tokens with a probability of 5/6 below a node, as
+q = 1/6 solves q = u / 4 + 3 * u ** 2 / 4 with u = 0.2 + 0.8 * q. So it misses ``TREES`` trees with a probability of
+(1 - 0.8 * 5/6) ** 12 = 2e-6 at most, however deep they are.
+
+Components are contracted between steps: nodes whose documents are all in one component are left out, and only pairs
+across components count. No pair is ever written but the links of a spanning forest. Nodes that are still large after
+``LEVELS`` branchings, which takes documents that agree in nearly all tokens, are compared block by block.
 """
 
 from __future__ import annotations
@@ -27,24 +31,19 @@ from veldra.llm import textcodes as tc
 from veldra.storage import Scratch
 
 TOKENS = 64
-#: Independent trees. A pair at a similarity of 0.8 misses all first-level nodes with a probability of 0.2 ** 12.
-TREES = 12
-#: Nodes of up to so many documents are compared exhaustively.
-SMALL = 32
-LEVELS = 8
+#: Independent trees, and how many of them are dealt first, before most near copies are contracted.
+TREES, FIRST_TREES = 12, 2
+LEVELS = 16
 #: Equal tokens of 64 that a pair must have: 5 standard deviations under the mean at a similarity of 0.8.
 AGREE = 35
-#: Ids that are broadcast to select texts (8 MB); more are joined.
-BROADCAST_IDS = 1 << 20
+#: Rows (key, item, component) that are broadcast to pick texts (8 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 
-#: Documents, and shingles of each, in which common shingles are looked up to put them last; any order gives right results.
-ORDER_ROWS, ORDER_SHINGLES = 1024, 512
-
-_SKETCH = "id long, n_shingles long, s1 long, s2 long, tok array<int>"
+_SKETCH = "id long, n_shingles long, size long, s1 long, s2 long, tok array<int>"
 
 
 def sketches(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
-    """(id, n_shingles, s1, s2, tok): set size, 128-bit signature of the set, minwise tokens. Null texts have no words."""
+    """(id, n_shingles, size, s1, s2, tok): set size, bytes, 128-bit signature of the set, minwise tokens. Null texts have no words."""
     tc.bounded_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,132 +60,60 @@ def sketches(docs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
                         sign[i] = tc.mix(s).sum(), tc.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
                         tok[i] = tc.minwise(s, keys)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(tok.ravel()), TOKENS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sign[:, 0].view(np.int64)), pa.array(sign[:, 1].view(np.int64)), lists], ["id", "n_shingles", "s1", "s2", "tok"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.diff(offsets)), pa.array(sign[:, 0].view(np.int64)), pa.array(sign[:, 1].view(np.int64)), lists], ["id", "n_shingles", "size", "s1", "s2", "tok"])
 
     return docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sketch, _SKETCH)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, k: int, numerator: int, scratch: Scratch) -> DataFrame:
-    """The (a, b) whose sets have 100 * intersection >= numerator * union, counted on the full sets.
+def _links(rows: DataFrame, tokens: DataFrame, docs: DataFrame, doc: str, text: str, k: int, numerator: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of a spanning forest of the links in each block; ``rows``: (key, item, comp).
 
-    Only the texts of documents in ``pairs`` move. Their ids select them in the scan while there are at most
-    ``BROADCAST_IDS``; beyond that by a join.
+    Tokens travel first. Only the texts of documents that agree with one of another component in their block do then,
+    one text a row; a task holds the texts of one block.
     """
-    pairs = scratch.keep(pairs, "candidates")
-    ids = scratch.keep(pairs.select(F.col("a").alias("_want")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
+    t = tokens.select(F.col("item").alias("_item"), F.col("tok").alias("tok"))
+    sketched = rows.join(t, F.col("item") == t["_item"]).select("key", "item", "comp", "tok")
+
+    def promising(table: pa.Table) -> pa.RecordBatch | None:
+        comps = clusters.column(table, 2)
+        if len(comps) < 2 or (comps == comps[0]).all():
+            return None
+        own = table.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(comps), TOKENS)
+        hit = clusters.agreeing(own, comps, AGREE)
+        return table.select([0, 1, 2]).filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else None
+
+    wanted = scratch.keep(clusters.in_blocks(sketched, promising, "key long, item long, comp long").distinct(), "wanted")
+    want = wanted.select("key", F.col("item").alias("_item"), "comp")
+    few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("_want"), "left_semi")
-    a, b = texts.select(F.col("id").alias("_a"), F.col("text").alias("_ta")), texts.select(F.col("id").alias("_b"), F.col("text").alias("_tb"))
-    both = pairs.join(b, pairs["b"] == b["_b"]).join(a, pairs["a"] == a["_a"]).select("a", "b", "_ta", "_tb")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            (da, oa), (db, ob) = tc.utf8(batch.column(2)), tc.utf8(batch.column(3))
-            last: dict = {}
-            for i in range(len(batch)):
-                sets = []
-                for data, o in ((da, oa), (db, ob)):
-                    raw = data[o[i] : o[i + 1]].tobytes()
-                    if raw not in last:
-                        if len(last) > 64:
-                            last.clear()
-                        h, _, _, _ = tc.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), tc.SPACED)
-                        last[raw] = tc.shingle_set(h, k)
-                    sets.append(last[raw])
-                x, y = sets
-                if not len(x) or not len(y) or 100 * min(len(x), len(y)) < numerator * max(len(x), len(y)):
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * common >= numerator * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    links = scratch.keep(both.mapInArrow(compare, "a long, b long").distinct(), "links")
-    scratch.drop(pairs, ids)
+    if few:
+        want = F.broadcast(want)
+    else:
+        ids = wanted.select(F.col("item").alias("_id")).distinct()
+        texts = texts.join(ids, F.col("id") == F.col("_id"), "left_semi")
+    placed = texts.join(want, F.col("id") == F.col("_item")).select("key", "id", "comp", "text")
+
+    def verified(table: pa.Table) -> pa.RecordBatch:
+        data, offsets = tc.utf8(table.column(3).combine_chunks())
+        sets = []
+        for a, b in tc.chunks(offsets):
+            h, _, _, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
+            sets += [tc.shingle_set(h[at[i] : at[i + 1]], k) for i in range(b - a)]
+        return clusters.linked_items(clusters.column(table, 1), clusters.column(table, 2), sets, numerator)
+
+    links = scratch.keep(clusters.in_blocks(placed, verified, "a long, b long"), "links")
+    scratch.drop(wanted)
     return links
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(id, text) of the documents whose ids are in ``ids``."""
-    want = ids.select(F.col("item").alias("_want"))
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(want) if few else want, F.col("id") == F.col("_want"), "left_semi")
-
-
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    data, offsets = tc.utf8(batch.column(1))
-    for a, b in tc.chunks(offsets):
-        h, _, _, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
-        for i in range(a, b):
-            yield i, tc.shingle_set(h[at[i - a] : at[i - a + 1]], k)
-
-
-def promising(items: DataFrame, docs: DataFrame, doc: str, text: str, k: int, numerator: int, scratch: Scratch) -> DataFrame:
-    """The ``items`` (item, comp) that can have a link to another component; none with such a link is left out.
-
-    Sets are put in one order, common shingles last. If |s & x| >= a = t / (1 + t) * (|s| + |x|) and their first common
-    shingle is at place i of s, then |s| - i + 1 >= a. Sizes are bounded by the smallest partner's, places by prefixes.
-    """
-    ids = scratch.keep(items.select("item").distinct(), "items")
-    few = ids.orderBy(F.xxhash64("item"), "item").limit(ORDER_ROWS)
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, s in _sets(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array(s[:ORDER_SHINGLES].view(np.int64))], ["g"])
-
-    seen = _texts_of(few, docs, doc, text).mapInArrow(some, "g long").groupBy("g").count().where("count > 1")
-    seen = seen.orderBy(F.desc("count"), "g").limit(ORDER_ROWS * ORDER_SHINGLES // 2).collect()  # a fixed bound
-    common = np.array(sorted((r["g"] & 0xFFFFFFFFFFFFFFFF, r["count"]) for r in seen), np.uint64).reshape(-1, 2)
-    held = docs.sparkSession.sparkContext.broadcast(common)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = held.value[:, 0], held.value[:, 1].astype(np.int64)
-        for batch in batches:
-            parts = [[], [], [], []]
-            ids_ = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, s in _sets(batch, k):
-                if not len(s):
-                    continue
-                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-                count = np.where(known[at] == s, often[at], 0) if len(known) else np.zeros(len(s), np.int64)
-                size = len(s) - -(-numerator * len(s) // 100) + 1
-                own = s[np.lexsort((s, count))[:size]]
-                for to, x in zip(parts, (np.full(size, ids_[i]), own.view(np.int64), np.arange(1, size + 1), np.full(size, len(s))), strict=True):
-                    to.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["id", "g", "i", "n"])
-
-    rows = _texts_of(ids, docs, doc, text).mapInArrow(prefixes, "id long, g long, i long, n long")
-    c = items.select(F.col("item").alias("_item"), "comp").distinct()
-    rows = scratch.keep(rows.join(c, F.col("id") == F.col("_item")).select("id", "comp", "g", "i", "n"), "prefixes")
-
-    def shared(r: DataFrame) -> DataFrame:
-        """Rows whose shingle is in two components, with the smallest size there."""
-        g = r.groupBy(F.col("g").alias("_g")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("n").alias("_least")).where("_lo <> _hi")
-        return r.join(g, r["g"] == g["_g"]).select("id", "comp", "g", "i", "n", "_least")
-
-    t = F.lit(numerator) / F.lit(100 + numerator)
-    partner = F.greatest(F.col("_least"), F.ceil(F.col("n") * F.lit(numerator) / F.lit(100)))
-    capable = scratch.keep(shared(rows).where(F.col("n") - F.col("i") + 1 >= t * (F.col("n") + partner) - 1e-6).select("id", "comp", "g", "i", "n"), "capable")
-    x = shared(capable).select("id", "comp", "g", "i", "n")
-    y = capable.select(F.col("comp").alias("_comp"), F.col("g").alias("_g"), F.col("i").alias("_i"), F.col("n").alias("_n"))
-    least = t * (F.col("n") + F.col("_n")) - 1e-6
-    fits = (F.col("g") == F.col("_g")) & (F.col("comp") != F.col("_comp")) & (F.col("n") - F.col("i") + 1 >= least) & (F.col("_n") - F.col("_i") + 1 >= least)
-    out = scratch.keep(x.join(y, fits, "left_semi").select(F.col("id").alias("item")).distinct(), "promising")
-    scratch.drop(ids, rows, capable)
-    return out
-
-
 def _branch(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Deal the rows (node, item, comp) of large nodes to child nodes by one token, and by a second in one of four nodes."""
+    """Deal the rows (node, item) of large nodes to child nodes by one token, and by a second in three of four nodes."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(4)) == 0, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS)).cast("int"))
-    picks = F.filter(F.array_distinct(F.array(first, second)), lambda x: x.isNotNull())
-    t = tokens.select(F.col("item").alias("_item"), F.col("tok").alias("_tok"))
-    out = rows.join(t, rows["item"] == t["_item"]).select("node", "item", "comp", "_tok", F.explode(picks).alias("_pos"))
-    return out.select(F.xxhash64("node", "_pos", F.element_at("_tok", F.col("_pos") + 1)).alias("node"), "item", "comp")
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(4)) > 0, F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS)))
+    picks = F.filter(F.array(first, second), lambda x: x.isNotNull())
+    t = tokens.select(F.col("item").alias("_item"), F.col("size").alias("size"), F.col("tok").alias("_tok"))
+    out = rows.join(t, F.col("item") == t["_item"]).select("node", "item", "size", "_tok", F.explode(picks).alias("_pos"))
+    return out.select(F.xxhash64("node", "_pos", F.element_at("_tok", F.col("_pos") + 1)).alias("node"), "item", "size").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator: int = 80) -> DataFrame:
@@ -195,54 +122,39 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator:
     component_id: the smallest doc_id reachable by links of Jaccard similarity >= numerator / 100, itself included.
     Documents without words or with null text have n_shingles 0 and are alone. Rows with a null id are linked with
     nothing: component_id null, kept true. Repeated rows each return. A doc_id with several texts has the links of all.
+    An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
     s = scratch.keep(sketches(docs, doc, text, k), "sketches")
     linkable = s.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = scratch.keep(linkable.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")), "classes")
     c = classes.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("rep"))
     same_rep = (linkable["s1"] == c["_s1"]) & (linkable["s2"] == c["_s2"]) & (linkable["id"] == c["rep"])
-    tokens = scratch.keep(linkable.join(c, same_rep, "left_semi").select(F.col("id").alias("item"), "tok").distinct(), "tokens")
-
-    dealt = tokens.select("item", F.posexplode(F.slice("tok", 1, TREES)).alias("t", "v")).select(F.xxhash64("t", "v").alias("node"), "item").distinct()
-    nodes = clusters.shared_nodes(dealt, scratch, "nodes")
-    stars = scratch.keep(clusters.agreeing(clusters.star_pairs(nodes), tokens, AGREE), "stars")
-    links = verified(stars, docs, doc, text, k, numerator, scratch)
-    comps = scratch.keep(clusters.components_of(links, scratch), "components")
-    scratch.sweep()
-
-    rest = scratch.keep(clusters.mixed_nodes(nodes, comps), "mixed")
-    if not rest.isEmpty():
-        able = promising(rest.select("item", "comp").distinct(), docs, doc, text, k, numerator, scratch)
-        rest = scratch.keep(clusters.mixed_rows(rest.select("node", "item", "comp").join(able, "item", "left_semi")), "mixed")
-    pairs = []
-    for level in range(LEVELS):
+    tokens = scratch.keep(linkable.join(c, same_rep, "left_semi").select(F.col("id").alias("item"), "size", "tok").distinct(), "tokens")
+
+    found = clusters.Forest(scratch)
+    # A doc_id with several texts joins their classes.
+    twice = linkable.groupBy(F.col("id").alias("_id")).agg(F.min("s1").alias("_lo"), F.max("s1").alias("_hi")).where("_lo <> _hi").select("_id")
+    several = linkable.join(twice, linkable["id"] == F.col("_id"), "left_semi").join(c, (linkable["s1"] == c["_s1"]) & (linkable["s2"] == c["_s2"]))
+    found.add(scratch.keep(several.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), "several"))
+    linked = lambda rows: _links(rows, tokens, docs, doc, text, k, numerator, scratch)
+    large = []
+    for a, b in ((1, FIRST_TREES), (FIRST_TREES + 1, TREES)):
+        picks = F.posexplode(F.slice("tok", a, b - a + 1)).alias("t", "v")
+        dealt = tokens.select("item", "size", picks).select(F.xxhash64(F.col("t") + a, "v").alias("node"), "item", "size").distinct()
+        large.append(found.compare(dealt, 0, linked))
+        scratch.sweep()
+    rest = large[0].unionByName(large[1])
+    for level in range(1, LEVELS + 1):
         if rest.isEmpty():
             break
-        pairs.append(clusters.cross_pairs(rest.where(F.col("size") <= SMALL), tokens, AGREE))
-        large = rest.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            rest = large
-            break
-        child = scratch.keep(_branch(large, tokens).distinct(), f"level{level}")
-        rest = scratch.keep(clusters.mixed_rows(child), f"mixed{level}")
-    else:
-        pairs.append(clusters.agreeing(clusters.minority_pairs(rest), tokens, AGREE))
-    if pairs:
-        every = pairs[0]
-        for p in pairs[1:]:
-            every = every.unionByName(p)
-        every = every.distinct().join(stars, ["a", "b"], "left_anti")
-        more = verified(every, docs, doc, text, k, numerator, scratch)
-        if not more.isEmpty():
-            comps = scratch.keep(clusters.components_of(links.unionByName(more), scratch), "components")
+        rest = found.compare(_branch(rest, tokens), level, linked, level == LEVELS)
+        scratch.sweep()
 
+    comps = found.table()
     reach = classes.join(comps.select(F.col("node").alias("_n"), F.col("component")), F.col("rep") == F.col("_n"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("_root"))
-    reach = scratch.keep(reach, "classes")
     r = reach.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "_root")
     narrow = s.select("id", "n_shingles", "s1", "s2")
     out = narrow.join(r, (narrow["s1"] == r["_s1"]) & (narrow["s2"] == r["_s2"]) & (F.col("n_shingles") > 0) & F.col("id").isNotNull(), "left")
-    # A doc_id whose texts lie in several classes has the smallest component of them; components already join those.
     component = F.coalesce("_root", "id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
