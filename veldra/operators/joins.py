@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +56,80 @@ def best_match(pairs: DataFrame, by: list[str], score: Column, order: list[Colum
     return pairs.withColumn("score", score).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r").where(F.col("score") >= least)
 
 
-def query_gallery_best(queries: DataFrame, gallery: DataFrame, id_: str, vector: str, gallery_id: str, side: str, similarity) -> DataFrame:
-    """(query, side, best score, best gallery id): the most similar gallery row of each side; ties to smaller ids.
+def box_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, cell: int) -> DataFrame:
+    """Pairs with equal ``on`` whose boxes overlap; ``a`` and ``b``: prefixes of their columns x1, y1, x2, y2.
+
+    Boxes are dealt to the grid cells that they touch, so a crowded frame is many groups; a pair counts in the first
+    cell that both touch. Columns other than ``on`` must have different names.
+    """
+    cells = lambda p, lo, hi: F.explode(F.sequence(F.floor(F.col(p + lo) / cell), F.floor((F.col(p + hi) - 1) / cell)))
+    x = left.withColumn("_cx", cells(a, "x1", "x2")).withColumn("_cy", cells(a, "y1", "y2"))
+    y = right.withColumn("_cx", cells(b, "x1", "x2")).withColumn("_cy", cells(b, "y1", "y2"))
+    overlap = (F.col(a + "x1") < F.col(b + "x2")) & (F.col(b + "x1") < F.col(a + "x2")) & (F.col(a + "y1") < F.col(b + "y2")) & (F.col(b + "y1") < F.col(a + "y2"))
+    first = (F.col("_cx") == F.floor(F.greatest(a + "x1", b + "x1") / cell)) & (F.col("_cy") == F.floor(F.greatest(a + "y1", b + "y1") / cell))
+    return x.join(y, [*on, "_cx", "_cy"]).where(overlap & first).drop("_cx", "_cy")
+
+
+def query_gallery_best(queries: DataFrame, gallery: DataFrame, id_: str, vector: str, gallery_id: str, side: str, digits: int = 6, block: int = 8192, tile: int = 32768) -> DataFrame:
+    """(query_id, side, score, gallery_id): the most similar gallery row of each side but the query itself.
 
-    The gallery is the reviewed set of one target and its distractors. It is broadcast only while Spark's own size
-    estimate allows; otherwise the join is a nested loop over partitions of both sides.
+    The score is the inner product of unit vectors, clamped and rounded; ties go to smaller ids. Queries are dealt to
+    blocks and the gallery to tiles of bounded size; each pair of both is one group of rows, streamed with its queries
+    first, and one matrix product for each batch. Rows with a null id or vector take no part.
     """
-    g = gallery.select(F.col(gallery_id).alias("_g"), F.col(side).alias("side"), F.col(vector).alias("_gv"))
-    both = queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("_qv")).join(g)
-    scored = both.select("query_id", "side", "_g", similarity(F.col("_qv"), F.col("_gv")).alias("score"))
-    best = scored.groupBy("query_id", "side").agg(F.max(F.struct(F.col("score"), (-F.col("_g")).alias("_neg"))).alias("m"))
-    return best.select("query_id", "side", F.col("m.score").alias("score"), (-F.col("m._neg")).alias("gallery_id"))
+    ask = queries.where(F.col(id_).isNotNull() & F.col(vector).isNotNull())
+    held = gallery.where(F.col(gallery_id).isNotNull() & F.col(vector).isNotNull())
+    blocks, tiles = max(1, -(-ask.count() // block)), max(1, -(-held.count() // tile))
+    dealt = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")
+    q = ask.select(dealt(id_, blocks).alias("block"), every(tiles).alias("tile"), F.size(vector).alias("dim"), F.lit(0).alias("kind"), F.col(id_).cast("long").alias("id"), F.lit("").alias("side"), v)
+    g = held.select(every(blocks).alias("block"), dealt(gallery_id, tiles).alias("tile"), F.size(vector).alias("dim"), F.lit(1).alias("kind"), F.col(gallery_id).cast("long").alias("id"), F.col(side).cast("string").alias("side"), v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, rows, best = None, [], [], {}
+
+        def ended():
+            found = [(s, i, x, y) for s, (score, who) in best.items() for i, x, y in zip(np.concatenate(ids), score, who, strict=True) if x > -np.inf]
+            return pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], ["query_id", "side", "score", "gallery_id"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if tuple(keys[a, :3]) != name:
+                    if best:
+                        yield ended()
+                    name, ids, rows, best = tuple(keys[a, :3]), [], [], {}
+                part = batch.slice(a, b - a)
+                own = part.column(4).to_numpy(zero_copy_only=False)
+                x = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                if keys[a, 3] == 0:
+                    ids.append(own)
+                    rows.append(x)
+                    continue
+                if not rows:
+                    continue
+                asked, of = np.concatenate(ids), np.array(part.column(5).to_pylist(), object)
+                order = np.argsort(own, kind="stable")  # so that the first of equal scores has the smallest id
+                own, x, of = own[order], x[order], of[order]
+                for s in sorted(set(of)):
+                    mine = np.flatnonzero(of == s)
+                    score, who = best.setdefault(s, (np.full(len(asked), -np.inf), np.zeros(len(asked), np.int64)))
+                    for c in range(0, len(asked), 1024):
+                        rest = slice(c, c + 1024)
+                        value = np.round(np.clip(np.concatenate(rows)[rest] @ x[mine].T, -1, 1), digits)
+                        value[asked[rest, None] == own[mine][None, :]] = -np.inf
+                        at = value.argmax(axis=1)
+                        top, name_ = value[np.arange(len(at)), at], own[mine][at]
+                        better = (top > score[rest]) | ((top == score[rest]) & (top > -np.inf) & (name_ < who[rest]))
+                        score[rest][better], who[rest][better] = top[better], name_[better]
+        if best:
+            yield ended()
+
+    both = q.unionByName(g).repartition("block", "tile", "dim").sortWithinPartitions("block", "tile", "dim", "kind")
+    found = both.mapInArrow(run, "query_id long, side string, score double, gallery_id long")
+    best = found.groupBy("query_id", "side").agg(F.max(F.struct(F.col("score"), (-F.col("gallery_id")).alias("_neg"))).alias("m"))
+    return best.select("query_id", "side", F.round("m.score", digits).alias("score"), (-F.col("m._neg")).alias("gallery_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldra.operators.windows import numbered
+
 
 def auroc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auroc): Mann-Whitney with average ranks for ties; null without positives or negatives.
@@ -13,8 +15,11 @@ def auroc(df: DataFrame, score: str, positive: Column, by: list[str] | None = No
     """
     by = by or []
     c = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = c.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2))
+    if by:
+        c = c.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        c = numbered(c, [F.col(score)], "_r", {"_upto": "_n"})
+    u = c.withColumn("_u", F.col("_p") * (F.col("_upto") - F.col("_n") / 2))
     g = u.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_u").alias("_u"))
     return g.select(*by, "n_pos", "n_neg", (F.col("_u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auroc"))
 
@@ -25,7 +30,7 @@ def ranking_metrics(df: DataFrame, rank: str, score: str, positive: Column, ks:
     Average precision is the mean over positives of hits / rank; margin is the lowest positive less the highest
     negative score.
     """
-    d = df.withColumn("_p", positive).withColumn("_hits", F.sum(F.col("_p").cast("int")).over(Window.orderBy(rank)))
+    d = numbered(df.withColumn("_p", positive).withColumn("_one", F.col("_p").cast("int")), [F.col(rank)], "_r", {"_hits": "_one"})
     n_pos = F.count_if(F.col("_p"))
     m = d.agg(
         F.count(F.lit(1)).alias("n"), n_pos.alias("n_positives"),
@@ -40,8 +45,8 @@ def ranking_metrics(df: DataFrame, rank: str, score: str, positive: Column, ks:
 def operating_points(df: DataFrame, confidence: str, outcomes: dict[str, Column]) -> DataFrame:
     """(cut, accepted, accepted_<outcome>): for each distinct confidence, rows at or above it."""
     c = df.where(F.col(confidence).isNotNull()).groupBy(F.col(confidence).alias("cut")).agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(v).alias(f"_{k}") for k, v in outcomes.items()))
-    w = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("cut", F.sum("_n").over(w).alias("accepted"), *(F.sum(f"_{k}").over(w).alias(f"accepted_{k}") for k in outcomes))
+    names = {"accepted": "_n"} | {f"accepted_{k}": f"_{k}" for k in outcomes}
+    return numbered(c, [F.desc("cut")], "_r", names).select("cut", *names)
 
 
 def lowest_safe_cut(points: DataFrame, wrong: list[str], right: str, least: int = 1) -> DataFrame:

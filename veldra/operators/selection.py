@@ -50,7 +50,8 @@ def review_groups(df: DataFrame, rank_by: dict[str, Column], id_: str, n: int) -
     for name, metric in rank_by.items():
         d = df.select(F.col(id_).alias("id"), metric.alias("_m")).where("_m is not null")
         for side, order in (("top", F.desc("_m")), ("bottom", F.asc("_m"))):
-            part = d.withColumn("position", F.row_number().over(Window.orderBy(order, "id"))).where(F.col("position") <= n).select(F.lit(f"{name}_{side}").alias("review_group"), "position", "id")
+            few = d.orderBy(order, "id").limit(n)  # each task keeps n rows; the rank is over those alone
+            part = few.withColumn("position", F.row_number().over(Window.orderBy(order, "id"))).select(F.lit(f"{name}_{side}").alias("review_group"), "position", "id")
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -70,11 +71,15 @@ def quota_grid(spark, total: int, minima: dict[str, int]) -> DataFrame:
 def diverse_allocation(df: DataFrame, id_: str, order: list[str], caps: dict[str, int], k: int) -> DataFrame:
     """(id, position): the first k rows in order of which no value of a capped column occurs more often than its cap.
 
-    Each row depends on all before it, so one group function walks them; the input is a reviewed set of bounded size.
+    Each row depends on all before it, so one group function walks them. Of the rows with the same values in all capped
+    columns only the first can be chosen, as many as the smallest cap, so no others reach it: the walk is bounded by the
+    number of such combinations.
     """
     import pandas as pd
 
     cols = list(caps)
+    first = Window.partitionBy(*cols).orderBy(*order)
+    df = df.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= min([k, *caps.values()])).drop("_r")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}

@@ -5,23 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldra.storage import Scratch
+
+
+def numbered(df: DataFrame, order: list[Column], into: str = "rank", sums: dict[str, str] | None = None, total: str | None = None) -> DataFrame:
+    """``df`` with its row number in a complete ``order`` of the whole table, without one task for all rows.
+
+    ``sums``: running totals {new column: summed column}, the row itself included; ``total``: a column for the number of
+    rows. Rows are dealt to partitions by ranges of the order and written; counts of the partitions give each its base.
+    """
+    scratch, sums = Scratch(df.sparkSession, "order"), sums or {}
+    dealt = scratch.keep(df.repartitionByRange(*order).withColumn("_o_part", F.spark_partition_id()), "ranges")
+    each = dealt.groupBy("_o_part").agg(F.count(F.lit(1)).alias("_o_n"), *(F.sum(c).alias(f"_o_s_{k}") for k, c in sums.items()))
+    before = Window.orderBy("_o_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    whole = Window.partitionBy()
+    base = each.select(F.col("_o_part").alias("_o_p"), F.coalesce(F.sum("_o_n").over(before), F.lit(0)).alias("_o_base"), F.sum("_o_n").over(whole).alias("_o_total"), *(F.coalesce(F.sum(f"_o_s_{k}").over(before), F.lit(0)).alias(f"_o_b_{k}") for k in sums))
+    own = Window.partitionBy("_o_part").orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.join(F.broadcast(base), F.col("_o_part") == F.col("_o_p"))
+    extra = [F.col("_o_total").alias(total)] if total else []
+    return joined.select(*df.columns, (F.row_number().over(own) + F.col("_o_base")).alias(into), *((F.sum(c).over(upto) + F.col(f"_o_b_{k}")).alias(k) for k, c in sums.items()), *extra)
+
 
 def independent_ranks(df: DataFrame, metrics: dict[str, tuple[str, bool]], id_: str, stratum: list[str] | None = None) -> DataFrame:
     """One rank column for each metric {name: (column, higher is better)}; nulls get no rank; ties by id."""
     out = df
     for name, (c, high) in metrics.items():
-        w = Window.partitionBy(*(stratum or []), F.col(c).isNull()).orderBy(F.col(c).desc() if high else F.col(c).asc(), id_)
-        out = out.withColumn(name, F.when(F.col(c).isNotNull(), F.row_number().over(w)))
+        order = [F.col(c).desc_nulls_last() if high else F.col(c).asc_nulls_last(), F.col(id_)]
+        if stratum:
+            out = out.withColumn(name, F.row_number().over(Window.partitionBy(*stratum).orderBy(*order)))
+        else:
+            out = numbered(out, order, name)
+        out = out.withColumn(name, F.when(F.col(c).isNotNull(), F.col(name)).cast("int"))
     return out
 
 
 def rank_to_unit(df: DataFrame, value: str, id_: str, high: bool = True, into: str = "unit_rank") -> DataFrame:
     """(m - rank) / (m - 1) among the m rows with a value: 1 for the best, 0 for the worst; 1 if m is 1; null stays null."""
-    known = F.col(value).isNull()
-    w = Window.partitionBy(known)
-    r = F.row_number().over(w.orderBy(F.col(value).desc() if high else F.col(value).asc(), id_))
-    m = F.count(F.lit(1)).over(w)
-    return df.withColumn(into, F.when(~known, F.when(m == 1, F.lit(1.0)).otherwise((m - r) / F.nullif(m - 1, F.lit(0)))))
+    r = numbered(df.where(F.col(value).isNotNull()), [F.col(value).desc() if high else F.col(value).asc(), F.col(id_)], "_r", total="_m")
+    unit = F.when(F.col("_m") == 1, F.lit(1.0)).otherwise((F.col("_m") - F.col("_r")) / F.nullif(F.col("_m") - 1, F.lit(0)))
+    known = r.withColumn(into, unit).drop("_r", "_m")
+    return known.unionByName(df.where(F.col(value).isNull()).withColumn(into, F.lit(None).cast("double")))
 
 
 def composite(weights: dict[str, float], penalties: dict[str, float] | None = None) -> Column:
@@ -34,19 +58,24 @@ def composite(weights: dict[str, float], penalties: dict[str, float] | None = No
 
 def position_strata(df: DataFrame, order: list[Column], cuts: list[float], into: str = "stratum") -> DataFrame:
     """Number of cuts that the relative position (rank - 1) / n has reached."""
-    share = (F.row_number().over(Window.orderBy(*order)) - 1) / F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn("_share", share).withColumn(into, sum((F.col("_share") >= c).cast("int") for c in cuts)).drop("_share")
+    d = numbered(df, order, "_r", total="_m")
+    share = (F.col("_r") - 1) / F.col("_m")
+    return d.withColumn(into, sum((share >= c).cast("int") for c in cuts)).drop("_r", "_m")
 
 
 def tiles(df: DataFrame, n: int, order: list[Column], into: str = "tile") -> DataFrame:
     """n groups in order, 1 to n; the first groups take the remainder."""
-    return df.withColumn(into, F.ntile(n).over(Window.orderBy(*order)))
+    d = numbered(df, order, "_r", total="_m")
+    small, extra = F.floor(F.col("_m") / n), F.col("_m") % n
+    edge = extra * (small + 1)
+    tile = F.when(F.col("_r") <= edge, F.floor((F.col("_r") - 1) / (small + 1))).otherwise(extra + F.floor((F.col("_r") - edge - 1) / F.nullif(small, F.lit(0)))) + 1
+    return d.withColumn(into, tile.cast("int")).drop("_r", "_m")
 
 
 def timeline_bins(df: DataFrame, frame: str, bins: int, into: str = "bin") -> DataFrame:
     """Bin 0 to bins - 1 by the dense position among distinct frames; equal frames share a bin."""
-    f = df.select(frame).distinct()
-    p = f.select(F.col(frame).alias("_f"), F.floor((F.row_number().over(Window.orderBy(frame)) - 1) * bins / F.count(F.lit(1)).over(Window.partitionBy())).cast("int").alias(into))
+    p = numbered(df.select(F.col(frame).alias("_f")).distinct(), [F.col("_f")], "_r", total="_m")
+    p = p.select("_f", F.floor((F.col("_r") - 1) * bins / F.col("_m")).cast("int").alias(into))
     return df.join(p, df[frame] == p["_f"]).drop("_f")
 
 

@@ -31,30 +31,27 @@ def query(sql: str | None = None):
 
 
 r6 = lambda c: F.round(c, 6)
+#: Different bits of 63 that near duplicates may have.
+HAMMING = 9
 
 # --- retrieval --------------------------------------------------------------------------------------------------
 
-#: Gallery: the first vectors of label 0 as the target, of the other labels as distractors; all other rows are queries.
-_TARGETS, _DISTRACTORS = 60, 90
 
 
 def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is a query; its gallery is all others: label 0 is the target, the other labels are distractors."""
     v = st.vectors(spark, sf_dir)
-    target = v.where((F.col("label") == 0) & (F.col("vec_id") < _TARGETS)).withColumn("side", F.lit("t"))
-    distractor = v.where((F.col("label") > 0) & (F.col("vec_id") < _DISTRACTORS)).withColumn("side", F.lit("d"))
-    gallery = target.unionByName(distractor)
-    queries = v.where(F.col("vec_id") >= _DISTRACTORS)
-    best = joins.query_gallery_best(queries, gallery, "vec_id", "embedding", "vec_id", "side", lambda a, b: F.round(vec.cosine(a, b), 6))
-    wide = best.groupBy("query_id").agg(F.max(F.when(F.col("side") == "t", F.col("score"))).alias("t_max"), F.max(F.when(F.col("side") == "d", F.col("score"))).alias("d_max"), F.max(F.when(F.col("side") == "t", F.col("gallery_id"))).alias("t_id"), F.max(F.when(F.col("side") == "d", F.col("gallery_id"))).alias("d_id"))
+    gallery = v.withColumn("side", F.when(F.col("label") == 0, "t").otherwise("d"))
+    best = joins.query_gallery_best(v, gallery, "vec_id", "embedding", "vec_id", "side")
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    wide = best.groupBy("query_id").agg(of("t", "score").alias("t_max"), of("d", "score").alias("d_max"), of("t", "gallery_id").alias("t_id"), of("d", "gallery_id").alias("d_id"))
     scored = wide.withColumn("score", r6(F.col("t_max") - F.col("d_max")))
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("t_max"), F.asc("d_max"), "query_id"))
-    return scored.withColumn("rank", rank)
+    return windows.numbered(scored, [F.desc("score"), F.desc("t_max"), F.asc("d_max"), F.asc("query_id")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 _DOT = "round(greatest(-1, least(1, list_dot_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(g.embedding, lambda x: x::DOUBLE)))), 6)"
 _RETRIEVAL = f"""
-gallery AS (SELECT vec_id, embedding, 't' AS side FROM embeddings WHERE label = 0 AND vec_id < 60 UNION ALL SELECT vec_id, embedding, 'd' FROM embeddings WHERE label > 0 AND vec_id < 90),
-pairs AS (SELECT q.vec_id AS query_id, side, g.vec_id AS gallery_id, {_DOT} AS score FROM embeddings q, gallery g WHERE q.vec_id >= 90),
+pairs AS (SELECT q.vec_id AS query_id, CASE WHEN g.label = 0 THEN 't' ELSE 'd' END AS side, g.vec_id AS gallery_id, {_DOT} AS score FROM embeddings q JOIN embeddings g ON g.vec_id <> q.vec_id),
 best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id, side ORDER BY score DESC, gallery_id) = 1),
 wide AS (SELECT query_id, max(score) FILTER (side = 't') AS t_max, max(score) FILTER (side = 'd') AS d_max, max(gallery_id) FILTER (side = 't') AS t_id, max(gallery_id) FILTER (side = 'd') AS d_id FROM best GROUP BY query_id),
 ranked AS (SELECT *, round(t_max - d_max, 6) AS score FROM wide),
@@ -97,7 +94,7 @@ def cohort_metrics(spark, sf_dir):
 SELECT label, round(top, 6) AS top_score, round(mid, 6) AS median_score, n, row_number() OVER (ORDER BY top DESC, label)::INT AS rank FROM c""")
 def component_metrics(spark, sf_dir):
     c = _joined(spark, sf_dir).groupBy("label").agg(F.max("score").alias("top"), F.median("score").alias("mid"), F.count(F.lit(1)).alias("n"))
-    return c.select("label", r6("top").alias("top_score"), r6("mid").alias("median_score"), "n", F.row_number().over(Window.orderBy(F.desc("top"), "label")).alias("rank"))
+    return c.select("label", r6("top").alias("top_score"), r6("mid").alias("median_score"), "n", F.row_number().over(Window.orderBy(F.desc("top"), "label")).alias("rank"))  # one row a label
 
 
 @query(f"WITH {_JOINED} SELECT k::INT AS k, count(*) FILTER (label = 0) AS positives, count(*) FILTER (label <> 0) AS negatives, count(DISTINCT label) AS labels FROM joined, (SELECT unnest([10, 20]) AS k) WHERE rank <= k GROUP BY k")
@@ -160,10 +157,9 @@ def gallery_mad_outliers(spark, sf_dir):
     return agg.mad_outliers(s, ["label"], "mean_similarity", 2.0)
 
 
-@query(f"WITH {st.HASHES}, h AS (SELECT vec_id, bits & 16777215 AS bits FROM hashes) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 3")
+@query(f"WITH {st.HASHES} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= {HAMMING}")
 def hamming_near_duplicates(spark, sf_dir):
-    h = st.hashes(spark, sf_dir).select("vec_id", F.col("bits").bitwiseAND(F.lit(16777215)).alias("bits"))
-    return joins.hamming_pairs(h, "vec_id", "bits", 3, 24)
+    return joins.hamming_pairs(st.hashes(spark, sf_dir).select("vec_id", "bits"), "vec_id", "bits", HAMMING, 63)
 
 
 _SIMILAR = """sim AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
@@ -295,11 +291,11 @@ def fragmentation_audit(spark, sf_dir):
 
 
 def _box_pairs(spark, sf_dir):
-    """Other observations of a target's frame."""
+    """(targets, overlapping boxes of other tracks in a target's frame)."""
     o = st.observations(spark, sf_dir)
     t = o.select(F.col("frame"), F.col("track").alias("t_track"), *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
     n = o.select(F.col("frame"), F.col("track").alias("o_track"), F.col("event_id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
-    return t, t.join(n, "frame").where("t_track <> o_track")
+    return t, joins.box_pairs(t, n, ["frame"], "t_", "o_", 160).where("t_track <> o_track")
 
 
 _PAIRS = f"""{st.OBS}, pairs AS (SELECT t.frame, t.track AS t_track, o.track AS o_track, o.event_id AS o_id, t.x1 AS tx1, t.y1 AS ty1, t.x2 AS tx2, t.y2 AS ty2, o.x1 AS ox1, o.y1 AS oy1, o.x2 AS ox2, o.y2 AS oy2,
@@ -312,8 +308,10 @@ scored AS (SELECT *, inter / ((tx2 - tx1) * (ty2 - ty1) + (ox2 - ox1) * (oy2 - o
 def frame_overlap_self_join(spark, sf_dir):
     t, p = _box_pairs(spark, sf_dir)
     a, b = geo.Box.of("t_"), geo.Box.of("o_")
-    g = p.groupBy("frame", "t_track").agg(F.count(F.lit(1)).alias("others"), F.count_if(geo.intersection(a, b) > 0).alias("overlaps"), F.count_if(geo.center_inside(b, a)).alias("centres_inside"), F.max(geo.iou(a, b)).alias("max_iou"))
-    out = t.select("frame", "t_track").join(g, ["frame", "t_track"], "left").fillna(0)
+    # A centre inside a box makes the boxes overlap; all others of a frame are counted, not paired.
+    g = p.groupBy("frame", "t_track").agg(F.count(F.lit(1)).alias("overlaps"), F.count_if(geo.center_inside(b, a)).alias("centres_inside"), F.max(geo.iou(a, b)).alias("max_iou"))
+    n = t.groupBy("frame").agg((F.count(F.lit(1)) - 1).alias("others"))
+    out = t.select("frame", "t_track").join(n, "frame").join(g, ["frame", "t_track"], "left").fillna(0)
     return out.select("frame", F.col("t_track").alias("track"), "others", "overlaps", "centres_inside", F.round("max_iou", 9).alias("max_iou"))
 
 
@@ -321,8 +319,11 @@ def frame_overlap_self_join(spark, sf_dir):
 px AS (SELECT DISTINCT frame, t_track, x, unnest(range(y1, y2)) AS y FROM (SELECT *, unnest(range(x1, x2)) AS x FROM c)), u AS (SELECT frame, t_track, count(*) AS covered FROM px GROUP BY ALL)
 SELECT p.frame, p.t_track AS track, p.area AS target_area, coalesce(covered, 0) AS covered FROM (SELECT DISTINCT frame, t_track, (tx2 - tx1) * (ty2 - ty1) AS area FROM pairs) p LEFT JOIN u ON u.frame = p.frame AND u.t_track = p.t_track""")
 def contamination_union(spark, sf_dir):
-    _, p = _box_pairs(spark, sf_dir)
-    return agg.union_coverage(p, ["frame", "t_track"]).select("frame", F.col("t_track").alias("track"), "target_area", "covered")
+    t, p = _box_pairs(spark, sf_dir)
+    crowded = t.groupBy("frame").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    u = agg.union_coverage(p, ["frame", "t_track"]).select("frame", "t_track", "covered")
+    targets = t.join(crowded, "frame", "left_semi").select("frame", "t_track", geo.area(geo.Box.of("t_")).alias("target_area"))
+    return targets.join(u, ["frame", "t_track"], "left").select("frame", F.col("t_track").alias("track"), "target_area", F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
 @query(f"WITH {_PAIRS} SELECT frame, t_track, o_track, round(iou, 9) AS score FROM scored WHERE iou >= 0.05 QUALIFY row_number() OVER (PARTITION BY frame, t_track ORDER BY iou DESC, o_id) = 1")
@@ -339,11 +340,11 @@ def exact_frame_conflicts(spark, sf_dir):
     return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_frames"))
 
 
-@query(f"WITH {st.SESSIONS} SELECT a.track AS a, b.track AS b, a.start AS a_start, a.stop AS a_stop, b.start AS b_start, b.stop AS b_stop FROM sessions a JOIN sessions b ON a.track % 7 = b.track % 7 AND a.track < b.track AND a.start <= b.stop AND b.start <= a.stop")
+@query(f"WITH {st.SESSIONS} SELECT a.track AS a, b.track AS b, a.start AS a_start, a.stop AS a_stop, b.start AS b_start, b.stop AS b_stop FROM sessions a JOIN sessions b ON a.track < b.track AND a.start <= b.stop AND b.start <= a.stop")
 def interval_overlap_conflicts(spark, sf_dir):
-    s = st.sessions(spark, sf_dir).withColumn("k", F.col("track") % 7)
-    a, b = (s.select("k", F.col("track").alias(x), F.col("start").alias(f"{x}_start"), F.col("stop").alias(f"{x}_stop")) for x in "ab")
-    return joins.range_join(a, b, ["k"], ("a_start", "a_stop"), ("b_start", "b_stop"), 24).where("a < b").drop("k")
+    s = st.sessions(spark, sf_dir)
+    a, b = (s.select(F.col("track").alias(x), F.col("start").alias(f"{x}_start"), F.col("stop").alias(f"{x}_stop")) for x in "ab")
+    return joins.range_join(a, b, [], ("a_start", "a_stop"), ("b_start", "b_stop"), 4).where("a < b")
 
 
 @query(f"WITH {st.SESSIONS} SELECT track, stop + 1 AS gap_start, nxt - 1 AS gap_stop FROM (SELECT *, lead(start) OVER (PARTITION BY track ORDER BY start, stop) AS nxt FROM sessions) WHERE nxt - 1 >= stop + 1")
@@ -351,10 +352,10 @@ def interval_gaps(spark, sf_dir):
     return windows.gaps_between(st.sessions(spark, sf_dir), ["track"], "start", "stop")
 
 
-@query(f"""WITH {st.SESSIONS}, f AS (SELECT track, f FROM (SELECT DISTINCT track FROM sessions), (SELECT unnest(range(0, 200)) AS f)), free AS (SELECT track, f FROM f ANTI JOIN sessions s ON f.track = s.track AND f.f BETWEEN s.start AND s.stop),
+@query(f"""WITH {st.SESSIONS}, f AS (SELECT track, f FROM (SELECT DISTINCT track FROM sessions), (SELECT unnest(range(0, 720)) AS f)), free AS (SELECT track, f FROM f ANTI JOIN sessions s ON f.track = s.track AND f.f BETWEEN s.start AND s.stop),
 g AS (SELECT *, f - row_number() OVER (PARTITION BY track ORDER BY f) AS g FROM free) SELECT track, min(f) AS start, max(f) AS stop FROM g GROUP BY track, g""")
 def interval_complement(spark, sf_dir):
-    return windows.complement(st.sessions(spark, sf_dir), ["track"], "start", "stop", 0, 199)
+    return windows.complement(st.sessions(spark, sf_dir), ["track"], "start", "stop", 0, 719)
 
 
 @query(f"WITH {st.OBS}, g AS (SELECT track, frame, frame - row_number() OVER (PARTITION BY track ORDER BY frame) AS g FROM obs) SELECT track, min(frame) AS start, max(frame) AS stop, count(*) AS frames FROM g GROUP BY track, g")
@@ -372,9 +373,9 @@ def change_point_runs(spark, sf_dir):
 SELECT track, transition, from_frame, to_frame, round(abs(to_value - from_value), 6) AS distance, row_number() OVER (ORDER BY round(abs(to_value - from_value), 6) DESC, track, transition) AS rank, row_number() OVER (PARTITION BY track ORDER BY round(abs(to_value - from_value), 6) DESC, transition) AS track_rank FROM w WHERE to_frame IS NOT NULL""")
 def adjacent_transitions(spark, sf_dir):
     t = windows.transitions(st.observations(spark, sf_dir), "track", ["frame"], ["frame", "value"]).withColumn("distance", r6(F.abs(F.col("to_value") - F.col("from_value"))))
-    rank = F.row_number().over(Window.orderBy(F.desc("distance"), "track", "transition")).cast("long")
+    t = windows.numbered(t, [F.desc("distance"), F.asc("track"), F.asc("transition")], "rank")
     own = F.row_number().over(Window.partitionBy("track").orderBy(F.desc("distance"), "transition")).cast("long")
-    return t.select("track", F.col("transition").cast("long").alias("transition"), "from_frame", "to_frame", "distance", rank.alias("rank"), own.alias("track_rank"))
+    return t.select("track", F.col("transition").cast("long").alias("transition"), "from_frame", "to_frame", "distance", F.col("rank").cast("long").alias("rank"), own.alias("track_rank"))
 
 
 @query(f"WITH {st.OBS}, j AS (SELECT track, frame, x1, lag(frame) OVER o AS pf, lag(x1) OVER o AS px, lag(x2 - x1) OVER o AS pw FROM obs WINDOW o AS (PARTITION BY track ORDER BY frame)) SELECT track, frame, abs(x1 - px) AS jump FROM j WHERE frame - pf <= 3 AND abs(x1 - px) > 2 * pw")
@@ -384,11 +385,11 @@ def spatial_jumps(spark, sf_dir):
     return t.where(near).select("track", F.col("to_frame").alias("frame"), F.abs(F.col("to_x1") - F.col("from_x1")).alias("jump"))
 
 
-@query(f"WITH {st.OBS} SELECT o.track, o.frame + 3 AS at, b.frame AS found_at, b.event_id FROM obs o JOIN obs b ON b.track = o.track AND b.frame BETWEEN o.frame - 1 AND o.frame + 3 WHERE o.event_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY o.track, o.frame ORDER BY b.frame DESC) = 1")
+@query(f"WITH {st.OBS} SELECT o.track, o.frame + 3 AS at, b.frame AS found_at, b.event_id FROM obs o JOIN obs b ON b.track = o.track AND b.frame BETWEEN o.frame - 2 AND o.frame + 3 QUALIFY row_number() OVER (PARTITION BY o.track, o.frame ORDER BY b.frame DESC) = 1")
 def last_known_box(spark, sf_dir):
     o = st.observations(spark, sf_dir)
-    q = o.where("event_id % 5 = 0").select("track", (F.col("frame") + 3).alias("at"))
-    return joins.look_back(q, o, ["track"], "at", "frame", 4, ["event_id"])
+    q = o.select("track", (F.col("frame") + 3).alias("at"))
+    return joins.look_back(q, o, ["track"], "at", "frame", 5, ["event_id"])
 
 
 @query(f"""WITH {st.OBS}, d AS (SELECT track, frame, class_name IN ('click', 'view') AS t, confidence > 0.3 AS f, class_name AS i FROM obs),
@@ -402,17 +403,17 @@ def tracking_metrics(spark, sf_dir):
 
 _STITCH = f"""{st.SESSIONS}, ends AS (SELECT s.track, s.start, s.stop, a.x1 AS first_x, b.x1 AS last_x FROM sessions s JOIN obs a ON a.track = s.track AND a.frame = s.start JOIN obs b ON b.track = s.track AND b.frame = s.stop),
 cand AS (SELECT a.track, a.stop, b.track AS next_track, b.start AS next_start, b.start - a.stop - 1 AS gap, abs(b.first_x - a.last_x) AS displacement, round(0.5 * (b.start - a.stop - 1) / 6 + 0.5 * abs(b.first_x - a.last_x) / 200, 9) AS cost
-FROM ends a JOIN ends b ON b.track <> a.track AND b.start BETWEEN a.stop + 1 AND a.stop + 6 AND abs(b.first_x - a.last_x) <= 200 AND a.track % 5 = b.track % 5)"""
+FROM ends a JOIN ends b ON b.track <> a.track AND b.start BETWEEN a.stop + 1 AND a.stop + 6 AND abs(b.first_x - a.last_x) <= 200)"""
 
 
 def _stitch(spark, sf_dir):
     o = st.observations(spark, sf_dir).select("track", "frame", "x1")
     s = st.sessions(spark, sf_dir)
     a, b = o.select("track", F.col("frame").alias("start"), F.col("x1").alias("first_x")), o.select("track", F.col("frame").alias("stop"), F.col("x1").alias("last_x"))
-    ends = s.join(a, ["track", "start"]).join(b, ["track", "stop"]).withColumn("k", F.col("track") % 5)
-    left = ends.select("k", "track", "stop", "last_x", (F.col("stop") + 1).alias("_lo"), (F.col("stop") + 6).alias("_hi"))
-    right = ends.select("k", F.col("track").alias("next_track"), F.col("start").alias("next_start"), "first_x", F.col("start").alias("_s"), F.col("start").alias("_e"))
-    c = joins.range_join(left, right, ["k"], ("_lo", "_hi"), ("_s", "_e"), 6).where("track <> next_track").withColumn("gap", F.col("next_start") - F.col("stop") - 1).withColumn("displacement", F.abs(F.col("first_x") - F.col("last_x"))).where("displacement <= 200")
+    ends = s.join(a, ["track", "start"]).join(b, ["track", "stop"])
+    left = ends.select("track", "stop", "last_x", (F.col("stop") + 1).alias("_lo"), (F.col("stop") + 6).alias("_hi"))
+    right = ends.select(F.col("track").alias("next_track"), F.col("start").alias("next_start"), "first_x", F.col("start").alias("_s"), F.col("start").alias("_e"))
+    c = joins.range_join(left, right, [], ("_lo", "_hi"), ("_s", "_e"), 6).where("track <> next_track").withColumn("gap", F.col("next_start") - F.col("stop") - 1).withColumn("displacement", F.abs(F.col("first_x") - F.col("last_x"))).where("displacement <= 200")
     return c.select("track", "stop", "next_track", "next_start", "gap", "displacement", F.round(0.5 * F.col("gap") / 6 + 0.5 * F.col("displacement") / 200, 9).alias("cost"))
 
 
@@ -428,21 +429,24 @@ def best_with_margin_decision(spark, sf_dir):
     return selection.best_with_margin(c, "seg", "cost", "best_id", 0.65, 0.18).withColumn("margin", F.round("margin", 9))
 
 
-@query(f"""WITH RECURSIVE {_STITCH}, edge AS (SELECT track, stop, next_track, next_start, cost, row_number() OVER (PARTITION BY track, stop ORDER BY cost, next_track, next_start) AS r FROM cand),
-best AS (SELECT e.track, e.stop, e.next_track, e.next_start, s.stop AS next_stop FROM edge e JOIN sessions s ON s.track = e.next_track AND s.start = e.next_start WHERE r = 1),
+@query(f"""WITH RECURSIVE {_STITCH}, edge AS MATERIALIZED (SELECT track, stop, next_track, next_start, cost, row_number() OVER (PARTITION BY track, stop ORDER BY cost, next_track, next_start) AS r FROM cand),
+best AS MATERIALIZED (SELECT e.track, e.stop, e.next_track, e.next_start, s.stop AS next_stop FROM edge e JOIN sessions s ON s.track = e.next_track AND s.start = e.next_start WHERE r = 1),
 seeds AS (SELECT track, min(start) AS start FROM sessions GROUP BY track),
-chain AS (SELECT s.track AS seed, 0 AS step, s.track, s.stop FROM sessions s JOIN seeds USING (track, start) UNION ALL SELECT seed, step + 1, b.next_track, b.next_stop FROM chain c JOIN best b ON b.track = c.track AND b.stop = c.stop WHERE step < 5)
+chain AS (SELECT s.track AS seed, 0 AS step, s.track, s.stop FROM sessions s JOIN seeds USING (track, start) UNION ALL SELECT seed, step + 1, b.next_track, b.next_stop FROM chain c JOIN best b ON b.track = c.track AND b.stop = c.stop WHERE step < 25)
 SELECT seed, step, track, stop FROM chain""")
 def stitch_chain(spark, sf_dir):
     c = _stitch(spark, sf_dir)
     w = Window.partitionBy("track", "stop").orderBy("cost", "next_track", "next_start")
     s = st.sessions(spark, sf_dir).select("track", "start", "stop")
     n = s.select(F.col("track").alias("next_track"), F.col("start").alias("next_start"), F.col("stop").alias("next_stop"))
-    best = Scratch(spark, "stitch").keep(c.withColumn("_r", F.row_number().over(w)).where("_r = 1").join(n, ["next_track", "next_start"]).select(F.col("track").alias("_t"), F.col("stop").alias("_s"), "next_track", "next_stop"), "best")
+    scratch = Scratch(spark, "stitch")
+    best = scratch.keep(c.withColumn("_r", F.row_number().over(w)).where("_r = 1").join(n, ["next_track", "next_start"]).select(F.col("track").alias("_t"), F.col("stop").alias("_s"), "next_track", "next_stop"), "best")
     first = s.groupBy("track").agg(F.min(F.struct("start", "stop"))["stop"].alias("stop"))
-    out = step = first.select(F.col("track").alias("seed"), F.lit(0).alias("step"), "track", "stop")
-    for i in range(1, 6):  # a bounded number of steps
-        step = step.join(best, (F.col("track") == F.col("_t")) & (F.col("stop") == F.col("_s"))).select("seed", F.lit(i).alias("step"), F.col("next_track").alias("track"), F.col("next_stop").alias("stop"))
+    out = step = scratch.keep(first.select(F.col("track").alias("seed"), F.lit(0).alias("step"), "track", "stop"), "step")
+    for i in range(1, 26):  # the longest chain allowed
+        step = scratch.keep(step.join(best, (F.col("track") == F.col("_t")) & (F.col("stop") == F.col("_s"))).select("seed", F.lit(i).alias("step"), F.col("next_track").alias("track"), F.col("next_stop").alias("stop")), "step")
+        if step.isEmpty():
+            break
         out = out.unionByName(step)
     return out
 
@@ -574,10 +578,10 @@ def clique_components(spark, sf_dir):
     return graph.clique_components(v, edges, members, "vec_id", "a", "b", scratch)
 
 
-@query("""WITH RECURSIVE k AS (SELECT doc_id AS id, md5(left(text, 20)) AS h, CASE WHEN n_chars % 50 = 0 THEN source END AS s FROM documents), e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.h = y.h AND x.id <> y.id UNION SELECT x.id, y.id FROM k x JOIN k y ON x.s = y.s AND x.id <> y.id),
-reach AS (SELECT id, id AS root FROM k UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id) SELECT id, min(root) AS "group" FROM reach GROUP BY id""")
+@query("""WITH RECURSIVE k AS (SELECT doc_id AS id, md5(text) AS h, source AS s FROM documents), e AS (SELECT id, min(id) OVER (PARTITION BY h) AS hub FROM k UNION SELECT id, min(id) OVER (PARTITION BY s) FROM k WHERE s IS NOT NULL),
+two AS (SELECT id, hub FROM e WHERE id <> hub UNION SELECT hub, id FROM e WHERE id <> hub), reach AS (SELECT id, id AS root FROM k UNION SELECT t.hub, r.root FROM reach r JOIN two t ON t.id = r.id WHERE r.root < t.hub) SELECT id, min(root) AS "group" FROM reach GROUP BY id""")
 def leakage_groups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.substring("text", 1, 20)).alias("h"), F.when(F.col("n_chars") % 50 == 0, F.col("source")).alias("s"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), F.col("source").alias("s"))
     return graph.groups_by_shared_keys(d, "doc_id", ["h", "s"], Scratch(spark, "leakage"))
 
 
