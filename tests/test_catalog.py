@@ -2,12 +2,20 @@
 
 import pytest
 
-from veldra.plans import catalog
+from veldra.plans import catalog, catalog_evidence
 
+QUERIES = catalog.QUERIES | catalog_evidence.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | catalog_evidence.ORACLE_SQL
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(name, same_rows):
-    same_rows(catalog.QUERIES[name], catalog.ORACLE_SQL[name])
+    same_rows(QUERIES[name], ORACLE_SQL[name])
+
+
+def test_every_query_names_what_it_covers():
+    assert set(catalog.COVERS | catalog_evidence.COVERS) == set(QUERIES)
+    assert not set(catalog.QUERIES) & set(catalog_evidence.QUERIES)
 
 
 def test_entry(spark):

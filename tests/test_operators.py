@@ -165,3 +165,61 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.connected_components(edges, "a", "b", Scratch(spark, "t")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100}
     assert graph.connected_components(edges.limit(0), "a", "b", Scratch(spark, "t")).count() == 0
+
+
+def test_numbered_is_the_row_number_of_the_whole_table(spark):
+    from veldra.operators import windows
+
+    rows = [(i, (i * 7919) % 13, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, key long, v long")
+    got = windows.numbered(df, [F.desc("key"), F.asc("id")], "rank", {"upto": "v"}, "n").collect()
+    upto, n = 0, 0
+    for r in sorted(got, key=lambda r: (-r.key, r.id)):
+        n, upto = n + 1, upto + r.v
+        assert (r["rank"], r.upto, r.n) == (n, upto, 500)
+    assert windows.numbered(df.limit(0), [F.asc("id")], "rank").count() == 0
+
+
+def test_overlapping_boxes_are_found_once(spark):
+    import random
+
+    from veldra.operators import joins
+
+    rng = random.Random(2)
+    boxes = [(f, i, x, y, x + rng.randrange(1, 300), y + rng.randrange(1, 300)) for i, (f, x, y) in enumerate((rng.randrange(2), rng.randrange(-50, 900), rng.randrange(-50, 600)) for _ in range(80))]
+    side = lambda p: spark.createDataFrame(boxes, f"frame int, {p}id int, {p}x1 int, {p}y1 int, {p}x2 int, {p}y2 int")
+    got = sorted((r.a_id, r.b_id) for r in joins.box_pairs(side("a_"), side("b_"), ["frame"], "a_", "b_", 100).collect())
+    want = sorted((a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[2] < b[4] and b[2] < a[4] and a[3] < b[5] and b[3] < a[5])
+    assert got == want
+
+
+def test_gallery_best_in_small_blocks(spark):
+    import numpy as np
+
+    from veldra.operators import joins
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)] + [(99, None, "a"), (None, [1.0] * 5, "b")], "id long, v array<double>, side string")
+    got = {(r.query_id, r.side): (r.score, r.gallery_id) for r in joins.query_gallery_best(df, df, "id", "v", "id", "side", block=7, tile=11).collect()}
+    s = np.round(np.clip(x @ x.T, -1, 1), 6)
+    want = {(i, "ab"[k]): max((s[i, j], -j) for j in range(60) if j % 2 == k and j != i) for i in range(60) for k in (0, 1)}
+    assert {k: (round(a, 6), -b) for k, (a, b) in got.items()} == {k: (round(float(a), 6), b) for k, (a, b) in want.items()}
+
+
+def test_replay_and_timeline_cases(spark):
+    from veldra.operators import timelines
+
+    e = [
+        (1, 1, "add", 10, 0, 9, None, None, None), (1, 2, "split", 20, None, None, 10, None, 5), (1, 3, "merge", 30, None, None, 21, 22, None),
+        (2, 1, "add", 10, 0, 9, None, None, None), (2, 2, "supersede", 20, 3, 8, 10, None, None), (2, 3, "deactivate", 30, None, None, 99, None, None),
+        (3, 1, "add", 10, 0, 9, None, None, None), (3, 2, "deactivate", 20, None, None, 10, None, None),
+        (4, 1, "add", 10, 0, 9, None, None, None), (4, 2, "split", 20, None, None, 10, None, 0), (4, 3, "add", 30, 5, 30, None, None, None), (4, 4, "add", 40, 50, 60, None, None, None),
+    ]
+    df = spark.createDataFrame(e, "t long, pos long, kind string, id long, start long, stop long, ref long, ref2 long, at long")
+    truth = timelines.replay_events(df, "t", "pos")
+    assert sorted(map(tuple, truth.collect())) == [(1, 30, 0, 9), (2, 20, 3, 8), (4, 10, 0, 9), (4, 30, 5, 30), (4, 40, 50, 60)]
+    assert [tuple(r) for r in timelines.overlapping(truth, ["t"], "id", "start", "stop").collect()] == [(4, 10, 30)]
+    got = {r.t: tuple(r)[1:] for r in timelines.reconstruct(truth, "t", "start", "stop", 10).collect()}
+    assert got == {1: (1, 0, 0, 0, 10, "COMPLETE"), 2: (1, 0, 0, 0, 6, "PARTIAL"), 4: (3, 1, 1, 19, 42, "CONFLICT")}

@@ -692,3 +692,83 @@ def majority_by_group(spark, sf_dir):
 def confidence_summary(spark, sf_dir):
     s = agg.summary(st.labelled(spark, sf_dir), "confidence", ["outcome"])
     return s.select("outcome", "n", "min", "max", F.round("mean", 9).alias("mean"), F.round("median", 9).alias("median"))
+
+#: The survey's operators that each query exercises.
+COVERS = {
+    "retrieval_margin_rank": "O056 O057 O070 O124",
+    "retrieval_metrics": "O107 O112",
+    "cohort_metrics": "O108 O246",
+    "component_metrics": "O110",
+    "top_composition": "O109",
+    "outcome_rules": "O243 O267",
+    "centroid": "O083",
+    "l2_mean_by_group": "O082 O248",
+    "medoid_by_group": "O084",
+    "medoid_with_self": "O084",
+    "gallery_mad_outliers": "O057 O117",
+    "hamming_near_duplicates": "O058 O180",
+    "all_pairs_similarity": "O052 O053 O178",
+    "filter_reason_counts": "O028",
+    "filter_kept": "O029 O031",
+    "exclusion_reason_arrays": "O036",
+    "sanitized_detections": "O027 O032",
+    "torso_regions": "O035",
+    "ocr_style_outcomes": "O104 O183",
+    "coverage_check": "O042 O166",
+    "batch_overlap": "O165",
+    "annotation_rule_errors": "O046",
+    "track_stats": "O080",
+    "track_span_summary": "O081 O089",
+    "percentile_summary": "O087",
+    "nearest_rank_summary": "O088",
+    "track_inventory_gaps": "O094",
+    "fragmentation_audit": "O096",
+    "frame_overlap_self_join": "O050 O051 O176",
+    "contamination_union": "O085",
+    "best_iou_match": "O066",
+    "exact_frame_conflicts": "O054",
+    "interval_overlap_conflicts": "O061",
+    "interval_gaps": "O135",
+    "interval_complement": "O168",
+    "contiguous_runs": "O136",
+    "change_point_runs": "O137",
+    "adjacent_transitions": "O126 O127 O128",
+    "spatial_jumps": "O140",
+    "last_known_box": "O068",
+    "tracking_metrics": "O098",
+    "stitch_candidates": "O067 O220",
+    "best_with_margin_decision": "O157",
+    "stitch_chain": "O219",
+    "independent_ranks_by_stratum": "O125",
+    "rank_to_unit_composite": "O129 O130",
+    "quantile_strata": "O131",
+    "terciles": "O132",
+    "timeline_bins": "O133",
+    "upper_median_by_track": "O139",
+    "clip_windows": "O145",
+    "greedy_topk_gap": "O146",
+    "uniform_temporal_sample": "O147",
+    "stratified_capped_selection": "O155",
+    "review_groups": "O156",
+    "hamilton_apportionment": "O121",
+    "quota_grid": "O154",
+    "diversity_allocation": "O153",
+    "connected_components": "O171",
+    "clique_components": "O055 O170 O172",
+    "leakage_groups": "O173",
+    "effective_decisions": "O077 O199",
+    "review_states": "O200",
+    "work_queue": "O043 O201 O202",
+    "active_approvals": "O078 O206",
+    "log_monotonicity_violations": "O203",
+    "supersession_errors": "O203 O214",
+    "gt_replay": "O209",
+    "timeline_coverage": "O101",
+    "operating_points": "O114",
+    "frontiers": "O090 O115",
+    "derive_gate": "O160",
+    "fixed_gate": "O116",
+    "confidence_auroc": "O112",
+    "majority_by_group": "O120",
+    "confidence_summary": "O089",
+}
