@@ -1,12 +1,15 @@
 """Exact top-k search by inner product with a pivot table.
 
 Vectors become whole numbers: floor(scale * x). With one more coordinate, sqrt(M^2 - |x|^2) for candidates and 0 for
-queries, the order by inner product is the order by distance: |q - x|^2 = |q|^2 + M^2 - 2 q.x. A table holds the
-distances of queries and candidates to many pivots; the largest |d(q, p) - d(x, p)| is a lower bound on the distance and so
-gives an upper bound on the score. Candidates are evaluated in the order of their bounds, round by round, until the
-next bound is under the query's k-th best score; all others are eliminated. Scores are exact.
-
-Queries are a stated set, taken in blocks of bounded size against all rows; each task keeps k rows of each query.
+queries, the order by inner product is the order by distance: |q - x|^2 = |q|^2 + M^2 - 2 q.x, with M the largest norm. A
+table holds the distances of all rows to many pivots, chosen among the candidates. It is computed once. Two rows' lines
+of the table bound their distance from below: by the largest |d(q, p) - d(x, p)|, and by the simplex that the pivots
+span, in which the line gives a point's place and its height over it. An upper bound on the score follows.
+
+Queries are a stated set, dealt to blocks, and candidates to tiles; each pair of a block and a tile is one group of rows,
+streamed with its queries first. Candidates are evaluated in the order of their bounds, round by round, until the next
+bound is under the query's k-th best score so far, which is carried from batch to batch; all others are eliminated. Scores
+are exact. Each group returns k rows of each query.
 """
 
 from __future__ import annotations
@@ -20,16 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.llm import textcodes as tc
+from veldra.storage import Scratch
 
-PIVOTS = 16
-#: Queries in a block: what is broadcast at once.
-BLOCK = 8192
+#: Pivots of a dimension, candidates that they are chosen from, and dimensions that get pivots; others have no bounds.
+PIVOTS, SAMPLE, DIMENSIONS = 56, 2048, 64
+#: Queries in a block, candidates in a tile.
+BLOCK, TILE = 8192, 16384
 #: Candidates that are bounded at once, queries that are compared with them at once.
 CANDIDATES, QUERIES = 4096, 128
 #: Candidates of a query that the first round evaluates; each further round takes four times as many.
-FIRST = 64
-#: If more than one in so many pairs of a tile survives its bounds, the tile's survivors are evaluated together.
-DENSE = 8
+FIRST = 32
 
 
 def whole(vector: Column, scale: int = 64) -> Column:
@@ -44,22 +47,59 @@ def usable(vector: Column) -> Column:
 
 
 @dataclass
-class QueryBlock:
-    """Queries of one dimension and the pivots taken from them."""
+class Pivots:
+    """Pivots of one dimension. ``top``: square of the largest norm. ``inverse``: from inner products to places."""
 
-    ids: np.ndarray
     vectors: np.ndarray
-    pivots: np.ndarray
+    top: float
+    inverse: np.ndarray
 
     @staticmethod
-    def of(ids: list[int], vectors: np.ndarray, n_pivots: int = PIVOTS) -> QueryBlock:
-        """Pivots by farthest-first choice among the queries."""
-        at = [0]
-        far = ((vectors - vectors[0]) ** 2).sum(axis=1)
-        while len(at) < min(n_pivots, len(vectors)):
+    def of(sample: np.ndarray, top: float, n: int = PIVOTS) -> Pivots:
+        """Farthest-first choice; vectors that lie in the span of the chosen ones add nothing and end it."""
+        far = ((sample - sample.mean(axis=0)) ** 2).sum(axis=1)
+        at = [int(far.argmax())]
+        far = ((sample - sample[at[0]]) ** 2).sum(axis=1)
+        while len(at) < n and far.max() > 0:
             at.append(int(far.argmax()))
-            far = np.minimum(far, ((vectors - vectors[at[-1]]) ** 2).sum(axis=1))
-        return QueryBlock(np.asarray(ids, np.int64), vectors, vectors[at])
+            far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(axis=1))
+        while True:
+            base = sample[at[1:]] - sample[at[0]]
+            if not len(base):
+                return Pivots(sample[at], top, np.zeros((0, 0)))
+            r = np.linalg.qr(base.T, mode="r")
+            good = np.abs(np.diag(r)) > 1e-3 * np.abs(np.diag(r)).max()
+            good = np.concatenate((good, np.zeros(len(base) - len(good), bool)))
+            if good.all():
+                return Pivots(sample[at], top, np.linalg.inv(r))
+            at = [at[0], *(x for x, keep in zip(at[1:], good, strict=True) if keep)]
+
+    def distances(self, x: np.ndarray, query: bool) -> np.ndarray:
+        """A line of the table for each vector."""
+        own = (x**2).sum(axis=1)[:, None] if query else self.top
+        return np.sqrt(np.maximum((self.vectors**2).sum(axis=1)[None, :] + own - 2 * (x @ self.vectors.T), 0))
+
+    def placed(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the span of the pivots, height over it) of the points with these lines."""
+        square = table**2
+        edges = ((self.vectors[1:] - self.vectors[0]) ** 2).sum(axis=1)
+        inner = (square[:, :1] - square[:, 1:] + edges[None, :]) / 2
+        place = inner @ self.inverse
+        return place, np.sqrt(np.maximum(square[:, 0] - (place**2).sum(axis=1), 0))
+
+
+def upper_bounds(pivots: Pivots, q2: np.ndarray, query_table: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The highest score that each candidate (column) can have with each query (row)."""
+    low = np.zeros((len(q2), len(table)))
+    for p in range(table.shape[1]):
+        np.maximum(low, np.abs(query_table[:, p][:, None] - table[:, p][None, :]), out=low)
+    low *= low
+    a, u = pivots.placed(query_table)
+    b, v = pivots.placed(table)
+    flat = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    scale = q2[:, None] + pivots.top
+    np.maximum(low, flat + (u[:, None] - v[None, :]) ** 2, out=low)
+    return (scale - low) / 2 + 1e-6 * scale + 0.5
 
 
 class Best:
@@ -91,63 +131,39 @@ class Best:
         self.score[row[keep], place[keep]], self.ids[row[keep], place[keep]], self.filled[row[keep], place[keep]] = score[keep], ids[keep], True
 
 
-def search(block: QueryBlock, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[Best, int]:
-    """The k best of all (ids, vectors) batches for each query, and how many scores were evaluated."""
-    best, evaluated = Best(len(block.ids), k), 0
-    q2 = (block.vectors**2).sum(axis=1)
-    for ids, x in batches:
-        x2 = (x**2).sum(axis=1)
-        top = x2.max(initial=0.0)
-        p2 = (block.pivots**2).sum(axis=1)
-        kind = np.float32 if max(top, q2.max(initial=0.0)) < 1e30 else np.float64
-        to_pivot_x = np.sqrt(np.maximum(p2[:, None] + top - 2 * (block.pivots @ x.T), 0)).astype(kind)
-        to_pivot_q = np.sqrt(np.maximum(p2[:, None] + q2[None, :] - 2 * (block.pivots @ block.vectors.T), 0)).astype(kind)
-        for a in range(0, len(block.ids), QUERIES):
-            rows = np.arange(a, min(a + QUERIES, len(block.ids)))
-            q, low, gap = to_pivot_q[:, rows], np.zeros((len(rows), len(ids)), kind), np.empty((len(rows), len(ids)), kind)
-            for p in range(len(block.pivots)):
-                np.subtract(q[p][:, None], to_pivot_x[p][None, :], out=gap)
-                np.abs(gap, out=gap)
-                np.maximum(low, gap, out=low)
-            slack = (1e-3 * (np.sqrt(q2[rows]) + np.sqrt(top) + 1)).astype(kind)
-            low -= slack[:, None]
-            np.maximum(low, 0, out=low)
-            np.multiply(low, low, out=low)
-            bound = low
-            bound *= -0.5
-            bound += ((q2[rows] + top) * (0.5 + 1e-6) + 1).astype(kind)[:, None]
-            own = ids[None, :] == block.ids[rows][:, None]
-            bound[own] = -np.inf
-            size, left = min(FIRST, len(ids)), rows
-            while len(left):
-                rest = bound[left - a]
-                live = (rest >= best.least(left)[:, None]) & (rest > -np.inf)
-                if live.sum() > rest.size // DENSE:  # bounds that eliminate little: one matrix product, all at once
-                    r, c = np.nonzero(live) if len(ids) <= k else _candidates(block.vectors[left], x, live, best.least(left), k)
-                    evaluated += int(live.sum())
-                    best.add(left[r], _pair_scores(block.vectors[left], x, r, c), ids[c])
-                    break
-                pick = np.argpartition(-rest, size - 1, axis=1)[:, :size]
-                r, j = np.nonzero(np.take_along_axis(live, pick, axis=1))
-                c = pick[r, j]
-                evaluated += len(r)
-                best.add(left[r], _pair_scores(block.vectors[left], x, r, c), ids[c])
-                bound[(left - a)[:, None], pick] = -np.inf
-                top_bound = bound[left - a].max(axis=1)
-                left = left[(top_bound >= best.least(left)) & (top_bound > -np.inf)]
-                size = min(4 * size, len(ids))
-    return best, evaluated
-
-
-def _candidates(q: np.ndarray, x: np.ndarray, live: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the live pairs that can be among the k best: by scores in floating point, with their rounding allowed for."""
-    most = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
-    kind = np.float32 if most < 1 << 24 else np.float64
-    score = q.astype(kind) @ x.astype(kind).T
-    score[~live] = -np.inf
-    edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-    rounding = 0 if most < 1 << 53 else most * 1e-12
-    return np.nonzero((score >= np.maximum(edge, least)[:, None] - rounding) & live)
+class Search:
+    """The k best of all candidates seen so far for a block of queries, and how many scores were evaluated."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, pivots: Pivots | None, k: int):
+        self.ids, self.vectors, self.table, self.pivots = ids, vectors, table, pivots
+        self.best, self.evaluated, self.seen = Best(len(ids), k), 0, 0
+        self.q2 = (vectors**2).sum(axis=1)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
+        for c in range(0, len(ids), CANDIDATES):
+            for a in range(0, len(self.ids), QUERIES):
+                self._tile(np.arange(a, min(a + QUERIES, len(self.ids))), ids[c : c + CANDIDATES], x[c : c + CANDIDATES], table[c : c + CANDIDATES])
+
+    def _tile(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
+        best = self.best
+        bound = np.full((len(rows), len(ids)), np.inf)
+        if self.pivots is not None:
+            bound = upper_bounds(self.pivots, self.q2[rows], self.table[rows], table)
+        bound[ids[None, :] == self.ids[rows][:, None]] = -np.inf
+        self.seen += bound.size
+        size, left = min(FIRST, len(ids)), np.arange(len(rows))
+        while len(left):
+            rest, least = bound[left], best.least(rows[left])
+            pick = np.argpartition(-rest, size - 1, axis=1)[:, :size]
+            value = np.take_along_axis(rest, pick, axis=1)
+            r, j = np.nonzero((value >= least[:, None]) & (value > -np.inf))
+            c = pick[r, j]
+            self.evaluated += len(r)
+            best.add(rows[left[r]], _pair_scores(self.vectors[rows], x, left[r], c), ids[c])
+            bound[left[:, None], pick] = -np.inf
+            top = bound[left].max(axis=1)
+            left = left[(top >= best.least(rows[left])) & (top > -np.inf)]
+            size = min(4 * size, len(ids))
 
 
 def _pair_scores(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -155,82 +171,106 @@ def _pair_scores(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) ->
     most = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
     out = np.empty(len(r), np.int64)
     if most < 1 << 53:
-        for i in range(0, len(r), 1 << 16):
-            out[i : i + (1 << 16)] = np.einsum("ij,ij->i", q[r[i : i + (1 << 16)]], x[c[i : i + (1 << 16)]])
+        for i in range(0, len(r), 1 << 14):
+            out[i : i + (1 << 14)] = np.einsum("ij,ij->i", q[r[i : i + (1 << 14)]], x[c[i : i + (1 << 14)]])
     else:
         for i in range(len(r)):
             out[i] = sum(int(u) * int(v) for u, v in zip(q[r[i]], x[c[i]], strict=True))
     return out
 
 
-def top_k(df: DataFrame, id_: str, vector: str, is_query: Column, k: int = 20, scale: int = 64, block: int = BLOCK) -> DataFrame:
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of equal length as a matrix; no columns if they are empty."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) and len(lists[0]) else np.zeros((len(lists), 0))
+
+
+def _pivots(rows: DataFrame, n: int) -> dict[int, Pivots]:
+    """Pivots of the ``DIMENSIONS`` smallest dimensions of a bounded sample: ``SAMPLE`` rows with the smallest hashes of their ids."""
+    dim = F.size("v").alias("dim")
+    tops = rows.groupBy(dim).agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).orderBy("dim").limit(DIMENSIONS).collect()
+    sample: dict[int, list] = {}
+    for r in rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect():
+        sample.setdefault(len(r.v), []).append(r.v)
+    # Squares of distances beyond the whole numbers of a double would make the bounds wrong.
+    return {r.dim: Pivots.of(np.asarray(sample[r.dim], float), r.top, n) for r in tops if r.dim in sample and r.top < 1 << 50}
+
+
+def with_table(rows: DataFrame, pivots: dict[int, Pivots]) -> DataFrame:
+    """(id, v, q, t): ``t`` the distances to the pivots of the vector's dimension as a candidate, ``q`` those as a query or null."""
+    held = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors of DIMENSIONS dimensions at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for batch in batches:
+            lists, ask = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(size):
+                own = np.flatnonzero(size == dim)
+                part = lists.take(pa.array(own))
+                x = _matrix(part)
+                tables = []
+                for query in (False, True):
+                    t = known[int(dim)].distances(x, query) if int(dim) in known else np.zeros((len(own), 0))
+                    at = np.concatenate(([0], np.cumsum(np.where(ask[own] | (not query), t.shape[1], 0))))
+                    tables.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(t[ask[own] | (not query)].ravel())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), part, batch.column(2).take(pa.array(own)), *tables], ["id", "v", "ask", "t", "q"])
+
+    return rows.select("id", "v", "ask").mapInArrow(run, "id long, v array<double>, ask boolean, t array<double>, q array<double>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], pivots: dict[int, Pivots], k: int) -> Iterator[Search]:
+    """A search for each group of rows (block, tile, dim, side, id, v, t), sorted so: queries (side 0), then candidates."""
+    name, waiting, search = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            group, side = tuple(keys[a, :3].tolist()), keys[a, 3]
+            if group != name:
+                if search is not None:
+                    yield search
+                name, waiting, search = group, [], None
+            part = batch.slice(a, b - a)
+            rows = part.column(4).to_numpy(zero_copy_only=False), _matrix(part.column(5)), _matrix(part.column(6))
+            if side == 0:
+                waiting.append(rows)
+            elif waiting:
+                if search is None:
+                    search = Search(*(np.concatenate(c) for c in zip(*waiting, strict=True)), pivots.get(group[2]), k)
+                search.add(*rows)
+    if search is not None:
+        yield search
+
+
+def top_k(df: DataFrame, id_: str, vector: str, is_query: Column, k: int = 20, scale: int = 64, block: int = BLOCK, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the highest inner product for each query.
 
     Candidates are all rows but the query's own id; ties go to smaller ids, repeated ids each count. Rows with a null
     id, a null or empty vector or a component that is null or not finite take no part; a pair of different dimensions
-    has no score. Fewer than k candidates give fewer rows; no queries give none.
+    has no score. Fewer than k candidates give fewer rows; no queries give none. Other columns don't matter.
     """
     spark = df.sparkSession
     tc.bounded_batches(spark)
-    rows = df.select(F.col(id_).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), is_query.alias("q"), usable(F.col(vector)).alias("ok")).where(F.col("ok") & F.col("id").isNotNull())
-    candidates = rows.select("id", "v").coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
-    schema = "query_id long, vec_id long, score long"
-    parts = []
-
-    def against(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = held.value
-            kept: dict[int, list] = {d: [] for d in blocks}
-            state: dict[int, Best] = {}
-
-            def groups(dim):
-                for ids, x in kept[dim]:
-                    for a in range(0, len(ids), CANDIDATES):
-                        yield ids[a : a + CANDIDATES], x[a : a + CANDIDATES]
-
-            for batch in batches:
-                lists = batch.column(1)
-                size = lists.value_lengths().to_numpy(zero_copy_only=False)
-                flat, first = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size)))
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for dim in blocks:
-                    own = np.flatnonzero(size == dim)
-                    if len(own):
-                        kept[dim] = [(ids[own], flat[first[own][:, None] + np.arange(dim)])]
-                        found, _ = search(blocks[dim], groups(dim), k)
-                        if dim in state:
-                            r, c = np.nonzero(found.filled)
-                            state[dim].add(r, found.score[r, c], found.ids[r, c])
-                        else:
-                            state[dim] = found
-            for dim, found in state.items():
-                r, c = np.nonzero(found.filled)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[dim].ids[r]), pa.array(found.ids[r, c]), pa.array(found.score[r, c])], ["query_id", "vec_id", "score"])
-
-        return candidates.mapInArrow(run, schema)
-
-    waiting: list[tuple[int, list]] = []
-
-    def close() -> None:
-        by: dict[int, tuple[list, list]] = {}
-        for i, v in waiting:
-            ids, vs = by.setdefault(len(v), ([], []))
-            ids.append(i)
-            vs.append(v)
-        blocks = {d: QueryBlock.of(ids, np.asarray(vs, float)) for d, (ids, vs) in by.items()}
-        parts.append(against(spark.sparkContext.broadcast(blocks)))  # ``block`` queries at most
-        waiting.clear()
-
-    for r in rows.where("q").select("id", "v").toLocalIterator():
-        waiting.append((r.id, r.v))
-        if len(waiting) == block:
-            close()
-    if waiting:
-        close()
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    scratch = Scratch(spark, "topk")
+    rows = df.select(F.col(id_).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"), usable(F.col(vector)).alias("ok")).where(F.col("ok") & F.col("id").isNotNull())
+    chosen = _pivots(rows, pivots)
+    table = scratch.keep(with_table(rows, chosen), "table")
+    n, asked = table.agg(F.count(F.lit(1)), F.count_if("ask")).first()
+    blocks, tiles = max(1, -(-asked // block)), max(1, -(-n // tile))
+    dealt = F.xxhash64("id", F.lit(3))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    queries = table.where("ask").select(F.pmod(dealt, F.lit(blocks)).cast("int").alias("block"), all_of(tiles).alias("tile"), F.size("v").alias("dim"), F.lit(0).alias("side"), "id", "v", F.col("q").alias("t"))
+    candidates = table.select(all_of(blocks).alias("block"), F.pmod(dealt, F.lit(tiles)).cast("int").alias("tile"), F.size("v").alias("dim"), F.lit(1).alias("side"), "id", "v", "t")
+    held = spark.sparkContext.broadcast(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _groups(batches, held.value, k):
+            r, c = np.nonzero(s.best.filled)
+            yield pa.RecordBatch.from_arrays([pa.array(s.ids[r]), pa.array(s.best.ids[r, c]), pa.array(s.best.score[r, c])], ["query_id", "vec_id", "score"])
+
+    both = queries.unionByName(candidates).repartition("block", "tile", "dim").sortWithinPartitions("block", "tile", "dim", "side")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
