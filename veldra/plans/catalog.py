@@ -696,7 +696,7 @@ def confidence_summary(spark, sf_dir):
 #: The survey's operators that each query exercises.
 COVERS = {
     "retrieval_margin_rank": "O056 O057 O070 O124",
-    "retrieval_metrics": "O107 O112",
+    "retrieval_metrics": "O107 O112 O240",
     "cohort_metrics": "O108 O246",
     "component_metrics": "O110",
     "top_composition": "O109",
@@ -746,7 +746,7 @@ COVERS = {
     "timeline_bins": "O133",
     "upper_median_by_track": "O139",
     "clip_windows": "O145",
-    "greedy_topk_gap": "O146",
+    "greedy_topk_gap": "O146 O152",
     "uniform_temporal_sample": "O147",
     "stratified_capped_selection": "O155",
     "review_groups": "O156",
@@ -754,7 +754,7 @@ COVERS = {
     "quota_grid": "O154",
     "diversity_allocation": "O153",
     "connected_components": "O171",
-    "clique_components": "O055 O170 O172",
+    "clique_components": "O055 O170 O172 O233",
     "leakage_groups": "O173",
     "effective_decisions": "O077 O199",
     "review_states": "O200",

@@ -10,6 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veldra.functions import geometry as geo
+from veldra.functions import text as txt
+from veldra.functions import vectors as vec
 from veldra.operators import aggregates as agg
 from veldra.operators import contracts, eventlog, evidence, graph, joins, metrics, selection, timelines, windows
 from veldra.plans import standins as st
@@ -643,3 +646,81 @@ def metric_validity(spark, sf_dir):
 def evaluation_by_class(spark, sf_dir):
     sent = F.count_if(F.col("confidence") >= 0.5)
     return st.labelled(spark, sf_dir).groupBy("lang", "outcome").agg(n_rows().alias("n"), r9(F.avg("confidence")).alias("mean_confidence"), sent.alias("emitted"), r9(sent / n_rows()).alias("emission_rate"))
+
+
+# --- scalar functions and compositions --------------------------------------------------------------------------
+
+
+@query("O030 O034", f"""WITH {st.BOXED}, p AS (SELECT event_id, greatest(0, least(x1 - (x2 - x1) * 0.1::DOUBLE, 1200)) AS a, greatest(0, least(y1 - (y2 - y1) * 0.1::DOUBLE, 640)) AS b, greatest(0, least(x2 + (x2 - x1) * 0.1::DOUBLE, 1200)) AS c, greatest(0, least(y2 + (y2 - y1) * 0.1::DOUBLE, 640)) AS d FROM boxed)
+SELECT event_id, floor(a)::BIGINT AS x1, floor(b)::BIGINT AS y1, ceil(c)::BIGINT AS x2, ceil(d)::BIGINT AS y2 FROM p""")
+def padded_crop_boxes(spark, sf_dir):
+    b = geo.whole(geo.padded(geo.Box.of(), 0.1, st.WIDTH, st.HEIGHT))
+    return st.boxed_events(spark, sf_dir).select("event_id", *(c.cast("long").alias(n) for n, c in (("x1", b.x1), ("y1", b.y1), ("x2", b.x2), ("y2", b.y2))))
+
+
+@query("O177", "SELECT o_orderkey, CASE WHEN b < c THEN c - b - 1 WHEN d < a THEN a - d - 1 ELSE 0 END AS gap, a <= d AND c <= b AS overlap FROM (SELECT o_orderkey, o_orderkey % 100 AS a, o_orderkey % 100 + o_custkey % 20 AS b, o_custkey % 100 AS c, o_custkey % 100 + o_orderkey % 20 AS d FROM orders)")
+def span_relations(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    spans = (k % 100, k % 100 + c % 20, c % 100, c % 100 + k % 20)
+    return table(spark, sf_dir, "orders").select("o_orderkey", geo.temporal_gap(*spans).alias("gap"), geo.spans_overlap(*spans).alias("overlap"))
+
+
+@query("O179 O185", "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(embedding[i]::DOUBLE - embedding[65 - i]::DOUBLE))), 6) AS l1_reversed, round(list_sum(list_transform(embedding[1:3], lambda x: abs(x::DOUBLE))), 6) AS l1_head, round(embedding[1]::DOUBLE * embedding[2]::DOUBLE * embedding[3]::DOUBLE, 9) AS product FROM embeddings")
+def vector_distances(spark, sf_dir):
+    e, head = F.col("embedding"), F.slice("embedding", 1, 3)
+    return st.vectors(spark, sf_dir).select("vec_id", r6(vec.l1(e, F.reverse(e))).alias("l1_reversed"), r6(vec.l1(head, F.transform(head, lambda x: F.lit(0.0)))).alias("l1_head"), r9(vec.product(F.transform(head, lambda x: x.cast("double")))).alias("product"))
+
+
+@query("O186 O187 O191 O193 O198", "SELECT o_orderkey, round(o_orderkey / 1001.0::DOUBLE, 6) AS rate, round((o_orderkey + 1) / 30.0::DOUBLE, 9) AS end_seconds, o_orderpriority <> '' AS safe, printf('ORD_%07d', o_orderkey) AS code FROM orders")
+def parsed_values(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", r6(txt.frame_rate(F.concat(k.cast("string"), F.lit("/1001")))).alias("rate"), r9(txt.frame_seconds(k, 30.0, end=True)).alias("end_seconds"), txt.safe_relative_path(F.concat(F.lit("a/"), F.col("o_orderpriority"))).alias("safe"), txt.code("ORD", k, 7).alias("code"))
+
+
+@query("O123 O272", "SELECT count(*) AS rows, sum(('0x' || substr(sha256(doc_id || '|' || n_chars), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS fingerprint FROM documents")
+def determinism_fingerprint(spark, sf_dir):
+    return contracts.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"], ["n_chars"])
+
+
+@query("O008 O235", f"WITH {st.SESSIONS}, c AS (SELECT track, sum(frames) AS assigned FROM sessions GROUP BY track), o AS (SELECT track, count(*) AS observed FROM obs GROUP BY track) SELECT count(*) AS tracks, sum(observed)::BIGINT AS observed, sum(assigned)::BIGINT AS assigned, count(*) FILTER (observed <> assigned) AS unequal FROM o JOIN c USING (track)")
+def segment_view_counts(spark, sf_dir):
+    c = st.sessions(spark, sf_dir).groupBy("track").agg(F.sum("frames").alias("assigned"))
+    o = st.observations(spark, sf_dir).groupBy("track").agg(n_rows().alias("observed"))
+    return o.join(c, "track").agg(n_rows().alias("tracks"), F.sum("observed").alias("observed"), F.sum("assigned").alias("assigned"), F.count_if(F.col("observed") != F.col("assigned")).alias("unequal"))
+
+
+@query("O229", f"WITH {st.OBS}, k AS (SELECT track, event_id, (x2 - x1) * (y2 - y1) * confidence AS q FROM obs WHERE confidence >= 0.05 AND least(x2 - x1, y2 - y1) >= 25) SELECT track, event_id, round(q, 6) AS quality, row_number() OVER (PARTITION BY track ORDER BY q DESC, event_id)::INT AS selection_rank FROM k QUALIFY selection_rank <= 3")
+def crop_selection(spark, sf_dir):
+    q = geo.area(geo.Box.of()) * F.col("confidence")
+    kept = st.observations(spark, sf_dir).where((F.col("confidence") >= 0.05) & (F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= 25)).withColumn("q", q)
+    w = Window.partitionBy("track").orderBy(F.desc("q"), "event_id")
+    return kept.withColumn("selection_rank", F.row_number().over(w)).where("selection_rank <= 3").select("track", "event_id", r6(F.col("q")).alias("quality"), "selection_rank")
+
+
+@query("O231", f"""WITH {st.OBS}, l AS (SELECT class_name, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM obs JOIN embeddings ON vec_id = event_id), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM l GROUP BY vec_id),
+m AS (SELECT class_name, p, avg(x / n) AS m, count(*) AS k FROM l JOIN n USING (vec_id) GROUP BY class_name, p), s AS (SELECT class_name, sqrt(sum(m * m)) AS s FROM m GROUP BY class_name) SELECT class_name, k AS n, p::INT AS pos, round(m / s, 6) AS v FROM m JOIN s USING (class_name)""")
+def track_aggregation(spark, sf_dir):
+    v = st.vectors(spark, sf_dir).join(st.observations(spark, sf_dir).select(F.col("event_id").alias("vec_id"), "class_name"), "vec_id")
+    c = agg.l2_mean(v, ["class_name"], "embedding")
+    return c.select("class_name", "n", F.posexplode("vector").alias("pos", "v")).withColumn("v", r6(F.col("v")))
+
+
+@query("O239", f"""WITH {st.LABELLED}, c AS (SELECT confidence AS cut, count(*) FILTER ({_EXACT}) AS e, count(*) FILTER (outcome IN ('wrong', 'negative')) AS w FROM labelled WHERE lang = 'en' AND outcome <> 'uncertain' GROUP BY 1),
+p AS (SELECT cut, sum(e) OVER (ORDER BY cut DESC) AS e, sum(w) OVER (ORDER BY cut DESC) AS w FROM c), g AS (SELECT min(cut) AS cut FROM p WHERE w = 0 AND e >= 1)
+SELECT g.cut, count(l.doc_id) AS accepted, count(*) FILTER ({_EXACT}) AS accepted_right, count(*) FILTER (outcome IN ('wrong', 'negative')) AS accepted_wrong FROM g LEFT JOIN labelled l ON l.lang <> 'en' AND l.confidence >= g.cut GROUP BY g.cut""")
+def gate_derived_and_validated(spark, sf_dir):
+    d = st.labelled(spark, sf_dir)
+    bad = F.col("outcome").isin("wrong", "negative")
+    points = metrics.operating_points(d.where("lang = 'en' and outcome <> 'uncertain'"), "confidence", {"right": F.col("outcome") == "exact", "wrong": bad})
+    gate = metrics.lowest_safe_cut(points, ["accepted_wrong"], "accepted_right").agg(F.min("cut").alias("cut"))
+    rest = d.where("lang <> 'en'").withColumn("_bad", bad)
+    both = F.broadcast(gate).join(rest, F.col("confidence") >= F.col("cut"), "left")  # one row
+    return both.groupBy("cut").agg(F.count("doc_id").alias("accepted"), F.count_if(F.col("outcome") == "exact").alias("accepted_right"), F.count_if("_bad").alias("accepted_wrong"))
+
+
+@query("O238", "WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS root FROM documents) SELECT doc_id, root, CASE WHEN substr(md5(root::VARCHAR), 1, 1) < '8' THEN 'discovery' ELSE 'holdout' END AS split FROM g")
+def clean_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    g = graph.groups_by_shared_keys(d, "doc_id", ["h"], Scratch(spark, "split"))
+    side = F.when(F.substring(F.md5(F.col("group").cast("string")), 1, 1) < "8", "discovery").otherwise("holdout")
+    return g.select(F.col("id").alias("doc_id"), F.col("group").alias("root"), side.alias("split"))

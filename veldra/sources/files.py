@@ -6,12 +6,13 @@ import io
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldra import storage
 from veldra.operators.contracts import ContractError, require_finite, require_unique
+from veldra.operators.windows import numbered
 
 OBSERVATION = T.StructType([
     T.StructField("frame_index", T.LongType()), T.StructField("timestamp_sec", T.DoubleType()), T.StructField("track_id", T.LongType()), T.StructField("class_id", T.LongType()),
@@ -80,7 +81,8 @@ def read_embedding_bundle(spark: SparkSession, matrix: str, index: str, id_: str
 def read_log(spark: SparkSession, path: str, schema: str = DECISION) -> DataFrame:
     """An append-only log with ``log_pos``, its line number: files in name order, lines in file order."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return df.withColumn("log_pos", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))).withColumn("log_pos", F.row_number().over(Window.orderBy("log_pos")).cast("long"))
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return numbered(df.withColumn("_at", at), [F.col("_at")], "log_pos").drop("_at")
 
 
 def write_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
