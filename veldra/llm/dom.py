@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 from collections import Counter
 from html import unescape
 
+import numpy as np
+
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
@@ -14,7 +17,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - {"body", "caption", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "optgroup": {"select"}, "p": {"table", "button", "td", "th"}}
-# Elements, roles and words of class and id attributes that aren't the article's own text.
+# Chosen words: elements, roles and words of class and id attributes that aren't the article's own text.
 UNWANTED = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video form button input select textarea datalist nav aside menu dialog footer title".split())
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar note status".split())
 UNWANTED_WORDS = frozenset(
@@ -24,7 +27,9 @@ UNWANTED_WORDS = frozenset(
 )
 HEADERS = frozenset(("header", "masthead", "banner"))
 COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
-DEPTH = 200
+
+#: Trees may nest this deep; Python's own frames don't use the stack of the process.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -100,45 +105,75 @@ def parse(html: str) -> Node:
         if tag in RAW and not raw.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
-        elif tag not in VOID and not (raw.endswith("/") and tag not in BLOCK) and len(stack) < DEPTH:
+        elif tag not in VOID and not (raw.endswith("/") and tag not in BLOCK):
             stack.append(node)
     return root
 
 
 # --- simple tree matching ---------------------------------------------------------------------------------------
 
-#: Child lists with a larger product of lengths are aligned by the order of equal labels instead.
-CELLS = 4096
-
-
-def _pairs_by_order(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
-    queues: dict[str, list[Node]] = {}
-    for x in b:
-        queues.setdefault(x.label, []).append(x)
-    used: dict[str, int] = {}
-    out = []
-    for x in a:
-        i = used.get(x.label, 0)
-        if i < len(queues.get(x.label, ())):
-            out.append((x, queues[x.label][i]))
-            used[x.label] = i + 1
-    return out
-
-
-def _content(node: Node) -> int:
-    """Hash of the whole subtree."""
-    return hash((node.label, node.text if node.tag == "#" else None, tuple(map(_content, node.kids))))
 
-
-def _pairs_by_anchors(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of two long lists: the longest run of equal subtrees that keeps order, and what lies between by label."""
+#: Child lists with a larger product of lengths are first cut at equal subtrees, as the table would take too much memory.
+CELLS = 1 << 23
+#: Smaller tables are filled by a plain loop, which is faster there.
+LOOP_CELLS = 200
+
+
+def _codes(x: list[Node], y: list[Node], key) -> tuple[np.ndarray, np.ndarray]:
+    known: dict = {}
+    return tuple(np.fromiter((known.setdefault(key(n), len(known)) for n in z), np.int64, len(z)) for z in (x, y))
+
+
+def _table(x: list[Node], y: list[Node], kept: dict):
+    """Best scores of all prefixes of two child lists, matched in order. In a large table a row is one vectorised step."""
+    if len(x) * len(y) <= LOOP_CELLS:
+        rows = [[0.0] * (len(y) + 1)]
+        for p in x:
+            last, row, best, label = rows[-1], [0.0], 0.0, p.label
+            for j, q in enumerate(y):
+                up = last[j + 1]
+                if label == q.label:
+                    s = last[j] + ((2 if p.text == q.text else 1) if label == "#" else _score(p, q, kept))
+                    if s > up:
+                        up = s
+                if up > best:
+                    best = up
+                row.append(best)
+            rows.append(row)
+        return rows
+    label_x, label_y = _codes(x, y, lambda n: n.label)
+    # Texts, and elements with one text: one more point if they are equal, else as many as the nodes that match.
+    simple = lambda n: n.tag == "#" or (len(n.kids) == 1 and n.kids[0].tag == "#")
+    simple_x, simple_y = (np.fromiter(map(simple, z), bool, len(z)) for z in (x, y))
+    text_x, text_y = _codes(x, y, lambda n: n.text if n.tag == "#" else n.kids[0].text if simple(n) else id(n))
+    size_x = np.fromiter((1.0 if n.tag == "#" else 2.0 for n in x), float, len(x))
+    other = np.flatnonzero(~simple_y)
+    rows = np.zeros((len(x) + 1, len(y) + 1), np.float32)
+    for i, p in enumerate(x):
+        same = label_y == label_x[i]
+        if simple_x[i]:
+            s = np.where(same & simple_y, size_x[i] + (text_y == text_x[i]), 0.0)
+            rest = other[same[other]]
+        else:
+            s, rest = np.zeros(len(y)), np.flatnonzero(same)
+        for j in rest:
+            s[j] = _score(p, y[j], kept)
+        last = rows[i]
+        now = np.maximum(last[1:], np.where(s > 0, last[:-1] + s, 0))
+        rows[i + 1, 1:] = np.maximum.accumulate(now)
+    return rows
+
+
+def _pairs_by_anchors(x: list[Node], y: list[Node]) -> list[tuple[list[Node], list[Node]]]:
+    """Parts of two very long lists: between the subtrees of the longest run that is equal and in order, and those themselves."""
     places: dict = {}
+    key = lambda n: (n.label, " ".join(t.text for t in texts(n)))
     for j, q in enumerate(y):
-        places.setdefault(_content(q), []).append(j)
+        places.setdefault(key(q), []).append(j)
     used: dict = {}
     tails, tops, chain = [], [], []  # patience sorting
     for i, p in enumerate(x):
-        k = _content(p)
+        k = key(p)
         at = used.get(k, 0)
         if at >= len(places.get(k, ())):
             continue
@@ -152,38 +187,32 @@ def _pairs_by_anchors(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
         anchors.append((i, j))
     out, a, b = [], 0, 0
     for i, j in [*reversed(anchors), (len(x), len(y))]:
-        out += _pairs_by_order(x[a:i], y[b:j])
+        u, v = x[a:i], y[b:j]
+        while u and v:  # without a common subtree: equal lengths at a time
+            out.append((u[:2048], v[:2048]))
+            u, v = u[2048:], v[2048:]
         if i < len(x):
-            out.append((x[i], y[j]))
+            out.append(([x[i]], [y[j]]))
         a, b = i + 1, j + 1
     return out
 
 
+def _parts(x: list[Node], y: list[Node]) -> list[tuple[list[Node], list[Node]]]:
+    return [(x, y)] if len(x) * len(y) <= CELLS else _pairs_by_anchors(x, y)
+
+
 def _score(a: Node, b: Node, kept: dict) -> float:
     """Size of the largest top-down matching that keeps order; equal texts count for two."""
     if a.label != b.label:
         return 0
     if a.tag == "#":
         return 2 if a.text == b.text else 1
-    x, y = a.kids, b.kids
-    if not x or not y:
-        return 1
-    if len(x) * len(y) > CELLS:
-        return 1 + sum(_score(p, q, kept) for p, q in _pairs_by_anchors(x, y))
-    rows = [[0.0] * (len(y) + 1)]
-    for p in x:
-        last, row, best = rows[-1], [0.0], 0.0
-        for j, q in enumerate(y):
-            s = _score(p, q, kept) if p.label == q.label else 0
-            up, diagonal = last[j + 1], last[j] + s
-            if s and diagonal > up:
-                up = diagonal
-            if up > best:
-                best = up
-            row.append(best)
-        rows.append(row)
-    kept[id(a), id(b)] = rows
-    return 1 + rows[-1][-1]
+    if len(a.kids) == 1 == len(b.kids) and a.kids[0].tag == "#" == b.kids[0].tag:
+        return 3 if a.kids[0].text == b.kids[0].text else 2
+    known = kept.get((id(a), id(b)))
+    if known is None:
+        known = kept[id(a), id(b)] = [(x, y, _table(x, y, kept)) for x, y in _parts(a.kids, b.kids)] if a.kids and b.kids else []
+    return 1 + sum(float(rows[-1][-1]) for _, _, rows in known)
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
@@ -198,19 +227,21 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
         out.append((p, q))
         if p.tag == "#" or not p.kids or not q.kids:
             continue
-        rows = kept.get((id(p), id(q)))
-        if rows is None:
-            todo.extend(_pairs_by_anchors(p.kids, q.kids))
+        if len(p.kids) == 1 == len(q.kids):
+            todo.append((p.kids[0], q.kids[0]))
             continue
-        i, j = len(p.kids), len(q.kids)
-        while i and j:
-            if rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((p.kids[i], q.kids[j]))
+        if (id(p), id(q)) not in kept:
+            _score(p, q, kept)
+        for x, y, rows in kept[id(p), id(q)]:
+            i, j = len(x), len(y)
+            while i and j:
+                if rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((x[i], y[j]))
     return out
 
 
@@ -218,10 +249,23 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
 
 
 def texts(node: Node):
-    if node.tag == "#":
-        yield node
-    for k in node.kids:
-        yield from texts(k)
+    """The texts of a tree in page order."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag == "#":
+            yield x
+        todo.extend(reversed(x.kids))
+
+
+def elements(node: Node):
+    """The elements of a tree in page order."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag != "#":
+            yield x
+            todo.extend(reversed(x.kids))
 
 
 def _words(root: Node) -> set[str]:
@@ -230,48 +274,104 @@ def _words(root: Node) -> set[str]:
 
 #: A text is template if so large a share of the unlike pages of a host has it.
 SHARE = 0.9
+#: Elements that hold text of their own rather than blocks: a slot isn't sought inside them.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote address caption figcaption a span b i em strong tr tbody thead ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def supported(seed: Node, page: Node, alike: float = 0.5) -> list[int] | None:
-    """Indexes of the seed's texts that the page has in the same place; None if the page is a copy of the seed.
+def weights(root: Node) -> dict[int, int]:
+    """Characters of text below each element, by its identity: without links and marked elements."""
+    out: dict[int, int] = {}
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        x, done = todo.pop()
+        if done:
+            out[id(x)] = sum(len(k.text.strip()) if k.tag == "#" else out[id(k)] for k in x.kids)
+        elif x.drop or x.tag == "a":
+            out[id(x)] = 0
+        else:
+            todo.append((x, True))
+            todo.extend((k, False) for k in x.kids if k.tag != "#")
+    return out
+
+
+def supported(seed: Node, page: Node, alike: float = 0.5) -> tuple[list[int], dict[int, int]] | None:
+    """Of a page aligned with a seed: the seed's texts that it has in the same place, and the characters of varying
+    text below each of the seed's elements that it has, both by their index; None if the page is a copy of the seed.
 
     Copies of a page say nothing about its template, so a page that shares more than half of its texts is passed over.
     """
     a, b = _words(seed), _words(page)
     if not a or not b or len(a & b) > alike * min(len(a), len(b)):
         return None
-    equal = {id(p) for p, q in align(seed, page) if p.tag == "#" and p.text == q.text}
-    return [i for i, t in enumerate(texts(seed)) if id(t) in equal and t.text.strip()]
+    _mark(page, False)
+    size = weights(page)
+    equal, found = set(), {}
+    for p, q in align(seed, page):
+        if p.tag == "#":
+            if p.text == q.text:
+                equal.add(id(p))
+        elif p.tag not in LEAVES:
+            found[id(p)] = size.get(id(q), 0)
+    index = {id(e): i for i, e in enumerate(elements(seed))}
+    return [i for i, t in enumerate(texts(seed)) if id(t) in equal and t.text.strip()], {index[k]: n for k, n in found.items()}
+
+
+def _slot(seed: Node, found: dict[int, tuple[int, int]], others: int) -> list[str] | None:
+    """Labels from the root to the slot that holds the article: where most of the varying text lies on nearly all pages.
+
+    ``found``: index of an element -> (pages that have it, characters below it on them). The way down ends at an
+    article or main element, where the text is spread over several elements, and beside headings.
+    """
+    order = {id(e): i for i, e in enumerate(elements(seed))}
+    at = lambda e: found.get(order[id(e)], (0, 0))
+    here, path = seed, []
+    while True:
+        kids = [k for k in here.kids if k.tag != "#" and k.tag not in LEAVES]
+        best = max(kids, key=lambda k: at(k)[1], default=None)
+        if best is None or here.tag in ("article", "main") and best.tag not in ("article", "main"):
+            break
+        pages, size = at(best)
+        if 2 * pages < others or size <= 0 or 2 * size < at(here)[1]:
+            break
+        if here.tag not in ("#root", "html", "body") and any(k.tag in HEADINGS for k in here.kids):
+            break
+        here = best
+        path.append(here.label)
+    return path if here.tag not in ("#root", "html", "body") else None
 
 
-def wrapper_of(seed: Node, counts: dict[int, int], others: int) -> tuple[int, list] | None:
-    """Wrapper: (number of unlike pages, template tree) from the pages other than the seed that have each of its texts.
+def wrapper_of(seed: Node, counts: dict[int, int], found: dict[int, tuple[int, int]], others: int) -> tuple[int, list | None, list[str] | None] | None:
+    """Wrapper: (number of unlike pages, template tree, slot) from what the pages other than the seed have of it.
 
     The template keeps the texts of at least ``SHARE`` of the pages, the seed among them, and what is above them, as
-    nested [label, text, children]. None without other pages or such texts.
+    nested [label, text, children]; slot: labels from the root to the article. None without other pages.
     """
+    if not others:
+        return None
     constant = {id(t) for i, t in enumerate(texts(seed)) if counts.get(i, 0) and counts[i] + 1 >= SHARE * (others + 1)}
+    below: dict[int, list] = {}
+    for e in reversed(list(elements(seed))):  # children before their parents
+        kids = [["#", k.text, []] if k.tag == "#" else below.pop(id(k), None) for k in e.kids if k.tag != "#" or id(k) in constant]
+        kids = [k for k in kids if k]
+        if kids:
+            below[id(e)] = [e.label, None, kids]
+    return others + 1, below.get(id(seed)), _slot(seed, found, others)
 
-    def pruned(node: Node):
-        if node.tag == "#":
-            return ["#", node.text, []] if id(node) in constant else None
-        kids = [x for x in map(pruned, node.kids) if x]
-        return [node.label, None, kids] if kids else None
 
-    tree = pruned(seed) if others else None
-    return (others + 1, tree) if tree else None
-
-
-def induce(pages: list[Node]) -> tuple[int, list] | None:
+def induce(pages: list[Node]) -> tuple[int, list | None, list[str] | None] | None:
     """Wrapper of same-host pages, with the first as the seed."""
     found = [x for x in (supported(pages[0], p) for p in pages[1:]) if x is not None]
-    return wrapper_of(pages[0], Counter(i for x in found for i in x), len(found))
+    pages_, size = Counter(i for _, x in found for i in x), Counter()
+    for _, x in found:
+        size.update(x)
+    return wrapper_of(pages[0], Counter(i for x, _ in found for i in x), {i: (pages_[i], size[i]) for i in pages_}, len(found))
 
 
-def _template(node: list, parent: Node | None = None) -> Node:
-    out = Node("#" if node[0] == "#" else "template", parent, node[1])
+def _template(node: list) -> Node:
+    out = Node("#" if node[0] == "#" else "template", None, node[1])
     out.label = node[0]
-    out.kids = [_template(k, out) for k in node[2]]
+    out.kids = [_template(k) for k in node[2]]
     return out
 
 
@@ -309,6 +409,14 @@ def _regions(node: Node, out: list[Node]) -> None:
         _regions(k, out)
 
 
+def _in_slot(root: Node, path: list[str]) -> list[Node]:
+    """The elements at the end of the way that these labels name, in page order."""
+    now = [root]
+    for label in path:
+        now = [k for x in now for k in x.kids if k.tag != "#" and k.label == label and not k.drop]
+    return now
+
+
 def _first(node: Node, tag: str) -> Node | None:
     if node.drop:
         return None
@@ -391,19 +499,24 @@ def _densest(root: Node, template: set[int]) -> Node:
     return best
 
 
-def main_text(root: Node, wrapper: tuple[int, list] | None = None) -> str:
-    """The article of a parsed page; ``wrapper``: of its host, if there is one."""
+def main_text(root: Node, wrapper: tuple[int, list | None, list[str] | None] | None = None) -> str:
+    """The article of a parsed page.
+
+    ``wrapper``, of its host if there is one, names the slot that varies and the template texts to leave out. Without
+    it, or where the page lacks the slot, the page's own structure decides: its articles, its main element, or the
+    element around the bulk of its text.
+    """
     _mark(root, False)
     template: set[int] = set()
-    if wrapper:
-        _, tree = wrapper
-        template = {id(b) for a, b in align(_template(tree), root) if a.tag == "#" and a.text == b.text}
     found: list[Node] = []
-    _regions(root, found)
-    if found:
-        region = max(found, key=lambda x: sum(map(len, blocks(x, set()))))
-    else:
-        region = _first(root, "main")
-    if region is None:
-        return "\n".join(blocks(_densest(root, template), template))
-    return "\n".join(blocks(region, template))
+    if wrapper:
+        _, tree, path = wrapper
+        if tree:
+            template = {id(b) for a, b in align(_template(tree), root) if a.tag == "#" and a.text == b.text}
+        found = _in_slot(root, path) if path else []
+    if not found:
+        _regions(root, found)
+    if not found:
+        only = _first(root, "main")
+        found = [_densest(root, template) if only is None else only]
+    return "\n".join(x for region in found for x in blocks(region, template))

@@ -1,9 +1,10 @@
 """HTML extraction by wrapper induction.
 
 A wrapper is induced for each host from all of its pages: their DOM trees are aligned with that of one seed page by
-simple tree matching; texts of the seed that nearly all pages have become the template. Every page is then aligned with its host's template, and the
-varying text of its article remains. Hosts with one page, or with copies of one page only, have no template; there the
-page's own structure decides.
+simple tree matching. Texts of the seed that nearly all pages have become the template. Of the elements that they have,
+the one in which most of the varying text lies is the slot of the article. A page's text is what its host's slot holds,
+without template texts and marked elements (menus, notices, forms, comments and the like). Hosts with one page, or with
+copies of one page only, have no wrapper; there, and on pages without the slot, the page's own structure decides.
 """
 
 from __future__ import annotations
@@ -30,18 +31,28 @@ def host_of(url: Column) -> Column:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html, seed) -> (host, text, n): pages of the batch that have a text of the seed; text -1: all unlike pages."""
+    """(host, html, seed) -> (host, kind, i, n, size), summed over the pages of a batch.
+
+    kind 0: all unlike pages; 1: pages that have the text i of the seed; 2: pages that have its element i, and the
+    characters of varying text below it.
+    """
     name = seed = None
     for batch in batches:
-        sums: Counter = Counter()
+        pages: Counter = Counter()
+        size: Counter = Counter()
         for host, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if host != name:
                 name, seed = host, dom.parse(first)
             found = dom.supported(seed, dom.parse(html))
             if found is not None:
-                sums.update((host, i) for i in (-1, *found))
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["host", "i", "n"])
+                pages[host, 0, 0] += 1
+                pages.update((host, 1, i) for i in found[0])
+                pages.update((host, 2, i) for i in found[1])
+                for i, n in found[1].items():
+                    size[host, 2, i] += n
+        if pages:
+            columns = [pa.array([k[j] for k in pages], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(pages.values()), pa.int64()), pa.array([size[k] for k in pages], pa.int64())], ["host", "kind", "i", "n", "size"])
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +60,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, seed, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = {c["i"]: c["n"] for c in counts}
-            if found := dom.wrapper_of(dom.parse(seed), n, n.get(-1, 0)):
+            others = sum(c["n"] for c in counts if c["kind"] == 0)
+            texts = {c["i"]: c["n"] for c in counts if c["kind"] == 1}
+            slots = {c["i"]: (c["n"], c["size"]) for c in counts if c["kind"] == 2}
+            if found := dom.wrapper_of(dom.parse(seed), texts, slots, others):
                 rows.append((host, json.dumps(found)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["host", "wrapper"])
 
@@ -73,8 +86,8 @@ def wrappers(pages: DataFrame, url: str, html: str, scratch: Scratch) -> DataFra
     size = seeds.agg(F.sum(F.octet_length("seed"))).first()[0] or 0
     small = F.broadcast(seeds) if size <= BROADCAST_BYTES else seeds
     others = base.join(sized(once), on, "left_semi").join(small, F.col("host") == F.col("_s")).where("html <> seed").select("host", "html", "seed")
-    counts = others.mapInArrow(_tally, "host string, i int, n long").groupBy("host", "i").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("host").agg(F.collect_list(F.struct("i", "n")).alias("counts"))
+    counts = others.mapInArrow(_tally, "host string, kind int, i int, n long, size long").groupBy("host", "kind", "i").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    counts = counts.groupBy("host").agg(F.collect_list(F.struct("kind", "i", "n", "size")).alias("counts"))  # as many as the seed has nodes
     return scratch.keep(seeds.join(counts, F.col("host") == F.col("_s")).select("host", "seed", "counts").mapInArrow(_build, "host string, wrapper string"), "wrappers")
 
 
