@@ -5,8 +5,9 @@ automaton into phrases, each the longest match with the sample (or one unseen ch
 the logarithm of the sample's length is the text's code length, and the language with the shortest wins.
 
 The automata are one transition table, and a batch of texts runs through it in lockstep: one NumPy step takes the next
-character of all texts in all languages. Texts are lower-cased; what isn't a letter separates words; a parse starts
-anew every ``SPAN`` characters, alike for all languages.
+character of all texts in all languages. Texts are lower-cased; what isn't a letter separates words. Whole texts are
+parsed: long ones run in spans side by side, each as if a phrase began there; then every span is followed again from the
+state in which the one before it ended, up to the place where both ways meet, which puts its count right.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from veldra.llm import textcodes as tc
 
-#: Bounds of the sample: rows of a language, characters of a row and of a language.
-SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS = 64, 2000, 40_000
-#: More labels than this are refused, as each takes a model.
-MAX_LANGUAGES = 256
+#: Bounds of the sample that is learned from: rows and characters of a language, characters of all languages together,
+#: and languages, of which those with the most labelled rows are learned.
+SAMPLE_ROWS, LANGUAGE_CHARS, ALL_CHARS, MAX_LANGUAGES = 64, 40_000, 2_000_000, 256
+#: Characters of a text that are parsed side by side with others; results don't depend on it.
 SPAN = 512
 UNDETERMINED = "und"
 
@@ -132,19 +133,56 @@ def code_lengths(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np
     text = np.repeat(np.arange(n), spans)
     at = first[text] + SPAN * (np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans))
     size = np.minimum(SPAN, stop[text] - at)
+    phrases, end = _parse(model, code, at, size)
+    _rejoin(model, code, at, size, text, phrases, end)
+    total = np.stack([np.bincount(text, p, n) for p in phrases]) if len(phrases) else np.zeros((0, n))
+    return total.T * model.bits[None, :], n_letters
+
+
+def _parse(model: LanguageModel, code: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases, last state) of each span in each language, if a phrase begins with the span."""
     order = np.argsort(-size, kind="stable")
-    text, at, size = text[order], at[order], size[order]
+    at, size = at[order], size[order]
     live = np.searchsorted(-size, -np.arange(1, SPAN + 1), "right")
     width, flat = model.codes, model.table.ravel()
-    state = np.repeat(model.roots[:, None], len(text), axis=1)
-    phrases = np.zeros(state.shape, np.int32)
+    state = np.repeat(model.roots[:, None], len(at), axis=1)
+    phrases = np.zeros(state.shape, np.int64)
     for t in range(int(size[0]) if len(size) else 0):
         m = live[t]
         v = flat[state[:, :m] * width + code[at[:m] + t]]
         phrases[:, :m] += v & 1
         state[:, :m] = v >> 1
-    total = np.stack([np.bincount(text, p, n) for p in phrases]) if len(phrases) else np.zeros((0, n))
-    return total.T * model.bits[None, :], n_letters
+    out = np.empty_like(phrases), np.empty_like(state)
+    out[0][:, order], out[1][:, order] = phrases, state
+    return out
+
+
+def _rejoin(model: LanguageModel, code: np.ndarray, at: np.ndarray, size: np.ndarray, text: np.ndarray, phrases: np.ndarray, end: np.ndarray) -> None:
+    """Make the counts those of whole texts: follow each span from the state in which the one before it really ends."""
+    width, flat = model.codes, model.table.ravel()
+    first, lone_end = phrases.copy(), end.copy()
+    todo = np.flatnonzero(text[1:] == text[:-1]) + 1
+    while len(todo):
+        now = todo
+        lone, true = np.repeat(model.roots[:, None], len(now), axis=1), end[:, now - 1].copy()
+        more, t = np.zeros(lone.shape, np.int64), 0
+        apart = np.arange(len(now))
+        while True:
+            apart = apart[(lone[:, apart] != true[:, apart]).any(axis=0) & (size[now[apart]] > t)]
+            if not len(apart):
+                break
+            c = code[at[now[apart]] + t]
+            u, v = flat[lone[:, apart] * width + c], flat[true[:, apart] * width + c]
+            more[:, apart] += (v & 1) - (u & 1)
+            lone[:, apart], true[:, apart] = u >> 1, v >> 1
+            t += 1
+        phrases[:, now] = first[:, now] + more
+        # Where both ways met the span ends as it does alone; else the next span begins in another state than was taken.
+        last = np.where(lone != true, true, lone_end[:, now])
+        moved = now[(last != end[:, now]).any(axis=0)]
+        end[:, now] = last
+        after = moved + 1
+        todo = after[(after < len(text)) & (text[np.minimum(after, len(text) - 1)] == text[moved])]
 
 
 def _predictor(held):
@@ -175,25 +213,29 @@ def _predictor(held):
 
 
 def fit(docs: DataFrame, doc: str, text: str, lang: str, usable: Column) -> LanguageModel:
-    """Models of all labels of rows for which ``usable`` holds.
+    """Models of the labels of rows for which ``usable`` holds.
 
     For each label and each of ``SAMPLE_ROWS`` buckets of ids, the row with the smallest hash: a partial aggregate and
-    one more scan, however many rows a label has. The bounds of the sample are the constants above.
+    one more scan, however many rows a label has. The bounds of the sample are the constants above; whole rows are
+    taken in the order of their hashes until the characters of a language are reached. Of more labels than
+    ``MAX_LANGUAGES`` those with the most rows are learned, ties by name. Rows with a null label, id or text teach
+    nothing; without any row every text is undetermined. Repeated rows count once.
     """
     h = F.xxhash64(F.col(doc), F.lit(7))
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(doc).isNotNull())
-    picks = rows.groupBy(F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(doc)), F.lit(SAMPLE_ROWS)).alias("b")).agg(F.min(h).alias("h"))
-    found = picks.limit(MAX_LANGUAGES * SAMPLE_ROWS + 1).collect()
-    if len({r.l for r in found}) > MAX_LANGUAGES or len(found) > MAX_LANGUAGES * SAMPLE_ROWS:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not found:
+    names = [r.l for r in rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()]
+    if not names:
         return build_model({})
-    chosen = rows.where(h.isin([r.h for r in found])).select(F.col(lang).alias("l"), h.alias("h"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, ROW_CHARS).alias("t")).distinct().collect()
+    rows = rows.where(F.col(lang).isin(names))
+    picks = rows.groupBy(F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(doc)), F.lit(SAMPLE_ROWS)).alias("b")).agg(F.min(h).alias("h"))
+    found = picks.collect()  # MAX_LANGUAGES * SAMPLE_ROWS at most
+    most = min(LANGUAGE_CHARS, ALL_CHARS // len(names))
+    chosen = rows.where(h.isin([r.h for r in found])).select(F.col(lang).alias("l"), h.alias("h"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, most).alias("t")).distinct().collect()
     wanted = {(r.l, r.h) for r in found}
     samples: dict[str, str] = {}
     for r in sorted(chosen, key=lambda r: (r.l, r.h, r.t)):
         if (r.l, r.h) in wanted:
-            samples[r.l] = f"{samples.get(r.l, '')} {normalised(r.t)}"[:LANGUAGE_CHARS]
+            samples[r.l] = f"{samples.get(r.l, '')} {normalised(r.t)}"[:most]
     return build_model({k: v.strip() for k, v in samples.items()})
 
 

@@ -166,19 +166,26 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
 def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, label: str, usable: Column, sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
     """Fit on labelled documents for which ``usable`` (over ``label_doc``) holds.
 
-    The sample is bounded: the ``sample_rows`` labels with the smallest hashes. Other labels than 0 and 1 are ignored.
+    The sample is bounded: the ``sample_rows`` labels with the smallest hashes, and ``4 * sample_rows`` of their
+    documents, in the order of the same hashes, should ids be repeated. Other labels than 0 and 1, null among them, and
+    labels without a document are ignored; a null text counts as empty. The order of rows doesn't matter. Without rows
+    every score is 0.5.
     """
     picked = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(label_doc).alias("_d"), F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("_d"), "_d", "_y").limit(sample_rows)
     joined = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_d"))  # sample_rows at most
     stats = statistics(F.col("_text"))
-    rows = joined.select("_y", *(c.cast("double").alias(k) for k, c in stats.items())).limit(4 * sample_rows).collect()
+    full = joined.select("_d", "_y", *(c.cast("double").alias(k) for k, c in stats.items()))
+    rows = full.orderBy(F.xxhash64("_d"), "_d", "_y", *stats).limit(4 * sample_rows).drop("_d").collect()
     a = np.array([tuple(r) for r in rows], float).reshape(len(rows), len(stats) + 1)
     a = a[np.lexsort(a.T)]  # the order of rows must not matter
     return fit_rules(list(stats), a[:, 1:], a[:, 0])
 
 
 def with_score(df: DataFrame, text: str, model: RuleEnsemble, into: str = "score") -> DataFrame:
-    """``df`` with the score of each whole text; a column already called ``into`` is replaced, others stay."""
+    """``df`` with the score of each whole text, 0 to 1; a column already called ``into`` is replaced, others stay.
+
+    A null text is scored like an empty one; repeated rows each return; an empty table stays empty.
+    """
     keep = [c for c in df.columns if c != into]
     row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row")
     stats = df.select(row, F.struct(*(c.cast("double").alias(k) for k, c in statistics(F.col(text)).items())).alias("_stats"))
