@@ -45,6 +45,14 @@ SPACED = word_bytes({0x20, *range(0x09, 0x0E)})
 ALNUM = word_bytes({*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)})
 
 
+#: ASCII white space, letters, and the rest of ASCII.
+SPACE = np.zeros(256, bool)
+SPACE[[*range(0x09, 0x0E), 0x20]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+SIGN = ~SPACE & ~LETTER & (np.arange(256) < 128)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES)
