@@ -3,26 +3,32 @@
 Every Arrow batch of training documents is cut into shards of bounded size. A shard gets a suffix array over its word
 sequence (by rank combination, to a context of 16 words). Every suffix of every benchmark item is located by binary
 search for its window, and each match is extended to its longest verbatim length. A document lies whole in one shard,
-so no shuffle is needed, and a lost executor costs its own shards.
+so no shuffle is needed, and a lost executor costs its own shards. A small benchmark is broadcast; a larger one is written
+in blocks to the shared folder, and each shard is searched for one block after another, so that a task holds one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.dataset
+import pyarrow.fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldra.llm import textcodes as tc
+from veldra.storage import Scratch, exists
 
 #: Words that a benchmark item's window has; a shorter item is one window.
 WINDOW = 10
 #: Words of context by which suffixes are ordered; longer matches are extended word by word.
 CONTEXT = 16
-#: Bytes of benchmark text that are broadcast at once; larger benchmarks are taken block by block.
+#: Bytes of benchmark text that are broadcast or read at once; larger benchmarks are taken block by block.
 BLOCK_BYTES = 16 << 20
+_kept: list = [None, None]
 _PAIRS = 1 << 20
 
 
@@ -81,18 +87,25 @@ def _bounds(sa: np.ndarray, seq: np.ndarray, want: np.ndarray, width: np.ndarray
         hi[live] = np.where(right, hi[live], mid)
 
 
-def longest_matches(seq: np.ndarray, bench: Benchmark) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+class SuffixArray:
+    """Of the word hashes of a shard, 0 between documents."""
+
+    def __init__(self, seq: np.ndarray):
+        self.vocabulary, self.ranks = np.unique(seq, return_inverse=True)
+        self.order = suffix_array(self.ranks)
+
+
+def longest_matches(shard: SuffixArray, bench: Benchmark) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(benchmark position, training position, length) of verbatim matches that can't be extended on either side.
 
-    ``seq``: word hashes of a shard, 0 between documents. Yields bounded groups.
+    Yields bounded groups.
     """
-    if not len(seq) or not len(bench.test):
+    vocabulary, ranks, sa = shard.vocabulary, shard.ranks, shard.order
+    if not len(ranks) or not len(bench.test):
         return
-    vocabulary, ranks = np.unique(seq, return_inverse=True)
     where = np.searchsorted(vocabulary, bench.words)
     known = (where < len(vocabulary)) & (vocabulary[np.minimum(where, len(vocabulary) - 1)] == bench.words)
     target = np.where(known, where, len(vocabulary) + 1)
-    sa = suffix_array(ranks)
     most = int(bench.width.max())
     grid = np.minimum(bench.test[:, None] + np.arange(most)[None, :], len(target) - 1)
     want = target[grid]
@@ -122,27 +135,70 @@ def longest_matches(seq: np.ndarray, bench: Benchmark) -> Iterator[tuple[np.ndar
         yield i, p, size
 
 
-def _shard(data: np.ndarray, offsets: np.ndarray, bench: Benchmark):
-    """(words of each text, hit spans of each text, items of each text, matches) of one shard."""
-    h, _, _, at = tc.words(data, offsets, tc.ALNUM)
-    n = np.diff(at)
-    doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(h)) + doc  # a gap of one after each text
-    seq = np.zeros(len(h) + len(n), np.uint64)
-    seq[place] = np.where(h == 0, np.uint64(1), h)
-    shift = at[:-1] + np.arange(len(n))
-    change = np.zeros(len(seq) + 1, np.int64)
-    found = []
-    for i, p, size in longest_matches(seq, bench):
-        np.add.at(change, p, 1)
-        np.add.at(change, p + size, -1)
-        d = np.searchsorted(shift, p, "right") - 1
-        found.append(np.stack((d, bench.item[i], p - shift[d], size, i - bench.begin[i])))
-    hit = (np.cumsum(change[:-1]) > 0).astype(np.int8)
-    edge = np.diff(np.concatenate(([0], hit, [0])))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    d = np.searchsorted(shift, a, "right") - 1
-    return n, (d, a - shift[d], b - shift[d]), np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+class Shard:
+    """Some texts, their suffix array, and what was found in them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        h, _, _, at = tc.words(data, offsets, tc.ALNUM)
+        self.n = np.diff(at)
+        place = np.arange(len(h)) + np.repeat(np.arange(len(self.n)), self.n)  # a gap of one after each text
+        seq = np.zeros(len(h) + len(self.n), np.uint64)
+        seq[place] = np.where(h == 0, np.uint64(1), h)
+        self.shift = at[:-1] + np.arange(len(self.n))
+        self.array = SuffixArray(seq)
+        self.change = np.zeros(len(seq) + 1, np.int64)
+        self.found: list[np.ndarray] = []
+
+    def search(self, bench: Benchmark) -> None:
+        for i, p, size in longest_matches(self.array, bench):
+            np.add.at(self.change, p, 1)
+            np.add.at(self.change, p + size, -1)
+            d = np.searchsorted(self.shift, p, "right") - 1
+            self.found.append(np.stack((d, bench.item[i], p - self.shift[d], size, i - bench.begin[i])))
+
+    def matches(self) -> np.ndarray:
+        """Columns (text, item, place in the text, length, place in the item)."""
+        return np.concatenate([np.zeros((5, 0), np.int64), *self.found], axis=1)
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, one past the last) of the runs of words that matches cover."""
+        hit = (np.cumsum(self.change[:-1]) > 0).astype(np.int8)
+        edge = np.diff(np.concatenate(([0], hit, [0])))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        d = np.searchsorted(self.shift, a, "right") - 1
+        return d, a - self.shift[d], b - self.shift[d]
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """A benchmark of bounded size (``small``), or the folders of its blocks."""
+
+    small: Benchmark | None
+    folders: tuple[str, ...] = ()
+
+    def each(self) -> Iterator[Benchmark]:
+        if self.small is not None:
+            yield self.small
+        for folder in self.folders:
+            if _kept[0] != folder:
+                table = _read(folder)
+                _kept[:] = [folder, Benchmark(table.column("i").to_pylist(), table.column("t").to_pylist())]
+            yield _kept[1]
+
+
+def _read(folder: str) -> pa.Table:
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+    return pyarrow.dataset.dataset(path, filesystem=fs, format="parquet").to_table()
+
+
+def _searched(column: pa.Array, blocks: Blocks) -> list[tuple[int, Shard]]:
+    """The shards of a batch with the number of their first row, searched for all blocks."""
+    data, offsets = tc.utf8(column)
+    shards = [(a, Shard(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in tc.chunks(offsets)]
+    for bench in blocks.each():
+        for _, shard in shards:
+            shard.search(bench)
+    return shards
 
 
 _RESULT = "n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
@@ -156,16 +212,14 @@ def _searcher(held):
     """Arrow UDF: text -> (words, hit spans, items)."""
 
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bench = held.value
         for column in batches:
-            data, offsets = tc.utf8(column)
             out = [[], [], [], [], [], []]
-            for a, b in tc.chunks(offsets):
-                n, (d, s, e), m = _shard(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bench)
-                pair = np.unique(np.stack((m[0], m[1])), axis=1)
-                for to, x in zip(out, (n, d + a, s, e, pair[0] + a, pair[1]), strict=True):
+            for a, shard in _searched(column, held.value):
+                d, s, e = shard.hits()
+                pair = np.unique(shard.matches()[:2], axis=1)
+                for to, x in zip(out, (shard.n, d + a, s, e, pair[0] + a, pair[1]), strict=True):
                     to.append(x)
-            n, d, s, e, di, it = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            n, d, s, e, di, it = (np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
             spans = pa.StructArray.from_arrays([pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["start", "stop"])
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), _lists(d, len(column), spans), _lists(di, len(column), pa.array(it, pa.int64()))], ["n_words", "spans", "items"])
 
@@ -174,69 +228,49 @@ def _searcher(held):
     return F.arrow_udf(search, _RESULT, ArrowUDFType.SCALAR_ITER)
 
 
-def benchmark_blocks(spark: SparkSession, bench: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES):
-    """Broadcast blocks of the benchmark, each of at most ``block_bytes`` of text (or one item). Null texts have no words."""
-    rows, size = [], 0
-    for r in bench.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).toLocalIterator():
-        n = len(r.t.encode())
-        if rows and size + n > block_bytes:
-            yield spark.sparkContext.broadcast(Benchmark([x for x, _ in rows], [t for _, t in rows]))
-            rows, size = [], 0
-        rows.append((r.i, r.t))
-        size += n
-    yield spark.sparkContext.broadcast(Benchmark([x for x, _ in rows], [t for _, t in rows]))
-
-
-def merged_spans(spans):
-    """Column: sorted spans with overlapping or touching ones joined."""
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-
-    def add(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["stop"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+def benchmark_blocks(bench: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES):
+    """A broadcast of ``Blocks``: the benchmark itself up to ``block_bytes`` of text, else the folders of blocks of about that size.
 
-    return F.aggregate(F.array_sort(spans), empty, add)
-
-
-def find_contamination(docs: DataFrame, text: str, bench: DataFrame, item: str, item_text: str, into: str = "contamination") -> DataFrame:
+    Null texts have no words; rows with a null item id take no part; repeated rows count once.
+    """
+    spark = bench.sparkSession
+    rows = bench.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct()
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count(F.lit(1))).first()
+    if size + 16 * n <= block_bytes:
+        found = rows.collect()  # block_bytes at most
+        return spark.sparkContext.broadcast(Blocks(Benchmark([r.i for r in found], [r.t for r in found])))
+    parts = -(-(size + 16 * n) // block_bytes)
+    folder = Scratch(spark, "benchmark").fresh("blocks")
+    rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(parts))).repartition(parts, "block").write.partitionBy("block").parquet(folder)
+    names = [f"{folder}/block={k}" for k in range(parts)]
+    return spark.sparkContext.broadcast(Blocks(None, tuple(x for x in names if exists(spark, x))))
+
+
+def find_contamination(docs: DataFrame, text: str, bench: DataFrame, item: str, item_text: str, into: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, spans (word positions that benchmark windows cover), items.
 
     Null texts have no words; a column already called ``into`` is replaced, others stay; an empty benchmark hits nothing.
     A null item id takes no part. Repeated rows are judged alike.
     """
     tc.bounded_batches(docs.sparkSession)
-    base = docs.drop(into)
-    bench = bench.where(F.col(item).isNotNull())
-    found = [_searcher(b)(F.col(text)) for b in benchmark_blocks(docs.sparkSession, bench, item, item_text)]
-    if len(found) == 1:
-        return base.withColumn(into, found[0])
-    names = [f"_{into}_{i}" for i in range(len(found))]
-    out = base.withColumns(dict(zip(names, found, strict=True)))
-    spans = merged_spans(F.flatten(F.array(*(F.col(f"{n}.spans") for n in names))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{n}.items") for n in names)))))
-    return out.withColumn(into, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))).drop(*names)
+    return docs.drop(into).withColumn(into, _searcher(benchmark_blocks(bench, item, item_text, block_bytes))(F.col(text)))
 
 
 def decontaminate(docs: DataFrame, text: str, bench: DataFrame, item: str, item_text: str) -> DataFrame:
-    """``docs`` without the rows in which any benchmark window occurs."""
+    """``docs`` without the rows in which any benchmark window occurs. Null and empty texts stay."""
     into = "_contamination"
     return find_contamination(docs, text, bench, item, item_text, into).where(F.size(f"{into}.items") == 0).drop(into)
 
 
-def locations(docs: DataFrame, doc: str, text: str, bench: DataFrame, item: str, item_text: str) -> DataFrame:
+def locations(docs: DataFrame, doc: str, text: str, bench: DataFrame, item: str, item_text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, doc_start, item_id, item_start, n_words) of each longest verbatim match; word positions from 0."""
     tc.bounded_batches(docs.sparkSession)
-    out = None
-    for held in benchmark_blocks(docs.sparkSession, bench.where(F.col(item).isNotNull()), item, item_text):
-
-        def search(batches, held=held):
-            for batch in batches:
-                data, offsets = tc.utf8(batch.column(1))
-                for a, b in tc.chunks(offsets):
-                    _, _, m = _shard(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], held.value)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(m[0] + a)), *(pa.array(x, pa.int64()) for x in (m[2], m[1], m[4], m[3]))], ["doc_id", "doc_start", "item_id", "item_start", "n_words"])
-
-        part = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, "doc_id long, doc_start long, item_id long, item_start long, n_words long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    held = benchmark_blocks(bench, item, item_text, block_bytes)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, shard in _searched(batch.column(1), held.value):
+                m = shard.matches()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(m[0] + a)), *(pa.array(x, pa.int64()) for x in (m[2], m[1], m[4], m[3]))], ["doc_id", "doc_start", "item_id", "item_start", "n_words"])
+
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, "doc_id long, doc_start long, item_id long, item_start long, n_words long")

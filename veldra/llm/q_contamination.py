@@ -10,6 +10,11 @@ from veldra.session import table
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document.
+
+    Null and empty texts have no words and no hits; repeated rows each return; null item ids and empty items take no
+    part; an empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", "c")
     items = F.concat_ws(",", F.array_sort(F.transform("c.items", lambda x: x.cast("string"))))
