@@ -41,6 +41,13 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
 
+#: Rules beyond the base: headers of private keys, and signed web tokens.
+MORE_RULES = (
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, "PRIVATE KEY-----"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, ".eyJ"),
+)
+RULES = BASE_RULES + MORE_RULES
+
 LEDGER_KEYS = ["blob", "rule", "rule_version"]
 _SCANNED = "blob string, rule string, rule_version int"
 _FINDINGS = _SCANNED + ", start long, stop long"
@@ -60,7 +67,7 @@ def _matches(text: Column, rule: Rule) -> Column:
     return F.when(can, found)
 
 
-def scan_blobs(blobs: DataFrame, rules=BASE_RULES) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     """(blob, rule, rule_version, start, stop) of every match in the ``text`` of distinct blobs; code points, end exclusive."""
     per_rule = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version"), F.lit(r.least).alias("least"), _matches(F.col("text"), r).alias("found")) for r in rules))
     # The rows of a blob already lie together, so the running sums need no further shuffle.
@@ -94,11 +101,12 @@ class Ledger:
         df.write.parquet(f"{self.folder}/{name}/run={run}")
 
 
-def update(spark: SparkSession, versions: DataFrame, content: str, folder: str, rules=BASE_RULES) -> Ledger:
+def update(spark: SparkSession, versions: DataFrame, content: str, folder: str, rules=RULES) -> Ledger:
     """Scan what is unseen in the ``content`` column of all historical ``versions`` and commit it to the ledger.
 
-    Only one text per unseen blob is shuffled and scanned; groups of copies are reduced before the shuffle. An empty
-    table commits nothing new; scanning the same versions again scans nothing.
+    Only one text per unseen blob is shuffled and scanned; groups of copies are reduced before the shuffle. Null content
+    is the empty blob; repeated rows and versions are one blob; other columns don't matter. An empty table commits
+    nothing new; scanning the same versions again scans nothing.
     """
     ledger, run = Ledger(spark, folder), uuid.uuid4().hex
     text = F.coalesce(F.col(content), F.lit(""))
@@ -122,12 +130,12 @@ def update(spark: SparkSession, versions: DataFrame, content: str, folder: str,
     return ledger
 
 
-def span_order(rules=BASE_RULES) -> Column:
+def span_order(rules=RULES) -> Column:
     """Rank of a rule in the stated order."""
     return F.coalesce(*(F.when(F.col("rule") == r.kind, F.lit(i)) for i, r in enumerate(rules)), F.lit(len(rules)))
 
 
-def spans_by_blob(ledger: Ledger, rules=BASE_RULES) -> DataFrame:
+def spans_by_blob(ledger: Ledger, rules=RULES) -> DataFrame:
     """(blob, spans): the findings of the given rules as an array of (start, rank, rule, stop), by start, then rank."""
     current = F.lit(False)
     for r in rules:
@@ -136,7 +144,7 @@ def spans_by_blob(ledger: Ledger, rules=BASE_RULES) -> DataFrame:
     return ledger.findings().where(current).groupBy("blob").agg(F.array_sort(F.collect_set(row)).alias("spans"))
 
 
-def with_spans(df: DataFrame, content: str, ledger: Ledger, rules=BASE_RULES, into: str = "secret_spans") -> DataFrame:
+def with_spans(df: DataFrame, content: str, ledger: Ledger, rules=RULES, into: str = "secret_spans") -> DataFrame:
     """Every row of ``df`` with the spans found in its content, an empty array where there are none.
 
     A column already called ``into`` is replaced; other columns stay. Groups of copies larger than a partition are
