@@ -75,44 +75,54 @@ def block_pairs(rows: DataFrame, salt: int) -> DataFrame:
     return both.select(F.xxhash64("node", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("key"), "item", "comp")
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each block, from batches sorted by their first column, the key."""
-    held: list[pa.Table] = []
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of some whole blocks, where each begins and the end), from batches sorted by their first column, the key."""
+    held: list[pa.RecordBatch] = []
+
+    def table() -> tuple[pa.Table, np.ndarray]:
+        out = pa.Table.from_batches(held)
+        key = out.column(0).to_numpy()
+        return out, np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
     for batch in batches:
         if not len(batch):
             continue
-        table = pa.Table.from_batches([batch])
         key = batch.column(0).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        if held and held[0].column(0)[0].as_py() != int(key[0]):
-            yield pa.concat_tables(held)
+        last = len(key) - int((key[::-1] != key[-1]).argmax()) if key[0] != key[-1] else 0
+        if held and (last or held[0].column(0)[0].as_py() != int(key[0])):
+            held.append(batch.slice(0, last))
+            yield table()
             held = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(table.slice(a, b - a))
+        elif last:
+            held = [batch.slice(0, last)]
+            yield table()
+            held = []
+        held.append(batch.slice(last))
     if held:
-        yield pa.concat_tables(held)
+        yield table()
 
 
 def column(table: pa.Table, i: int) -> np.ndarray:
     return table.column(i).to_numpy()
 
 
-def in_blocks(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``work`` on the rows of each block; the first column of ``rows`` is the key."""
+def in_blocks(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``work`` on the rows of whole blocks and their edges; the first column of ``rows`` is the key."""
     key = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_block(batches):
-            out = work(table)
+        for table, edges in whole_groups(batches):
+            out = work(table, edges)
             if out is not None and len(out):
                 yield out
 
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+#: Blocks of up to so many items are compared many at a time.
+FEW = 8
+
+
 def agreeing(tokens: np.ndarray, comps: np.ndarray, least: int) -> np.ndarray:
     """True for each item that agrees in ``least`` tokens with an item of another component."""
     n = len(tokens)
@@ -127,6 +137,23 @@ def agreeing(tokens: np.ndarray, comps: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def agreeing_in_blocks(tokens: np.ndarray, comps: np.ndarray, edges: np.ndarray, least: int) -> np.ndarray:
+    """``agreeing`` in each block."""
+    out, size = np.zeros(len(tokens), bool), np.diff(edges)
+    for n in range(2, FEW + 1):
+        first = edges[:-1][size == n]
+        step = max(1, CELLS // (n * n * tokens.shape[1]))
+        for a in range(0, len(first), step):
+            at = first[a : a + step, None] + np.arange(n)[None, :]
+            t, c = tokens[at], comps[at]
+            same = (t[:, :, None, :] == t[:, None, :, :]).sum(axis=3, dtype=np.int16)
+            out[at] = ((same >= least) & (c[:, :, None] != c[:, None, :])).any(axis=2)
+    for g in np.flatnonzero(size > FEW):
+        own = slice(edges[g], edges[g + 1])
+        out[own] = agreeing(tokens[own], comps[own], least)
+    return out
+
+
 def similar(sets: list[np.ndarray], numerator: int) -> np.ndarray:
     """Matrix of the pairs of sorted sets with 100 * intersection >= numerator * union; empty sets are like nothing."""
     n = len(sets)
@@ -173,12 +200,55 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def linked_items(items: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], numerator: int) -> pa.RecordBatch:
-    """(a, b): a spanning forest of a block's links between components."""
-    links = similar(sets, numerator)
-    links &= comps[:, None] != comps[None, :]
-    a, b = forest(links)
-    return pa.RecordBatch.from_arrays([pa.array(items[a], pa.int64()), pa.array(items[b], pa.int64())], ["a", "b"])
+def _few(sets: list[np.ndarray], rows: np.ndarray, group: np.ndarray, numerator: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``rows`` of one group with 100 * intersection >= numerator * union, from the elements that they share."""
+    size = np.fromiter((len(sets[i]) for i in rows), np.int64, len(rows))
+    place = np.repeat(np.arange(len(rows)), size)
+    flat = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in rows)])
+    order = np.lexsort((flat, group[place]))
+    flat, place = flat[order], place[order]
+    n = len(rows)
+    codes = [np.zeros(0, np.int64)]
+    for d in range(1, FEW):
+        both = np.flatnonzero((flat[d:] == flat[:-d]) & (group[place[d:]] == group[place[:-d]])) if len(flat) > d else np.zeros(0, np.int64)
+        if not len(both):
+            break
+        x, y = place[both], place[both + d]
+        codes.append(np.minimum(x, y) * n + np.maximum(x, y))
+    code, common = np.unique(np.concatenate(codes), return_counts=True)
+    i, j = code // n, code % n
+    near = 100 * common >= numerator * (size[i] + size[j] - common)
+    return rows[i[near]], rows[j[near]]
+
+
+def linked_in_blocks(items: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], edges: np.ndarray, numerator: int) -> pa.RecordBatch:
+    """(a, b): a spanning forest of the links between components in each block; ``sets``: sorted and distinct."""
+    size = np.diff(edges)
+    group = np.repeat(np.arange(len(size)), size)
+    rows = np.flatnonzero((size[group] > 1) & (size[group] <= FEW))
+    i, j = _few(sets, rows, group[rows], numerator)
+    other = comps[i] != comps[j]
+    a, b, root = [], [], {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for x, y in zip(i[other].tolist(), j[other].tolist(), strict=True):
+        u, v = top(x), top(y)
+        if u != v:
+            root[u] = v
+            a.append(x)
+            b.append(y)
+    for g in np.flatnonzero(size > FEW):
+        first, stop = edges[g], edges[g + 1]
+        links = similar(sets[first:stop], numerator)
+        links &= comps[first:stop, None] != comps[None, first:stop]
+        x, y = forest(links)
+        a += (x + first).tolist()
+        b += (y + first).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(items[np.array(a, np.int64)], pa.int64()), pa.array(items[np.array(b, np.int64)], pa.int64())], ["a", "b"])
 
 
 class Forest:
@@ -195,14 +265,13 @@ class Forest:
         old, self.components = self.components, self.scratch.keep(components_of(self.links, self.scratch), "components")
         self.scratch.drop(old)
 
-    def compare(self, rows: DataFrame, salt: int, linked: Callable[[DataFrame], DataFrame], last: bool = False) -> DataFrame:
-        """Compare the items of nodes, ``rows``: (node, item, size), and return the rows of nodes that are too large.
+    def compare(self, shared: DataFrame, salt: int, linked: Callable[[DataFrame], DataFrame], last: bool = False) -> DataFrame | None:
+        """Compare the items of nodes, ``shared``: a table from ``shared_rows``, and return the rows (node, item) of those too large.
 
         ``linked``: rows (key, item, comp) -> links of each block, a written table. The blocks of a node come first, so
         that groups contract; what is still in several components then meets block by block, in nodes of up to
         ``BLOCKS`` blocks, or in all of them if this is the ``last`` comparison.
         """
-        shared = shared_rows(rows, self.scratch)
         mixed = mixed_rows(shared, self.components, self.scratch)
         self.add(linked(mixed.select(block_key(salt).alias("key"), "item", "comp")))
         more = F.col("blocks") > 1 if last else F.col("blocks").between(2, BLOCKS)
@@ -211,7 +280,7 @@ class Forest:
             again = mixed_rows(several, self.components, self.scratch)
             self.add(linked(block_pairs(again.where("blocks > 1"), salt)))
             self.scratch.drop(again)
-        large = self.scratch.keep(mixed.where(F.lit(not last) & (F.col("blocks") > BLOCKS)).select("node", "item"), "large")
+        large = None if last else self.scratch.keep(mixed.where(F.col("blocks") > BLOCKS).select("node", "item"), "large")
         self.scratch.drop(shared, mixed)
         return large
 

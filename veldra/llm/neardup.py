@@ -74,12 +74,9 @@ def _links(rows: DataFrame, tokens: DataFrame, docs: DataFrame, doc: str, text:
     t = tokens.select(F.col("item").alias("_item"), F.col("tok").alias("tok"))
     sketched = rows.join(t, F.col("item") == t["_item"]).select("key", "item", "comp", "tok")
 
-    def promising(table: pa.Table) -> pa.RecordBatch | None:
-        comps = clusters.column(table, 2)
-        if len(comps) < 2 or (comps == comps[0]).all():
-            return None
-        own = table.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(comps), TOKENS)
-        hit = clusters.agreeing(own, comps, AGREE)
+    def promising(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch | None:
+        tok = table.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), TOKENS)
+        hit = clusters.agreeing_in_blocks(tok, clusters.column(table, 2), edges, AGREE)
         return table.select([0, 1, 2]).filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else None
 
     wanted = scratch.keep(clusters.in_blocks(sketched, promising, "key long, item long, comp long").distinct(), "wanted")
@@ -93,13 +90,13 @@ def _links(rows: DataFrame, tokens: DataFrame, docs: DataFrame, doc: str, text:
         texts = texts.join(ids, F.col("id") == F.col("_id"), "left_semi")
     placed = texts.join(want, F.col("id") == F.col("_item")).select("key", "id", "comp", "text")
 
-    def verified(table: pa.Table) -> pa.RecordBatch:
+    def verified(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
         data, offsets = tc.utf8(table.column(3).combine_chunks())
         sets = []
         for a, b in tc.chunks(offsets):
             h, _, _, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
             sets += [tc.shingle_set(h[at[i] : at[i + 1]], k) for i in range(b - a)]
-        return clusters.linked_items(clusters.column(table, 1), clusters.column(table, 2), sets, numerator)
+        return clusters.linked_in_blocks(clusters.column(table, 1), clusters.column(table, 2), sets, edges, numerator)
 
     links = scratch.keep(clusters.in_blocks(placed, verified, "a long, b long"), "links")
     scratch.drop(wanted)
@@ -142,13 +139,13 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, k: int = 5, numerator:
     for a, b in ((1, FIRST_TREES), (FIRST_TREES + 1, TREES)):
         picks = F.posexplode(F.slice("tok", a, b - a + 1)).alias("t", "v")
         dealt = tokens.select("item", "size", picks).select(F.xxhash64(F.col("t") + a, "v").alias("node"), "item", "size").distinct()
-        large.append(found.compare(dealt, 0, linked))
+        large.append(found.compare(clusters.shared_rows(dealt, scratch), 0, linked))
         scratch.sweep()
     rest = large[0].unionByName(large[1])
     for level in range(1, LEVELS + 1):
-        if rest.isEmpty():
+        if rest is None or rest.isEmpty():
             break
-        rest = found.compare(_branch(rest, tokens), level, linked, level == LEVELS)
+        rest = found.compare(clusters.shared_rows(_branch(rest, tokens), scratch), level, linked, level == LEVELS)
         scratch.sweep()
 
     comps = found.table()

@@ -3,9 +3,9 @@
 A text is cut into paragraphs at places that the words around them choose (the word whose hash is least among its
 ``REACH`` neighbours on either side ends one), so that a passage copied into other surroundings is cut alike and holds
 whole paragraphs. Paragraphs with equal sets of ``SHINGLE``-word shingles form a class. Bands of minwise hashes, tuned
-for the wanted recall with the fewest rows, bring similar classes together; their exact Jaccard similarity is verified
-on full sets, and connected components of the links are the clusters. Of a cluster that spans documents, the first
-first paragraph by document and position stays and all others are removals; neighbouring removals join to one span.
+for the wanted recall with the fewest rows, bring similar classes together. The exact Jaccard
+similarity of classes that collide is verified on full sets in blocks of bounded size (see clusters), and connected components of the links are the clusters. Of a cluster that spans documents, the first
+paragraph by document and position stays and all others are removals; neighbouring removals join to one span.
 A span that is short stays only if the words around one of its paragraphs go on alike in an earlier document, so far
 that the run they share is long enough.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.llm import clusters
@@ -26,8 +26,6 @@ from veldra.storage import Scratch
 SHINGLE, REACH = 5, 7
 #: A span of removals, or the run of words that it shares with an earlier document, has at least so many words.
 LEAST_WORDS = 20
-#: Rows of a table that are broadcast, at most (16 MB of numbers); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
 
 def tuned_bands(similarity: float, recall: float) -> tuple[int, int]:
@@ -108,19 +106,20 @@ def _chunk_units(data: np.ndarray, offsets: np.ndarray):
     return text, order, start[begin], stop[end - 1], size, signature, own, np.append(first, len(own))
 
 
-def units(docs: DataFrame, doc: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(doc_id, ord, start, stop, n_words, sig, b0, b1, ...) of all paragraphs; start and stop in code points.
+def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(doc_id, row, ord, start, stop, n_words, sig, b0, b1, ...) of all paragraphs; start and stop in code points.
 
-    ``sig``: 64-bit signature of the paragraph's shingles. ``b``: the keys of the bands. Null texts have none.
+    ``docs``: (_doc, _row, _text). ``sig``: 64-bit signature of the paragraph's shingles. ``b``: the keys of the bands.
+    Null texts have none.
     """
     tc.bounded_batches(docs.sparkSession)
-    names = ["doc_id", "ord", "start", "stop", "n_words", "sig", *(f"b{i}" for i in range(bands))]
-    schema = "doc_id long, ord int, start int, stop int, n_words int, sig long" + "".join(f", b{i} long" for i in range(bands))
+    names = ["doc_id", "row", "ord", "start", "stop", "n_words", "sig", *(f"b{i}" for i in range(bands))]
+    schema = "doc_id long, row long, ord int, start int, stop int, n_words int, sig long" + "".join(f", b{i} long" for i in range(bands))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = tc.keys(bands * rows, 3)
         for batch in batches:
-            data, offsets = tc.utf8(batch.column(1))
+            data, offsets = tc.utf8(batch.column(2))
             for a, b in tc.chunks(offsets):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 found = _chunk_units(part, own)
@@ -131,24 +130,21 @@ def units(docs: DataFrame, doc: str, text: str, bands: int, rows: int) -> DataFr
                 zero = points[own[text_]]
                 least = [np.minimum.reduceat(tc.mix(sh ^ k), first[:-1]) for k in keys]
                 band = [tc.mix(np.sum(least[i * rows : (i + 1) * rows], axis=0, dtype=np.uint64) + np.uint64(i)).view(np.int64) for i in range(bands)]
-                columns = [batch.column(0).take(pa.array(text_ + a)), *(pa.array(x.astype(np.int32)) for x in (order, points[start] - zero, points[stop] - zero, size)), pa.array(signature), *map(pa.array, band)]
+                columns = [batch.column(0).take(pa.array(text_ + a)), batch.column(1).take(pa.array(text_ + a)), *(pa.array(x.astype(np.int32)) for x in (order, points[start] - zero, points[stop] - zero, size)), pa.array(signature), *map(pa.array, band)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select("_doc", "_row", "_text").mapInArrow(run, schema)
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def _linked(pairs: DataFrame, homes: DataFrame, docs: DataFrame, doc: str, text: str, numerator: int, scratch: Scratch) -> DataFrame:
-    """Pairs of classes (a, b) with 100 * intersection >= numerator * union. ``homes``: (sig, doc_id) of each class."""
-    pairs = scratch.keep(pairs, "candidates")
-    wanted = scratch.keep(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "wanted")
-    n = wanted.count()
+def _sets(wanted: DataFrame, homes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, s): the shingles of the ``wanted`` classes (sig), cut again from the document ``homes`` (sig, doc_id) names."""
     w = wanted.select(F.col("sig").alias("_w"))
-    where = scratch.keep(homes.join(_sized(w, n), F.col("sig") == F.col("_w"), "left_semi").groupBy(F.col("doc_id").alias("_home")).agg(F.collect_set("sig").alias("_sigs")), "homes")
-    texts = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(_sized(where, where.count()), F.col("d") == F.col("_home")).select("t", "_sigs")
+    n = w.count()
+    where = homes.join(clusters.sized(w), F.col("sig") == F.col("_w"), "left_semi").groupBy(F.col("doc_id").alias("_home")).agg(F.collect_set("sig").alias("_sigs"))
+    where = scratch.keep(where, "homes")
+    if n <= clusters.BROADCAST_ROWS:  # that bounds the rows and all their signatures
+        where = F.broadcast(where)
+    texts = docs.select("_doc", "_text").join(where, F.col("_doc") == F.col("_home")).select("_text", "_sigs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,14 +161,49 @@ def _linked(pairs: DataFrame, homes: DataFrame, docs: DataFrame, doc: str, text:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(signature[at]), pa.array(out, pa.list_(pa.int64()))], ["sig", "s"])
 
-    known = scratch.keep(texts.mapInArrow(sets, "sig long, s array<long>").groupBy("sig").agg(F.first("s").alias("s")), "sets")
-    a, b = known.select(F.col("sig").alias("_a"), F.col("s").alias("_sa")), known.select(F.col("sig").alias("_b"), F.col("s").alias("_sb"))
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    near = 100 * common >= numerator * (F.size("_sa") + F.size("_sb") - common)
-    small = numerator * F.greatest(F.size("_sa"), F.size("_sb")) <= 100 * F.least(F.size("_sa"), F.size("_sb"))
-    links = scratch.keep(pairs.join(a, pairs["a"] == a["_a"]).join(b, pairs["b"] == b["_b"]).where(small & near).select("a", "b").distinct(), "links")
-    scratch.drop(pairs, wanted, where, known)
-    return links
+    return scratch.keep(texts.mapInArrow(sets, "sig long, s array<long>").groupBy("sig").agg(F.first("s").alias("s")), "sets")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, numerator: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of a spanning forest of the links in each block; ``rows``: (key, item, comp)."""
+
+    def verified(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        lists = table.column(3).combine_chunks()
+        flat, size = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.cumsum(size))).tolist()
+        sets = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return clusters.linked_in_blocks(clusters.column(table, 1), clusters.column(table, 2), sets, edges, numerator)
+
+    full = rows.join(sets, F.col("item") == F.col("sig")).select("key", "item", "comp", "s")
+    return scratch.keep(clusters.in_blocks(full, verified, "a long, b long"), "links")
+
+
+def _components(classes: DataFrame, bands: int, docs: DataFrame, numerator: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the classes that are linked with others.
+
+    A band's nodes are found one band after another, so that the keys of one band alone are shuffled at a time. They are
+    compared together: groups contract inside blocks, and what is left in large nodes meets block by block.
+    """
+    nodes = []
+    for i in range(bands):
+        nodes.append(clusters.shared_rows(classes.select(F.col(f"b{i}").alias("node"), F.col("sig").alias("item"), F.lit(128).cast("long").alias("size")), scratch))
+        scratch.sweep()
+    every = nodes[0].select("item")
+    for x in nodes[1:]:
+        every = every.unionByName(x.select("item"))
+    wanted = scratch.keep(every.distinct().select(F.col("item").alias("sig")), "wanted")
+    sets = _sets(wanted, classes.select("sig", F.col("first").alias("doc_id")), docs, scratch)
+    scratch.sweep()
+    found = clusters.Forest(scratch)
+    linked = lambda rows: _block_links(rows, sets, numerator, scratch)
+    bound = nodes[0]
+    for x in nodes[1:]:
+        bound = bound.unionByName(x)
+    found.compare(bound, 0, linked, True)
+    scratch.drop(*nodes)
+    scratch.sweep()
+    scratch.drop(wanted, sets)
+    return found.table()
 
 
 def _around(h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray, cluster: np.ndarray, lack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,114 +219,114 @@ def _around(h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, t
     for i in range(most + 1):
         on = np.flatnonzero((lack >= i) & (begin - i >= at[text]) & (end + lack - i <= at[text + 1]))
         which.append(on)
-        keys.append(tc.mix(before[i][on] * base + after[lack[on] - i, on] + tc.mix(cluster[on].view(np.uint64) + np.uint64(i) * base)))
+        keys.append(tc.mix(before[i][on] * base + after[lack[on] - i, on] + tc.mix(cluster[on].view(np.uint64) + tc.mix(np.full(1, i, np.uint64)))))
     return np.concatenate(which), np.concatenate(keys).view(np.int64)
 
 
-def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, doc: str, text: str, least_words: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, ord) of paragraphs in short spans whose shared run with an earlier place has ``least_words`` words.
+def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, least_words: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, row, ord) of paragraphs in short spans whose shared run with an earlier place has ``least_words`` words.
 
     ``held``: removals with ``_sum``, the words of their span. The run is the paragraph and the equal words around it.
     It may be shared with any earlier place of the cluster, in runs that at least two documents have.
     """
-    short = scratch.keep(held.where(F.col("_sum") < least_words).select("doc_id", "ord", "cluster", (F.lit(least_words) - F.col("n_words")).cast("int").alias("lack")), "short")
+    short = scratch.keep(held.where(F.col("_sum") < least_words).select("doc_id", "row", "ord", "cluster", (F.lit(least_words) - F.col("n_words")).cast("int").alias("lack")), "short")
     lacks = scratch.keep(short.select(F.col("cluster").alias("_k"), F.col("lack")).distinct(), "lacks")
-    ask = repeats.select("doc_id", "ord", "cluster").join(_sized(lacks, lacks.count()), F.col("cluster") == F.col("_k"))
-    ask = scratch.keep(ask.groupBy(F.col("doc_id").alias("_home")).agg(F.collect_set(F.struct("ord", "cluster", "lack")).alias("_asks")), "asks")
-    texts = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(_sized(ask, ask.count()), F.col("d") == F.col("_home")).select("d", "t", "_asks")
+    ask = repeats.select("doc_id", "row", "ord", "cluster").join(clusters.sized(lacks), F.col("cluster") == F.col("_k")).select("doc_id", "row", "ord", "cluster", "lack")
+    n = scratch.keep(ask, "asked")
+    ask = scratch.keep(n.groupBy(F.col("doc_id").alias("_home"), F.col("row").alias("_hash")).agg(F.collect_set(F.struct("ord", "cluster", "lack")).alias("_asks")), "asks")
+    small = n.count() <= clusters.BROADCAST_ROWS  # that bounds the rows and all that they hold
+    texts = docs.join(F.broadcast(ask) if small else ask, (F.col("_doc") == F.col("_home")) & (F.col("_row") == F.col("_hash"))).select("_doc", "_row", "_text", "_asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = tc.utf8(batch.column(1))
-            row = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            order, cluster, lack = (x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
+            ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = tc.utf8(batch.column(2))
+            row = np.repeat(np.arange(len(batch)), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            order, cluster, lack = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
             for a, b in tc.chunks(offsets):
                 h, _, _, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
                 begin, end, text_, _ = _bounds(h, at)
                 mine = np.flatnonzero((row >= a) & (row < b))
                 first = np.searchsorted(text_, np.arange(b - a + 1))
                 unit = first[row[mine] - a] + order[mine]
-                fits = unit < first[row[mine] - a + 1]
-                mine, unit = mine[fits], unit[fits]
                 if not len(mine):
                     continue
                 which, keys = _around(h, at, begin[unit], end[unit], text_[unit], cluster[mine].astype(np.int64), lack[mine].astype(np.int64))
                 mine = mine[which]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[mine]]), pa.array(order[mine]), pa.array(lack[mine]), pa.array(keys)], ["doc_id", "ord", "lack", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[mine]]), pa.array(rows[row[mine]]), pa.array(order[mine]), pa.array(lack[mine]), pa.array(keys)], ["doc_id", "row", "ord", "lack", "key"])
 
-    runs = scratch.keep(texts.mapInArrow(run, "doc_id long, ord int, lack int, key long"), "runs")
-    shared = runs.groupBy(F.col("key").alias("_key"), F.col("lack").alias("_lack")).agg(F.min(F.struct("doc_id", "ord")).alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo.doc_id <> _hi")
+    runs = scratch.keep(texts.mapInArrow(run, "doc_id long, row long, ord int, lack int, key long"), "runs")
+    shared = runs.groupBy(F.col("key").alias("_key"), F.col("lack").alias("_lack")).agg(F.min(F.struct("doc_id", "row", "ord")).alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo.doc_id <> _hi")
     shared = scratch.keep(shared, "shared")
-    found = runs.join(_sized(shared, shared.count()), (F.col("key") == F.col("_key")) & (F.col("lack") == F.col("_lack"))).where("not (doc_id = _lo.doc_id and ord = _lo.ord)")
-    longer = scratch.keep(found.select("doc_id", "ord", "lack").distinct().join(short.select("doc_id", "ord", "lack"), ["doc_id", "ord", "lack"], "left_semi").select("doc_id", "ord"), "longer")
-    scratch.drop(short, lacks, ask, runs, shared)
+    found = runs.join(clusters.sized(shared), (F.col("key") == F.col("_key")) & (F.col("lack") == F.col("_lack"))).where("not (doc_id = _lo.doc_id and row = _lo.row and ord = _lo.ord)")
+    longer = scratch.keep(found.select("doc_id", "row", "ord", "lack").distinct().join(short.select("doc_id", "row", "ord", "lack"), ["doc_id", "row", "ord", "lack"], "left_semi").select("doc_id", "row", "ord"), "longer")
+    scratch.drop(short, lacks, n, ask, runs, shared)
     return longer
 
 
+def text_key(text) -> Column:
+    """64-bit hash by which texts of one doc_id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def repeated_passages(docs: DataFrame, doc: str, text: str, numerator: int = 80, recall: float = 0.99, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Removals: (doc_id, start, stop, n_words, n_paragraphs, keep_doc_id, cluster).
+    """Removals: (doc_id, row, start, stop, n_words, n_paragraphs, keep_doc_id, cluster).
 
     A row is a span of neighbouring paragraphs, start to stop in code points, each of which repeats a paragraph that
-    stays. keep_doc_id: the document in which the first of them stays; cluster: that paragraph's cluster. Documents
-    without repeats, null or short texts and rows with a null id have no rows. Repeated rows of a document are one
-    document. Spans of fewer than ``least_words`` words are left alone, unless the run that one of their paragraphs shares
-    with an earlier document has so many.
+    stays in another document or in an earlier place of the first one. keep_doc_id: the document in which the first of
+    them stays; cluster: that paragraph's cluster; row: ``text_key`` of the text. A repeated passage is defined by its
+    length: ``least_words`` words at least, in whole paragraphs or in the run that one of them shares with an earlier
+    document. What repeats inside one document only isn't one.
+
+    Documents without repeats, null or empty texts, texts of fewer than ``least_words`` words and rows with a null id
+    have no rows. Equal rows count once; several texts of a doc_id are one document, and each text has its own spans.
+    An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    docs = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where(F.col("_doc").isNotNull())
+    docs = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text")).where(F.col("_doc").isNotNull()).withColumn("_row", text_key("_text"))
     bands, rows = tuned_bands(numerator / 100, recall)
     # The paragraphs are cut twice, which takes less than to keep them all.
-    u = units(docs, "_doc", "_text", bands, rows)
+    u = units(docs, bands, rows)
     classes = u.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(bands)))
     classes = scratch.keep(classes, "classes")
     scratch.sweep()
+    comps = _components(classes, bands, docs, numerator, scratch)
 
-    dealt = classes.select(F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("node"), F.col("sig").alias("item"))
-    sizes = scratch.keep(dealt.groupBy(F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("size"), F.min("item").alias("pivot")).where("size > 1"), "sizes")
-    nodes = scratch.keep(dealt.join(_sized(sizes, sizes.count()), F.col("node") == F.col("_node")).select("node", "item", "size", "pivot"), "nodes")
-    scratch.sweep()
-    homes = classes.select("sig", F.col("first").alias("doc_id"))
-    stars = scratch.keep(clusters.star_pairs(nodes), "stars")
-    links = _linked(stars, homes, docs, "_doc", "_text", numerator, scratch)
-    comps = clusters.components_of(links, scratch)
-    scratch.sweep()
-    mixed = scratch.keep(clusters.mixed_nodes(nodes, comps), "mixed")
-    rest = clusters.cross_pairs(mixed.where("size <= 32")).unionByName(clusters.minority_pairs(mixed.where("size > 32"))).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _linked(rest, homes, docs, "_doc", "_text", numerator, scratch)
-    if not more.isEmpty():
-        comps = clusters.components_of(links.unionByName(more), scratch)
-
-    scratch.drop(sizes, nodes, stars, mixed)
-    scratch.sweep()
     c = comps.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    tagged = classes.select("sig", "first", "last").join(c, F.col("sig") == c["_n"], "left").select("sig", "first", "last", F.coalesce("_c", "sig").alias("cluster"), F.col("_c").isNotNull().alias("near"))
-    tagged = scratch.keep(tagged.where("near or first <> last"), "tagged")
-    spans = tagged.groupBy(F.col("cluster").alias("_k")).agg(F.min("first").alias("_first"), F.max("last").alias("_last")).where("_first <> _last")
-    hit = scratch.keep(tagged.join(spans, F.col("cluster") == F.col("_k")).select(F.col("sig").alias("_sig"), "cluster", F.col("_first").alias("keep_doc_id")), "hit")
-    repeats = u.select("doc_id", "ord", "start", "stop", "n_words", "sig").join(_sized(hit, hit.count()), F.col("sig") == F.col("_sig")).select("doc_id", "ord", "start", "stop", "n_words", "cluster", "keep_doc_id")
+    repeated = classes.where("first <> last").select("sig", "first", "last")
+    joined = classes.select("sig", "first", "last").join(clusters.sized(c), F.col("sig") == c["_n"]).select("sig", "first", "last", F.col("_c").alias("cluster"))
+    joined = scratch.keep(joined, "joined")
+    alone = repeated.join(clusters.sized(joined.select(F.col("sig").alias("_s"))), F.col("sig") == F.col("_s"), "left_anti").withColumn("cluster", F.col("sig"))
+    spans = joined.groupBy(F.col("cluster").alias("_k")).agg(F.min("first").alias("_first"), F.max("last").alias("_last")).where("_first <> _last")
+    near = joined.join(spans, F.col("cluster") == F.col("_k")).select("sig", "cluster", F.col("_first").alias("keep_doc_id"))
+    hit = scratch.keep(near.unionByName(alone.select("sig", "cluster", F.col("first").alias("keep_doc_id"))).withColumnRenamed("sig", "_sig"), "hit")
+    scratch.drop(classes, joined)
+    scratch.sweep()
+    cut = u.select("doc_id", "row", "ord", "start", "stop", "n_words", "sig")
+    repeats = cut.join(clusters.sized(hit), F.col("sig") == F.col("_sig")).select("doc_id", "row", "ord", "start", "stop", "n_words", "cluster", "keep_doc_id")
     repeats = scratch.keep(repeats, "repeats")
-    scratch.drop(classes, tagged)
     scratch.sweep()
     # What stays: the first paragraph of the cluster in its first document.
-    stays = repeats.where("doc_id = keep_doc_id").groupBy(F.col("cluster").alias("_k")).agg(F.min("ord").alias("_ord"))
-    gone = repeats.join(stays, F.col("cluster") == F.col("_k"), "left").where("not (doc_id = keep_doc_id and ord = _ord)").dropDuplicates(["doc_id", "ord"])
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    island = gone.withColumn("_island", F.col("ord") - F.row_number().over(w))
-    held = scratch.keep(island.withColumn("_sum", F.sum("n_words").over(Window.partitionBy("doc_id", "_island"))), "gone")
+    stays = repeats.where("doc_id = keep_doc_id").groupBy(F.col("cluster").alias("_k")).agg(F.min(F.struct("row", "ord")).alias("_at"))
+    gone = repeats.join(stays, F.col("cluster") == F.col("_k"), "left").where("not (doc_id = keep_doc_id and row = _at.row and ord = _at.ord)")
+    w = Window.partitionBy("doc_id", "row").orderBy("ord")
+    once = gone.withColumn("_was", F.lag("ord").over(w)).where("_was is null or _was <> ord").drop("_was")  # equal rows of the table
+    island = once.withColumn("_island", F.col("ord") - F.row_number().over(w))
+    held = scratch.keep(island.withColumn("_sum", F.sum("n_words").over(Window.partitionBy("doc_id", "row", "_island"))).drop("_k", "_at"), "gone")
+    scratch.sweep()
+    longer = _longer(held, repeats, docs, least_words, scratch).withColumn("_long", F.lit(True))
     scratch.sweep()
-    longer = _longer(held, repeats, docs, "_doc", "_text", least_words, scratch).select(F.col("doc_id").alias("_d"), F.col("ord").alias("_o"))
-    held = held.join(longer, (F.col("doc_id") == F.col("_d")) & (F.col("ord") == F.col("_o")), "left")
-    out = held.groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_paragraphs"), F.min_by("keep_doc_id", "ord").alias("keep_doc_id"), F.min_by("cluster", "ord").alias("cluster"), F.max(F.col("_d").isNotNull()).alias("_long"))
+    held = held.join(longer, ["doc_id", "row", "ord"], "left")
+    out = held.groupBy("doc_id", "row", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_paragraphs"), F.min_by("keep_doc_id", "ord").alias("keep_doc_id"), F.min_by("cluster", "ord").alias("cluster"), F.max(F.coalesce("_long", F.lit(False))).alias("_long"))
     return out.where((F.col("n_words") >= least_words) | F.col("_long")).drop("_island", "_long")
 
 
 def without_passages(docs: DataFrame, doc: str, text: str, removals: DataFrame) -> DataFrame:
     """``docs`` with the spans cut out of the text; documents without removals stay as they are."""
-    spans = removals.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
-    joined = docs.join(spans, F.col(doc).cast("long") == F.col("_id"), "left")
+    spans = removals.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
+    joined = docs.join(spans, (F.col(doc).cast("long") == F.col("_id")) & (text_key(text) == F.col("_row")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])).alias("out"), s["stop"].cast("int").alias("at"))
     done = F.aggregate("_spans", start, step)
     cut = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text)))
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text))).drop("_id", "_spans")
+    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text))).drop("_id", "_row", "_spans")

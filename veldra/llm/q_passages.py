@@ -9,6 +9,10 @@ from veldra.session import table
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals (doc_id, row, start, stop, n_words, n_paragraphs, keep_doc_id, cluster) of passages that repeat across documents.
+
+    Null, empty and short texts and null ids have no rows; repeated rows count once; an empty table gives an empty one.
+    """
     return repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
