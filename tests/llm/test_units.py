@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from veldra.llm import contamination, dom, langid, nbest, passages, quality, textcodes as tc, tokenfiles, topk
+from veldra.llm import clusters, contamination, dom, langid, nbest, passages, quality, textcodes as tc, tokenfiles, topk
 
 
 def test_words_and_shingles_are_those_of_plain_python():
@@ -34,7 +34,7 @@ def test_suffix_array_search_finds_what_a_scan_finds():
         keep = pos + 10 <= bench.end
         bench.test, bench.width = pos[keep], np.full(keep.sum(), 10)
         hit = set()
-        for i, p, n in contamination.longest_matches(words, bench):
+        for i, p, n in contamination.longest_matches(contamination.SuffixArray(words), bench):
             for a, b, m in zip(i, p, n, strict=True):
                 assert (bench.words[a : a + m] == words[b : b + m]).all() and m >= 10
                 hit |= {(x + a, x + b) for x in range(m - 9)}
@@ -64,6 +64,31 @@ def test_longest_match_counts_agree_with_a_naive_parse():
     assert list(letters) == [0, 0, 6]
 
 
+def _phrases(text, sample):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("span", [3, 17, 512])
+def test_long_texts_are_parsed_as_wholes(span, monkeypatch):
+    monkeypatch.setattr(langid, "SPAN", span)
+    rng = random.Random(span)
+    samples = {k: "".join(rng.choice(a) for _ in range(400)) for k, a in (("a", "aab c"), ("b", "abbcc "), ("c", "a"))}
+    samples = {k: langid.normalised(v) for k, v in samples.items()}
+    model = langid.build_model(samples)
+    texts = ["".join(rng.choice("abc d") for _ in range(n)) for n in (1, 30, 700, 3000)] + ["a" * 1500, samples["a"][:399] * 3]
+    texts = [langid.normalised(t) for t in texts]
+    bits, _ = langid.code_lengths(model, texts)
+    for row, t in zip(bits, texts, strict=True):
+        assert [round(b / x) for b, x in zip(row, model.bits, strict=True)] == [_phrases(t, samples[k]) for k in "abc"]
+
+
 def test_rules_separate_and_are_sparse():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 5))
@@ -90,15 +115,15 @@ def test_n_best_are_the_best_of_all_segmentations(encoder):
             if u[a:b] in p.ids:
                 yield from ((p.scores[u[a:b]] + s, (p.ids[u[a:b]], *i)) for s, i in every(u, b))
         if a < len(u) and u[a] not in p.ids:
-            raw = u[a].encode()
+            raw = nbest._spelling(u[a])
             yield from ((p.byte_score * len(raw) + s, (*(p.bytes_[x] for x in raw), *i)) for s, i in every(u, a + 1))
 
     rng = random.Random(4)
     for _ in range(120):
-        xs = ["".join(rng.choice("the and in  \nxé中😀") for _ in range(rng.randrange(9))) for _ in range(3)]
+        xs = ["".join(rng.choice("the and, in.  \nxé中😀▁") for _ in range(rng.randrange(9))) for _ in range(3)]
         data, offsets = tc.utf8(pa.array(xs))
         for x, (ids, scores, _) in zip(xs, encoder.encode(data, offsets, 4), strict=True):
-            u = nbest.SPACE + x.replace(" ", nbest.SPACE) if x else ""
+            u = nbest.SPACE + x.replace(nbest.SPACE, nbest.LITERAL).replace(" ", nbest.SPACE) if x else ""
             want = sorted((s for s, _ in every(u)), reverse=True)[:4]
             assert np.allclose(want, scores)
             assert nbest.decode(p, ids) == x
@@ -118,17 +143,41 @@ def test_cut_encoding_is_the_library_s():
         assert list(ids) == list(itertools.chain(*want)) and list(n) == [len(w) for w in want]
 
 
-def test_top_k_is_brute_force():
+def _searched(ids, x, queries, k, pivots):
+    chosen = topk.Pivots.of(x, (x**2).sum(axis=1).max(), pivots) if pivots else None
+    table = lambda rows, ask: chosen.distances(x[rows], ask) if chosen else np.zeros((len(rows), 0))
+    s = topk.Search(ids[queries], x[queries], table(queries, True), chosen, k)
+    for a in range(0, len(ids), 70):
+        part = np.arange(a, min(a + 70, len(ids)))
+        s.add(ids[part], x[part], table(part, False))
+    return s
+
+
+@pytest.mark.parametrize("pivots", [0, 1, 4, 40])
+def test_top_k_is_brute_force(pivots):
     rng = np.random.default_rng(2)
-    for scale in (3, 2**30):
+    for scale in (3, 2**30) if not pivots else (3, 50):
         x = np.floor(rng.normal(size=(300, 6)) * scale)
-        ids = np.arange(300)
-        block = topk.QueryBlock.of([0, 5, 9], x[[0, 5, 9]])
-        best, _ = topk.search(block, ((ids[a : a + 70], x[a : a + 70]) for a in range(0, 300, 70)), 7)
-        for row, q in enumerate((0, 5, 9)):
+        ids, queries = np.arange(300), np.array([0, 5, 9])
+        s = _searched(ids, x, queries, 7, pivots)
+        for row, q in enumerate(queries):
             score = [sum(int(a) * int(b) for a, b in zip(x[q], v, strict=True)) for v in x]
             want = sorted((-s, i) for i, s in enumerate(score) if i != q)[:7]
-            assert [(-s, i) for s, i in zip(best.score[row], best.ids[row], strict=True)] == want
+            assert [(-s, i) for s, i in zip(s.best.score[row], s.best.ids[row], strict=True)] == want
+
+
+def test_pivots_eliminate_most_candidates():
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(12, 24))
+    x = np.floor(64 * (centre[rng.integers(0, 12, 3000)] + 0.2 * rng.normal(size=(3000, 24))))
+    s = _searched(np.arange(3000), x, np.arange(0, 3000, 60), 5, 16)
+    assert s.evaluated < 0.3 * s.seen  # a first round for each of the many small batches included
+    free = rng.normal(size=(3000, 64))
+    free = np.floor(64 * free / np.linalg.norm(free, axis=1, keepdims=True))
+    chosen = topk.Pivots.of(free, (free**2).sum(axis=1).max())
+    s = topk.Search(np.arange(40), free[:40], chosen.distances(free[:40], True), chosen, 20)
+    s.add(np.arange(3000), free, chosen.distances(free, False))
+    assert s.evaluated < 0.3 * s.seen
 
 
 def test_bands_reach_the_recall():
@@ -175,3 +224,126 @@ def test_long_lists_are_aligned_at_equal_subtrees():
     page = lambda k, n: "<body>" + "".join(f"<p>{k}{i}</p>" for i in range(n)) + "<p>constant</p>" + "".join(f"<p>{k}z{i}</p>" for i in range(400)) + "</body>"
     a, b = dom.parse(page("a", 300)), dom.parse(page("b", 450))
     assert "constant" in {p.text for p, q in dom.align(a, b) if p.tag == "#" and p.text == q.text}
+
+
+def _tree(rng, depth=0):
+    node = dom.Node(rng.choice("xyz"), None)
+    node.label = node.tag
+    for _ in range(rng.randrange(4) if depth < 3 else 0):
+        if rng.random() < 0.4:
+            node.kids.append(dom.Node("#", node, rng.choice(["p", "q"])))
+        else:
+            node.kids.append(_tree(rng, depth + 1))
+    return node
+
+
+def _largest(a, b):
+    """Largest top-down matching by trying every choice."""
+    if a.label != b.label:
+        return 0
+    if a.tag == "#":
+        return 2 if a.text == b.text else 1
+
+    def lists(x, y):
+        if not x or not y:
+            return 0
+        best = max(lists(x[1:], y), lists(x, y[1:]))
+        s = _largest(x[0], y[0])
+        return max(best, s + lists(x[1:], y[1:])) if s else best
+
+    return 1 + lists(a.kids, b.kids)
+
+
+@pytest.mark.parametrize("cells", [0, 200])
+def test_alignment_is_the_largest_matching(cells, monkeypatch):
+    monkeypatch.setattr(dom, "LOOP_CELLS", cells)
+    rng = random.Random(5)
+    for _ in range(150):
+        a, b = _tree(rng), _tree(rng)
+        b.label = a.label
+        pairs = dom.align(a, b)
+        assert all(p.label == q.label for p, q in pairs)
+        assert sum(2 if p.tag == "#" and p.text == q.text else 1 for p, q in pairs) == _largest(a, b) == dom._score(a, b, {})
+
+
+def test_the_wrapper_decides_on_the_given_pages():
+    import pyarrow.dataset as ds
+
+    pages = ds.dataset("/root/testdata/sf0.01/pages.parquet").to_table(columns=["url", "html"]).to_pylist()
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(r["url"].split("/")[2], []).append(r["html"])
+    several = {h: x for h, x in hosts.items() if len(set(x)) > 1}
+    for html in several.values():
+        wrapper = dom.induce([dom.parse(x) for x in dict.fromkeys(html)])
+        assert wrapper[2][-1] == "article"
+        for x in html:
+            assert dom._in_slot(dom.parse(x), wrapper[2])
+            # Without the element kinds that name it, the slot is found all the same.
+    plain = [[x.replace("<article>", "<div class=c7>").replace("</article>", "</div>") for x in html] for html in several.values() if len(html) > 5]
+    for html in plain:
+        wrapper = dom.induce([dom.parse(x) for x in dict.fromkeys(html)])
+        assert wrapper[2][-1] == "div.c7"
+
+
+def test_deep_nesting_and_several_articles():
+    deep = "<div>" * 20_000 + "<nav>menu</nav><p>text</p>"
+    assert dom.main_text(dom.parse(deep)) == "text"
+    assert dom.main_text(dom.parse("<body><article><p>one</article><nav>x</nav><article><p>two</article>")) == "one\ntwo"
+
+
+def test_blocks_of_sets_are_compared_exactly():
+    rng = random.Random(8)
+    sets = [np.unique(np.array([rng.randrange(12) for _ in range(rng.randrange(14))], np.uint64)) for _ in range(60)]
+    got = clusters.similar(sets, 80)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x, y = set(a.tolist()), set(b.tolist())
+            assert got[i, j] == (i != j and bool(x) and bool(y) and 100 * len(x & y) >= 80 * len(x | y))
+    a, b = clusters.forest(got)
+    roots = list(range(60))
+    find = lambda i: i if roots[i] == i else find(roots[i])
+    for i, j in zip(a, b, strict=True):
+        assert got[i, j] and find(i) != find(j)
+        roots[find(i)] = find(j)
+    assert all(find(i) == find(j) for i, j in zip(*np.nonzero(got), strict=True))
+
+
+def test_items_that_agree_across_components():
+    rng = np.random.default_rng(6)
+    tokens, comps = rng.integers(0, 3, (40, 8)), rng.integers(0, 3, 40)
+    got = clusters.agreeing(tokens, comps, 5)
+    want = [any(comps[i] != comps[j] and (tokens[i] == tokens[j]).sum() >= 5 for j in range(40)) for i in range(40)]
+    assert got.tolist() == want
+
+
+def test_links_in_blocks_are_a_forest_of_all_links():
+    rng = random.Random(9)
+    size = [rng.choice([1, 2, 3, 5, 8, 9, 20]) for _ in range(60)]
+    edges = np.concatenate(([0], np.cumsum(size)))
+    n = int(edges[-1])
+    sets = [np.unique(np.array([rng.randrange(9) for _ in range(rng.randrange(10))], np.uint64)) for _ in range(n)]
+    comps, items = np.array([rng.randrange(3) for _ in range(n)]), np.arange(n) + 1000
+    out = clusters.linked_in_blocks(items, comps, sets, edges, 80)
+    root = list(range(n))
+    find = lambda i: i if root[i] == i else find(root[i])
+    like = lambda i, j: len(sets[i]) and len(sets[j]) and 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))
+    group = np.repeat(np.arange(60), size)
+    for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+        i, j = a - 1000, b - 1000
+        assert group[i] == group[j] and comps[i] != comps[j] and like(i, j) and find(i) != find(j)
+        root[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in range(n) for j in range(i) if group[i] == group[j] and comps[i] != comps[j] and like(i, j))
+    tokens = np.array([[rng.randrange(3) for _ in range(6)] for _ in range(n)])
+    got = clusters.agreeing_in_blocks(tokens, comps, edges, 4)
+    assert got.tolist() == [any(group[i] == group[j] and comps[i] != comps[j] and (tokens[i] == tokens[j]).sum() >= 4 for j in range(n)) for i in range(n)]
+
+
+def test_groups_are_read_across_batches():
+    keys = [1, 1, 2, 2, 2, 3, 5, 5, 5, 5]
+    for cut in range(1, 11):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + cut]), pa.array(range(a, min(a + cut, 10)))], ["k", "v"]) for a in range(0, 10, cut)]
+        got = []
+        for t, edges in clusters.whole_groups(iter(batches)):
+            got += [(t.column(0)[a].as_py(), t.column(1).to_pylist()[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        assert got == [(1, [0, 1]), (2, [2, 3, 4]), (3, [5]), (5, [6, 7, 8, 9])]

@@ -10,6 +10,11 @@ from veldra.session import table
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page.
+
+    Null or empty html gives an empty text; a null url has no host and so no wrapper; repeated rows each return and
+    count once for the wrapper; an empty table gives an empty one.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return with_main_text(pages, "url", "html", "text").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -9,6 +9,11 @@ from veldra.session import table
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document, with shingles of four words.
+
+    Null and empty texts have no shingles and are alone; a null id is linked with nothing; repeated rows each return; an
+    empty table gives an empty one.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", k=4, numerator=80)
 
 

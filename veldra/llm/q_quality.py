@@ -17,6 +17,11 @@ def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.RuleEns
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document.
+
+    Null texts are scored like empty ones; a null id has held_out null and teaches nothing; repeated rows each return;
+    without labels every score is 0.5; an empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.with_score(docs, "text", fitted(spark, docs, sf_dir))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

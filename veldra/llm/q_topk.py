@@ -10,6 +10,11 @@ from veldra.session import table
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 20 best of all other rows for each query.
+
+    Null ids, null or empty vectors and such with a null or non-finite component take no part; ties go to smaller ids;
+    repeated ids each count; an empty table gives an empty one.
+    """
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
 
