@@ -22,7 +22,10 @@ BROADCAST_IDS = 1 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null texts are scored like empty ones; repeated rows are judged alike; all columns stay as they are.
+    """
     model = quality.fit(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "quality", learnable("doc_id"))
     return quality.with_score(docs, "text", model, "_score").where(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
 
@@ -45,19 +48,27 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs.
+
+    Null and empty texts stay; repeated rows are judged alike; all columns stay as they are.
+    """
     return contamination.decontaminate(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts masked and ``n_chars`` counted again."""
+    """All documents, with every secret in their texts masked and ``n_chars``, if there is one, counted again.
+
+    Null and empty texts stay as they are; repeated rows each return.
+    """
     ledger = secrets.update(spark, docs, "text", Scratch(spark, "pipeline").fresh("ledger"))
     masked = secrets.redact(secrets.with_spans(docs, "text", ledger, into="_spans"), "text", "_spans")
-    return masked.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return masked.select(docs.columns)
 
 
 def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, scores, round_trip) of each document."""
+    """(doc_id, n_tokens, ids, scores, round_trip) of each document; null and empty texts have no ids, repeated rows each return."""
     out = nbest.with_segmentation(docs.select("doc_id", "text"), "text", public_tokenizers.path("piece_bpe_32k.model"), 4, "s")
     return out.select("doc_id", "s.*")
 
