@@ -166,6 +166,20 @@ def test_top_k_is_brute_force(pivots):
             assert [(-s, i) for s, i in zip(s.best.score[row], s.best.ids[row], strict=True)] == want
 
 
+def test_bounds_hold_and_are_the_tightest_of_the_table():
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(200, 9)) * 40)
+    top = (x**2).sum(axis=1).max()
+    exact = x[:20] @ x.T
+    for n in (1, 2, 5, 30):
+        p = topk.Pivots.of(x, top, n)
+        q, t = p.distances(x[:20], True), p.distances(x, False)
+        q2 = (x[:20] ** 2).sum(axis=1)
+        bound = topk.upper_bounds(p, q2, q, t)
+        single = (q2[:, None] + top - (np.abs(q[:, None, :] - t[None, :, :]).max(axis=2)) ** 2) / 2
+        assert (bound >= exact).all() and (bound <= single + 1 + 1e-5 * (q2[:, None] + top)).all()
+
+
 def test_pivots_eliminate_most_candidates():
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(12, 24))

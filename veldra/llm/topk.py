@@ -3,8 +3,8 @@
 Vectors become whole numbers: floor(scale * x). With one more coordinate, sqrt(M^2 - |x|^2) for candidates and 0 for
 queries, the order by inner product is the order by distance: |q - x|^2 = |q|^2 + M^2 - 2 q.x, with M the largest norm. A
 table holds the distances of all rows to many pivots, chosen among the candidates. It is computed once. Two rows' lines
-of the table bound their distance from below: by the largest |d(q, p) - d(x, p)|, and by the simplex that the pivots
-span, in which the line gives a point's place and its height over it. An upper bound on the score follows.
+of the table bound their distance from below: a line gives a point's place in the simplex that the pivots span and its
+height over it, and the distance there is at least the largest |d(q, p) - d(x, p)|. An upper bound on the score follows.
 
 Queries are a stated set, dealt to blocks, and candidates to tiles; each pair of a block and a tile is one group of rows,
 streamed with its queries first. Candidates are evaluated in the order of their bounds, round by round, until the next
@@ -89,17 +89,19 @@ class Pivots:
 
 
 def upper_bounds(pivots: Pivots, q2: np.ndarray, query_table: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The highest score that each candidate (column) can have with each query (row)."""
-    low = np.zeros((len(q2), len(table)))
-    for p in range(table.shape[1]):
-        np.maximum(low, np.abs(query_table[:, p][:, None] - table[:, p][None, :]), out=low)
-    low *= low
+    """The highest score that each candidate (column) can have with each query (row).
+
+    Every pivot lies in the simplex, so the distance between two points' places and heights is at least the largest
+    |d(q, p) - d(x, p)|, and still a lower bound on theirs.
+    """
     a, u = pivots.placed(query_table)
     b, v = pivots.placed(table)
-    flat = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
-    scale = q2[:, None] + pivots.top
-    np.maximum(low, flat + (u[:, None] - v[None, :]) ** 2, out=low)
-    return (scale - low) / 2 + 1e-6 * scale + 0.5
+    own = (a**2).sum(axis=1) + u**2
+    near = a @ b.T
+    near += u[:, None] * v[None, :]
+    scale = q2 + pivots.top
+    near += ((scale - own) / 2 + 1e-6 * scale + 0.5)[:, None] - ((b**2).sum(axis=1) + v**2)[None, :] / 2
+    return near
 
 
 class Best:
