@@ -139,11 +139,8 @@ def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def _sets(wanted: DataFrame, homes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(sig, s): the shingles of the ``wanted`` classes (sig), cut again from the document ``homes`` (sig, doc_id) names."""
     w = wanted.select(F.col("sig").alias("_w"))
-    n = w.count()
-    where = homes.join(clusters.sized(w), F.col("sig") == F.col("_w"), "left_semi").groupBy(F.col("doc_id").alias("_home")).agg(F.collect_set("sig").alias("_sigs"))
+    where = homes.join(w, F.col("sig") == F.col("_w"), "left_semi").groupBy(F.col("doc_id").alias("_home")).agg(F.collect_set("sig").alias("_sigs"))
     where = scratch.keep(where, "homes")
-    if n <= clusters.BROADCAST_ROWS:  # that bounds the rows and all their signatures
-        where = F.broadcast(where)
     texts = docs.select("_doc", "_text").join(where, F.col("_doc") == F.col("_home")).select("_text", "_sigs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +228,10 @@ def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, least_words: i
     """
     short = scratch.keep(held.where(F.col("_sum") < least_words).select("doc_id", "row", "ord", "cluster", (F.lit(least_words) - F.col("n_words")).cast("int").alias("lack")), "short")
     lacks = scratch.keep(short.select(F.col("cluster").alias("_k"), F.col("lack")).distinct(), "lacks")
-    ask = repeats.select("doc_id", "row", "ord", "cluster").join(clusters.sized(lacks), F.col("cluster") == F.col("_k")).select("doc_id", "row", "ord", "cluster", "lack")
+    ask = repeats.select("doc_id", "row", "ord", "cluster").join(lacks, F.col("cluster") == F.col("_k")).select("doc_id", "row", "ord", "cluster", "lack")
     n = scratch.keep(ask, "asked")
     ask = scratch.keep(n.groupBy(F.col("doc_id").alias("_home"), F.col("row").alias("_hash")).agg(F.collect_set(F.struct("ord", "cluster", "lack")).alias("_asks")), "asks")
-    small = n.count() <= clusters.BROADCAST_ROWS  # that bounds the rows and all that they hold
-    texts = docs.join(F.broadcast(ask) if small else ask, (F.col("_doc") == F.col("_home")) & (F.col("_row") == F.col("_hash"))).select("_doc", "_row", "_text", "_asks")
+    texts = docs.join(ask, (F.col("_doc") == F.col("_home")) & (F.col("_row") == F.col("_hash"))).select("_doc", "_row", "_text", "_asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +254,7 @@ def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, least_words: i
     runs = scratch.keep(texts.mapInArrow(run, "doc_id long, row long, ord int, lack int, key long"), "runs")
     shared = runs.groupBy(F.col("key").alias("_key"), F.col("lack").alias("_lack")).agg(F.min(F.struct("doc_id", "row", "ord")).alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo.doc_id <> _hi")
     shared = scratch.keep(shared, "shared")
-    found = runs.join(clusters.sized(shared), (F.col("key") == F.col("_key")) & (F.col("lack") == F.col("_lack"))).where("not (doc_id = _lo.doc_id and row = _lo.row and ord = _lo.ord)")
+    found = runs.join(shared, (F.col("key") == F.col("_key")) & (F.col("lack") == F.col("_lack"))).where("not (doc_id = _lo.doc_id and row = _lo.row and ord = _lo.ord)")
     longer = scratch.keep(found.select("doc_id", "row", "ord", "lack").distinct().join(short.select("doc_id", "row", "ord", "lack"), ["doc_id", "row", "ord", "lack"], "left_semi").select("doc_id", "row", "ord"), "longer")
     scratch.drop(short, lacks, n, ask, runs, shared)
     return longer
@@ -294,20 +290,23 @@ def repeated_passages(docs: DataFrame, doc: str, text: str, numerator: int = 80,
 
     c = comps.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     repeated = classes.where("first <> last").select("sig", "first", "last")
-    joined = classes.select("sig", "first", "last").join(clusters.sized(c), F.col("sig") == c["_n"]).select("sig", "first", "last", F.col("_c").alias("cluster"))
+    joined = classes.select("sig", "first", "last").join(c, F.col("sig") == c["_n"]).select("sig", "first", "last", F.col("_c").alias("cluster"))
     joined = scratch.keep(joined, "joined")
-    alone = repeated.join(clusters.sized(joined.select(F.col("sig").alias("_s"))), F.col("sig") == F.col("_s"), "left_anti").withColumn("cluster", F.col("sig"))
+    alone = repeated.join(joined.select(F.col("sig").alias("_s")), F.col("sig") == F.col("_s"), "left_anti").withColumn("cluster", F.col("sig"))
+    # Sums of a cluster are written before they are joined, so that adaptive joins can split a cluster with a third of all rows.
     spans = joined.groupBy(F.col("cluster").alias("_k")).agg(F.min("first").alias("_first"), F.max("last").alias("_last")).where("_first <> _last")
+    spans = scratch.keep(spans, "spans")
     near = joined.join(spans, F.col("cluster") == F.col("_k")).select("sig", "cluster", F.col("_first").alias("keep_doc_id"))
     hit = scratch.keep(near.unionByName(alone.select("sig", "cluster", F.col("first").alias("keep_doc_id"))).withColumnRenamed("sig", "_sig"), "hit")
     scratch.drop(classes, joined)
     scratch.sweep()
     cut = u.select("doc_id", "row", "ord", "start", "stop", "n_words", "sig")
-    repeats = cut.join(clusters.sized(hit), F.col("sig") == F.col("_sig")).select("doc_id", "row", "ord", "start", "stop", "n_words", "cluster", "keep_doc_id")
+    repeats = cut.join(hit, F.col("sig") == F.col("_sig")).select("doc_id", "row", "ord", "start", "stop", "n_words", "cluster", "keep_doc_id")
     repeats = scratch.keep(repeats, "repeats")
     scratch.sweep()
     # What stays: the first paragraph of the cluster in its first document.
     stays = repeats.where("doc_id = keep_doc_id").groupBy(F.col("cluster").alias("_k")).agg(F.min(F.struct("row", "ord")).alias("_at"))
+    stays = scratch.keep(stays, "stays")
     gone = repeats.join(stays, F.col("cluster") == F.col("_k"), "left").where("not (doc_id = keep_doc_id and row = _at.row and ord = _at.ord)")
     w = Window.partitionBy("doc_id", "row").orderBy("ord")
     once = gone.withColumn("_was", F.lag("ord").over(w)).where("_was is null or _was <> ord").drop("_was")  # equal rows of the table
