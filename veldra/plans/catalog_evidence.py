@@ -724,3 +724,19 @@ def clean_split(spark, sf_dir):
     g = graph.groups_by_shared_keys(d, "doc_id", ["h"], Scratch(spark, "split"))
     side = F.when(F.substring(F.md5(F.col("group").cast("string")), 1, 1) < "8", "discovery").otherwise("holdout")
     return g.select(F.col("id").alias("doc_id"), F.col("group").alias("root"), side.alias("split"))
+
+
+@query("O232 O052", f"""WITH {st.OBS}, t AS (SELECT track, min(frame) AS a, max(frame) AS b, any_value(label) AS label, any_value(embedding) AS v FROM obs JOIN embeddings ON vec_id = track GROUP BY track),
+c AS (SELECT x.track AS a, y.track AS b, count(*) AS shared FROM obs x JOIN obs y ON x.frame = y.frame AND x.track < y.track GROUP BY ALL)
+SELECT x.track AS track_a, y.track AS track_b, coalesce(shared, 0) AS shared_frames, CASE WHEN x.b < y.a THEN y.a - x.b - 1 WHEN y.b < x.a THEN x.a - y.b - 1 ELSE 0 END AS gap, x.a <= y.b AND y.a <= x.b AS span_overlap,
+CASE WHEN shared IS NULL THEN round(list_dot_product(list_transform(x.v, lambda z: z::DOUBLE), list_transform(y.v, lambda z: z::DOUBLE)), 6) END AS similarity, CASE WHEN shared IS NULL THEN 'eligible' ELSE 'rejected' END AS decision
+FROM t x JOIN t y ON x.label = y.label AND x.track < y.track LEFT JOIN c ON c.a = x.track AND c.b = y.track""")
+def candidate_generation(spark, sf_dir):
+    o = st.observations(spark, sf_dir)
+    t = o.groupBy("track").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).join(st.vectors(spark, sf_dir).withColumnRenamed("vec_id", "track"), "track")
+    side = lambda n: t.select("label", F.col("track").alias(f"track_{n}"), F.col("first").alias(f"{n}0"), F.col("last").alias(f"{n}1"), F.col("embedding").alias(f"{n}v"))
+    p = side("a").join(side("b"), "label").where("track_a < track_b")
+    x = o.select("frame", F.col("track").alias("_x")).join(o.select("frame", F.col("track").alias("_y")), "frame").where("_x < _y").groupBy("_x", "_y").agg(n_rows().alias("shared"))
+    p = p.join(x, (F.col("track_a") == F.col("_x")) & (F.col("track_b") == F.col("_y")), "left")
+    spans, free = (F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")), F.col("shared").isNull()
+    return p.select("track_a", "track_b", F.coalesce("shared", F.lit(0)).alias("shared_frames"), geo.temporal_gap(*spans).alias("gap"), geo.spans_overlap(*spans).alias("span_overlap"), F.when(free, r6(vec.cosine(F.col("av"), F.col("bv")))).alias("similarity"), F.when(free, "eligible").otherwise("rejected").alias("decision"))
