@@ -2,10 +2,11 @@
 
 import pytest
 
-from veldra.plans import catalog, catalog_evidence
+from veldra.plans import catalog, catalog_evidence, catalog_review
 
-QUERIES = catalog.QUERIES | catalog_evidence.QUERIES
-ORACLE_SQL = catalog.ORACLE_SQL | catalog_evidence.ORACLE_SQL
+MODULES = (catalog, catalog_evidence, catalog_review)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -14,8 +15,8 @@ def test_same_rows_as_sql(name, same_rows):
 
 
 def test_every_query_names_what_it_covers():
-    assert set(catalog.COVERS | catalog_evidence.COVERS) == set(QUERIES)
-    assert not set(catalog.QUERIES) & set(catalog_evidence.QUERIES)
+    assert {k for m in MODULES for k in m.COVERS} == set(QUERIES)
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in MODULES)
 
 
 def test_entry(spark):
