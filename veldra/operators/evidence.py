@@ -67,15 +67,23 @@ def absence_pockets(df: DataFrame, by: str, frame: str, least: int) -> DataFrame
     return g.join(first, F.col("_a") == F.col("_ax")).join(last, F.col("_b") == F.col("_bx")).select(by, "start", "stop", (F.col("_b") - F.col("_a") + 1).alias("frames"))
 
 
-def drift_runs(pairs: DataFrame, by: list[str], a: str, b: str, drift: int) -> DataFrame:
-    """(by, first, last, rows): the longest run of matches in order of ``a`` whose offset b - a moves by at most ``drift``
-    from one match to the next; the first of equally long ones."""
-    w = Window.partitionBy(*by).orderBy(a, b)
-    d = pairs.withColumn("_off", F.col(b) - F.col(a))
-    d = d.withColumn("_new", F.coalesce((F.abs(F.col("_off") - F.lag("_off").over(w)) > drift).cast("int"), F.lit(1)))
-    d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = d.groupBy(*by, "_run").agg(F.min(a).alias("first"), F.max(a).alias("last"), F.count(F.lit(1)).alias("rows"))
-    return g.groupBy(*by).agg(F.min(F.struct((-F.col("rows")).alias("_n"), "_run", "first", "last", "rows")).alias("m")).select(*by, "m.first", "m.last", "m.rows")
+def absence_runs(own: DataFrame, every: DataFrame, by: str, track: str, frame: str, least: int) -> DataFrame:
+    """(by, track, start, stop): runs of consecutive frames within a track's span that it misses while others are present.
+
+    ``own``: rows of the tracks asked for; ``every``: all rows. A frame without anyone ends a run, and so does the track
+    itself; runs shorter than ``least`` frames, or from the first to the last frame of one, go. Each frame of ``every``
+    carries the start of its run of frames with anyone, so a run is the part of it between two frames of the track.
+    """
+    spine = every.select(by, frame).distinct()
+    w = Window.partitionBy(by).orderBy(frame)
+    island = F.sum((F.col(frame) - F.coalesce(F.lag(frame).over(w), F.col(frame) - 2) > 1).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    spine = spine.withColumn("_i", island)
+    lands = spine.groupBy(F.col(by).alias("_lb"), "_i").agg(F.min(frame).alias("_la"), F.max(frame).alias("_lz"))
+    steps = own.select(by, track, frame).distinct().withColumn("_was", F.lag(frame).over(Window.partitionBy(by, track).orderBy(frame))).where(F.col(frame) - F.col("_was") > 1)
+    gaps = steps.select(by, track, (F.col("_was") + 1).alias("_a"), (F.col(frame) - 1).alias("_z"))
+    hit = gaps.join(lands, (F.col(by) == F.col("_lb")) & (F.col("_la") <= F.col("_z")) & (F.col("_lz") >= F.col("_a")))
+    out = hit.select(by, track, F.greatest("_a", "_la").alias("start"), F.least("_z", "_lz").alias("stop"))
+    return out.where(F.col("stop") - F.col("start") + 1 >= least)
 
 
 def nearest_frames(df: DataFrame, by: str, frame: str, shares: list[float]) -> DataFrame:

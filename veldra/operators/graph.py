@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldra.operators.windows import numbered
 from veldra.storage import Scratch
 
 
@@ -82,3 +83,35 @@ def groups_by_shared_keys(df: DataFrame, id_: str, keys: list[str], scratch: Scr
         e = part if e is None else e.unionByName(part)
     comp = connected_components(e, "a", "b", scratch)
     return df.select(F.col(id_).alias("id")).join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("group"))
+
+
+def range_edges(df: DataFrame, id_: str, key: str, start: str, stop: str) -> DataFrame:
+    """(a, b): edges that connect exactly the rows of a key whose inclusive ranges overlap, directly or through others.
+
+    Sorted by start, a row is tied to the one with the latest end so far if it begins before that ends: one edge a row at
+    most, no pairs. Null keys connect nothing.
+    """
+    w = Window.partitionBy(key).orderBy(start, stop, id_).rowsBetween(Window.unboundedPreceding, -1)
+    d = df.where(F.col(key).isNotNull()).withColumn("_far", F.max(F.struct(F.col(stop).alias("_end"), F.col(id_).alias("_who"))).over(w))
+    return d.where(F.col(start) <= F.col("_far._end")).select(F.col("_far._who").alias("a"), F.col(id_).alias("b"))
+
+
+def evaluation_components(df: DataFrame, id_: str, keys: list[str], range_keys: list[str], start: str, stop: str, scratch: Scratch) -> DataFrame:
+    """(id, component, number, size): rows that share a key value, or whose ranges overlap within a range key's value.
+
+    Components are numbered from 1 by their least start, least end and least id. Ids are longs, each once.
+    """
+    e = None
+    for k in keys:
+        hub = df.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min(id_).alias("_hub"))
+        part = df.join(hub, F.col(k) == F.col("_k")).select(F.col(id_).alias("a"), F.col("_hub").alias("b")).where("a <> b")
+        e = part if e is None else e.unionByName(part)
+    for k in range_keys:
+        part = range_edges(df, id_, k, start, stop)
+        e = part if e is None else e.unionByName(part)
+    comp = connected_components(e, "a", "b", scratch)
+    all_ = df.select(F.col(id_).alias("id"), F.col(start).alias("_s"), F.col(stop).alias("_e")).join(comp, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    all_ = scratch.keep(all_.select("id", "component", "_s", "_e"), "members")
+    each = all_.groupBy(F.col("component").alias("_c")).agg(F.min("_s").alias("_s0"), F.min("_e").alias("_e0"), F.min("id").alias("_i0"), F.count(F.lit(1)).alias("size"))
+    order = numbered(each, [F.col("_s0"), F.col("_e0"), F.col("_i0")], "number")
+    return all_.select("id", "component").join(order, F.col("component") == F.col("_c")).select("id", "component", "number", "size")

@@ -93,3 +93,87 @@ def diverse_allocation(df: DataFrame, id_: str, order: list[str], caps: dict[str
         return pd.DataFrame({"id": pd.Series(out, dtype="int64"), "position": pd.Series(range(1, len(out) + 1), dtype="int64")})
 
     return df.select(*dict.fromkeys([id_, *order, *cols])).groupBy().applyInPandas(walk, "id long, position long")
+
+
+def suppressed_choice(df: DataFrame, by: str, id_: str, bucket: str, buckets: list[str], order: list[Column], frame: str, bits: str, most: int, gap: int, hamming: int) -> DataFrame:
+    """(by, selected, suppressed_gap, suppressed_duplicate): ids chosen in order of their frames, at most ``most``.
+
+    First the best row of each bucket, in the order of ``buckets``, then the best of the rest, as long as a row is at
+    least ``gap`` frames from every chosen one and more than ``hamming`` bits from each; rows that fail are counted by
+    the first reason, a gap before a duplicate, for each pass in which they fail. Rows with a frame that the first pass
+    chose take no part in the second. A group's rows are folded as one sorted array: they are bounded by a video.
+    """
+    place = F.lit(len(buckets))
+    for i, b in reversed(list(enumerate(buckets))):
+        place = F.when(F.col(bucket) == b, i).otherwise(place)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    d = df.select(by, F.col(id_).alias("id"), place.alias("place"), F.col(frame).alias("frame"), F.col(bits).alias("bits"), rank.alias("rank"))
+    rows = d.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "place", "id", "frame", "bits"))).alias("_rows"))
+    first = F.array_sort(F.transform(F.filter("_rows", lambda x: x["place"] < len(buckets)), lambda x: F.struct(x["place"].alias("place"), x["rank"].alias("rank"), x["id"].alias("id"), x["frame"].alias("frame"), x["bits"].alias("bits"))))
+
+    def taken(acc: Column, x: Column, bucket_once: bool, free: Column) -> Column:
+        # The first chosen row in conflict gives the reason.
+        clash = F.filter(acc["chosen"], lambda c: (F.abs(c["frame"] - x["frame"]) < gap) | (F.bit_count(c["bits"].bitwiseXOR(x["bits"])) <= hamming))
+        why_gap = F.abs(F.get(clash, F.lit(0))["frame"] - x["frame"]) < gap
+        done = (F.size(acc["chosen"]) >= most) | ~free
+        if bucket_once:
+            done = done | F.exists(acc["chosen"], lambda c: c["place"] == x["place"])
+        new = F.concat(acc["chosen"], F.array(F.struct(x["id"].alias("id"), x["frame"].alias("frame"), x["bits"].alias("bits"), x["place"].alias("place"))))
+        hit = F.size(clash) > 0
+        state = lambda chosen, g, n: F.struct(chosen.alias("chosen"), g.alias("gap"), n.alias("dup"))
+        return F.when(done, acc).when(hit & why_gap, state(acc["chosen"], acc["gap"] + 1, acc["dup"])).when(hit, state(acc["chosen"], acc["gap"], acc["dup"] + 1)).otherwise(state(new, acc["gap"], acc["dup"]))
+
+    kinds = {c: df.schema[n].dataType.simpleString() for c, n in (("id", id_), ("frame", frame), ("bits", bits))}
+    empty = F.struct(F.array().cast(f"array<struct<id:{kinds['id']},frame:{kinds['frame']},bits:{kinds['bits']},place:int>>").alias("chosen"), F.lit(0).alias("gap"), F.lit(0).alias("dup"))
+    rows = rows.withColumn("_one", F.aggregate(first, empty, lambda acc, x: taken(acc, x, True, F.lit(True))))
+    both = F.aggregate("_rows", F.col("_one"), lambda acc, x: taken(acc, x, False, ~F.exists(F.col("_one.chosen"), lambda c: c["frame"] == x["frame"])))
+    rows = rows.select(by, both.alias("_s"))
+    sorted_ = F.array_sort(F.transform("_s.chosen", lambda c: F.struct(c["frame"].alias("frame"), c["id"].alias("id"))))
+    return rows.select(by, F.transform(sorted_, lambda c: c["id"]).alias("selected"), F.col("_s.gap").cast("long").alias("suppressed_gap"), F.col("_s.dup").cast("long").alias("suppressed_duplicate"))
+
+
+def spaced_windows(windows: DataFrame, by: str, order: list[str], center: str, apart: int, most: int) -> DataFrame:
+    """``windows`` with ``position``: in order, those whose center is at least ``apart`` frames from every one kept before, at most ``most``.
+
+    A group's windows are folded as one sorted array; callers bound them by a budget.
+    """
+    names = windows.columns
+    row = F.struct(*(F.col(c) for c in order), *(F.col(c) for c in names if c not in order))
+    g = windows.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    kept = F.aggregate("_rows", F.slice(F.col("_rows"), 1, 0), lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda c: F.abs(c[center] - x[center]) < apart), acc).otherwise(F.concat(acc, F.array(x))))
+    return g.select(F.posexplode(kept).alias("_p", "_x")).select(*(F.col(f"_x.{c}").alias(c) for c in names), (F.col("_p") + 1).alias("position"))
+
+
+def failure_windows(observations: DataFrame, by: str, selected: DataFrame, most: int, reach: int, least_absence: int, apart: int) -> DataFrame:
+    """(by, track, kind, center, other, position): windows to look at around a selected track's end.
+
+    ``observations``: (by, track, frame, x1, y1, x2, y2), one for each track and frame; ``selected``: (by, track), any
+    number. Candidates in this order: the track's last frame; the first frames of other tracks within ``reach`` frames
+    after it, nearest centre first, ``most`` - 1 of them; the middles of pockets in which the track is absent for
+    ``least_absence`` frames or more while others are present, in order, until there are ``most``. Then a window less than
+    ``apart`` frames from one before it goes.
+    """
+    from veldra.operators.evidence import absence_runs
+    from veldra.operators.joins import range_join
+
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    o = observations.select(by, "track", "frame", middle("x1", "x2").alias("cx"), middle("y1", "y2").alias("cy"))
+    own = o.join(selected.select(F.col(by).alias("_sb"), F.col("track").alias("_st")).distinct(), (F.col(by) == F.col("_sb")) & (F.col("track") == F.col("_st"))).drop("_sb", "_st")
+    ends = own.groupBy(by, "track").agg(F.max(F.struct("frame", "cx", "cy")).alias("_e")).select(by, "track", F.col("_e.frame").alias("lost"), F.col("_e.cx").alias("_px"), F.col("_e.cy").alias("_py"))
+    left = ends.withColumn("_lo", F.col("lost") + 1).withColumn("_hi", F.col("lost") + reach)
+    right = o.select(by, F.col("track").alias("other"), "cx", "cy", F.col("frame").alias("_f"), F.col("frame").alias("_g"))
+    seen = range_join(left, right, [by], ("_lo", "_hi"), ("_f", "_g"), reach).where("other <> track")
+    births = seen.groupBy(by, "track", "other").agg(F.min(F.struct(F.col("_f").alias("frame"), F.sqrt((F.col("cx") - F.col("_px")) ** 2 + (F.col("cy") - F.col("_py")) ** 2).alias("far"))).alias("_m"))
+    rank = F.row_number().over(Window.partitionBy(by, "track").orderBy(F.round("_m.far", 9), "_m.frame", "other"))
+    near = births.withColumn("_r", rank).where(F.col("_r") < most)
+    pockets = absence_runs(own, o, by, "track", "frame", least_absence)
+    later = F.row_number().over(Window.partitionBy(by, "track").orderBy("start"))
+    pockets = pockets.withColumn("_r", later).where(F.col("_r") <= most)  # more never fit the budget
+    none = F.lit(None).cast(observations.schema["track"].dataType)
+    w = ends.select(by, "track", F.lit(0).alias("_k"), F.lit(0).alias("_r"), F.lit("selected_raw_track_end").alias("kind"), F.col("lost").alias("center"), none.alias("other"))
+    w = w.unionByName(near.select(by, "track", F.lit(1).alias("_k"), "_r", F.lit("nearby_new_track_birth").alias("kind"), F.col("_m.frame").alias("center"), "other"))
+    w = w.unionByName(pockets.select(by, "track", F.lit(2).alias("_k"), "_r", F.lit("selected_track_absence").alias("kind"), F.floor((F.col("start") + F.col("stop")) / 2).alias("center"), none.alias("other")))
+    w = w.withColumn("_turn", F.row_number().over(Window.partitionBy(by, "track").orderBy("_k", "_r")))
+    # The budget counts all windows up to and with the first pocket that reaches it.
+    w = w.where((F.col("_k") < 2) | (F.col("_turn") <= most)).withColumn("_key", F.struct(by, "track"))
+    return spaced_windows(w, "_key", ["_k", "_r"], "center", apart, most).select(by, "track", "kind", "center", "other", "position")

@@ -115,3 +115,21 @@ def split_at(intervals: DataFrame, by: list[str], start: str, stop: str, at: Col
     row = lambda name, a, b: F.struct(F.lit(name).alias("part"), a.alias("start"), b.alias("stop"))
     parts = F.when(inside, F.array(row("before", F.col(start), at - 1), row("after", at, F.col(stop)))).otherwise(F.array(row("whole", F.col(start), F.col(stop))))
     return intervals.select(*by, F.explode(parts).alias("_p")).select(*by, "_p.part", "_p.start", "_p.stop")
+
+
+def overlaid(intervals: DataFrame, by: str, kind: str, start: str, stop: str, priority: list[str]) -> DataFrame:
+    """(by, kind, start, stop): no frame has two kinds; where several are active, the first of ``priority`` counts.
+
+    Intervals are inclusive, may overlap and touch; neighbouring frames of one kind are one interval. Kinds that aren't in
+    ``priority`` take no part. A sweep over all ends: the running number of active intervals of each kind says which
+    kind a stretch has, so rows are twice as many as intervals and no frame is spelled out.
+    """
+    ends = F.array(F.struct(F.col(start).alias("_f"), F.lit(1).alias("_d")), F.struct((F.col(stop) + 1).alias("_f"), F.lit(-1).alias("_d")))
+    rows = intervals.where(F.col(kind).isin(*priority) & (F.col(start) <= F.col(stop))).select(by, F.col(kind).alias("_k"), F.explode(ends).alias("_e"))
+    change = rows.groupBy(by, F.col("_e._f").alias("_f")).agg(*(F.sum(F.when(F.col("_k") == k, F.col("_e._d")).otherwise(0)).alias(f"_d{i}") for i, k in enumerate(priority)))
+    w = Window.partitionBy(by).orderBy("_f")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    active = [F.sum(f"_d{i}").over(upto) > 0 for i in range(len(priority))]
+    s = change.select(by, "_f", F.coalesce(*(F.when(c, F.lit(k)) for c, k in zip(active, priority, strict=True))).alias("kind"), (F.lead("_f").over(w) - 1).alias("_to"))
+    s = s.withColumn("_new", (~F.col("kind").eqNullSafe(F.lag("kind").over(w))).cast("int")).withColumn("_run", F.sum("_new").over(upto))
+    return s.where("kind is not null").groupBy(by, "_run", "kind").agg(F.min("_f").alias("start"), F.max("_to").alias("stop")).select(by, "kind", "start", "stop")

@@ -429,18 +429,19 @@ def best_with_margin_decision(spark, sf_dir):
     return selection.best_with_margin(c, "seg", "cost", "best_id", 0.65, 0.18).withColumn("margin", F.round("margin", 9))
 
 
-@query(f"""WITH RECURSIVE {_STITCH}, edge AS MATERIALIZED (SELECT track, stop, next_track, next_start, cost, row_number() OVER (PARTITION BY track, stop ORDER BY cost, next_track, next_start) AS r FROM cand),
-best AS MATERIALIZED (SELECT e.track, e.stop, e.next_track, e.next_start, s.stop AS next_stop FROM edge e JOIN sessions s ON s.track = e.next_track AND s.start = e.next_start WHERE r = 1),
+@query(f"""WITH RECURSIVE {_STITCH}, edge AS MATERIALIZED (SELECT track, stop, next_track, next_start, cost, lead(cost) OVER w - cost AS margin, row_number() OVER w AS r FROM cand WINDOW w AS (PARTITION BY track, stop ORDER BY cost, next_track, next_start)),
+best AS MATERIALIZED (SELECT e.track, e.stop, e.next_track, e.next_start, s.stop AS next_stop FROM edge e JOIN sessions s ON s.track = e.next_track AND s.start = e.next_start WHERE r = 1 AND cost <= 0.65 AND (margin IS NULL OR margin >= 0.18)),
 seeds AS (SELECT track, min(start) AS start FROM sessions GROUP BY track),
 chain AS (SELECT s.track AS seed, 0 AS step, s.track, s.stop FROM sessions s JOIN seeds USING (track, start) UNION ALL SELECT seed, step + 1, b.next_track, b.next_stop FROM chain c JOIN best b ON b.track = c.track AND b.stop = c.stop WHERE step < 25)
 SELECT seed, step, track, stop FROM chain""")
 def stitch_chain(spark, sf_dir):
     c = _stitch(spark, sf_dir)
-    w = Window.partitionBy("track", "stop").orderBy("cost", "next_track", "next_start")
     s = st.sessions(spark, sf_dir).select("track", "start", "stop")
     n = s.select(F.col("track").alias("next_track"), F.col("start").alias("next_start"), F.col("stop").alias("next_stop"))
     scratch = Scratch(spark, "stitch")
-    best = scratch.keep(c.withColumn("_r", F.row_number().over(w)).where("_r = 1").join(n, ["next_track", "next_start"]).select(F.col("track").alias("_t"), F.col("stop").alias("_s"), "next_track", "next_stop"), "best")
+    # A chain goes on only where a continuation is accepted; it ends at one to review or unresolved.
+    choice = selection.best_with_margin(c.select(F.struct("track", "stop").alias("_from"), F.struct("next_track", "next_start").alias("_next"), "cost"), "_from", "cost", "_next", 0.65, 0.18).where("decision = 'accepted'")
+    best = scratch.keep(choice.select("_from.*", "best.*").join(n, ["next_track", "next_start"]).select(F.col("track").alias("_t"), F.col("stop").alias("_s"), "next_track", "next_stop"), "best")
     first = s.groupBy("track").agg(F.min(F.struct("start", "stop"))["stop"].alias("stop"))
     out = step = scratch.keep(first.select(F.col("track").alias("seed"), F.lit(0).alias("step"), "track", "stop"), "step")
     for i in range(1, 26):  # the longest chain allowed

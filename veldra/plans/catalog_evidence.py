@@ -14,7 +14,7 @@ from veldra.functions import geometry as geo
 from veldra.functions import text as txt
 from veldra.functions import vectors as vec
 from veldra.operators import aggregates as agg
-from veldra.operators import contracts, eventlog, evidence, graph, joins, metrics, selection, timelines, windows
+from veldra.operators import contracts, eventlog, evidence, graph, joins, metrics, overlap, selection, timelines, windows
 from veldra.plans import standins as st
 from veldra.session import table
 from veldra.storage import Scratch
@@ -305,11 +305,40 @@ def absence_pockets(spark, sf_dir):
     return evidence.absence_pockets(st.observations(spark, sf_dir), "track", "frame", 3)
 
 
-@query("O143", f"""WITH {st.OBS}, p AS (SELECT track, x1 // 40 AS a, y1 // 40 AS b FROM obs), d AS (SELECT *, b - a AS o, lag(b - a) OVER (PARTITION BY track ORDER BY a, b) AS was FROM p), r AS (SELECT *, sum(CASE WHEN abs(o - was) <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY track ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM d),
-g AS (SELECT track, run, min(a) AS first, max(a) AS last, count(*) AS rows FROM r GROUP BY ALL) SELECT track, first, last, rows FROM g QUALIFY row_number() OVER (PARTITION BY track ORDER BY rows DESC, run) = 1""")
+_PAIRS = f"{st.OBS}, p AS (SELECT DISTINCT track % 40 AS track, frame // 8 AS a, frame // 8 + x1 // 200 + frame // 180 AS b FROM obs)"
+_RUN = f"""{_PAIRS}, walk AS (SELECT track, a AS a0, b AS b0, a, b, 1 AS n FROM p UNION ALL
+  SELECT w.track, a0, b0, w.a + 1, min(p.b), any_value(n) + 1 FROM walk w JOIN p ON p.track = w.track AND p.a = w.a + 1 AND p.b > w.b AND abs(p.b - p.a - (b0 - a0)) <= 2 GROUP BY w.track, a0, b0, w.a, w.b),
+run AS (SELECT track, max(n) AS n FROM walk GROUP BY track), first AS (SELECT w.track, w.a0, w.b0, r.n FROM walk w JOIN run r ON r.track = w.track AND r.n = w.n QUALIFY row_number() OVER (PARTITION BY w.track ORDER BY a0, b0) = 1),
+best AS (SELECT f.n, w.* EXCLUDE (n) FROM first f JOIN walk w ON w.track = f.track AND w.a0 = f.a0 AND w.b0 = f.b0)"""
+
+
+def _pairs(spark, sf_dir):
+    """Matches of two sampled sequences for each of 40 groups: offsets wander with the frame and jump between boxes."""
+    o = st.observations(spark, sf_dir)
+    a = F.floor(F.col("frame") / 8)
+    return o.select((F.col("track") % 40).alias("track"), a.alias("a"), (a + F.floor(F.col("x1") / 200) + F.floor(F.col("frame") / 180)).alias("b"), F.col("x1"), F.col("y1"))
+
+
+@query("O143", f"WITH RECURSIVE {_RUN} SELECT track, n AS run_length, a0 AS first_a, b0 AS first_b, a - a0 AS step, a, b FROM best")
 def matched_run_with_drift(spark, sf_dir):
-    p = st.observations(spark, sf_dir).select("track", F.floor(F.col("x1") / 40).alias("a"), F.floor(F.col("y1") / 40).alias("b"))
-    return evidence.drift_runs(p, ["track"], "a", "b", 2)
+    return overlap.matched_runs(_pairs(spark, sf_dir), ["track"], "a", "b", 2, Scratch(spark, "overlap")).withColumn("run_length", F.col("run_length").cast("long"))
+
+
+_OVERLAP = {"drift": 2, "confirmed_least": 8, "ambiguous_least": 3, "ambiguous_most": 7, "median_distance_most": 9, "median_difference_most": 8, "duplicate_coverage": 0.2}
+
+
+@query("O143 O059", f"""WITH RECURSIVE {_RUN}, sizes AS (SELECT track, count(DISTINCT a) AS n_a, count(DISTINCT b) AS n_b FROM p GROUP BY track),
+m AS (SELECT track % 40 AS track, frame // 8 AS a, frame // 8 + x1 // 200 + frame // 180 AS b, min(x1 % 18) AS distance, min(y1 % 14) AS difference FROM obs GROUP BY ALL),
+g AS (SELECT track, any_value(n) AS n, median(b - a) AS off, max(b - a) AS hi, min(b - a) AS lo, median(distance) AS dist, median(difference) AS diff FROM best JOIN m USING (track, a, b) GROUP BY track),
+c AS (SELECT track, n AS run_length, n / least(n_a, n_b) AS coverage, off::DOUBLE AS "offset", greatest(hi - off, off - lo)::DOUBLE AS offset_drift, dist AS median_distance, diff AS median_difference FROM sizes JOIN g USING (track))
+SELECT track, run_length, round(coverage, 9) AS coverage, "offset", offset_drift, median_distance, median_difference, CASE WHEN coverage >= 0.2 AND run_length >= 8 THEN 'near_duplicate_sequence'
+  WHEN run_length >= 8 AND median_distance <= 9 AND median_difference <= 8 AND offset_drift <= 2 THEN 'confirmed_temporal_overlap' WHEN run_length >= 3 THEN 'possible_ambiguous_overlap' ELSE 'incidental_similarity' END AS class FROM c""")
+def overlap_classification(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    runs = overlap.matched_runs(p, ["track"], "a", "b", _OVERLAP["drift"], Scratch(spark, "overlap"))
+    sizes = p.groupBy("track").agg(F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"))
+    d = p.select("track", "a", "b", (F.col("x1") % 18).alias("distance"), (F.col("y1") % 14).alias("difference"))
+    return overlap.overlap_classes(runs, d, sizes, ["track"], _OVERLAP).withColumn("coverage", r9(F.col("coverage")))
 
 
 @query("O144 O256", f"""WITH {st.OBS}, s AS (SELECT track, min(frame) AS a, max(frame) AS b FROM obs GROUP BY track), t AS (SELECT DISTINCT track, floor(a + x * (b - a))::BIGINT AS target FROM s, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS x))

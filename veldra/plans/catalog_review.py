@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldra.operators import review, truth
+from veldra.operators import graph, review, selection, timelines, truth
 from veldra.plans import standins as st
 from veldra.session import table
+from veldra.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -213,3 +214,77 @@ def truth_target_metrics(spark, sf_dir):
     accepted = truth.acceptance(_log(spark, sf_dir), "video", "pos", "kind", silent=("label",))
     m = truth.target_metrics(_scored(spark, sf_dir), accepted, "video", st.FPS)
     return m.withColumns({c: r9(F.col(c)) for c in ("recovery_mean_sec", "recovery_max_sec", "precision", "recall", "f1", "interventions_per_minute")})
+
+
+# --- overlays, components, choices ------------------------------------------------------------------------------
+
+_KINDS = ("HUMAN_SEED_SEGMENT", "AUTO_STITCHED_TRACKLET", "DETECTOR_SNAPPED_CONTINUATION", "UNRESOLVED_GAP")
+
+
+@query("O222 O225", f"""WITH {st.SESSIONS}, k AS (SELECT track % 50 AS target, {list(_KINDS)}[((track + start) % 4 + 1)::INT] AS kind, start, stop + 6 AS stop FROM sessions),
+f AS (SELECT DISTINCT target, unnest(range(start, stop + 1)) AS f, list_position({list(_KINDS)}, kind) AS p FROM k), top AS (SELECT target, f, min(p) AS p FROM f GROUP BY ALL),
+i AS (SELECT *, f - row_number() OVER (PARTITION BY target, p ORDER BY f) AS g FROM top) SELECT target, {list(_KINDS)}[p] AS kind, min(f) AS start, max(f) AS stop FROM i GROUP BY target, p, g""")
+def interval_overlay(spark, sf_dir):
+    s = st.sessions(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), ((F.col("track") + F.col("start")) % 4 + 1).cast("int"))
+    k = s.select((F.col("track") % 50).alias("target"), kind.alias("kind"), "start", (F.col("stop") + 6).alias("stop"))
+    return timelines.overlaid(k, "target", "kind", "start", "stop", list(_KINDS))
+
+
+#: Ranges of a part within its brand, and exact sizes within a type: what ties rows to one component.
+_RANGED = """r AS (SELECT p_partkey AS id, p_brand AS track, CASE WHEN p_size % 3 = 0 THEN p_type || p_size || (p_partkey % 9) END AS same, (p_partkey * 37) % 4000 AS start, (p_partkey * 37) % 4000 + p_size % 12 AS stop FROM part)"""
+
+
+@query("O174 O173", f"""WITH RECURSIVE {_RANGED}, e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.track = b.track AND a.start <= b.stop AND b.start <= a.stop UNION SELECT a.id, b.id FROM r a JOIN r b ON a.same = b.same),
+walk(id, other) USING KEY (id) AS (SELECT id, id FROM r UNION SELECT e.b, min(w.other) FROM walk w JOIN e ON e.a = w.id JOIN recurring.walk k ON k.id = e.b WHERE w.other < k.other GROUP BY e.b),
+g AS (SELECT w.other AS component, min(start) AS s, min(stop) AS t, min(r.id) AS i, count(*) AS size FROM walk w JOIN r USING (id) GROUP BY w.other), n AS (SELECT component, size, row_number() OVER (ORDER BY s, t, i) AS number FROM g)
+SELECT id, component, number, size FROM walk w JOIN n ON n.component = w.other""")
+def evaluation_components_over_ranges(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    same = F.when(F.col("p_size") % 3 == 0, F.concat("p_type", F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string")))
+    start = (F.col("p_partkey") * 37) % 4000
+    r = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("track"), same.alias("same"), start.alias("start"), (start + F.col("p_size") % 12).alias("stop"))
+    return graph.evaluation_components(r, "id", ["same"], ["track"], "start", "stop", Scratch(spark, "evaluation"))
+
+
+_BUCKETS = ("early", "middle", "late")
+_CHOICE = f"""{st.BOXED}, o AS (SELECT track % 60 AS grp, event_id AS id, frame, (event_id * 2654435761) & 4294967295 AS bits, (value * 1000)::BIGINT AS v, CASE WHEN frame < 200 THEN 'early' WHEN frame < 450 THEN 'middle' WHEN frame < 700 THEN 'late' ELSE 'rest' END AS bucket FROM boxed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v DESC, id) AS rank FROM o),
+turns AS (SELECT *, 1 AS pass, list_position({list(_BUCKETS)}, bucket) AS place FROM ranked WHERE bucket <> 'rest' UNION ALL SELECT *, 2, coalesce(list_position({list(_BUCKETS)}, bucket), 0) FROM ranked),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pass, CASE WHEN pass = 1 THEN place END, rank) AS i FROM turns)"""
+
+
+@query("O150 O149 O180", f"""WITH RECURSIVE {_CHOICE},
+fold AS (SELECT DISTINCT grp, 0::BIGINT AS i, []::STRUCT(id BIGINT, frame BIGINT, bits BIGINT, place INT)[] AS chosen, []::BIGINT[] AS frames, 0 AS gaps, 0 AS dups FROM o UNION ALL
+  SELECT f.grp, s.i, CASE WHEN skip OR len(clash) > 0 THEN chosen ELSE chosen || [{{'id': id, 'frame': frame, 'bits': bits, 'place': place::INT}}] END,
+    CASE WHEN pass = 1 AND NOT skip AND len(clash) = 0 THEN frames || [frame] ELSE frames END,
+    gaps + CASE WHEN NOT skip AND len(clash) > 0 AND abs(clash[1].frame - frame) < 12 THEN 1 ELSE 0 END, dups + CASE WHEN NOT skip AND len(clash) > 0 AND abs(clash[1].frame - frame) >= 12 THEN 1 ELSE 0 END
+  FROM (SELECT f.*, s.* EXCLUDE (grp, i), s.i AS at, len(chosen) >= 8 OR (pass = 1 AND len(list_filter(chosen, lambda c: c.place = s.place)) > 0) OR (pass = 2 AND list_contains(frames, s.frame)) AS skip,
+    list_filter(chosen, lambda c: abs(c.frame - s.frame) < 12 OR bit_count(xor(c.bits, s.bits)) <= 9) AS clash FROM fold f JOIN steps s ON s.grp = f.grp AND s.i = f.i + 1) f JOIN (SELECT grp, i FROM steps) s ON s.grp = f.grp AND s.i = f.at)
+SELECT grp, array_to_string(list_transform(list_sort(list_transform(chosen, lambda c: {{'frame': c.frame, 'id': c.id}})), lambda c: c.id), ',') AS selected, gaps AS suppressed_gap, dups AS suppressed_duplicate FROM fold QUALIFY i = max(i) OVER (PARTITION BY grp)""")
+def suppressed_choice(spark, sf_dir):
+    b = st.boxed_events(spark, sf_dir)
+    frame = F.col("frame")
+    bucket = F.when(frame < 200, "early").when(frame < 450, "middle").when(frame < 700, "late").otherwise("rest")
+    o = b.select((F.col("track") % 60).alias("grp"), F.col("event_id").alias("id"), "frame", (F.col("event_id") * 2654435761).bitwiseAND(F.lit(4294967295)).alias("bits"), F.bround(F.col("value") * 1000).cast("long").alias("v"), bucket.alias("bucket"))
+    got = selection.suppressed_choice(o, "grp", "id", "bucket", list(_BUCKETS), [F.desc("v"), F.col("id")], "frame", "bits", 8, 12, 9)
+    return got.withColumn("selected", F.concat_ws(",", F.transform("selected", lambda x: x.cast("string"))))
+
+
+_TRACKS = f"""{st.BOXED}, o AS (SELECT track % 16 AS video, track // 16 % 12 AS track, frame, x1, y1, x2, y2 FROM boxed QUALIFY row_number() OVER (PARTITION BY track % 16, track // 16 % 12, frame ORDER BY event_id) = 1)"""
+
+
+@query("O158 O142", f"""WITH {_TRACKS}, ends AS (SELECT video, track, max(frame) AS lost, arg_max((x1 + x2) / 2, frame) AS px, arg_max((y1 + y2) / 2, frame) AS py FROM o GROUP BY ALL),
+seen AS (SELECT e.video, e.track, o.track AS other, min(o.frame) AS frame, arg_min(sqrt(((o.x1 + o.x2) / 2 - px) ** 2 + ((o.y1 + o.y2) / 2 - py) ** 2), o.frame) AS far FROM ends e JOIN o ON o.video = e.video AND o.track <> e.track AND o.frame BETWEEN lost + 1 AND lost + 89 GROUP BY ALL),
+births AS (SELECT *, row_number() OVER (PARTITION BY video, track ORDER BY round(far, 9), frame, other) AS r FROM seen QUALIFY r < 8),
+span AS (SELECT video, track, min(frame) AS a, max(frame) AS b FROM o GROUP BY ALL), grid AS (SELECT video, track, unnest(range(a, b + 1)) AS frame FROM span),
+absent AS (SELECT g.*, EXISTS (SELECT 1 FROM o WHERE o.video = g.video AND o.frame = g.frame) AND NOT EXISTS (SELECT 1 FROM o WHERE o.video = g.video AND o.frame = g.frame AND o.track = g.track) AS away FROM grid g),
+runs AS (SELECT video, track, frame, frame - row_number() OVER (PARTITION BY video, track ORDER BY frame) AS g FROM absent WHERE away), pockets AS (SELECT video, track, min(frame) AS a, max(frame) AS b, row_number() OVER (PARTITION BY video, track ORDER BY min(frame)) AS r FROM runs GROUP BY video, track, g HAVING count(*) >= 3),
+w AS (SELECT video, track, 0 AS k, 0::BIGINT AS r, 'selected_raw_track_end' AS kind, lost AS center, NULL::BIGINT AS other FROM ends UNION ALL SELECT video, track, 1, r, 'nearby_new_track_birth', frame, other FROM births UNION ALL SELECT video, track, 2, r, 'selected_track_absence', (a + b) // 2, NULL FROM pockets),
+t AS (SELECT *, row_number() OVER (PARTITION BY video, track ORDER BY k, r) AS turn FROM w), b AS (SELECT video, track, list({{'kind': kind, 'center': center, 'other': other}} ORDER BY turn) AS ws FROM t WHERE turn <= 8 GROUP BY ALL),
+kept AS (SELECT video, track, list_reduce(list_prepend([ws[1]], list_transform(ws[2:], lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda c: abs(c.center - x[1].center) < 10)) > 0 THEN acc ELSE acc || x END) AS ws FROM b)
+SELECT video, track, x.kind AS kind, x.center AS center, x.other AS other, position FROM (SELECT video, track, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS position FROM kept)""")
+def failure_windows(spark, sf_dir):
+    b = st.boxed_events(spark, sf_dir).withColumn("video", F.col("track") % 16).withColumn("track", F.floor(F.col("track") / 16) % 12)
+    o = b.groupBy("video", "track", "frame").agg(F.min(F.struct("event_id", "x1", "y1", "x2", "y2")).alias("m")).select("video", "track", "frame", "m.x1", "m.y1", "m.x2", "m.y2")
+    return selection.failure_windows(o, "video", o.select("video", "track").distinct(), 8, 89, 3, 10)
