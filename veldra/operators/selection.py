@@ -56,18 +56,6 @@ def review_groups(df: DataFrame, rank_by: dict[str, Column], id_: str, n: int) -
     return out
 
 
-def quota_grid(spark, total: int, minima: dict[str, int]) -> DataFrame:
-    """All ways to deal ``total`` over the named parts with their minima; one column each."""
-    names = list(minima)
-    out = spark.range(1).select()
-    for n in names[:-1]:
-        used = sum((F.col(c) for c in out.columns), F.lit(0))
-        rest = sum(minima[m] for m in names[len(out.columns) + 1 :])
-        out = out.withColumn("_most", F.lit(total) - used - rest).where(F.col("_most") >= minima[n]).withColumn(n, F.explode(F.sequence(F.lit(minima[n]), F.col("_most").cast("int")))).drop("_most")
-    last = F.lit(total) - sum((F.col(c) for c in out.columns), F.lit(0))
-    return out.withColumn(names[-1], last.cast("int")).where(F.col(names[-1]) >= minima[names[-1]])
-
-
 def diverse_allocation(df: DataFrame, id_: str, order: list[str], caps: dict[str, int], k: int) -> DataFrame:
     """(id, position): the first k rows in order of which no value of a capped column occurs more often than its cap.
 

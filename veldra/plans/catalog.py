@@ -540,11 +540,6 @@ def hamilton_apportionment(spark, sf_dir):
     return agg.largest_remainder(w, "c_nationkey", "n", 100)
 
 
-@query("SELECT a::INT AS a, b::INT AS b, c::INT AS c, (12 - a - b - c)::INT AS d FROM (SELECT unnest(range(2, 13)) AS a), (SELECT unnest(range(1, 13)) AS b), (SELECT unnest(range(0, 13)) AS c) WHERE 12 - a - b - c >= 3")
-def quota_grid(spark, sf_dir):
-    return selection.quota_grid(spark, 12, {"a": 2, "b": 1, "c": 0, "d": 3})
-
-
 @query()
 def diversity_allocation(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (-F.col("n_chars")).alias("_key"))
@@ -752,7 +747,6 @@ COVERS = {
     "stratified_capped_selection": "O155",
     "review_groups": "O156",
     "hamilton_apportionment": "O121",
-    "quota_grid": "O154",
     "diversity_allocation": "O153",
     "connected_components": "O171",
     "clique_components": "O055 O170 O172 O233",
@@ -763,7 +757,7 @@ COVERS = {
     "active_approvals": "O078 O206",
     "log_monotonicity_violations": "O203",
     "supersession_errors": "O203 O214",
-    "gt_replay": "O209",
+    "gt_replay": "O204",
     "timeline_coverage": "O101",
     "operating_points": "O114",
     "frontiers": "O090 O115",

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldra.operators import graph, review, selection, timelines, truth
+from veldra.operators import allocation, graph, review, selection, timelines, truth
 from veldra.plans import standins as st
 from veldra.session import table
 from veldra.storage import Scratch
@@ -288,3 +288,33 @@ def failure_windows(spark, sf_dir):
     b = st.boxed_events(spark, sf_dir).withColumn("video", F.col("track") % 16).withColumn("track", F.floor(F.col("track") / 16) % 12)
     o = b.groupBy("video", "track", "frame").agg(F.min(F.struct("event_id", "x1", "y1", "x2", "y2")).alias("m")).select("video", "track", "frame", "m.x1", "m.y1", "m.x2", "m.y2")
     return selection.failure_windows(o, "video", o.select("video", "track").distinct(), 8, 89, 3, 10)
+
+
+STRATA = ("low", "mid", "high")
+BATCHES = [allocation.Batch(f"batch_{i}", dict(zip(STRATA, (8, 8, 8), strict=True)), first) for i, first in enumerate((10, 9, 8, 7))]
+CAPS = allocation.Caps(2, 3, 24)
+
+
+def allocation_items(spark, sf_dir):
+    """Every event as an item: its stratum from the value, a third of them from the scarce source, groups of a few events."""
+    b = st.boxed_events(spark, sf_dir)
+    stratum = F.when(F.col("value") < 20, "low").when(F.col("value") < 60, "mid").otherwise("high")
+    source = F.when(F.col("event_id") % 3 == 0, "recomputed").otherwise("reused")
+    return b.select(F.col("event_id").alias("id"), stratum.alias("stratum"), source.alias("source"), (F.col("track") * 10 + F.floor(F.col("frame") / 100)).alias("segment"), "track", "frame", F.floor(F.col("frame") / 72).alias("bin"), F.floor(F.col("event_id") / (2 + F.col("track") % 3)).alias("grp"))
+
+
+@query("O153 O162")  # each choice depends on all before it; tests hold it against a plain fold
+def batch_allocation(spark, sf_dir):
+    """Items of four batches by quotas of strata and sources, in the order in which they were chosen."""
+    return allocation.allocate(allocation_items(spark, sf_dir), "recomputed", BATCHES, ["low", "mid", "high"], ["high", "mid", "low"], CAPS, Scratch(spark, "allocation"))
+
+
+@query("O154 O121", f"""WITH {st.BOXED}, c AS (SELECT 'batch_' || (track % 4) AS batch, least(24, count(DISTINCT track // 4)) AS most FROM boxed WHERE event_id % 3 = 0 GROUP BY 1), n AS (SELECT max(most) FILTER (batch = 'batch_0') AS h1, max(most) FILTER (batch = 'batch_1') AS h2, max(most) FILTER (batch = 'batch_2') AS h3, max(most) FILTER (batch = 'batch_3') AS h4 FROM c),
+v AS (SELECT n.*, a.v AS v1, b.v AS v2, d.v AS v3, least(40, h1 + h2 + h3 + h4) AS total, least(40, h1 + h2 + h3 + h4) - a.v - b.v - d.v AS v4 FROM n, (SELECT unnest(range(25)) AS v) a, (SELECT unnest(range(25)) AS v) b, (SELECT unnest(range(25)) AS v) d),
+k AS (SELECT *, round(abs(v1 / h1 - 1 / 3.0::DOUBLE) + abs(v2 / h2 - 1 / 3.0::DOUBLE) + abs(v3 / h3 - 1 / 3.0::DOUBLE) + abs(v4 / h4 - 1 / 3.0::DOUBLE), 9) AS off, round(abs((v1 + v2) / (h1 + h2) - (v3 + v4) / (h3 + h4)), 9) AS half FROM v WHERE v1 BETWEEN 2 AND h1 AND v2 BETWEEN 2 AND h2 AND v3 BETWEEN 2 AND h3 AND v4 BETWEEN 2 AND h4)
+SELECT v1, v2, v3, v4, total, row_number() OVER (ORDER BY off, half, v1 + v3 DESC, v1 DESC, v2 DESC, v3 DESC, v4 DESC) AS rank FROM k""")
+def quota_vectors(spark, sf_dir):
+    b = st.boxed_events(spark, sf_dir).where(F.col("event_id") % 3 == 0)
+    most = F.least(F.lit(24), F.count_distinct(F.floor(F.col("track") / 4)))
+    c = b.groupBy(F.concat(F.lit("batch_"), (F.col("track") % 4).cast("string")).alias("batch")).agg(most.alias("most")).withColumn("least", F.lit(2))
+    return allocation.ranked_quota_vectors(c, "batch", "least", "most", 1 / 3, 40)
