@@ -33,7 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, similarity 0.8): the smallest id.
 
-    Rows that repeat a kept doc_id are reduced to one; rows without an id stay.
+    Rows of a kept doc_id with one and the same text are reduced to one, that with the least other columns; unlike texts
+    of a doc_id all stay. Rows without an id stay.
     """
     scratch = Scratch(spark, "pipeline")
     found = scratch.keep(neardup.near_duplicates(docs, "doc_id", "text", k=5, numerator=80).select("doc_id", "kept"), "groups")
@@ -43,8 +44,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, left["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, left["doc_id"] == F.col("_twice"), "left_anti").unionByName(once)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    twice = left.join(repeated, left["doc_id"] == F.col("_twice"), "left_semi")
+    once = twice.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_0"), *rest)).alias("_rest")).select("doc_id", "text", *(F.col(f"_rest.{c}").alias(c) for c in rest))
+    return left.join(repeated, left["doc_id"] == F.col("_twice"), "left_anti").unionByName(once.select(docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
