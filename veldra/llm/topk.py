@@ -36,13 +36,18 @@ FIRST = 32
 
 
 def whole(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as a double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """floor(scale * x) of each component as a double; doubles from 2^52 on are whole and beyond what a long floor holds."""
 
+    def floor(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) >= float(1 << 52), y).otherwise(F.floor(y).cast("double"))
 
-def usable(vector: Column) -> Column:
-    """Neither null nor empty, and every component is finite."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    return F.transform(vector, floor)
+
+
+def usable(vector: Column, scale: int = 64) -> Column:
+    """Neither null nor empty, and every component is finite, ``scale`` times as large too."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * scale) == F.lit(float("inf"))))
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.lit(False))
 
 
@@ -169,7 +174,11 @@ class Search:
 
 
 def _pair_scores(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact scores of the pairs (r[i], c[i]): in floating point where no sum can be rounded, else in whole numbers."""
+    """Exact scores of the pairs (r[i], c[i]): in floating point where no sum can be rounded, else in whole numbers.
+
+    A score beyond a long is the nearest long.
+    """
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     most = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
     out = np.empty(len(r), np.int64)
     if most < 1 << 53:
@@ -177,7 +186,7 @@ def _pair_scores(q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) ->
             out[i : i + (1 << 14)] = np.einsum("ij,ij->i", q[r[i : i + (1 << 14)]], x[c[i : i + (1 << 14)]])
     else:
         for i in range(len(r)):
-            out[i] = sum(int(u) * int(v) for u, v in zip(q[r[i]], x[c[i]], strict=True))
+            out[i] = min(max(sum(int(u) * int(v) for u, v in zip(q[r[i]], x[c[i]], strict=True)), low), high)
     return out
 
 
@@ -251,12 +260,12 @@ def top_k(df: DataFrame, id_: str, vector: str, is_query: Column, k: int = 20, s
 
     Candidates are all rows but the query's own id; ties go to smaller ids, repeated ids each count. Rows with a null
     id, a null or empty vector or a component that is null or not finite take no part; a pair of different dimensions
-    has no score. Fewer than k candidates give fewer rows; no queries give none. Other columns don't matter.
+    has no score. Scores beyond a long are the nearest long, and rank as such. Fewer than k candidates give fewer rows; no queries give none. Other columns don't matter.
     """
     spark = df.sparkSession
     tc.bounded_batches(spark)
     scratch = Scratch(spark, "topk")
-    rows = df.select(F.col(id_).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"), usable(F.col(vector)).alias("ok")).where(F.col("ok") & F.col("id").isNotNull())
+    rows = df.select(F.col(id_).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"), usable(F.col(vector), scale).alias("ok")).where(F.col("ok") & F.col("id").isNotNull())
     chosen = _pivots(rows, pivots)
     table = scratch.keep(with_table(rows, chosen), "table")
     n, asked = table.agg(F.count(F.lit(1)), F.count_if("ask")).first()
