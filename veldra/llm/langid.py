@@ -1,11 +1,13 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of a bounded sample of labelled text stands for each language. A text is parsed against every
+A suffix automaton of a bounded sample of labelled rows stands for each language. A text is parsed against every
 automaton into phrases, each the longest match with the sample (or one unseen character); the number of phrases times
 the logarithm of the sample's length is the text's code length, and the language with the shortest wins.
 
-The automata are one transition table, and a batch of texts runs through it in lockstep: one NumPy step takes the next
-character of all texts in all languages. Texts are lower-cased; what isn't a letter separates words. Whole texts are
+The automata share one set of transition arrays, and a batch of texts runs through them in lockstep: one NumPy step takes
+the next character of all texts in all languages. States with the most transitions have a line in a dense table of bounded
+size; a state beyond it has its first transition beside it and others in a sorted list, so an alphabet of thousands of
+letters takes no more room than its text. Texts are lower-cased; what isn't a letter separates words. Whole texts are
 parsed: long ones run in spans side by side, each as if a phrase began there; then every span is followed again from the
 state in which the one before it ended, up to the place where both ways meet, which puts its count right.
 """
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 from veldra.llm import textcodes as tc
 
-#: Bounds of the sample that is learned from: rows and characters of a language, characters of all languages together,
-#: and languages, of which those with the most labelled rows are learned.
-SAMPLE_ROWS, LANGUAGE_CHARS, ALL_CHARS, MAX_LANGUAGES = 64, 40_000, 2_000_000, 256
+#: Bounds of the sample that is learned from: rows of a language, and characters of a language's and of all rows, which end
+#: the sample at a whole row. However many languages there are, each gets LEAST_CHARS.
+SAMPLE_ROWS, LANGUAGE_CHARS, ALL_CHARS, LEAST_CHARS = 64, 40_000, 2_000_000, 4_000
+#: Bytes of the dense table; results don't depend on it. Bytes of a whole model, which is broadcast.
+DENSE_BYTES, MODEL_BYTES = 96 << 20, 768 << 20
 #: Characters of a text that are parsed side by side with others; results don't depend on it.
 SPAN = 512
 UNDETERMINED = "und"
@@ -75,49 +79,105 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 @dataclass
 class LanguageModel:
-    """``table``: state x code -> 2 * next state + (1 if a phrase begins). Codes: 0 space, 1 unseen letter, 2.. letters, last: no character."""
+    """Automata of all languages in common arrays; a transition is 2 * next state + (1 if a phrase begins).
+
+    Codes of characters: 0 space, 1 unseen letter, 2.. letters. ``root``: language x code, also what a missing transition
+    is. ``line``: place of a state in ``dense`` or -1; ``lone``, ``lone_next``: code and target of a state's first transition;
+    ``keys``, ``targets``: its others by state * codes + code, sorted.
+    """
 
     languages: list[str]
-    alphabet: list[int]
+    alphabet: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
-    table: np.ndarray
+    root: np.ndarray
+    line: np.ndarray
+    dense: np.ndarray
+    lone: np.ndarray
+    lone_next: np.ndarray
+    keys: np.ndarray
+    targets: np.ndarray
+    all_dense: bool
 
     @property
     def codes(self) -> int:
-        return len(self.alphabet) + 3
+        return len(self.alphabet) + 2
 
-
-def build_model(samples: dict[str, str]) -> LanguageModel:
+    @property
+    def n_bytes(self) -> int:
+        return sum(x.nbytes for x in (self.root, self.line, self.dense, self.lone, self.lone_next, self.keys, self.targets))
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Transitions of the states (language x text) by the texts' next codes."""
+        if self.all_dense:
+            return self.dense[state * self.codes + code]
+        line = self.line[state]
+        lang, at = np.nonzero(line < 0)
+        out = self.dense[np.maximum(line, 0).astype(np.int64) * self.codes + code] if len(self.dense) else np.empty(state.shape, np.int32)
+        s, c = state[lang, at], code[at]
+        found = np.where(self.lone[s] == c, self.lone_next[s], -1)
+        open_ = np.flatnonzero(found < 0)
+        key = s[open_].astype(np.int64) * self.codes + c[open_]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else None
+        if place is not None:
+            hit = self.keys[place] == key
+            found[open_[hit]] = self.targets[place[hit]]
+        missing = found < 0
+        found[missing] = self.root[lang[missing], c[missing]]
+        out[lang, at] = found
+        return out
+
+
+def build_model(samples: dict[str, str], dense_bytes: int = DENSE_BYTES) -> LanguageModel:
     """Automata of the normalised samples."""
     languages = sorted(samples)
-    alphabet = sorted({ord(c) for s in samples.values() for c in s} - {32})
+    alphabet = np.array(sorted({ord(c) for s in samples.values() for c in s} - {32}), np.int64)
     code = {chr(c): i + 2 for i, c in enumerate(alphabet)} | {" ": 0}
-    width = len(alphabet) + 3
-    tables, roots, base = [], [], 0
-    for name in languages:
+    width = len(alphabet) + 2
+    root = np.zeros((len(languages), width), np.int32)
+    states, codes, targets, roots, base = [], [], [], [], 0
+    for i, name in enumerate(languages):
         nxt = suffix_automaton(samples[name])
-        t = np.full((len(nxt), width), -1, np.int64)
-        for s, row in enumerate(nxt):
-            for c, q in row.items():
-                t[s, code[c]] = 2 * (base + q)
-        root = np.where(t[0] >= 0, t[0], 2 * base) + 1
-        t = np.where(t < 0, root[None, :], t)
-        t[0] = root
-        t[:, width - 1] = 2 * (base + np.arange(len(nxt)))
-        tables.append(t.astype(np.int32))
+        first = {code[c]: 2 * (base + q) + 1 for c, q in nxt[0].items()}
+        root[i] = 2 * base + 1
+        root[i, list(first)] = list(first.values())
+        count = np.fromiter(map(len, nxt), np.int64, len(nxt))
+        count[0] = 0  # a step from the root always begins a phrase
+        total = int(count.sum())
+        states.append(np.repeat(base + np.arange(len(nxt)), count))
+        codes.append(np.fromiter((code[c] for row in nxt[1:] for c in row), np.int64, total))
+        targets.append(np.fromiter((2 * (base + q) for row in nxt[1:] for q in row.values()), np.int32, total))
         roots.append(base)
         base += len(nxt)
+    state, to, target = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (states, codes, targets))
+    order = np.argsort(state * width + to)
+    state, to, target = state[order], to[order], target[order].astype(np.int32)
     bits = np.array([np.log2(max(2, len(samples[x]))) for x in languages])
-    return LanguageModel(languages, alphabet, np.array(roots, np.int64), bits, np.concatenate(tables) if tables else np.zeros((0, width), np.int32))
+    lines = min(base, dense_bytes // (4 * width))
+    every = lines == base
+    degree = np.bincount(state, minlength=base)
+    degree[roots] = width  # roots are the states that are used most
+    rich = np.sort(np.argsort(-degree, kind="stable")[:lines])
+    line = np.full(base, -1, np.int32)
+    line[rich] = np.arange(lines)
+    owner = np.searchsorted(np.array(roots), np.arange(base), "right") - 1
+    dense = root[owner[rich]] if lines else np.zeros((0, width), np.int32)
+    inside = line[state] >= 0
+    dense[line[state[inside]], to[inside]] = target[inside]
+    state, to, target = state[~inside], to[~inside], target[~inside]
+    first = np.ones(len(state), bool)
+    first[1:] = state[1:] != state[:-1]
+    lone, lone_next = np.full(0 if every else base, -1, np.int32), np.full(0 if every else base, -1, np.int32)
+    lone[state[first]], lone_next[state[first]] = to[first], target[first]
+    return LanguageModel(languages, alphabet, np.array(roots, np.int64), bits, root, line, dense.ravel(), lone, lone_next, (state * width + to)[~first], target[~first], every)
 
 
 def code_lengths(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bits of each text in each language, number of its letters)."""
     n = len(texts)
     letters = _letter_table()
-    seen = np.where(letters, 1, 0).astype(np.uint8)
-    seen[np.array(model.alphabet, np.int64)] = np.arange(2, len(model.alphabet) + 2)
+    seen = letters.astype(np.int32)
+    seen[model.alphabet] = np.arange(2, len(model.alphabet) + 2)
     joined = "\0".join(t.replace("\0", " ") for t in texts).lower()
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = seen[points]
@@ -144,12 +204,11 @@ def _parse(model: LanguageModel, code: np.ndarray, at: np.ndarray, size: np.ndar
     order = np.argsort(-size, kind="stable")
     at, size = at[order], size[order]
     live = np.searchsorted(-size, -np.arange(1, SPAN + 1), "right")
-    width, flat = model.codes, model.table.ravel()
     state = np.repeat(model.roots[:, None], len(at), axis=1)
     phrases = np.zeros(state.shape, np.int64)
     for t in range(int(size[0]) if len(size) else 0):
         m = live[t]
-        v = flat[state[:, :m] * width + code[at[:m] + t]]
+        v = model.step(state[:, :m], code[at[:m] + t])
         phrases[:, :m] += v & 1
         state[:, :m] = v >> 1
     out = np.empty_like(phrases), np.empty_like(state)
@@ -159,7 +218,6 @@ def _parse(model: LanguageModel, code: np.ndarray, at: np.ndarray, size: np.ndar
 
 def _rejoin(model: LanguageModel, code: np.ndarray, at: np.ndarray, size: np.ndarray, text: np.ndarray, phrases: np.ndarray, end: np.ndarray) -> None:
     """Make the counts those of whole texts: follow each span from the state in which the one before it really ends."""
-    width, flat = model.codes, model.table.ravel()
     first, lone_end = phrases.copy(), end.copy()
     todo = np.flatnonzero(text[1:] == text[:-1]) + 1
     while len(todo):
@@ -172,7 +230,7 @@ def _rejoin(model: LanguageModel, code: np.ndarray, at: np.ndarray, size: np.nda
             if not len(apart):
                 break
             c = code[at[now[apart]] + t]
-            u, v = flat[lone[:, apart] * width + c], flat[true[:, apart] * width + c]
+            u, v = model.step(lone[:, apart], c), model.step(true[:, apart], c)
             more[:, apart] += (v & 1) - (u & 1)
             lone[:, apart], true[:, apart] = u >> 1, v >> 1
             t += 1
@@ -213,30 +271,39 @@ def _predictor(held):
 
 
 def fit(docs: DataFrame, doc: str, text: str, lang: str, usable: Column) -> LanguageModel:
-    """Models of the labels of rows for which ``usable`` holds.
+    """Models of all labels of rows for which ``usable`` holds.
 
     For each label and each of ``SAMPLE_ROWS`` buckets of ids, the row with the smallest hash: a partial aggregate and
-    one more scan, however many rows a label has. The bounds of the sample are the constants above; whole rows are
-    taken in the order of their hashes until the characters of a language are reached. Of more labels than
-    ``MAX_LANGUAGES`` those with the most rows are learned, ties by name. Rows with a null label, id or text teach
-    nothing; without any row every text is undetermined. Repeated rows count once.
+    one more scan, however many rows a label has. A row of more than ``LANGUAGE_CHARS`` characters is taken only where a
+    bucket has no shorter one, the shortest first. Rows are whole; those of a label are taken in the order of their
+    hashes as long as the bounds above allow, one at least. Rows with a null label, id or text teach nothing; without
+    any row every text is undetermined. Repeated rows count once.
     """
     h = F.xxhash64(F.col(doc), F.lit(7))
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(doc).isNotNull())
-    names = [r.l for r in rows.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()]
-    if not names:
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(doc).isNotNull() & F.col(text).isNotNull())
+    size = F.length(F.col(text))
+    key = F.struct(F.when(size > LANGUAGE_CHARS, size).otherwise(0).alias("long"), h.alias("h"))
+    picks = rows.groupBy(F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(doc)), F.lit(SAMPLE_ROWS)).alias("b")).agg(F.min(key).alias("k"), F.min_by(size, key).alias("n"))
+    found = sorted((r.l, r.k["long"], r.k["h"], r.n) for r in picks.collect())  # labels * SAMPLE_ROWS at most
+    if not found:
         return build_model({})
-    rows = rows.where(F.col(lang).isin(names))
-    picks = rows.groupBy(F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(doc)), F.lit(SAMPLE_ROWS)).alias("b")).agg(F.min(h).alias("h"))
-    found = picks.collect()  # MAX_LANGUAGES * SAMPLE_ROWS at most
-    most = min(LANGUAGE_CHARS, ALL_CHARS // len(names))
-    chosen = rows.where(h.isin([r.h for r in found])).select(F.col(lang).alias("l"), h.alias("h"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, most).alias("t")).distinct().collect()
-    wanted = {(r.l, r.h) for r in found}
-    samples: dict[str, str] = {}
+    most = min(LANGUAGE_CHARS, max(LEAST_CHARS, ALL_CHARS // len({f[0] for f in found})))
+    used: dict[str, int] = {}
+    wanted = set()
+    for name, _, hashed, n in found:
+        if name not in used or used[name] + n <= most:
+            wanted.add((name, hashed))
+            used[name] = used.get(name, 0) + n
+    ids = docs.sparkSession.createDataFrame([(hashed,) for hashed in sorted({x[1] for x in wanted})], "_h long")
+    chosen = rows.select(F.col(lang).alias("l"), h.alias("h"), F.col(text).alias("t")).join(F.broadcast(ids), F.col("h") == F.col("_h")).select("l", "h", "t").distinct().collect()
+    samples: dict[str, list[str]] = {}
     for r in sorted(chosen, key=lambda r: (r.l, r.h, r.t)):
         if (r.l, r.h) in wanted:
-            samples[r.l] = f"{samples.get(r.l, '')} {normalised(r.t)}"[:most]
-    return build_model({k: v.strip() for k, v in samples.items()})
+            samples.setdefault(r.l, []).append(normalised(r.t))
+    model = build_model({k: " ".join(x for x in v if x) for k, v in samples.items()})
+    if model.n_bytes > MODEL_BYTES:
+        raise MemoryError(f"a model of {model.n_bytes >> 20} MB for {len(model.languages)} languages; lower LEAST_CHARS")
+    return model
 
 
 def with_language(df: DataFrame, text: str, model: LanguageModel, into: str = "language") -> DataFrame:
@@ -247,5 +314,5 @@ def with_language(df: DataFrame, text: str, model: LanguageModel, into: str = "l
     already called ``into`` is replaced, others stay.
     """
     tc.bounded_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGE_CHARS and MAX_LANGUAGES
+    held = df.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most
     return df.withColumn(into, _predictor(held)(F.col(text)))
