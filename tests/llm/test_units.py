@@ -292,7 +292,9 @@ def test_the_wrapper_decides_on_the_given_pages():
         wrapper = dom.induce([dom.parse(x) for x in dict.fromkeys(html)])
         assert wrapper[2][-1] == "article"
         for x in html:
-            assert dom._in_slot(dom.parse(x), wrapper[2])
+            page = dom.parse(x)
+            dom._mark(page, False)
+            assert dom.placed(page, wrapper[1])[1].tag == "article"
             # Without the element kinds that name it, the slot is found all the same.
     plain = [[x.replace("<article>", "<div class=c7>").replace("</article>", "</div>") for x in html] for html in several.values() if len(html) > 5]
     for html in plain:
@@ -300,6 +302,46 @@ def test_the_wrapper_decides_on_the_given_pages():
         assert wrapper[2][-1] == "div.c7"
 
 
+def test_neutral_pages_give_the_text_of_marked_ones():
+    import re
+
+    import pyarrow.dataset as ds
+
+    def neutral(html):
+        html = re.sub(r"""\s(?:class|id|role|aria-[a-z]+)=(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", html)
+        return re.sub(r"<(/?)(?:article|nav|aside|footer|header|form|main|section|figure)\b", r"<\1div", html)
+
+    hosts = {}
+    for r in ds.dataset("/root/testdata/sf0.01/pages.parquet").to_table(columns=["url", "html"]).to_pylist():
+        hosts.setdefault(r["url"].split("/")[2], []).append(r["html"])
+    for html in hosts.values():
+        unlike = list(dict.fromkeys(html))
+        wrapper = dom.induce([dom.parse(neutral(x)) for x in unlike]) if len(unlike) > 1 else None
+        for x in html:
+            assert dom.main_text(dom.parse(neutral(x)), wrapper) == dom.main_text(dom.parse(x))
+
+
+def test_the_wrapper_beats_density_on_classless_pages():
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    terms, menu = "".join(f"<p>{words(200)}</p>" for _ in range(2)), "".join(f"<a href=x>{words(1)}</a>" for _ in range(2))
+    articles = [(words(3), [words(12) for _ in range(rng.randrange(2, 5))]) for _ in range(8)]
+    advert = lambda: f"<div>{words(4)}</div>" if rng.random() < 0.5 else ""
+    pages = [f"<html><body><div>{menu}</div><div>{advert()}<div><div><h1>{h}</h1></div><div>{''.join(f'<p>{x}</p>' for x in ps)}</div></div></div><div>{terms}</div></body></html>" for h, ps in articles]
+    wrapper = dom.induce([dom.parse(x) for x in pages])
+    want = ["\n".join([h, *ps]) for h, ps in articles]
+    assert [dom.main_text(dom.parse(x), wrapper) for x in pages] == want
+    assert all(dom.main_text(dom.parse(x)) != y for x, y in zip(pages, want, strict=True))  # density alone takes the terms
+
+
+def test_stray_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert dom.main_text(dom.parse("<div>" * 20_000 + "</b>" * 20_000 + "<p>x")) == "x"
+    assert time.perf_counter() - began < 5
+
+
 def test_deep_nesting_and_several_articles():
     deep = "<div>" * 20_000 + "<nav>menu</nav><p>text</p>"
     assert dom.main_text(dom.parse(deep)) == "text"

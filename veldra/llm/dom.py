@@ -39,7 +39,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Node:
     """An element (``text`` is None) or a text (``tag`` is '#')."""
 
-    __slots__ = ("drop", "kids", "label", "parent", "tag", "text", "words")
+    __slots__ = ("drop", "kids", "label", "on_way", "parent", "tag", "text", "words")
 
     def __init__(self, tag: str, parent: Node | None, text: str | None = None):
         self.tag, self.parent, self.text, self.kids, self.label, self.drop, self.words = tag, parent, text, [], tag, False, frozenset()
@@ -59,6 +59,12 @@ def parse(html: str) -> Node:
     """The tree of any text: unclosed, crossed and stray tags are tolerated."""
     root = Node("#root", None)
     stack, at, n = [root], 0, len(html)
+    #: How many elements of a tag are open, so that a stray end tag isn't sought in a deep stack.
+    standing: Counter = Counter()
+
+    def cut(i: int) -> None:
+        standing.subtract(x.tag for x in stack[i:])
+        del stack[i:]
 
     def add_text(raw: str) -> None:
         if raw:
@@ -68,9 +74,11 @@ def parse(html: str) -> Node:
             stack[-1].kids.append(node)
 
     def close(tags, scope) -> None:
+        if not any(standing[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in scope:
                 return
@@ -84,16 +92,14 @@ def parse(html: str) -> Node:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if standing[tag]:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         name = m[2] or m[4]
         if not name:
             continue
         tag = name.lower()
-        if tag in CLOSES_P and any(x.tag == "p" for x in stack[-8:]):
+        if tag in CLOSES_P:
             close(("p",), SCOPE["p"])
         if tag in SAME_LEVEL:
             close(SAME_LEVEL[tag], SCOPE[tag])
@@ -107,6 +113,7 @@ def parse(html: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not (raw.endswith("/") and tag not in BLOCK):
             stack.append(node)
+            standing[tag] += 1
     return root
 
 
@@ -279,14 +286,14 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote address ca
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def weights(root: Node) -> dict[int, int]:
-    """Characters of text below each element, by its identity: without links and marked elements."""
+def weights(root: Node, constant: frozenset[int] | set[int] = frozenset()) -> dict[int, int]:
+    """Characters of text below each element, by its identity: without links, marked elements and the texts ``constant``."""
     out: dict[int, int] = {}
     todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
         x, done = todo.pop()
         if done:
-            out[id(x)] = sum(len(k.text.strip()) if k.tag == "#" else out[id(k)] for k in x.kids)
+            out[id(x)] = sum((0 if id(k) in constant else len(k.text.strip())) if k.tag == "#" else out[id(k)] for k in x.kids)
         elif x.drop or x.tag == "a":
             out[id(x)] = 0
         else:
@@ -305,23 +312,24 @@ def supported(seed: Node, page: Node, alike: float = 0.5) -> tuple[list[int], di
     if not a or not b or len(a & b) > alike * min(len(a), len(b)):
         return None
     _mark(page, False)
-    size = weights(page)
-    equal, found = set(), {}
-    for p, q in align(seed, page):
-        if p.tag == "#":
-            if p.text == q.text:
-                equal.add(id(p))
-        elif p.tag not in LEAVES:
-            found[id(p)] = size.get(id(q), 0)
+    pairs = align(seed, page)
+    alike_ = [(p, q) for p, q in pairs if p.tag == "#" and p.text == q.text]
+    equal, size = {id(p) for p, _ in alike_}, weights(page, {id(q) for _, q in alike_})
+    found = {id(p): size.get(id(q), 0) for p, q in pairs if p.tag != "#" and (p.tag not in LEAVES or p.tag in HEADINGS)}
     index = {id(e): i for i, e in enumerate(elements(seed))}
     return [i for i, t in enumerate(texts(seed)) if id(t) in equal and t.text.strip()], {index[k]: n for k, n in found.items()}
 
 
-def _slot(seed: Node, found: dict[int, tuple[int, int]], others: int) -> list[str] | None:
-    """Labels from the root to the slot that holds the article: where most of the varying text lies on nearly all pages.
+#: The way to a slot ends where so small a share of its varying text isn't below the next element but in blocks beside it.
+BESIDE = 0.02
+
+
+def _slot(seed: Node, found: dict[int, tuple[int, int]], others: int) -> list[Node] | None:
+    """Elements of the seed from the root to the slot that holds the article: where most of the varying text lies.
 
-    ``found``: index of an element -> (pages that have it, characters below it on them). The way down ends at an
-    article or main element, where the text is spread over several elements, and beside headings.
+    ``found``: index of an element -> (pages that have it, characters of varying text below it on them). The way down ends
+    where no element that half of the pages have holds half of the text, and where varying text stands in blocks or
+    headings beside the next element, as an article's own do. Names of tags don't decide.
     """
     order = {id(e): i for i, e in enumerate(elements(seed))}
     at = lambda e: found.get(order[id(e)], (0, 0))
@@ -329,34 +337,40 @@ def _slot(seed: Node, found: dict[int, tuple[int, int]], others: int) -> list[st
     while True:
         kids = [k for k in here.kids if k.tag != "#" and k.tag not in LEAVES]
         best = max(kids, key=lambda k: at(k)[1], default=None)
-        if best is None or here.tag in ("article", "main") and best.tag not in ("article", "main"):
+        if best is None:
             break
         pages, size = at(best)
         if 2 * pages < others or size <= 0 or 2 * size < at(here)[1]:
             break
-        if here.tag not in ("#root", "html", "body") and any(k.tag in HEADINGS for k in here.kids):
-            break
+        if here.tag not in ("#root", "html", "body"):
+            beside = at(here)[1] - sum(at(k)[1] for k in kids)
+            inner = {id(e) for e in elements(best)}
+            if beside > BESIDE * at(here)[1] or any(e.tag in HEADINGS and id(e) not in inner and 2 * at(e)[0] >= others and at(e)[1] > 0 for e in elements(here)):
+                break
         here = best
-        path.append(here.label)
+        path.append(here)
     return path if here.tag not in ("#root", "html", "body") else None
 
 
 def wrapper_of(seed: Node, counts: dict[int, int], found: dict[int, tuple[int, int]], others: int) -> tuple[int, list | None, list[str] | None] | None:
     """Wrapper: (number of unlike pages, template tree, slot) from what the pages other than the seed have of it.
 
-    The template keeps the texts of at least ``SHARE`` of the pages, the seed among them, and what is above them, as
-    nested [label, text, children]; slot: labels from the root to the article. None without other pages.
+    The template keeps the texts of at least ``SHARE`` of the pages, the seed among them, what is above them, and the way
+    to the slot, as nested [label, text, children, labels of the seed's children if it is on the way]; slot: labels of the
+    way. None without other pages.
     """
     if not others:
         return None
     constant = {id(t) for i, t in enumerate(texts(seed)) if counts.get(i, 0) and counts[i] + 1 >= SHARE * (others + 1)}
+    way = _slot(seed, found, others)
+    on = {id(e) for e in way or ()}
     below: dict[int, list] = {}
     for e in reversed(list(elements(seed))):  # children before their parents
-        kids = [["#", k.text, []] if k.tag == "#" else below.pop(id(k), None) for k in e.kids if k.tag != "#" or id(k) in constant]
+        kids = [["#", k.text, [], None] if k.tag == "#" else below.pop(id(k), None) for k in e.kids if k.tag != "#" or id(k) in constant]
         kids = [k for k in kids if k]
-        if kids:
-            below[id(e)] = [e.label, None, kids]
-    return others + 1, below.get(id(seed)), _slot(seed, found, others)
+        if kids or id(e) in on:
+            below[id(e)] = [e.label, None, kids, sorted({k.label for k in e.kids if k.tag != "#"}) if id(e) in on else None]
+    return others + 1, below.get(id(seed)), [e.label for e in way] if way else None
 
 
 def induce(pages: list[Node]) -> tuple[int, list | None, list[str] | None] | None:
@@ -370,11 +384,36 @@ def induce(pages: list[Node]) -> tuple[int, list | None, list[str] | None] | Non
 
 def _template(node: list) -> Node:
     out = Node("#" if node[0] == "#" else "template", None, node[1])
-    out.label = node[0]
+    out.label, out.on_way = node[0], None if node[3] is None else frozenset(node[3])
     out.kids = [_template(k) for k in node[2]]
     return out
 
 
+def placed(root: Node, tree: list) -> tuple[set[int], Node | None]:
+    """(template texts of a marked page, the element in the slot or None), by aligning the page with the template.
+
+    Down the way to the slot, the next element is one of the children with its label that aren't partners of another part of
+    the template: the one with the most text that is neither template nor a link, times how far its children's labels are
+    those of the seed's. Where the template has no text below the way, order alone can't tell the article from an advert.
+    """
+    template = _template(tree)
+    pairs = align(template, root)
+    constant = {id(q) for p, q in pairs if p.tag == "#" and p.text == q.text}
+    holds = {}  # elements of the page under which template texts lie, but on the way
+    for p, q in reversed(pairs):  # children before their parents
+        if id(q) in constant or any(holds.get(id(k)) for k in q.kids):
+            holds[id(q)] = p.on_way is None
+    size = weights(root, constant)
+    here, now = template, root
+    while (nxt := next((k for k in here.kids if k.on_way is not None), None)) is not None:
+        able = [k for k in now.kids if k.tag != "#" and k.label == nxt.label and not k.drop and not holds.get(id(k))]
+        if not able:
+            return constant, None
+        like = lambda k: 0.1 + len(nxt.on_way & {c.label for c in k.kids}) / max(1, len(nxt.on_way))  # noqa: B023, E731
+        here, now = nxt, max(able, key=lambda k: like(k) * (size[id(k)] + 1))
+    return constant, now if here is not template else None
+
+
 # --- main text --------------------------------------------------------------------------------------------------
 
 
@@ -409,14 +448,6 @@ def _regions(node: Node, out: list[Node]) -> None:
         _regions(k, out)
 
 
-def _in_slot(root: Node, path: list[str]) -> list[Node]:
-    """The elements at the end of the way that these labels name, in page order."""
-    now = [root]
-    for label in path:
-        now = [k for x in now for k in x.kids if k.tag != "#" and k.label == label and not k.drop]
-    return now
-
-
 def _first(node: Node, tag: str) -> Node | None:
     if node.drop:
         return None
@@ -499,6 +530,13 @@ def _densest(root: Node, template: set[int]) -> Node:
     return best
 
 
+def _beside(slot: Node) -> list[Node]:
+    """The slot; of an article, all articles beside it in page order."""
+    if slot.tag != "article" or slot.parent is None:
+        return [slot]
+    return [k for k in slot.parent.kids if k.label == slot.label and not k.drop]
+
+
 def main_text(root: Node, wrapper: tuple[int, list | None, list[str] | None] | None = None) -> str:
     """The article of a parsed page.
 
@@ -510,10 +548,10 @@ def main_text(root: Node, wrapper: tuple[int, list | None, list[str] | None] | N
     template: set[int] = set()
     found: list[Node] = []
     if wrapper:
-        _, tree, path = wrapper
+        tree = wrapper[1]
         if tree:
-            template = {id(b) for a, b in align(_template(tree), root) if a.tag == "#" and a.text == b.text}
-        found = _in_slot(root, path) if path else []
+            template, slot = placed(root, tree)
+            found = [] if slot is None else _beside(slot)
     if not found:
         _regions(root, found)
     if not found:

@@ -23,6 +23,8 @@ from veldra.storage import Scratch
 
 #: Bytes of wrappers, or of seed pages, that are broadcast; more are joined.
 BROADCAST_BYTES, BROADCAST_ROWS = 24 << 20, 1 << 20
+#: Parsed seeds that a task keeps.
+SEEDS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -36,14 +38,16 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind 0: all unlike pages; 1: pages that have the text i of the seed; 2: pages that have its element i, and the
     characters of varying text below it.
     """
-    name = seed = None
+    seeds: dict[str, dom.Node] = {}
     for batch in batches:
         pages: Counter = Counter()
         size: Counter = Counter()
         for host, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if host != name:
-                name, seed = host, dom.parse(first)
-            found = dom.supported(seed, dom.parse(html))
+            if host not in seeds:
+                if len(seeds) >= SEEDS:
+                    seeds.clear()
+                seeds[host] = dom.parse(first)
+            found = dom.supported(seeds[host], dom.parse(html))
             if found is not None:
                 pages[host, 0, 0] += 1
                 pages.update((host, 1, i) for i in found[0])
