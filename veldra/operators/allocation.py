@@ -159,3 +159,51 @@ def ranked_quota_vectors(capacity: DataFrame, batch: str, least: str, most: str,
 
     keyed = d.select("v1", "v2", "v3", "v4", "total", F.round(off, 9).alias("_off"), F.round(halves, 9).alias("_half"))
     return numbered(keyed, [F.col("_off"), F.col("_half"), (F.col("v1") + F.col("v3")).desc(), F.desc("v1"), F.desc("v2"), F.desc("v3"), F.desc("v4")], "rank").drop("_off", "_half")
+
+
+class Inconclusive(RuntimeError):
+    """The search ended before a quota vector fitted."""
+
+
+def capacity_search(items: DataFrame, first_source: str, strata: dict[str, dict[str, int]], least: dict[str, int], first_order: list[str], order: list[str], caps: Caps, scratch: Scratch, tries: int = 20) -> tuple[DataFrame, dict[str, int]]:
+    """(allocation, scarce items of each batch): the largest number of scarce items over four batches that can be allocated.
+
+    Totals fall from what the batches and the items allow; the vectors of a total are tried in the order of
+    ``ranked_quota_vectors``, with the scarce source's share of all items as the aim. Batches keep their totals by
+    stratum; what isn't scarce fills them. Every try is a whole allocation; after ``tries`` of them Inconclusive is raised,
+    and Shortage where even the least quotas don't fit.
+    """
+    spark = items.sparkSession
+    n, scarce = items.agg(F.count(F.lit(1)), F.count_if(F.col("source") == first_source)).first()
+    names = sorted(strata)
+    most = {b: sum(strata[b].values()) for b in names}
+    capacity = spark.createDataFrame([(b, least[b], most[b]) for b in names], "batch string, least long, most long")
+    tried = 0
+    for total in range(min(sum(most.values()), scarce), sum(least.values()) - 1, -1):
+        for v in ranked_quota_vectors(capacity, "batch", "least", "most", scarce / max(n, 1), total).orderBy("rank").limit(tries - tried).collect():
+            quotas = {b: v[f"v{i + 1}"] for i, b in enumerate(names)}
+            try:
+                return allocate(items, first_source, [Batch(b, strata[b], quotas[b]) for b in names], first_order, order, caps, scratch), quotas
+            except Shortage:
+                tried += 1
+        if tried >= tries:
+            raise Inconclusive(f"{tried} quota vectors tried, the last of {total} items")
+    raise Shortage("no quota vector fits")
+
+
+def clean_split(items: DataFrame, edges: DataFrame, keys: list[str], first_source: str, strata: dict[str, dict[str, int]], least: dict[str, int], first_order: list[str], order: list[str], caps: Caps, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
+    """Batches of items of which no leakage group is in two: (id, batch, batch_order, stratum, source, grp), and the scarce quotas.
+
+    ``items``: (id, stratum, source, segment, track, frame, bin) and ``keys``; ids are longs. Items that share a key or an edge
+    (a, b), directly or through others, are one leakage group, named by its least id.
+    """
+    from veldra.operators.graph import connected_components
+
+    all_edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    for k in keys:
+        hub = items.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("id").alias("_hub"))
+        all_edges = all_edges.unionByName(items.join(hub, F.col(k) == F.col("_k")).select(F.col("id").alias("a"), F.col("_hub").alias("b")).where("a <> b"))
+    groups = connected_components(all_edges, "a", "b", scratch)
+    grouped = scratch.keep(items.join(groups, F.col("id") == F.col("node"), "left").select("id", "stratum", "source", "segment", "track", "frame", "bin", F.coalesce("component", "id").alias("grp")), "grouped")
+    chosen, quotas = capacity_search(grouped, first_source, strata, least, first_order, order, caps, scratch)
+    return chosen.join(grouped.select(F.col("id").alias("_id"), "grp"), F.col("id") == F.col("_id")).drop("_id"), quotas

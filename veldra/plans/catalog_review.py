@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldra.operators import allocation, graph, review, selection, timelines, truth
+from veldra.functions import number
+from veldra.operators import bridge as motion
+from veldra.operators import allocation, graph, joins, review, selection, timelines, truth
 from veldra.plans import standins as st
 from veldra.session import table
 from veldra.storage import Scratch
@@ -318,3 +320,64 @@ def quota_vectors(spark, sf_dir):
     most = F.least(F.lit(24), F.count_distinct(F.floor(F.col("track") / 4)))
     c = b.groupBy(F.concat(F.lit("batch_"), (F.col("track") % 4).cast("string")).alias("batch")).agg(most.alias("most")).withColumn("least", F.lit(2))
     return allocation.ranked_quota_vectors(c, "batch", "least", "most", 1 / 3, 40)
+
+
+SPLIT = {f"batch_{i}": {"low": 5, "mid": 4, "high": 3} for i in range(4)}
+SPLIT_LEAST = {b: 2 for b in SPLIT}
+SPLIT_CAPS = allocation.Caps(1, 2, 48)
+
+
+def split_inputs(spark, sf_dir):
+    """Events as items, some with a shared key, and edges of near duplicates: one bit of 32 apart."""
+    items = allocation_items(spark, sf_dir).drop("grp").withColumn("shot", F.when(F.col("id") % 5 == 0, F.col("track") * 1000 + F.floor(F.col("frame") / 5)))
+    bits = items.select("id", (F.col("id") * 2654435761).bitwiseAND(F.lit(0xFFFFFFFF)).alias("bits"))
+    return items, joins.hamming_pairs(bits, "id", "bits", 1, 32)
+
+
+@query("O238 O153 O154 O173 O121")  # tests hold it against union-find and a plain fold
+def clean_split_batches(spark, sf_dir):
+    """Leakage groups, the search for quotas, and four batches without a group in two of them."""
+    items, edges = split_inputs(spark, sf_dir)
+    return allocation.clean_split(items, edges, ["shot"], "recomputed", SPLIT, SPLIT_LEAST, ["low", "mid", "high"], ["high", "mid", "low"], SPLIT_CAPS, Scratch(spark, "split"))[0]
+
+
+@query("O190", "SELECT c_custkey, printf('%.17g', c_acctbal / 7.0::DOUBLE) AS text FROM customer")
+def exact_doubles(spark, sf_dir):
+    """17 significant digits of computed balances, which give the very double back."""
+    return table(spark, sf_dir, "customer").select("c_custkey", number.double_text(F.col("c_acctbal") / F.lit(7.0)).alias("text"))
+
+
+_BRIDGE = f"""{st.BOXED}, det AS (SELECT track % 16 AS video, frame // 3 AS frame, event_id AS track, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, ['YELLOW', 'UNKNOWN', 'WHITE'][(event_id % 3 + 1)::INT] AS kit, event_id % 2 = 0 AS reliable, event_id % 29 = 0 AS excluded FROM boxed),
+vf AS (SELECT DISTINCT video, frame FROM det), flow AS (SELECT video * 100 + frame // 12 AS bridge, video, frame, (video + frame) % 7 <> 0 AS reliable, (frame % 5) - 2.0 AS dx, (frame % 3) - 1.0 AS dy FROM vf),
+firsts AS (SELECT bridge, any_value(video) AS video, min(frame) AS frame FROM flow GROUP BY bridge),
+seeds AS (SELECT bridge, x1 - 4 AS x1, y1 + 3 AS y1, x2 - 4 AS x2, y2 + 3 AS y2, 1.5::DOUBLE AS vx, -0.5::DOUBLE AS vy FROM firsts f JOIN det d ON d.video = f.video AND d.frame = f.frame QUALIFY row_number() OVER (PARTITION BY bridge ORDER BY track) = 1),
+steps AS MATERIALIZED (SELECT f.*, row_number() OVER (PARTITION BY bridge ORDER BY frame) AS i FROM flow f)"""
+
+
+@query("O227 O226", f"""WITH RECURSIVE {_BRIDGE},
+fold AS (SELECT bridge, 0::BIGINT AS i, x1, y1, x2, y2, vx, vy, 0 AS run, 0 AS lost, FALSE AS done, NULL::BIGINT AS frame, NULL::VARCHAR AS status, NULL::BIGINT AS track, x1 AS ox1, y1 AS oy1, x2 AS ox2, y2 AS oy2 FROM seeds UNION ALL
+  SELECT bridge, i, CASE WHEN snap THEN b.x1 WHEN clear THEN kx1 ELSE px1 END, CASE WHEN snap THEN b.y1 WHEN clear THEN ky1 ELSE py1 END, CASE WHEN snap THEN b.x2 WHEN clear THEN kx2 ELSE px2 END, CASE WHEN snap THEN b.y2 WHEN clear THEN ky2 ELSE py2 END, vx, vy,
+    CASE WHEN snap THEN run + 1 ELSE 0 END, lost + (NOT reliable)::INT, (snap AND run + 1 >= 3) OR lost + (NOT reliable)::INT >= 5, frame,
+    CASE WHEN snap AND run + 1 >= 3 THEN 'BRIDGE_ACCEPTED' WHEN snap THEN 'DETECTOR_SNAP' WHEN clear OR reliable THEN 'TARGET_UNRESOLVED' ELSE 'BRIDGE_FLOW_UNRELIABLE' END,
+    CASE WHEN snap THEN b.track END, CASE WHEN snap THEN b.x1 ELSE px1 END, CASE WHEN snap THEN b.y1 ELSE py1 END, CASE WHEN snap THEN b.x2 ELSE px2 END, CASE WHEN snap THEN b.y2 ELSE py2 END
+  FROM (SELECT *, able[1] AS b, coalesce(len(able) = 1 OR (len(able) > 1 AND able[2].cost - able[1].cost >= 0.08), FALSE) AS clear, coalesce(len(able) = 1 OR (len(able) > 1 AND able[2].cost - able[1].cost >= 0.08), FALSE) AND reliable AS snap FROM (
+    SELECT p.bridge, p.i, p.frame, p.reliable, p.kx1, p.ky1, p.kx2, p.ky2, p.px1, p.py1, p.px2, p.py2, p.vx, p.vy, p.run, p.lost,
+      list({{'cost': -round(0.55 * iou + 0.35 * greatest(0, 1 - far / 80) + CASE kit WHEN 'YELLOW' THEN 0.08 WHEN 'UNKNOWN' THEN 0.02 ELSE 0 END, 9), 'track': d_track, 'x1': d1, 'y1': e1, 'x2': d2, 'y2': e2}} ORDER BY round(0.55 * iou + 0.35 * greatest(0, 1 - far / 80) + CASE kit WHEN 'YELLOW' THEN 0.08 WHEN 'UNKNOWN' THEN 0.02 ELSE 0 END, 9) DESC, d_track)
+        FILTER (d_track IS NOT NULL AND NOT excluded AND NOT (kit = 'WHITE' AND sure) AND far <= 80 AND NOT (iou < 0.1 AND far > 40) AND ca / pa BETWEEN 0.5 AND 2 AND ca > 1) AS able
+    FROM (SELECT q.*, d.track AS d_track, d.x1 AS d1, d.y1 AS e1, d.x2 AS d2, d.y2 AS e2, d.kit, d.reliable AS sure, d.excluded, (d.x2 - d.x1) * (d.y2 - d.y1) AS ca, (px2 - px1) * (py2 - py1) AS pa,
+        sqrt(((px1 + px2 - d.x1 - d.x2) / 2) ** 2 + ((py1 + py2 - d.y1 - d.y2) / 2) ** 2) AS far, greatest(least(px2, d.x2) - greatest(px1, d.x1), 0) * greatest(least(py2, d.y2) - greatest(py1, d.y1), 0) / ((px2 - px1) * (py2 - py1) + (d.x2 - d.x1) * (d.y2 - d.y1) - greatest(least(px2, d.x2) - greatest(px1, d.x1), 0) * greatest(least(py2, d.y2) - greatest(py1, d.y1), 0)) AS iou
+      FROM (SELECT f.bridge, s.i, s.frame, s.video, s.reliable, f.x1 AS kx1, f.y1 AS ky1, f.x2 AS kx2, f.y2 AS ky2, f.vx, f.vy, f.run, f.lost, f.x1 + CASE WHEN s.reliable THEN dx ELSE vx END AS px1, f.y1 + CASE WHEN s.reliable THEN dy ELSE vy END AS py1, f.x2 + CASE WHEN s.reliable THEN dx ELSE vx END AS px2, f.y2 + CASE WHEN s.reliable THEN dy ELSE vy END AS py2
+        FROM fold f JOIN steps s ON s.bridge = f.bridge AND s.i = f.i + 1 WHERE NOT f.done) q LEFT JOIN det d ON d.video = q.video AND d.frame = q.frame) p GROUP BY ALL)))
+SELECT bridge, frame, status, track, ox1 AS x1, oy1 AS y1, ox2 AS x2, oy2 AS y2 FROM fold WHERE i > 0""")
+def bridge_steps(spark, sf_dir):
+    """Bridges of a dozen frames in sixteen videos, seeded near a detection of their first frame."""
+    b = st.boxed_events(spark, sf_dir)
+    kit = F.element_at(F.array(F.lit("YELLOW"), F.lit("UNKNOWN"), F.lit("WHITE")), (F.col("event_id") % 3 + 1).cast("int"))
+    box = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    det = b.select((F.col("track") % 16).alias("video"), F.floor(F.col("frame") / 3).alias("frame"), F.col("event_id").alias("track"), *box, kit.alias("kit"), (F.col("event_id") % 2 == 0).alias("reliable"), (F.col("event_id") % 29 == 0).alias("excluded"))
+    bridge = F.col("video") * 100 + F.floor(F.col("frame") / 12)
+    det = det.withColumn("bridge", bridge)
+    flow = det.select("bridge", "video", "frame").distinct().select("bridge", "frame", ((F.col("video") + F.col("frame")) % 7 != 0).alias("reliable"), (F.col("frame") % 5 - 2.0).alias("dx"), (F.col("frame") % 3 - 1.0).alias("dy"))
+    first = det.groupBy("bridge").agg(F.min(F.struct("frame", "track", "x1", "y1", "x2", "y2")).alias("m"))
+    seeds = first.select("bridge", (F.col("m.x1") - 4).alias("x1"), (F.col("m.y1") + 3).alias("y1"), (F.col("m.x2") - 4).alias("x2"), (F.col("m.y2") + 3).alias("y2"), F.lit(1.5).alias("vx"), F.lit(-0.5).alias("vy"))
+    return motion.carried(seeds, flow, det, "bridge")
