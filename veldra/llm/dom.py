@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
@@ -60,10 +60,11 @@ def parse(html: str) -> Node:
     root = Node("#root", None)
     stack, at, n = [root], 0, len(html)
     #: How many elements of a tag are open, so that a stray end tag isn't sought in a deep stack.
-    standing: Counter = Counter()
+    standing: dict[str, int] = defaultdict(int)
 
     def cut(i: int) -> None:
-        standing.subtract(x.tag for x in stack[i:])
+        for x in stack[i:]:
+            standing[x.tag] -= 1
         del stack[i:]
 
     def add_text(raw: str) -> None:
@@ -93,7 +94,10 @@ def parse(html: str) -> Node:
         if m[1]:
             tag = m[1].lower()
             if standing[tag]:
-                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                cut(i)
             continue
         name = m[2] or m[4]
         if not name:
