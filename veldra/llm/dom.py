@@ -103,7 +103,7 @@ def parse(html: str) -> Node:
         if not name:
             continue
         tag = name.lower()
-        if tag in CLOSES_P:
+        if standing["p"] and tag in CLOSES_P:
             close(("p",), SCOPE["p"])
         if tag in SAME_LEVEL:
             close(SAME_LEVEL[tag], SCOPE[tag])
