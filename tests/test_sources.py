@@ -68,3 +68,39 @@ def test_streams(spark, tmp_path):
             q.stop()
     assert [tuple(r) for r in spark.table("runs").orderBy("start").collect()][:2] == [(1, 1, 2, 2), (1, 9, 10, 2)]
     assert [tuple(r) for r in spark.table("heads").orderBy("track").collect()] == [(1, 30, "confirm"), (2, 5, "defer")]
+
+
+def test_lenient_track_rows(spark, tmp_path):
+    from veldra.sources import files
+
+    p = tmp_path / "t.jsonl"
+    p.write_text('{"track_id": 1, "frame_index": 2, "extra": {"a": 1}}\n\n  \n{"track_id": null, "frame_index": 3}\n')
+    df = files.read_track_rows(spark, str(p), "track_id long, frame_index long", ["track_id", "frame_index"])
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[1]) == [(1, 2), (None, 3)]
+    for bad in ('{"track_id": 1}\n', "[1]\n", "{\n"):
+        p.write_text(bad)
+        with pytest.raises(Exception):
+            files.read_track_rows(spark, str(p), "track_id long, frame_index long", ["track_id", "frame_index"]).collect()
+
+
+def test_numbers_that_are_not_finite_are_not_written(spark, tmp_path):
+    from veldra.sources import files
+
+    df = spark.createDataFrame([(1, 2.0, [1.0])], "a int, b double, c array<double>")
+    files.write_json_lines(df, str(tmp_path / "fine"))
+    for i, (b, c) in enumerate([(float("nan"), [1.0]), (1.0, [1.0, float("inf")])]):
+        with pytest.raises(Exception, match="finite"):
+            files.write_json_lines(spark.createDataFrame([(1, b, c)], "a int, b double, c array<double>"), str(tmp_path / f"bad{i}"))
+
+
+def test_exactly_one_class(spark):
+    from pyspark.sql import functions as F
+
+    from veldra.operators.contracts import exactly_one
+
+    rules = {"small": F.col("v") < 10, "large": F.col("v") > 5}
+    df = spark.createDataFrame([(1,), (20,), (7,), (None,)], "v int")
+    assert [r[0] for r in df.where("v in (1, 20)").select(exactly_one(rules)).collect()] == ["small", "large"]
+    for v in ("v = 7", "v is null"):
+        with pytest.raises(Exception, match="exactly one"):
+            df.where(v).select(exactly_one(rules)).collect()

@@ -78,6 +78,17 @@ def fraction_roi(b: Box, left: float, top: float, right: float, bottom: float) -
     return Box(x1, y1, F.greatest(b.x1 + F.ceil(w * right), x1 + 1), F.greatest(b.y1 + F.ceil(h * bottom), y1 + 1))
 
 
+def in_frame(region: Box, crop: Box, width: Column, height: Column) -> Box:
+    """A region of a crop that is ``width`` x ``height`` large, in frame coordinates: scaled to the crop's box and moved there.
+
+    Outward to whole numbers and kept within the crop's box.
+    """
+    sx, sy = (crop.x2 - crop.x1) / width, (crop.y2 - crop.y1) / height
+    low = lambda a, r, k: F.greatest(a, a + F.floor(r * k))
+    high = lambda a, b, r, k: F.least(b, a + F.ceil(r * k))
+    return Box(low(crop.x1, region.x1, sx), low(crop.y1, region.y1, sy), high(crop.x1, crop.x2, region.x2, sx), high(crop.y1, crop.y2, region.y2, sy))
+
+
 def letterbox(x: Column, y: Column, frame: tuple[int, int], display: tuple[int, int]) -> tuple[Column, Column]:
     """Display coordinates of a frame shown as large as it fits, back to frame coordinates."""
     scale = min(display[0] / frame[0], display[1] / frame[1])

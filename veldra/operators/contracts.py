@@ -107,3 +107,9 @@ def fingerprint(df: DataFrame, keys: list[str], columns: list[str], digits: int
     text = F.concat_ws("|", *(F.coalesce((F.format_number(F.col(c), digits) if kinds[c] in ("double", "float") else F.col(c).cast("string")), F.lit("null")) for c in [*keys, *columns]))
     part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("fingerprint"))
+
+
+def exactly_one(rules: dict[str, Column]) -> Column:
+    """The name of the one rule that holds; an error where none or several do. A null rule doesn't hold."""
+    held = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items())))
+    return F.when(F.size(held) == 1, held[0]).otherwise(F.raise_error(F.concat(F.lit("not exactly one class: "), F.concat_ws(", ", held))))

@@ -80,3 +80,15 @@ def tracking_metrics(df: DataFrame, by: str, frame: str, truth: Column, found: C
     out = a.join(b, by, "left").join(c, by, "left").fillna(0, ["losses", "switches"])
     p, r = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
     return out.withColumn("precision", p).withColumn("recall", r).withColumn("f1", 2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)))
+
+
+def argmax_with_ties(df: DataFrame, by: list[str], value: str, id_: str, relative: float = 1e-9) -> DataFrame:
+    """(by, id, value): going by id, the value that is higher than the best so far, or close to it with a smaller id.
+
+    Values are close if they differ by at most ``relative`` of the larger one. In the order of ids a close value never
+    takes over, so the best rises only by steps that are not close. A group's rows are folded as one sorted array.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(value).cast("double").alias("value")))).alias("_rows"))
+    close = lambda a, b: F.abs(a - b) <= relative * F.greatest(F.abs(a), F.abs(b))
+    best = F.aggregate("_rows", F.get("_rows", F.lit(0)), lambda acc, x: F.when((x["value"] > acc["value"]) & ~close(x["value"], acc["value"]), x).otherwise(acc))
+    return rows.select(*by, best["id"].alias("id"), best["value"].alias("value"))

@@ -72,3 +72,47 @@ def overlap_classes(runs: DataFrame, distances: DataFrame, sizes: DataFrame, by:
     kind = kind.when(long_ & close & (F.col("offset_drift") <= rules["drift"]), "confirmed_temporal_overlap").when(n.between(rules["ambiguous_least"], rules["ambiguous_most"]), "possible_ambiguous_overlap")
     kind = kind.when(n < rules["ambiguous_least"], "incidental_similarity").when(long_, "possible_ambiguous_overlap").otherwise("incidental_similarity")
     return s.select(*by, "run_length", "coverage", F.col("offset").cast("double").alias("offset"), "offset_drift", "median_distance", "median_difference", kind.alias("class"))
+
+
+def print_pairs(left: DataFrame, right: DataFrame, by: list[str], bits: str, n_bits: int, most: int) -> DataFrame:
+    """(by, a, b, distance) of the samples of two sequences whose hashes differ in ``most`` bits at most, each pair once.
+
+    Samples are (by, id, bits). With ``most`` + 1 chunks of the hash a pair within the bound agrees in one; rows are joined
+    by chunk and then counted exactly.
+    """
+    parts = most + 1
+    edges = [i * n_bits // parts for i in range(parts + 1)]
+    chunk = lambda i: F.shiftright(F.col(bits), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    side = lambda df, n: df.select(*by, F.col("id").alias(n), F.col(bits).alias(f"_{n}"), F.posexplode(F.array(*map(chunk, range(parts)))).alias("_part", "_chunk"))
+    near = side(left, "a").join(side(right, "b"), [*by, "_part", "_chunk"])
+    near = near.select(*by, "a", "b", F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))).cast("int").alias("distance"))
+    return near.where(F.col("distance") <= most).distinct()
+
+
+def mean_difference(a: Column, b: Column) -> Column:
+    """Mean of the absolute differences of two arrays of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, d: s + d) / F.size(a)
+
+
+def fingerprint_matches(left: DataFrame, right: DataFrame, by: list[str], n_bits: int, most: int, edge_most: int, difference_most: float) -> DataFrame:
+    """(by, a, b, exact, distance, edge_distance, difference) of samples that match.
+
+    Samples are (by, id, sha, bits, edge, gray). A pair matches if the content hash is the same, or if the hash, the edge hash
+    AND the mean difference of the gray values are all within their bounds. Null content hashes match nothing exactly.
+    """
+    same = left.where("sha is not null").select(*by, F.col("id").alias("a"), "sha").join(right.select(*by, F.col("id").alias("b"), "sha"), [*by, "sha"]).select(*by, "a", "b")
+    pairs = same.unionByName(print_pairs(left, right, by, "bits", n_bits, most).select(*by, "a", "b")).distinct()
+    side = lambda df, n: df.select(*by, F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("sha", "bits", "edge", "gray")))
+    d = pairs.join(side(left, "a"), [*by, "a"]).join(side(right, "b"), [*by, "b"])
+    bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))).cast("int")
+    d = d.select(*by, "a", "b", F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False)).alias("exact"), bits("bits").alias("distance"), bits("edge").alias("edge_distance"), mean_difference(F.col("gray_a"), F.col("gray_b")).alias("difference"))
+    return d.where(F.col("exact") | ((F.col("distance") <= most) & (F.col("edge_distance") <= edge_most) & (F.col("difference") <= difference_most)))
+
+
+def nearest_prints(left: DataFrame, right: DataFrame, by: list[str], n_bits: int, most: int, difference_most: float) -> DataFrame:
+    """(by, a, b, distance, difference, same): the nearest sample of the other sequence within ``most`` bits, the first on
+    ties; ``same`` if the gray values differ little enough too."""
+    best = print_pairs(left, right, by, "bits", n_bits, most).groupBy(*by, "a").agg(F.min(F.struct("distance", "b")).alias("_m")).select(*by, "a", F.col("_m.b").alias("b"), F.col("_m.distance").alias("distance"))
+    side = lambda df, n: df.select(*by, F.col("id").alias(n), F.col("gray").alias(f"_{n}"))
+    d = best.join(side(left, "a"), [*by, "a"]).join(side(right, "b"), [*by, "b"]).withColumn("difference", mean_difference(F.col("_a"), F.col("_b")))
+    return d.select(*by, "a", "b", "distance", "difference", (F.col("difference") <= difference_most).alias("same"))

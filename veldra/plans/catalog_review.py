@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veldra.functions import geometry as geo
 from veldra.functions import number
 from veldra.operators import bridge as motion
-from veldra.operators import allocation, graph, joins, review, selection, timelines, truth
+from veldra.operators import allocation, graph, joins, metrics, overlap, review, selection, timelines, truth
 from veldra.plans import standins as st
 from veldra.session import table
 from veldra.storage import Scratch
@@ -381,3 +382,82 @@ def bridge_steps(spark, sf_dir):
     first = det.groupBy("bridge").agg(F.min(F.struct("frame", "track", "x1", "y1", "x2", "y2")).alias("m"))
     seeds = first.select("bridge", (F.col("m.x1") - 4).alias("x1"), (F.col("m.y1") + 3).alias("y1"), (F.col("m.x2") - 4).alias("x2"), (F.col("m.y2") + 3).alias("y2"), F.lit(1.5).alias("vx"), F.lit(-0.5).alias("vy"))
     return motion.carried(seeds, flow, det, "bridge")
+
+
+# --- prints, ties, cross-checks ---------------------------------------------------------------------------------
+
+_MASK = (1 << 48) - 1
+
+
+def _prints(spark, sf_dir):
+    """Every event as a sample of one of 40 sequences: its hashes are those of its kind and value, with a few bits changed."""
+    b = st.boxed_events(spark, sf_dir)
+    level = F.floor(F.col("value") / 2)
+    base = (level * 2654435761 * 40503 + F.length("class_name") * 77731).bitwiseAND(F.lit(_MASK))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    bits = base.bitwiseXOR(F.when(F.col("event_id") % 3 != 0, one(F.col("event_id") % 48)).otherwise(0).cast("long"))
+    edge = (level * 40503).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.when(F.col("event_id") % 2 == 0, one(F.col("event_id") % 16)).otherwise(0).cast("long"))
+    gray = F.array(level, level + F.col("event_id") % 9, F.col("x1") % 12, F.col("y1") % 8)
+    return b.select((F.col("track") % 40).alias("video"), F.col("event_id").alias("id"), F.md5(F.concat("class_name", level.cast("string"), (F.col("event_id") % 2).cast("string"))).alias("sha"), bits.alias("bits"), edge.alias("edge"), gray.alias("gray"))
+
+
+_PRINTS = f"""{st.BOXED}, f AS (SELECT *, floor(value / 2)::BIGINT AS level FROM boxed),
+prints AS (SELECT track % 40 AS video, event_id AS id, md5(class_name || level || (event_id % 2)) AS sha, xor((level * 2654435761 * 40503 + length(class_name) * 77731) & {_MASK}, CASE WHEN event_id % 3 <> 0 THEN 1::BIGINT << (event_id % 48) ELSE 0 END) AS bits,
+  xor((level * 40503) & 65535, CASE WHEN event_id % 2 = 0 THEN 1::BIGINT << (event_id % 16) ELSE 0 END) AS edge, [level, level + event_id % 9, x1 % 12, y1 % 8] AS gray FROM f),
+pairs AS (SELECT a.video, a.id AS a, b.id AS b, a.sha = b.sha AS exact, bit_count(xor(a.bits, b.bits))::INT AS distance, bit_count(xor(a.edge, b.edge))::INT AS edge_distance, list_sum(list_transform(range(1, 5), lambda i: abs(a.gray[i] - b.gray[i]))) / 4.0::DOUBLE AS difference FROM prints a JOIN prints b ON b.video = a.video + 1)"""
+
+
+def _sides(spark, sf_dir):
+    p = _prints(spark, sf_dir)
+    return p, p.withColumn("video", F.col("video") - 1)
+
+
+@query("O059 O180", f"WITH {_PRINTS} SELECT * FROM pairs WHERE exact OR (distance <= 2 AND edge_distance <= 1 AND difference <= 4)")
+def fingerprint_matches(spark, sf_dir):
+    return overlap.fingerprint_matches(*_sides(spark, sf_dir), ["video"], 48, 2, 1, 4.0)
+
+
+@query("O060", f"WITH {_PRINTS} SELECT video, a, b, distance, difference, difference <= 3 AS same FROM pairs WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY video, a ORDER BY distance, b) = 1")
+def nearest_prints(spark, sf_dir):
+    return overlap.nearest_prints(*_sides(spark, sf_dir), ["video"], 48, 2, 3.0)
+
+
+@query("O164", f"""WITH RECURSIVE {st.BOXED}, r AS (SELECT track, event_id AS id, floor(value) + (event_id % 7) * 1e-8 AS v, row_number() OVER (PARTITION BY track ORDER BY event_id) AS i FROM boxed),
+walk AS (SELECT track, i, id, v FROM r WHERE i = 1 UNION ALL SELECT w.track, r.i, CASE WHEN r.v > w.v AND abs(r.v - w.v) > 1e-9 * greatest(abs(r.v), abs(w.v)) THEN r.id ELSE w.id END, CASE WHEN r.v > w.v AND abs(r.v - w.v) > 1e-9 * greatest(abs(r.v), abs(w.v)) THEN r.v ELSE w.v END FROM walk w JOIN r ON r.track = w.track AND r.i = w.i + 1)
+SELECT track, id, round(v, 6) AS value FROM walk QUALIFY row_number() OVER (PARTITION BY track ORDER BY i DESC) = 1""")
+def argmax_with_ties(spark, sf_dir):
+    b = st.boxed_events(spark, sf_dir).select("track", "event_id", (F.floor("value") + (F.col("event_id") % 7) * F.lit(1e-8)).alias("v"))
+    return metrics.argmax_with_ties(b, ["track"], "v", "event_id").withColumn("value", F.round("value", 6))
+
+
+@query("O006 O048", "SELECT o_orderkey, l_orderkey IS NOT NULL AS found, round(abs(o_totalprice - coalesce(total, 0)), 2) AS off, coalesce(abs(o_totalprice - total) <= 1e-6 * greatest(abs(o_totalprice), abs(total)), FALSE) AS agrees FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def tolerance_cross_check(spark, sf_dir):
+    """Stored totals against those recomputed from their parts, within a relative tolerance; what has no parts is named."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("total"))
+    d = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    off = F.abs(F.col("o_totalprice") - F.col("total"))
+    return d.select("o_orderkey", F.col("l_orderkey").isNotNull().alias("found"), F.round(F.abs(F.col("o_totalprice") - F.coalesce("total", F.lit(0.0))), 2).alias("off"), F.coalesce(off <= 1e-6 * F.greatest(F.abs("o_totalprice"), F.abs("total")), F.lit(False)).alias("agrees"))
+
+
+_CLASSES = {"legible_exact": "quality = 1 AND toxic = 0 AND n_chars >= 1000", "legible_partial": "quality = 1 AND toxic = 0 AND n_chars < 1000", "illegible": "quality = 0 AND toxic = 0", "excluded": "toxic = 1", "unreviewed": "quality IS NULL"}
+
+
+@query("O044", "WITH d AS (SELECT doc_id, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in _CLASSES.items()) + " END AS class FROM d")
+def manual_classes(spark, sf_dir):
+    """The one class whose rule a row meets; a row that meets none or several is an error."""
+    from veldra.operators.contracts import exactly_one
+
+    y = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_d"), "quality", "toxic")
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(y, F.col("doc_id") == F.col("_d"), "left")
+    return d.select("doc_id", exactly_one({k: F.expr(c) for k, c in _CLASSES.items()}).alias("class"))
+
+
+@query("O035", f"""WITH {st.BOXED}, c AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM boxed), r AS (SELECT *, floor(w / 2.0 * 0.2::DOUBLE)::BIGINT AS a1, floor(h / 2.0 * 0.15::DOUBLE)::BIGINT AS b1, ceil(w / 2.0 * 0.8::DOUBLE)::BIGINT AS a2, ceil(h / 2.0 * 0.55::DOUBLE)::BIGINT AS b2 FROM c)
+SELECT event_id, greatest(x1, x1 + floor(a1 * (w / (w / 2.0::DOUBLE))))::BIGINT AS fx1, greatest(y1, y1 + floor(b1 * (h / (h / 2.0::DOUBLE))))::BIGINT AS fy1, least(x2, x1 + ceil(a2 * (w / (w / 2.0::DOUBLE))))::BIGINT AS fx2, least(y2, y1 + ceil(b2 * (h / (h / 2.0::DOUBLE))))::BIGINT AS fy2 FROM r""")
+def regions_in_frame(spark, sf_dir):
+    """A torso region measured in a crop of half the size, back in the frame."""
+    b = st.boxed_events(spark, sf_dir)
+    w, h = (F.col("x2") - F.col("x1")) / 2.0, (F.col("y2") - F.col("y1")) / 2.0
+    region = geo.Box(F.floor(w * 0.2), F.floor(h * 0.15), F.ceil(w * 0.8), F.ceil(h * 0.55))
+    f = geo.in_frame(region, geo.Box.of(), w, h)
+    return b.select("event_id", *(c.cast("long").alias(n) for c, n in zip((f.x1, f.y1, f.x2, f.y2), ("fx1", "fy1", "fx2", "fy2"), strict=True)))

@@ -42,6 +42,36 @@ def read_observations(spark: SparkSession, path: str, frames: tuple[int, int] |
     return df.withColumn("_b", box).select("frame_index", "timestamp_sec", "track_id", "class_id", "class_name", "confidence", *(F.col("_b")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))))
 
 
+def read_track_rows(spark: SparkSession, path: str, schema: T.StructType | str, required: list[str]) -> DataFrame:
+    """Rows of JSON objects, checked only for being objects with the keys ``required``; a key may be null, other keys are left out.
+
+    Blank lines are passed over. A line that isn't an object, or lacks a key, fails when it is read and names what it lacks.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''")
+    keys = F.map_keys(F.from_json("v", "map<string,string>"))
+    lacks = F.array_except(F.array(*map(F.lit, required)), F.coalesce(keys, F.array().cast("array<string>")))
+    checked = F.when(F.size(lacks) == 0, F.col("v")).otherwise(F.raise_error(F.concat(F.lit("a row lacks "), F.concat_ws(", ", lacks))))
+    return lines.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def _no_nan(df: DataFrame) -> DataFrame:
+    """``df``, which fails where a double or float, alone or in an array, is not finite."""
+    odd = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    number_ = (T.DoubleType, T.FloatType)
+
+    def checked(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, number_):
+            bad = odd(c)
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, number_):
+            bad = F.exists(c, odd)
+        else:
+            return c
+        return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(f"{f.name} isn't finite"))).otherwise(c).alias(f.name)
+
+    return df.select(*map(checked, df.schema))
+
+
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV whose header must match the schema; blank cells are null."""
     header = spark.read.text(path).limit(1).collect()
@@ -86,8 +116,8 @@ def read_log(spark: SparkSession, path: str, schema: str = DECISION) -> DataFram
 
 
 def write_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One JSON object a row, null fields kept; refuses an existing folder unless told otherwise."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", False).json(path)
+    """One JSON object a row, null fields kept; refuses an existing folder unless told otherwise, and numbers that aren't finite."""
+    _no_nan(df).write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def write_template(df: DataFrame, path: str, overwrite: bool = False) -> None:
