@@ -14,7 +14,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document.
 
     Null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name; rows with a
-    null id are scored, held_out null, and teach nothing; repeated rows each return; an empty table gives an empty one.
+    null id are scored, held_out false, and teach nothing; repeated rows each return; an empty table gives an empty one.
     """
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.select("doc_id", "text", "lang"), "doc_id", "text", "lang", learnable("doc_id"))
