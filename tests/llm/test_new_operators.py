@@ -304,3 +304,28 @@ def test_unlike_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id or 0, r.text[:2], r.lang) for r in corpus_pipeline.near_dedup_stage(spark, docs, DATA).collect())
     assert [g for g in got if g[0]] == [(1, "wa", "de"), (1, "wb", "en"), (2, "wc", "en")]
+
+
+def test_a_drawn_sample_prunes_every_tile():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = np.floor(64 * (centres[rng.integers(0, 12, 3000)] + 0.1 * rng.normal(size=(3000, 16))))
+    ids, queries, k = np.arange(3000), np.arange(0, 3000, 50), 10
+    chosen = topk.Pivots.of(x[:500], (x**2).sum(axis=1).max())
+    floor = topk.floors(ids[queries], x[queries], (ids[:500], x[:500]), k)
+    seen = {}
+    for name, low in (("alone", None), ("floor", floor)):
+        merged, evaluated = [[] for _ in queries], 0
+        for a in range(0, 3000, 500):  # each tile is a search of its own
+            s = topk.Search(ids[queries], x[queries], chosen.distances(x[queries], True), chosen, k, low)
+            s.add(ids[a : a + 500], x[a : a + 500], chosen.distances(x[a : a + 500], False))
+            evaluated += s.evaluated
+            for i in range(len(queries)):
+                merged[i] += [(-int(v), int(j)) for v, j, ok in zip(s.best.score[i], s.best.ids[i], s.best.filled[i], strict=True) if ok]
+        seen[name] = evaluated
+        for i, q in enumerate(queries):
+            score = (x @ x[q]).astype(int)
+            want = sorted((-int(score[j]), j) for j in range(3000) if j != q)[:k]
+            assert sorted(merged[i])[:k] == want
+    assert seen["floor"] < 0.8 * seen["alone"]
+    assert (topk.floors(ids[queries], x[queries], (ids[:5], x[:5]), k) == -np.inf).all()

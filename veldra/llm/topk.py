@@ -8,8 +8,8 @@ height over it, and the distance there is at least the largest |d(q, p) - d(x, p
 
 Queries are a stated set, dealt to blocks, and candidates to tiles; each pair of a block and a tile is one group of rows,
 streamed with its queries first. Candidates are evaluated in the order of their bounds, round by round, until the next
-bound is under the query's k-th best score so far, which is carried from batch to batch; all others are eliminated. Scores
-are exact. Each group returns k rows of each query.
+bound is under the query's k-th best score so far, which is carried from batch to batch, or under the k-th best of a drawn
+sample of candidates, which every group knows from the start; all others are eliminated. Scores are exact. Each group returns k rows of each query.
 """
 
 from __future__ import annotations
@@ -139,10 +139,14 @@ class Best:
 
 
 class Search:
-    """The k best of all candidates seen so far for a block of queries, and how many scores were evaluated."""
+    """The k best of all candidates seen so far for a block of queries, and how many scores were evaluated.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, pivots: Pivots | None, k: int):
+    ``floor``: a score that k candidates reach, found before the search; what is below it can't be among the k best.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, pivots: Pivots | None, k: int, floor: np.ndarray | None = None):
         self.ids, self.vectors, self.table, self.pivots = ids, vectors, table, pivots
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor
         self.best, self.evaluated, self.seen = Best(len(ids), k), 0, 0
         self.q2 = (vectors**2).sum(axis=1)
 
@@ -151,8 +155,11 @@ class Search:
             for a in range(0, len(self.ids), QUERIES):
                 self._tile(np.arange(a, min(a + QUERIES, len(self.ids))), ids[c : c + CANDIDATES], x[c : c + CANDIDATES], table[c : c + CANDIDATES])
 
+    def _least(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.best.least(rows), self.floor[rows])
+
     def _tile(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray) -> None:
-        best = self.best
+        best, least_of = self.best, self._least
         bound = np.full((len(rows), len(ids)), np.inf)
         if self.pivots is not None:
             bound = upper_bounds(self.pivots, self.q2[rows], self.table[rows], table)
@@ -160,7 +167,7 @@ class Search:
         self.seen += bound.size
         size, left = min(FIRST, len(ids)), np.arange(len(rows))
         while len(left):
-            rest, least = bound[left], best.least(rows[left])
+            rest, least = bound[left], least_of(rows[left])
             pick = np.argpartition(-rest, size - 1, axis=1)[:, :size]
             value = np.take_along_axis(rest, pick, axis=1)
             r, j = np.nonzero((value >= least[:, None]) & (value > -np.inf))
@@ -169,7 +176,7 @@ class Search:
             best.add(rows[left[r]], _pair_scores(self.vectors[rows], x, left[r], c), ids[c])
             bound[left[:, None], pick] = -np.inf
             top = bound[left].max(axis=1)
-            left = left[(top >= best.least(rows[left])) & (top > -np.inf)]
+            left = left[(top >= least_of(rows[left])) & (top > -np.inf)]
             size = min(4 * size, len(ids))
 
 
@@ -195,23 +202,42 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) and len(lists[0]) else np.zeros((len(lists), 0))
 
 
-def _pivots(rows: DataFrame, n: int) -> dict[int, Pivots]:
-    """Pivots of the ``DIMENSIONS`` smallest dimensions of a bounded sample: ``SAMPLE`` rows with the smallest hashes of their ids."""
+def _pivots(rows: DataFrame, n: int) -> tuple[dict[int, Pivots], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Pivots of the ``DIMENSIONS`` smallest dimensions of a bounded sample, ``SAMPLE`` rows with the smallest hashes of their
+    ids; and (ids, vectors) of the sample's rows of those dimensions."""
     dim = F.size("v").alias("dim")
     tops = rows.groupBy(dim).agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).orderBy("dim").limit(DIMENSIONS).collect()
     sample: dict[int, list] = {}
     for r in rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect():
-        sample.setdefault(len(r.v), []).append(r.v)
+        sample.setdefault(len(r.v), []).append((r.id, r.v))
     # Squares of distances beyond the whole numbers of a double would make the bounds wrong.
-    return {r.dim: Pivots.of(np.asarray(sample[r.dim], float), r.top, n) for r in tops if r.dim in sample and r.top < 1 << 50}
+    able = [r for r in tops if r.dim in sample and r.top < 1 << 50]
+    drawn = {r.dim: (np.array([i for i, _ in sample[r.dim]], np.int64), np.asarray([v for _, v in sample[r.dim]], float)) for r in able}
+    return {r.dim: Pivots.of(drawn[r.dim][1], r.top, n) for r in able}, drawn
+
+
+def floors(ids: np.ndarray, x: np.ndarray, drawn: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The k-th best score of each query among the drawn candidates other than itself, less than any where they are fewer.
+
+    The drawn rows are candidates themselves, so the k best of all candidates reach this score. Below 2^50 products don't
+    round.
+    """
+    out = np.full(len(ids), -np.inf)
+    for a in range(0, len(ids), QUERIES):
+        score = x[a : a + QUERIES] @ drawn[1].T
+        score[ids[a : a + QUERIES, None] == drawn[0][None, :]] = -np.inf
+        if score.shape[1] >= k:
+            out[a : a + QUERIES] = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    return out
 
 
-def with_table(rows: DataFrame, pivots: dict[int, Pivots]) -> DataFrame:
-    """(id, v, q, t): ``t`` the distances to the pivots of the vector's dimension as a candidate, ``q`` those as a query or null."""
-    held = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors of DIMENSIONS dimensions at most
+def with_table(rows: DataFrame, pivots: dict[int, Pivots], drawn: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """(id, v, ask, t, q, floor): ``t`` the distances to the pivots of the vector's dimension as a candidate, ``q`` those as a
+    query or empty, ``floor`` a score that k candidates reach."""
+    held = rows.sparkSession.sparkContext.broadcast((pivots, drawn))  # PIVOTS and SAMPLE vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+        known, drawn_ = held.value
         for batch in batches:
             lists, ask = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             size = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -224,13 +250,17 @@ def with_table(rows: DataFrame, pivots: dict[int, Pivots]) -> DataFrame:
                     t = known[int(dim)].distances(x, query) if int(dim) in known else np.zeros((len(own), 0))
                     at = np.concatenate(([0], np.cumsum(np.where(ask[own] | (not query), t.shape[1], 0))))
                     tables.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(t[ask[own] | (not query)].ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), part, batch.column(2).take(pa.array(own)), *tables], ["id", "v", "ask", "t", "q"])
+                floor, asked = np.full(len(own), -np.inf), np.flatnonzero(ask[own])
+                ids = batch.column(0).take(pa.array(own))
+                if int(dim) in drawn_ and len(asked):
+                    floor[asked] = floors(ids.to_numpy(zero_copy_only=False)[asked], x[asked], drawn_[int(dim)], k)
+                yield pa.RecordBatch.from_arrays([ids, part, batch.column(2).take(pa.array(own)), *tables, pa.array(floor)], ["id", "v", "ask", "t", "q", "floor"])
 
-    return rows.select("id", "v", "ask").mapInArrow(run, "id long, v array<double>, ask boolean, t array<double>, q array<double>")
+    return rows.select("id", "v", "ask").mapInArrow(run, "id long, v array<double>, ask boolean, t array<double>, q array<double>, floor double")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], pivots: dict[int, Pivots], k: int) -> Iterator[Search]:
-    """A search for each group of rows (block, tile, dim, side, id, v, t), sorted so: queries (side 0), then candidates."""
+    """A search for each group of rows (block, tile, dim, side, id, v, t, floor), sorted so: queries (side 0), then candidates."""
     name, waiting, search = None, [], None
     for batch in batches:
         keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
@@ -246,10 +276,11 @@ def _groups(batches: Iterator[pa.RecordBatch], pivots: dict[int, Pivots], k: int
             part = batch.slice(a, b - a)
             rows = part.column(4).to_numpy(zero_copy_only=False), _matrix(part.column(5)), _matrix(part.column(6))
             if side == 0:
-                waiting.append(rows)
+                waiting.append((*rows, part.column(7).to_numpy(zero_copy_only=False)))
             elif waiting:
                 if search is None:
-                    search = Search(*(np.concatenate(c) for c in zip(*waiting, strict=True)), pivots.get(group[2]), k)
+                    own, vectors, table, floor = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                    search = Search(own, vectors, table, pivots.get(group[2]), k, floor)
                 search.add(*rows)
     if search is not None:
         yield search
@@ -266,14 +297,14 @@ def top_k(df: DataFrame, id_: str, vector: str, is_query: Column, k: int = 20, s
     tc.bounded_batches(spark)
     scratch = Scratch(spark, "topk")
     rows = df.select(F.col(id_).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"), usable(F.col(vector), scale).alias("ok")).where(F.col("ok") & F.col("id").isNotNull())
-    chosen = _pivots(rows, pivots)
-    table = scratch.keep(with_table(rows, chosen), "table")
+    chosen, drawn = _pivots(rows, pivots)
+    table = scratch.keep(with_table(rows, chosen, drawn, k), "table")
     n, asked = table.agg(F.count(F.lit(1)), F.count_if("ask")).first()
     blocks, tiles = max(1, -(-asked // block)), max(1, -(-n // tile))
     dealt = F.xxhash64("id", F.lit(3))
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-    queries = table.where("ask").select(F.pmod(dealt, F.lit(blocks)).cast("int").alias("block"), all_of(tiles).alias("tile"), F.size("v").alias("dim"), F.lit(0).alias("side"), "id", "v", F.col("q").alias("t"))
-    candidates = table.select(all_of(blocks).alias("block"), F.pmod(dealt, F.lit(tiles)).cast("int").alias("tile"), F.size("v").alias("dim"), F.lit(1).alias("side"), "id", "v", "t")
+    queries = table.where("ask").select(F.pmod(dealt, F.lit(blocks)).cast("int").alias("block"), all_of(tiles).alias("tile"), F.size("v").alias("dim"), F.lit(0).alias("side"), "id", "v", F.col("q").alias("t"), "floor")
+    candidates = table.select(all_of(blocks).alias("block"), F.pmod(dealt, F.lit(tiles)).cast("int").alias("tile"), F.size("v").alias("dim"), F.lit(1).alias("side"), "id", "v", "t", F.lit(None).cast("double").alias("floor"))
     held = spark.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
