@@ -140,3 +140,43 @@ def timelines_from_decisions(decisions: DataFrame, segments: DataFrame, rules: l
     columns = ("confirmed", "confirmed_frames", "gaps", "gap_frames", "unresolved_events", "invalid", "tracks")
     summary = s.select("target", "eligible", "excluded", *(n(c).alias(c) for c in columns), clash.alias("conflicts"), (n("confirmed_frames") / F.lit(float(frames))).alias("coverage"), status.alias("status"))
     return TargetTimelines(d, intervals, conflicts, summary)
+
+
+def provisional_intervals(log: DataFrame, approved: DataFrame) -> DataFrame:
+    """(target, id, status, decision, segment, track, start, stop, approved, eligible) as a reviewer's log goes along.
+
+    ``log``: (target, event, decision, log_pos, action, segment, track, start, stop, frame), with the frames of the chosen track;
+    ``approved``: (decision) with an active approval. A confirmation is verified at its track's first frame and goes on to its
+    last, as a second interval where that is later; approved, it is VERIFIED over the whole track and both may be analysed.
+    What leaves a target unresolved is marked at its frame, with segment and track of the last confirmation before it.
+    """
+    ok = approved.select(F.col("decision").alias("_ok")).distinct()
+    d = log.join(ok, F.col("decision") == F.col("_ok"), "left").withColumn("approved", F.col("_ok").isNotNull())
+    w = Window.partitionBy("target").orderBy("log_pos").rowsBetween(Window.unboundedPreceding, -1)
+    was = F.last(F.when((F.col("action") == CONFIRM) & F.col("start").isNotNull(), F.struct("segment", "track")), ignorenulls=True).over(w)
+    d = d.withColumn("_was", was)
+    confirm = (F.col("action") == CONFIRM) & F.col("start").isNotNull()
+    row = lambda id_, status, segment, track, start, stop, able: F.struct(F.concat(F.lit(id_), F.col("decision").cast("string")).alias("id"), status.alias("status"), segment.alias("segment"), track.alias("track"), start.alias("start"), stop.alias("stop"), able.alias("eligible"))
+    seg, track, start, stop = (F.col(c) for c in ("segment", "track", "start", "stop"))
+    human = row("human_", F.when(F.col("approved"), "VERIFIED").otherwise("HUMAN VERIFIED"), seg, track, start, F.when(F.col("approved"), stop).otherwise(start), F.col("approved"))
+    on = row("continuation_", F.lit("TRACKER CONTINUATION"), seg, track, start, stop, F.col("approved"))
+    gap = row("unresolved_", F.lit("UNRESOLVED"), F.col("_was.segment"), F.col("_was.track"), F.col("frame"), F.col("frame"), F.lit(False))
+    rows = F.when(confirm & (stop > start), F.array(human, on)).when(confirm, F.array(human)).when(F.col("action").isin(*UNRESOLVED), F.array(gap))
+    out = d.select("target", "decision", "approved", F.explode(rows).alias("_r"))
+    return out.select("target", "_r.id", "_r.status", "decision", "_r.segment", "_r.track", "_r.start", "_r.stop", "approved", "_r.eligible")
+
+
+def selection_status(track: Column, track_end: Column, now: Column, unresolved: Column) -> Column:
+    """What a reviewer sees of a target: TRACKING, LOST after its track's end, REVIEW REQUIRED without a track, UNRESOLVED where
+    either holds and something is unresolved."""
+    past = F.coalesce(now > track_end, F.lit(False))
+    return F.when(unresolved & (track.isNull() | past), "UNRESOLVED").when(track.isNull(), "REVIEW REQUIRED").when(past, "LOST").otherwise("TRACKING")
+
+
+def target_states(observations: DataFrame, by: str, order: str, source: str, track: str, hint: str, sources: list[str], statuses: list[str]) -> DataFrame:
+    """``observations`` with ``current_track`` and ``target_status`` after each: the last track named and the last hint that is a
+    status; other hints change nothing. An unknown source is an error."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col(source).isin(*sources), F.col(source)).otherwise(F.raise_error(F.concat(F.lit("unknown observation source "), F.coalesce(F.col(source), F.lit("null")))))
+    d = observations.withColumn(source, known)
+    return d.withColumn("current_track", F.last(track, ignorenulls=True).over(w)).withColumn("target_status", F.last(F.when(F.col(hint).isin(*statuses), F.col(hint)), ignorenulls=True).over(w))

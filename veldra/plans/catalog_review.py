@@ -461,3 +461,49 @@ def regions_in_frame(spark, sf_dir):
     region = geo.Box(F.floor(w * 0.2), F.floor(h * 0.15), F.ceil(w * 0.8), F.ceil(h * 0.55))
     f = geo.in_frame(region, geo.Box.of(), w, h)
     return b.select("event_id", *(c.cast("long").alias(n) for c, n in zip((f.x1, f.y1, f.x2, f.y2), ("fx1", "fy1", "fx2", "fy2"), strict=True)))
+
+
+# --- provisional timelines and target states --------------------------------------------------------------------
+
+
+def _reviewed(spark, sf_dir):
+    d = _decisions(spark, sf_dir)
+    s = _segments(spark, sf_dir).select(F.col("segment").alias("_s"), "start", "stop")
+    return d.join(s, F.col("segment") == F.col("_s"), "left").drop("_s")
+
+
+_PROVISIONAL = f"""{_DECISIONS}, d AS (SELECT d.*, s.start, s.stop, discount BETWEEN 1 AND 8 AS approved FROM decisions d LEFT JOIN segments s ON s.segment = d.segment),
+p AS (SELECT *, last_value(CASE WHEN action = 'CONFIRM_TARGET' AND start IS NOT NULL THEN decision END IGNORE NULLS) OVER (PARTITION BY target ORDER BY decision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM d),
+provisional AS (SELECT target, 'human_' || decision AS id, CASE WHEN approved THEN 'VERIFIED' ELSE 'HUMAN VERIFIED' END AS status, decision, segment, track, start, CASE WHEN approved THEN stop ELSE start END AS stop, approved, approved AS eligible FROM d WHERE action = 'CONFIRM_TARGET' AND start IS NOT NULL
+  UNION ALL SELECT target, 'continuation_' || decision, 'TRACKER CONTINUATION', decision, segment, track, start, stop, approved, approved FROM d WHERE action = 'CONFIRM_TARGET' AND stop > start
+  UNION ALL SELECT p.target, 'unresolved_' || p.decision, 'UNRESOLVED', p.decision, q.segment, q.track, p.frame, p.frame, p.approved, FALSE FROM p LEFT JOIN d q ON q.decision = p.prior WHERE p.action IN ('NONE_OF_THESE', 'UNKNOWN', 'DEFER'))"""
+
+
+@query("O211 O212", f"WITH {_PROVISIONAL} SELECT * FROM provisional")
+def provisional_intervals(spark, sf_dir):
+    d = _reviewed(spark, sf_dir)
+    return review.provisional_intervals(d, d.where(F.col("discount").between(1, 8)).select("decision"))
+
+
+@query("O211", f"""WITH {_PROVISIONAL}, l AS (SELECT target, arg_max(CASE WHEN start IS NOT NULL THEN track END, decision) AS track, arg_max(stop, decision) AS stop FROM d WHERE action = 'CONFIRM_TARGET' GROUP BY target),
+t AS (SELECT target, bool_or(action IN ('NONE_OF_THESE', 'UNKNOWN', 'DEFER')) AS open, max(frame) AS now FROM d GROUP BY target)
+SELECT t.target, CASE WHEN open AND (track IS NULL OR coalesce(now > stop, FALSE)) THEN 'UNRESOLVED' WHEN track IS NULL THEN 'REVIEW REQUIRED' WHEN coalesce(now > stop, FALSE) THEN 'LOST' ELSE 'TRACKING' END AS status FROM t LEFT JOIN l USING (target)""")
+def selection_statuses(spark, sf_dir):
+    d = _reviewed(spark, sf_dir)
+    known = F.when((F.col("action") == review.CONFIRM) & F.col("start").isNotNull(), F.struct(F.col("decision"), "track", "stop"))
+    g = d.groupBy("target").agg(F.max(known).alias("l"), F.bool_or(F.col("action").isin(*review.UNRESOLVED)).alias("open"), F.max("frame").alias("now"))
+    return g.select("target", review.selection_status(F.col("l.track"), F.col("l.stop"), F.col("now"), F.col("open")).alias("status"))
+
+
+_SOURCES = ("HUMAN_SEED", "AUTO_STITCHED_TRACKLET", "UNRESOLVED_GAP")
+_TARGET_STATUSES = ("TARGET_TRACKING", "TARGET_REVIEW_REQUIRED", "TARGET_UNRESOLVED")
+_HINTS = (*_TARGET_STATUSES, "NOTE")
+
+
+@query("O221", f"""WITH {st.OBS}, o AS (SELECT track % 50 AS target, event_id, frame, {list(_SOURCES)}[(event_id % 3 + 1)::INT] AS source, CASE WHEN event_id % 3 <> 2 THEN track END AS track, {list(_HINTS)}[(event_id % 4 + 1)::INT] AS hint FROM obs)
+SELECT target, event_id, last_value(track IGNORE NULLS) OVER w AS current_track, last_value(CASE WHEN hint <> 'NOTE' THEN hint END IGNORE NULLS) OVER w AS target_status FROM o WINDOW w AS (PARTITION BY target ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def target_states(spark, sf_dir):
+    o = st.observations(spark, sf_dir)
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
+    o = o.select((F.col("track") % 50).alias("target"), "event_id", pick(_SOURCES, 3).alias("source"), F.when(F.col("event_id") % 3 != 2, F.col("track")).alias("track"), pick(_HINTS, 4).alias("hint"))
+    return review.target_states(o, "target", "event_id", "source", "track", "hint", list(_SOURCES), list(_TARGET_STATUSES)).select("target", "event_id", "current_track", "target_status")
