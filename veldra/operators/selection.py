@@ -165,3 +165,52 @@ def failure_windows(observations: DataFrame, by: str, selected: DataFrame, most:
     # The budget counts all windows up to and with the first pocket that reaches it.
     w = w.where((F.col("_k") < 2) | (F.col("_turn") <= most)).withColumn("_key", F.struct(by, "track"))
     return spaced_windows(w, "_key", ["_k", "_r"], "center", apart, most).select(by, "track", "kind", "center", "other", "position")
+
+
+#: Areas at which the size class rises.
+SIZE_CLASSES = (2000, 6000, 15000)
+
+
+def quality_temporal_choice(df: DataFrame, by: str, id_: str, frame: str, edge: str, overlap: str, area: str, sharp: str, most: int, least: int) -> DataFrame:
+    """(by, id, frame, selection_rank): at most ``most`` rows of each group, good and spread over its frames; ``least`` if there are so many.
+
+    Better is: fewer edges, less overlap, a larger area, a lower size class, sharper, earlier, a smaller id. For evenly spaced
+    places among the rows, the best unused row near the place (in places or frames) is picked, or the best unused one if
+    none is near. Of neighbours closer than a third of the spacing the better one stays. What is missing is filled by
+    the best of the rest that keep that distance, and up to ``least`` without it. A group's rows are folded as one array.
+    """
+    size = sum((F.col(area) >= c).cast("int") for c in SIZE_CLASSES)
+    row = F.struct(F.col(frame).cast("long").alias("frame"), F.col(id_).alias("id"), F.col(edge).cast("long").alias("k1"), F.col(overlap).cast("double").alias("k2"), (-F.col(area)).cast("double").alias("k3"), size.alias("k4"), (-F.col(sharp)).cast("double").alias("k5"))
+    names = ("k1", "k2", "k3", "k4", "k5", "frame", "id")
+    g = df.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("_r"))
+    g = g.withColumn("_r", F.transform("_r", lambda x, j: F.struct(*(x[k].alias(k) for k in names), j.cast("long").alias("j"))))
+    n, first, last = F.size("_r"), F.get("_r", F.lit(0))["frame"], F.element_at("_r", -1)["frame"]
+    target = F.least(F.lit(most), n)
+    g = g.withColumn("_k", target).withColumn("_span", last - first)
+    up = lambda a: F.greatest(F.lit(1).cast("long"), F.ceil(a / (2 * F.col("_k"))))
+    g = g.withColumn("_w", up(F.col("_span"))).withColumn("_iw", up(F.size("_r")))
+    g = g.withColumn("_gap", F.when(F.col("_span") > 0, F.greatest(F.lit(1).cast("long"), F.floor(F.col("_span") / (3 * F.col("_k"))))).otherwise(F.lit(1).cast("long")))
+    slots = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: F.bround(i * (F.size("_r") - 1) / F.greatest(F.lit(1), F.col("_k") - 1).cast("double")).cast("int"))
+    unused = lambda acc: F.filter("_r", lambda x: ~F.exists(acc, lambda p: p["j"] == x["j"]))
+
+    def pick(acc: Column, s: Column) -> Column:
+        at = F.get("_r", s)["frame"]
+        near = F.filter(unused(acc), lambda x: (F.abs(x["j"] - s) <= F.col("_iw")) | (F.abs(x["frame"] - at) <= F.col("_w")))
+        return F.concat(acc, F.array(F.coalesce(F.array_min(near), F.array_min(unused(acc)))))
+
+    none = F.slice(F.col("_r"), 1, 0)
+    g = g.withColumn("_p", F.aggregate(slots, none, pick))
+    ordered = F.array_sort(F.transform("_p", lambda x, i: F.struct(x["frame"].alias("f"), i.alias("i"), x.alias("x"))))
+
+    def thin(acc: Column, o: Column) -> Column:
+        x, prev = o["x"], F.element_at(acc, -1)
+        close = (F.size(acc) > 0) & (F.abs(x["frame"] - F.when(F.size(acc) > 0, prev["frame"])) < F.col("_gap"))
+        return F.when(close & (x < prev), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))).when(close, acc).otherwise(F.concat(acc, F.array(x)))
+
+    g = g.withColumn("_f", F.aggregate(ordered, none, lambda acc, o: F.when(F.size(acc) == 0, F.array(o["x"])).otherwise(thin(acc, o))))
+    rest = F.array_sort(unused(F.col("_f")))
+    spaced = F.aggregate(rest, F.col("_f"), lambda acc, x: F.when((F.size(acc) >= F.col("_k")) | F.exists(acc, lambda p: F.abs(p["frame"] - x["frame"]) < F.col("_gap")), acc).otherwise(F.concat(acc, F.array(x))))
+    g = g.withColumn("_g", spaced)
+    filled = F.aggregate(F.array_sort(unused(F.col("_g"))), F.col("_g"), lambda acc, x: F.when(F.size(acc) >= F.least(F.lit(least), F.size("_r")), acc).otherwise(F.concat(acc, F.array(x))))
+    out = g.select(by, F.posexplode(F.array_sort(F.transform(filled, lambda x: F.struct(x["frame"].alias("frame"), x["id"].alias("id"))))).alias("_i", "_x"), "_k").where(F.col("_i") < F.col("_k"))
+    return out.select(by, "_x.id", "_x.frame", F.col("_i").alias("selection_rank"))

@@ -507,3 +507,23 @@ def target_states(spark, sf_dir):
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
     o = o.select((F.col("track") % 50).alias("target"), "event_id", pick(_SOURCES, 3).alias("source"), F.when(F.col("event_id") % 3 != 2, F.col("track")).alias("track"), pick(_HINTS, 4).alias("hint"))
     return review.target_states(o, "target", "event_id", "source", "track", "hint", list(_SOURCES), list(_TARGET_STATUSES)).select("target", "event_id", "current_track", "target_status")
+
+
+_NOT_IN = lambda acc: f"list_filter(r, lambda x: len(list_filter({acc}, lambda q: q.j = x.j)) = 0)"
+
+
+@query("O149 O147", f"""WITH {st.OBS}, o AS (SELECT track % 60 AS grp, event_id AS id, frame, (x1 <= 200)::INT + (y1 <= 100)::INT AS edge, (event_id % 5) / 10.0::DOUBLE AS overlap, (x2 - x1) * (y2 - y1) AS area, value FROM obs),
+k AS (SELECT grp, {{'k1': edge::BIGINT, 'k2': overlap, 'k3': -area::DOUBLE, 'k4': (area >= 2000)::INT + (area >= 6000)::INT + (area >= 15000)::INT, 'k5': -value, 'frame': frame::BIGINT, 'id': id, 'j': row_number() OVER (PARTITION BY grp ORDER BY frame, id) - 1}} AS x FROM o),
+g AS (SELECT grp, list(x ORDER BY x.j) AS r, least(6, count(*)) AS k, max(x.frame) - min(x.frame) AS span, count(*) AS n FROM k GROUP BY grp),
+w AS (SELECT *, greatest(1, ceil(span / (2 * k)))::BIGINT AS w, greatest(1, ceil(n / (2 * k)))::BIGINT AS iw, CASE WHEN span > 0 THEN greatest(1, floor(span / (3 * k)))::BIGINT ELSE 1 END AS gap, list_transform(range(k), lambda i: round_even(i * (n - 1) / greatest(1, k - 1)::DOUBLE, 0)::BIGINT) AS slots FROM g),
+p AS (SELECT *, list_reduce(list_prepend([]::STRUCT(k1 BIGINT, k2 DOUBLE, k3 DOUBLE, k4 INT, k5 DOUBLE, frame BIGINT, id BIGINT, j BIGINT)[], list_transform(slots, lambda s: [r[s + 1]])), lambda acc, s: acc || [coalesce(
+  list_sort(list_filter({_NOT_IN('acc')}, lambda x: abs(x.j - s[1].j) <= iw OR abs(x.frame - s[1].frame) <= w))[1], list_sort({_NOT_IN('acc')})[1])]) AS p FROM w),
+f AS (SELECT *, list_reduce(list_transform(list_sort(list_transform(p, lambda x, i: {{'f': x.frame, 'i': i, 'x': x}})), lambda o: [o.x]), lambda acc, o: CASE WHEN abs(o[1].frame - acc[-1].frame) < gap AND o[1] < acc[-1] THEN acc[:-2] || o WHEN abs(o[1].frame - acc[-1].frame) < gap THEN acc ELSE acc || o END) AS f FROM p),
+b AS (SELECT *, list_reduce(list_prepend(f, list_transform(list_sort({_NOT_IN('f')}), lambda x: [x])), lambda acc, o: CASE WHEN len(acc) >= k OR len(list_filter(acc, lambda q: abs(q.frame - o[1].frame) < gap)) > 0 THEN acc ELSE acc || o END) AS b FROM f),
+c AS (SELECT *, list_reduce(list_prepend(b, list_transform(list_sort({_NOT_IN('b')}), lambda x: [x])), lambda acc, o: CASE WHEN len(acc) >= least(4, n) THEN acc ELSE acc || o END) AS c FROM b),
+u AS (SELECT grp, k, unnest(c) AS x FROM c) SELECT grp, x.id AS id, x.frame AS frame, (row_number() OVER (PARTITION BY grp ORDER BY x.frame, x.id) - 1)::INT AS selection_rank FROM u QUALIFY selection_rank < k""")
+def quality_temporal_choice(spark, sf_dir):
+    o = st.observations(spark, sf_dir)
+    edge = (F.col("x1") <= 200).cast("int") + (F.col("y1") <= 100).cast("int")
+    o = o.select((F.col("track") % 60).alias("grp"), F.col("event_id").alias("id"), "frame", edge.alias("edge"), ((F.col("event_id") % 5) / 10.0).alias("overlap"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), "value")
+    return selection.quality_temporal_choice(o, "grp", "id", "frame", "edge", "overlap", "area", "value", 6, 4)
