@@ -216,3 +216,30 @@ def test_allocation_reports_a_shortage(spark):
     items = catalog_review.allocation_items(spark, "/root/testdata/sf0.001").where("stratum = 'low'").limit(20)
     with pytest.raises(allocation.Shortage):
         allocation.allocate(items, "recomputed", [allocation.Batch("b", {"low": 2, "mid": 2}, 1)], ["low"], ["mid", "low"], catalog_review.CAPS, Scratch(spark, "test"))
+
+
+def test_choice_by_quality_and_spread(spark):
+    rows = [(1, i, 10 * i, 0, 0.0, 3000, float(i % 3)) for i in range(10)] + [(2, 1, 5, 1, 0.5, 100, 1.0), (2, 2, 6, 0, 0.5, 100, 1.0), (3, 7, 0, 0, 0.0, 1, 1.0)]
+    df = spark.createDataFrame(rows, "g int, id int, f int, e int, o double, a int, s double")
+    got = defaultdict(list)
+    for r in selection.quality_temporal_choice(df, "g", "id", "f", "e", "o", "a", "s", 3, 2).orderBy("g", "selection_rank").collect():
+        got[r.g].append(r.id)
+    assert got[2] == [1, 2] and got[3] == [7]  # as many as there are, even a frame apart
+    assert len(got[1]) == 3 and all(b - a >= 1 for a, b in zip(got[1], got[1][1:], strict=False)) and set(got[1]) <= {2, 5, 8}  # the sharp ones
+
+
+def test_provisional_intervals_and_statuses(spark):
+    log = [("t", 1, 1, 1, "CONFIRM_TARGET", 1, 11, 0, 9, 3), ("t", 2, 2, 2, "DEFER", None, None, None, None, 40), ("t", 3, 3, 3, "CONFIRM_TARGET", 2, 12, 20, 20, 20), ("u", 4, 4, 1, "UNKNOWN", None, None, None, None, 7)]
+    df = spark.createDataFrame(log, "target string, event int, decision int, log_pos int, action string, segment int, track int, start int, stop int, frame int")
+    got = {r.id: (r.status, r.segment, r.start, r.stop, r.eligible) for r in review.provisional_intervals(df, df.where("decision = 3").select("decision")).collect()}
+    assert got == {"human_1": ("HUMAN VERIFIED", 1, 0, 0, False), "continuation_1": ("TRACKER CONTINUATION", 1, 0, 9, False), "unresolved_2": ("UNRESOLVED", 1, 40, 40, False), "human_3": ("VERIFIED", 2, 20, 20, True), "unresolved_4": ("UNRESOLVED", None, 7, 7, False)}
+    s = spark.createDataFrame([(1, 9, 5, True), (1, 9, 10, True), (1, 9, 10, False), (None, None, 3, False), (None, None, 3, True), (1, None, 3, False)], "t int, e int, n int, u boolean")
+    assert [r[0] for r in s.select(review.selection_status(*map(F.col, "tenu"))).collect()] == ["TRACKING", "UNRESOLVED", "LOST", "REVIEW REQUIRED", "UNRESOLVED", "TRACKING"]
+
+
+def test_target_states(spark):
+    df = spark.createDataFrame([(1, 1, "SEED", "7", "GOOD"), (1, 2, "GAP", None, "note"), (1, 3, "SEED", "8", None)], "v int, i int, source string, track string, hint string")
+    state = lambda d: [(r.current_track, r.target_status) for r in review.target_states(d, "v", "i", "source", "track", "hint", ["SEED", "GAP"], ["GOOD"]).orderBy("i").collect()]
+    assert state(df) == [("7", "GOOD"), ("7", "GOOD"), ("8", "GOOD")]
+    with pytest.raises(Exception, match="unknown observation source"):
+        state(df.withColumn("source", F.lit("other")))
