@@ -1,4 +1,7 @@
-"""Named queries over the driver's tables and the same rows in DuckDB SQL."""
+"""Named queries over the driver's tables and the same rows in DuckDB SQL.
+
+Thresholds and names in the rules are fixed values: results must agree with them.
+"""
 
 from __future__ import annotations
 
