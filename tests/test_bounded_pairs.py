@@ -33,3 +33,23 @@ def test_links_connect_what_all_pairs_connect(spark):
         pairs = spark.createDataFrame(sorted(want), "a long, b long")
         comp = lambda e: {(r.node, r.component) for r in graph.connected_components(e, "a", "b", Scratch(spark, "t")).collect()}
         assert comp(links.where("b is not null")) == comp(pairs)
+
+
+def test_cliques_are_counted_not_paired(spark):
+    import inspect
+
+    assert "a + b) % 11" not in inspect.getsource(catalog.QUERIES["clique_components"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_continuations_hold_the_two_cheapest(spark, seed):
+    rng = random.Random(seed)
+    ends = list({(t, s): (t, s, s + rng.randrange(3), rng.randrange(8), rng.randrange(8)) for t, s in ((rng.randrange(9), rng.randrange(12)) for _ in range(80))}.values())
+    df = spark.createDataFrame(ends, "track long, start long, stop long, first_x long, last_x long")
+    got = sorted((r.track, r.stop, r.last_x, r.next_track, r.next_start) for r in blocks.nearest_continuations(df, 3, 4).collect())
+    want = []
+    for t, _, stop, _, x in ends:
+        for gap in range(1, 4):
+            near = sorted((abs(f - x), u) for u, s, _, f, _ in ends if u != t and s == stop + gap and abs(f - x) <= 4)
+            want += [(t, stop, x, u, stop + gap) for _, u in near[:2]]
+    assert got == sorted(want)

@@ -60,10 +60,15 @@ def clique_components(vertices: DataFrame, edges: DataFrame, conflicts: DataFram
     """
     e = edges.select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).where("_a <> _b").distinct()
     comp = scratch.keep(connected_components(e, "_a", "_b", scratch), "cliques")
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     inside = lambda rows, x, y, name: rows.join(comp.select(F.col("node").alias("_x"), F.col("component").alias("_cx")), F.col(x) == F.col("_x")).join(comp.select(F.col("node").alias("_y"), F.col("component").alias("_cy")), F.col(y) == F.col("_y")).where("_cx = _cy").groupBy(F.col("_cx").alias("component")).agg(F.count(F.lit(1)).alias(name))
     c = conflicts.select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).distinct()
-    s = size.join(inside(e, "_a", "_b", "approved"), "component", "left").join(inside(c, "_a", "_b", "conflicts"), "component", "left")
+    return applied_cliques(vertices, comp, inside(e, "_a", "_b", "approved"), inside(c, "_a", "_b", "conflicts"), id_)
+
+
+def applied_cliques(vertices: DataFrame, comp: DataFrame, approved: DataFrame, conflicts: DataFrame, id_: str) -> DataFrame:
+    """``clique_components`` from ``comp`` (node, component) and the number of approved and of conflicting pairs of each component."""
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    s = size.join(approved, "component", "left").join(conflicts, "component", "left")
     status = F.when(F.col("conflicts") > 0, "conflict").when(F.col("approved") == F.col("size") * (F.col("size") - 1) / 2, "applied").otherwise("incomplete")
     s = s.select(F.col("component").alias("_c"), "size", status.alias("status"))
     v = vertices.select(F.col(id_).cast("long").alias("id")).join(comp, F.col("id") == F.col("node"), "left").join(s, F.col("component") == F.col("_c"), "left")
