@@ -88,3 +88,7 @@ def test_best_boxes_are_those_of_all_pairs(spark):
         if some and -min(some)[0] >= 0.05:
             want[t] = (min(some)[2], round(-min(some)[0], 9))
     assert got == want
+
+
+def test_nearest_overlap_audit_joins_no_pairs(spark):
+    assert "Join" not in plan(catalog_evidence.QUERIES["nearest_overlap_audit"](spark, DATA))

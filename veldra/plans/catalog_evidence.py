@@ -429,10 +429,13 @@ def fingerprint_overlap(spark, sf_dir):
 @query("O060", f"""WITH {st.OBS} SELECT a.event_id AS a, b.event_id AS b, round(abs(a.value - b.value), 6) AS distance FROM obs a JOIN obs b ON a.frame = b.frame AND a.class_name = 'click' AND b.class_name = 'view' WHERE abs(a.value - b.value) <= 50 QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.value - b.value), b.event_id) = 1""")
 def nearest_overlap_audit(spark, sf_dir):
     o = st.observations(spark, sf_dir)
-    a = o.where("class_name = 'click'").select("frame", F.col("event_id").alias("a"), F.col("value").alias("_va"))
-    b = o.where("class_name = 'view'").select("frame", F.col("event_id").alias("b"), F.col("value").alias("_vb"))
-    d = a.join(b, "frame").withColumn("_d", F.abs(F.col("_va") - F.col("_vb"))).where("_d <= 50")
-    return d.groupBy("a").agg(F.min(F.struct("_d", "b")).alias("m")).select("a", "m.b", r6(F.col("m._d")).alias("distance"))
+    # Of the views of a frame only those just below and just above a click's value can be nearest: no pairs.
+    a = o.where("class_name = 'click' and value is not null").select("frame", F.col("value").alias("v"), F.col("event_id").alias("a"), F.lit(None).cast("struct<v:double,b:bigint>").alias("view"))
+    b = o.where("class_name = 'view' and value is not null").groupBy("frame", F.col("value").alias("v")).agg(F.min("event_id").alias("b")).select("frame", "v", F.lit(None).cast("long").alias("a"), F.struct("v", "b").alias("view"))
+    near = lambda order: F.last("view", ignorenulls=True).over(Window.partitionBy("frame").orderBy(order, F.asc_nulls_first("a")).rowsBetween(Window.unboundedPreceding, 0))
+    d = a.unionByName(b).withColumn("lo", near(F.asc("v"))).withColumn("hi", near(F.desc("v"))).where("a is not null")
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("v") - F.col(f"{c}.v")).alias("d"), F.col(f"{c}.b").alias("b")))
+    return d.withColumn("m", F.least(away("lo"), away("hi"))).where("m.d <= 50").select("a", "m.b", r6(F.col("m.d")).alias("distance"))
 
 
 @query("O063", "SELECT a.o_custkey AS o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND (b.o_orderkey % 1000, b.o_orderkey) > (a.o_orderkey % 1000, a.o_orderkey) AND b.o_orderkey % 1000 <= a.o_orderkey % 1000 + a.o_custkey % 40")
