@@ -100,3 +100,13 @@ def test_equal_prints_are_looked_up_once(spark):
     got = overlap.nearest_prints(df, df, ["video"], 48, 2, 3.0).collect()
     assert {(r.a, r.b, r.distance) for r in got} == {(i, 0 if i < 300 else 300, 0) for i in range(310)} and len(got) == 310
     assert "bits" in plan(overlap.print_pairs(df, df, ["video"], "bits", 48, 2)) and "HashAggregate" not in plan(overlap.print_pairs(df, df, ["video"], "bits", 48, 2))
+
+
+def test_shared_entries_are_counted_by_blocks(spark):
+    rng = random.Random(4)
+    rows = [(i, sorted(rng.sample(range(3000), rng.randrange(1, 90)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    want = {(a, b, len(set(x) & set(y))) for a, x in rows for b, y in rows if a < b and set(x) & set(y)}
+    for block in (9, 2048):
+        assert {tuple(r) for r in blocks.shared_entries(df, "id", "v", block).collect()} == want
+    assert "Join" not in plan(catalog.QUERIES["exact_frame_conflicts"](spark, DATA))
