@@ -110,3 +110,8 @@ def test_shared_entries_are_counted_by_blocks(spark):
     for block in (9, 2048):
         assert {tuple(r) for r in blocks.shared_entries(df, "id", "v", block).collect()} == want
     assert "Join" not in plan(catalog.QUERIES["exact_frame_conflicts"](spark, DATA))
+
+
+def test_candidate_generation_shuffles_no_pairs(spark):
+    df = catalog_evidence.QUERIES["candidate_generation"](spark, DATA)
+    assert plan(df).count("Join") <= 1  # tracks to their vectors

@@ -16,7 +16,7 @@ from veldra.functions import geometry as geo
 from veldra.functions import text as txt
 from veldra.functions import vectors as vec
 from veldra.operators import aggregates as agg
-from veldra.operators import contracts, eventlog, evidence, graph, joins, metrics, overlap, selection, timelines, windows
+from veldra.operators import blocks, contracts, eventlog, evidence, graph, joins, metrics, overlap, selection, timelines, windows
 from veldra.plans import standins as st
 from veldra.session import table
 from veldra.storage import Scratch
@@ -767,10 +767,9 @@ CASE WHEN shared IS NULL THEN round(list_dot_product(list_transform(x.v, lambda
 FROM t x JOIN t y ON x.label = y.label AND x.track < y.track LEFT JOIN c ON c.a = x.track AND c.b = y.track""")
 def candidate_generation(spark, sf_dir):
     o = st.observations(spark, sf_dir)
-    t = o.groupBy("track").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).join(st.vectors(spark, sf_dir).withColumnRenamed("vec_id", "track"), "track")
-    side = lambda n: t.select("label", F.col("track").alias(f"track_{n}"), F.col("first").alias(f"{n}0"), F.col("last").alias(f"{n}1"), F.col("embedding").alias(f"{n}v"))
-    p = side("a").join(side("b"), "label").where("track_a < track_b")
-    x = o.select("frame", F.col("track").alias("_x")).join(o.select("frame", F.col("track").alias("_y")), "frame").where("_x < _y").groupBy("_x", "_y").agg(n_rows().alias("shared"))
-    p = p.join(x, (F.col("track_a") == F.col("_x")) & (F.col("track_b") == F.col("_y")), "left")
-    spans, free = (F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")), F.col("shared").isNull()
-    return p.select("track_a", "track_b", F.coalesce("shared", F.lit(0)).alias("shared_frames"), geo.temporal_gap(*spans).alias("gap"), geo.spans_overlap(*spans).alias("span_overlap"), F.when(free, r6(vec.cosine(F.col("av"), F.col("bv")))).alias("similarity"), F.when(free, "eligible").otherwise("rejected").alias("decision"))
+    t = o.groupBy("track").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.collect_set("frame").alias("frames")).join(st.vectors(spark, sf_dir).withColumnRenamed("vec_id", "track"), "track")
+    # Null or ragged vectors have no similarity: they are compared as vectors of length 0.
+    whole = F.when(~F.exists("embedding", lambda x: x.isNull()), F.col("embedding"))
+    p = blocks.track_pairs(t.withColumn("embedding", whole), ["label"], "track", "first", "last", "frames", "embedding", 6)
+    spans, free = (F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")), F.col("shared_frames") == 0
+    return p.select("track_a", "track_b", "shared_frames", geo.temporal_gap(*spans).alias("gap"), geo.spans_overlap(*spans).alias("span_overlap"), F.when(free, r6(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity"))))).alias("similarity"), F.when(free, "eligible").otherwise("rejected").alias("decision"))
