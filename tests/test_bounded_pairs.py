@@ -115,3 +115,11 @@ def test_shared_entries_are_counted_by_blocks(spark):
 def test_candidate_generation_shuffles_no_pairs(spark):
     df = catalog_evidence.QUERIES["candidate_generation"](spark, DATA)
     assert plan(df).count("Join") <= 1  # tracks to their vectors
+
+
+def test_all_pairs_are_ranked_without_one_task_for_all(spark):
+    rows = [(i, 0, [float(i), 1.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    for block in (5, 4096):
+        assert {tuple(r) for r in blocks.vector_pairs(df, ["label"], "id", "v", block=block).collect()} == {(a, b, a * b + 1.0) for a in range(12) for b in range(a + 1, 12)}
+    assert "partitionBy(\"conflict\")" not in open(catalog.__file__).read()
