@@ -133,3 +133,17 @@ def test_print_matches_are_not_told_apart_afterwards(spark):
     close = lambda p, q: None not in (p[3], q[3]) and (p[3] ^ q[3]).bit_count() <= 2
     assert sorted((r.a, r.b, r.exact) for r in found.collect()) == sorted((p[1], q[1], same(p, q)) for p in rows for q in rows if same(p, q) or close(p, q))
     assert "HashAggregate" not in plan(found)
+
+
+def test_products_with_a_gallery_are_bounded(spark, monkeypatch):
+    import inspect
+
+    from veldra.operators import joins
+
+    rng = random.Random(6)
+    rows = [(i, i % 2, [rng.gauss(0, 0.3) for _ in range(3)]) for i in range(2500)]
+    df = spark.createDataFrame(rows, "id long, side int, v array<double>")
+    got = {(r.query_id, r.side): r.gallery_id for r in joins.query_gallery_best(df.where("id < 9"), df, "id", "v", "id", "side").collect()}
+    dot = lambda x, y: round(max(-1, min(1, sum(a * b for a, b in zip(x, y, strict=True)))), 6)
+    assert got == {(i, str(s)): min((-dot(rows[i][2], v), j) for j, t, v in rows if t == s and j != i)[1] for i in range(9) for s in (0, 1)}
+    assert "range(0, len(mine), 1024)" in inspect.getsource(joins.query_gallery_best)

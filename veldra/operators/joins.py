@@ -75,7 +75,7 @@ def query_gallery_best(queries: DataFrame, gallery: DataFrame, id_: str, vector:
 
     The score is the inner product of unit vectors, clamped and rounded; ties go to smaller ids. Queries are dealt to
     blocks and the gallery to tiles of bounded size; each pair of both is one group of rows, streamed with its queries
-    first, and one matrix product for each batch. Rows with a null id or vector take no part.
+    first, and compared by matrix products of at most 512 by 1,024 entries. Rows with a null id or vector take no part.
     """
     ask = queries.where(F.col(id_).isNotNull() & F.col(vector).isNotNull())
     held = gallery.where(F.col(gallery_id).isNotNull() & F.col(vector).isNotNull())
@@ -112,20 +112,26 @@ def query_gallery_best(queries: DataFrame, gallery: DataFrame, id_: str, vector:
                     continue
                 if not rows:
                     continue
-                asked, of = np.concatenate(ids), np.array(part.column(5).to_pylist(), object)
+                if len(ids) > 1:
+                    ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
+                asked, asking, of = ids[0], rows[0], np.array(part.column(5).to_pylist(), object)
                 order = np.argsort(own, kind="stable")  # so that the first of equal scores has the smallest id
                 own, x, of = own[order], x[order], of[order]
                 for s in sorted(set(of)):
                     mine = np.flatnonzero(of == s)
                     score, who = best.setdefault(s, (np.full(len(asked), -np.inf), np.zeros(len(asked), np.int64)))
-                    for c in range(0, len(asked), 1024):
-                        rest = slice(c, c + 1024)
-                        value = np.round(np.clip(np.concatenate(rows)[rest] @ x[mine].T, -1, 1), digits)
-                        value[asked[rest, None] == own[mine][None, :]] = -np.inf
-                        at = value.argmax(axis=1)
-                        top, name_ = value[np.arange(len(at)), at], own[mine][at]
-                        better = (top > score[rest]) | ((top == score[rest]) & (top > -np.inf) & (name_ < who[rest]))
-                        score[rest][better], who[rest][better] = top[better], name_[better]
+                    for c in range(0, len(asked), 512):  # products of bounded size, whatever a batch holds
+                        rest = slice(c, c + 512)
+                        for d in range(0, len(mine), 1024):
+                            some = mine[d : d + 1024]
+                            value = asking[rest] @ x[some].T
+                            np.clip(value, -1, 1, out=value)
+                            np.round(value, digits, out=value)
+                            value[asked[rest, None] == own[some][None, :]] = -np.inf
+                            at = value.argmax(axis=1)
+                            top, name_ = value[np.arange(len(at)), at], own[some][at]
+                            better = (top > score[rest]) | ((top == score[rest]) & (top > -np.inf) & (name_ < who[rest]))
+                            score[rest][better], who[rest][better] = top[better], name_[better]
         if best:
             yield ended()
 
