@@ -147,3 +147,16 @@ def test_products_with_a_gallery_are_bounded(spark, monkeypatch):
     dot = lambda x, y: round(max(-1, min(1, sum(a * b for a, b in zip(x, y, strict=True)))), 6)
     assert got == {(i, str(s)): min((-dot(rows[i][2], v), j) for j, t, v in rows if t == s and j != i)[1] for i in range(9) for s in (0, 1)}
     assert "range(0, len(mine), 1024)" in inspect.getsource(joins.query_gallery_best)
+
+
+def test_percentiles_by_ranks(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *map(float, range(9))])) for g in (None, "a", "b") for _ in range(50)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    plain = df.groupBy("g").agg(*(F.percentile("v", F.lit(p)).alias(k) for k, p in points.items()))
+    disc = df.groupBy("g").agg(*(F.expr(f"percentile_disc({p}) within group (order by v)").alias(k) for k, p in points.items()))
+    rows_of = lambda d: sorted(map(repr, (tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())))
+    assert rows_of(aggregates.linear_percentiles(df, "v", points, ["g"])) == rows_of(plain)
+    assert rows_of(aggregates.nearest_rank_percentiles(df, "v", points, ["g"])) == rows_of(disc)
+    assert aggregates.linear_percentiles(df, "v", {"m": 0.5}).count() == 1

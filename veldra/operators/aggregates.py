@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldra.storage import Scratch
 
 def track_stats(df: DataFrame, track: str, frame: str) -> DataFrame:
     """Rows, distinct frames, first and last frame and span of each track; a null track is no track."""
@@ -19,13 +20,45 @@ def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame
 
 
 def linear_percentiles(df: DataFrame, value: str, points: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return df.groupBy(*(by or [])).agg(*(F.percentile(F.col(value), F.lit(p)).alias(k) for k, p in points.items()))
+    """Exact percentiles with linear interpolation; nulls are left out."""
+    at = {}
+    for k, p in points.items():
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        at |= {f"_lo_{k}": F.floor(place) + 1, f"_hi_{k}": F.ceil(place) + 1}
+    g = _at_ranks(df, value, at, by or [])
+    for k, p in points.items():
+        place, lo, hi = F.lit(float(p)) * (F.col("_n") - 1), F.col(f"_lo_{k}").cast("double"), F.col(f"_hi_{k}").cast("double")
+        g = g.withColumn(k, F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi))
+    return g.select(*(by or []), *points)
+
+
+def _at_ranks(df: DataFrame, value: str, ranks: dict[str, Column], by: list[str]) -> DataFrame:
+    """(by, _n, one column a rank): the values at ranks (from 1) of each group's sorted values; ranks may name ``_n``.
+
+    Equal values are counted first, and running counts over ranges of the values find the ranks, so no task sorts or
+    holds a group. Every group has a row; without values its columns are null.
+    """
+    from veldra.operators.windows import numbered
+
+    scratch = Scratch(df.sparkSession, "ranks")
+    each = scratch.keep(df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k")), "values")
+    upto = scratch.keep(numbered(each.where("_v is not null"), [*map(F.col, by), F.col("_v")], "_i", sums={"_upto": "_k"}).drop("_i"), "upto")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    sizes = upto.groupBy(*(F.col(c).alias(f"_g_{c}") for c in by)).agg(F.sum("_k").alias("_n"), F.min(F.col("_upto") - F.col("_k")).alias("_base"))
+    mine = F.col("_upto") - F.col("_base")
+    found = upto.join(sizes, same).groupBy(*by).agg(F.max("_n").alias("_n"), *(F.min(F.when(mine >= r, F.col("_v"))).alias(k) for k, r in ranks.items()))
+    if not by:
+        return found
+    groups = each.select(*(F.col(c).alias(f"_g_{c}") for c in by)).distinct()
+    return groups.join(found, same, "left").select(*(F.col(f"_g_{c}").alias(c) for c in by), "_n", *ranks)
 
 
 def nearest_rank_percentiles(df: DataFrame, value: str, points: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Exact percentiles that are values of the column."""
-    return df.groupBy(*(by or [])).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(k) for k, p in points.items()))
+    ranks = {k: F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_n"))) for k, p in points.items()}
+    return _at_ranks(df, value, ranks, by or []).select(*(by or []), *points)
 
 
 def upper_median(values: Column) -> Column:
