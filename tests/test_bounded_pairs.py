@@ -160,3 +160,11 @@ def test_percentiles_by_ranks(spark):
     assert rows_of(aggregates.linear_percentiles(df, "v", points, ["g"])) == rows_of(plain)
     assert rows_of(aggregates.nearest_rank_percentiles(df, "v", points, ["g"])) == rows_of(disc)
     assert aggregates.linear_percentiles(df, "v", {"m": 0.5}).count() == 1
+
+
+def test_first_candidates_reach_the_driver_from_a_table():
+    import inspect
+
+    from veldra.operators import allocation
+
+    assert ".limit(n).collect()" not in inspect.getsource(allocation)

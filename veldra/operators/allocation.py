@@ -65,8 +65,11 @@ class _State:
         self.frames[r["track"]].append(r["frame"])
 
 
-def _candidates(rows: DataFrame, state: _State, batch: str, sized: bool, n: int) -> list:
-    """The first n rows by the present key among those that the present state accepts; each task keeps n."""
+def _candidates(rows: DataFrame, state: _State, batch: str, sized: bool, n: int, scratch: Scratch) -> list:
+    """The first n rows by the present key among those that the present state accepts; each task keeps n.
+
+    They are written before they are brought to the driver, which would else gather n rows of every task.
+    """
     spark = rows.sparkSession
     small = lambda data, schema: F.broadcast(spark.createDataFrame(data, schema))  # no larger than the quotas
     kind = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
@@ -87,7 +90,12 @@ def _candidates(rows: DataFrame, state: _State, batch: str, sized: bool, n: int)
     out = out.where(F.coalesce("_uk", F.lit(0)) < state.caps.per_track)
     bins = [(b, k) for b, k in state.bins.items() if k]
     out = out.join(small(bins, f"_bb {kind['bin']}, _bk int"), F.col("bin") == F.col("_bb"), "left") if bins else out.withColumn("_bk", F.lit(0))
-    return out.orderBy(*(["size"] if sized else []), F.coalesce("_bk", F.lit(0)), F.coalesce("_uk", F.lit(0)), "id").select(*rows.columns).limit(n).collect()
+    first = out.orderBy(*(["size"] if sized else []), F.coalesce("_bk", F.lit(0)), F.coalesce("_uk", F.lit(0)), "id").select(*rows.columns).limit(n)
+    kept = scratch.keep(first, "first")
+    found = kept.collect()
+    scratch.drop(kept)
+    sort = lambda r: state.key(r, sized)  # a table has no order
+    return sorted(found, key=sort)
 
 
 def allocate(items: DataFrame, first_source: str, batches: list[Batch], first_order: list[str], order: list[str], caps: Caps, scratch: Scratch, n: int = ROUND) -> DataFrame:
@@ -116,7 +124,7 @@ def allocate(items: DataFrame, first_source: str, batches: list[Batch], first_or
                 if (stratum, first) not in kept:
                     source = F.col("source") == first_source
                     rows_of = rows.where((F.col("stratum") == stratum) & (source if first else ~source))
-                    found = _candidates(rows_of, state, batch.name, first, n)
+                    found = _candidates(rows_of, state, batch.name, first, n, scratch)
                     kept[stratum, first] = (found, state.key(found[-1], first) if len(found) == n else None)
                 found, bound = kept[stratum, first]
                 able = [r for r in found if state.accepts(r, batch.name)]
