@@ -168,3 +168,10 @@ def test_first_candidates_reach_the_driver_from_a_table():
     from veldra.operators import allocation
 
     assert ".limit(n).collect()" not in inspect.getsource(allocation)
+
+
+def test_ties_of_the_highest_value_go_to_the_first(spark):
+    rows = [(i % 3, i, 5.0 if i % 2 else None) for i in range(90)] + [(7, 90, None)]
+    df = spark.createDataFrame(rows, "track long, event_id long, value double").repartition(9, "event_id")
+    got = {r.track: r.e for r in df.groupBy("track").agg(F.max_by("event_id", catalog_evidence._first_highest("event_id")).alias("e")).collect()}
+    assert got == {0: 3, 1: 1, 2: 5, 7: None}

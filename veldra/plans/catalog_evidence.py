@@ -258,10 +258,15 @@ def top_families(spark, sf_dir):
     return evidence.top_shares(st.observations(spark, sf_dir), ["track"], "class_name", 3).withColumn("share", r9(F.col("share")))
 
 
+def _first_highest(by):
+    """Orders rows by their value, then by the least ``by``; rows without a value count for nothing."""
+    return F.when(F.col("value").isNotNull(), F.struct("value", -F.col(by)))
+
+
 @query("O092", f"WITH {st.OBS} SELECT track, min(frame) AS first_frame, max(frame) AS last_frame, arg_max(event_id, value) AS best_value, arg_max(event_id, (x2 - x1) * (y2 - y1) * 1000000000 - event_id) AS best_area, count(DISTINCT class_name) AS strata FROM obs GROUP BY track")
 def segment_summary(spark, sf_dir):
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) * 1000000000 - F.col("event_id")
-    return st.observations(spark, sf_dir).groupBy("track").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.max_by("event_id", "value").alias("best_value"), F.max_by("event_id", area).alias("best_area"), F.countDistinct("class_name").alias("strata"))
+    return st.observations(spark, sf_dir).groupBy("track").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.max_by("event_id", _first_highest("event_id")).alias("best_value"), F.max_by("event_id", area).alias("best_area"), F.countDistinct("class_name").alias("strata"))
 
 
 @query("O093", f"""WITH {st.OBS}, d AS (SELECT track, frame, class_name, lag(class_name) OVER (PARTITION BY track ORDER BY frame) AS was FROM obs), c AS (SELECT track, was || '>' || class_name AS c, count(*) AS n FROM d WHERE was <> class_name GROUP BY ALL),
@@ -273,7 +278,7 @@ def purity_rollup(spark, sf_dir):
 
 @query("O095 O253 O254", f"WITH {st.OBS}, t AS (SELECT track, min(frame) AS a, max(frame) AS b, count(*) AS n, arg_max(frame, value) AS representative FROM obs GROUP BY track) SELECT track, printf('EXT_%05d', row_number() OVER (ORDER BY a, track)) AS code, a AS first_frame, b AS last_frame, round(n / (b - a + 1), 9) AS coverage, representative FROM t")
 def track_mapping(spark, sf_dir):
-    t = st.observations(spark, sf_dir).groupBy("track").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), n_rows().alias("n"), F.max_by("frame", "value").alias("representative"))
+    t = st.observations(spark, sf_dir).groupBy("track").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), n_rows().alias("n"), F.max_by("frame", _first_highest("frame")).alias("representative"))
     t = windows.numbered(t, [F.asc("first_frame"), F.asc("track")], "_code")
     return t.select("track", F.format_string("EXT_%05d", "_code").alias("code"), "first_frame", "last_frame", r9(F.col("n") / (F.col("last_frame") - F.col("first_frame") + 1)).alias("coverage"), "representative")
 
