@@ -175,3 +175,11 @@ def test_ties_of_the_highest_value_go_to_the_first(spark):
     df = spark.createDataFrame(rows, "track long, event_id long, value double").repartition(9, "event_id")
     got = {r.track: r.e for r in df.groupBy("track").agg(F.max_by("event_id", catalog_evidence._first_highest("event_id")).alias("e")).collect()}
     assert got == {0: 3, 1: 1, 2: 5, 7: None}
+
+
+def test_only_removals_look_up_their_runs():
+    import inspect
+
+    from veldra.llm import passages
+
+    assert 'runs.where("own").join(shared' in inspect.getsource(passages)

@@ -228,9 +228,11 @@ def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, least_words: i
     """
     short = scratch.keep(held.where(F.col("_sum") < least_words).select("doc_id", "row", "ord", "cluster", (F.lit(least_words) - F.col("n_words")).cast("int").alias("lack")), "short")
     lacks = scratch.keep(short.select(F.col("cluster").alias("_k"), F.col("lack")).distinct(), "lacks")
-    ask = repeats.select("doc_id", "row", "ord", "cluster").join(lacks, F.col("cluster") == F.col("_k")).select("doc_id", "row", "ord", "cluster", "lack")
+    # Every place of the cluster is cut for every lack, as partner; only a removal's own runs are looked up among the shared ones.
+    mine = repeats.select("doc_id", "row", "ord", "cluster").join(short.select("doc_id", "row", "ord", F.col("lack").alias("_mine")), ["doc_id", "row", "ord"], "left")
+    ask = mine.join(lacks, F.col("cluster") == F.col("_k")).select("doc_id", "row", "ord", "cluster", "lack", F.coalesce(F.col("lack") == F.col("_mine"), F.lit(False)).alias("own"))
     n = scratch.keep(ask, "asked")
-    ask = scratch.keep(n.groupBy(F.col("doc_id").alias("_home"), F.col("row").alias("_hash")).agg(F.collect_set(F.struct("ord", "cluster", "lack")).alias("_asks")), "asks")
+    ask = scratch.keep(n.groupBy(F.col("doc_id").alias("_home"), F.col("row").alias("_hash")).agg(F.collect_set(F.struct("ord", "cluster", "lack", "own")).alias("_asks")), "asks")
     texts = docs.join(ask, (F.col("_doc") == F.col("_home")) & (F.col("_row") == F.col("_hash"))).select("_doc", "_row", "_text", "_asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +240,7 @@ def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, least_words: i
             ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = tc.utf8(batch.column(2))
             row = np.repeat(np.arange(len(batch)), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
-            order, cluster, lack = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
+            order, cluster, lack, own = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
             for a, b in tc.chunks(offsets):
                 h, _, _, at = tc.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tc.SPACED)
                 begin, end, text_, _ = _bounds(h, at)
@@ -249,13 +251,13 @@ def _longer(held: DataFrame, repeats: DataFrame, docs: DataFrame, least_words: i
                     continue
                 which, keys = _around(h, at, begin[unit], end[unit], text_[unit], cluster[mine].astype(np.int64), lack[mine].astype(np.int64))
                 mine = mine[which]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[mine]]), pa.array(rows[row[mine]]), pa.array(order[mine]), pa.array(lack[mine]), pa.array(keys)], ["doc_id", "row", "ord", "lack", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[mine]]), pa.array(rows[row[mine]]), pa.array(order[mine]), pa.array(lack[mine]), pa.array(keys), pa.array(own[mine].astype(bool))], ["doc_id", "row", "ord", "lack", "key", "own"])
 
-    runs = scratch.keep(texts.mapInArrow(run, "doc_id long, row long, ord int, lack int, key long"), "runs")
+    runs = scratch.keep(texts.mapInArrow(run, "doc_id long, row long, ord int, lack int, key long, own boolean"), "runs")
     shared = runs.groupBy(F.col("key").alias("_key"), F.col("lack").alias("_lack")).agg(F.min(F.struct("doc_id", "row", "ord")).alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo.doc_id <> _hi")
     shared = scratch.keep(shared, "shared")
-    found = runs.join(shared, (F.col("key") == F.col("_key")) & (F.col("lack") == F.col("_lack"))).where("not (doc_id = _lo.doc_id and row = _lo.row and ord = _lo.ord)")
-    longer = scratch.keep(found.select("doc_id", "row", "ord", "lack").distinct().join(short.select("doc_id", "row", "ord", "lack"), ["doc_id", "row", "ord", "lack"], "left_semi").select("doc_id", "row", "ord"), "longer")
+    found = runs.where("own").join(shared, (F.col("key") == F.col("_key")) & (F.col("lack") == F.col("_lack"))).where("not (doc_id = _lo.doc_id and row = _lo.row and ord = _lo.ord)")
+    longer = scratch.keep(found.select("doc_id", "row", "ord").distinct(), "longer")
     scratch.drop(short, lacks, n, ask, runs, shared)
     return longer
 
