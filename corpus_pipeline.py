@@ -71,7 +71,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, scores, round_trip) of each document; null and empty texts have no ids, repeated rows each return."""
+    """(doc_id, n_tokens, ids, scores, others, round_trip) of each document; null and empty texts have no ids, repeated rows each return."""
     out = nbest.with_segmentation(docs.select("doc_id", "text"), "text", public_tokenizers.path("piece_bpe_32k.model"), 4, "s")
     return out.select("doc_id", "s.*")
 

@@ -150,6 +150,13 @@ def test_segmentation_edges(spark, odd):
     assert all((r.n_tokens == 0) == (not r.text) for r in got)
 
 
+def test_every_segmentation_comes_with_its_ids(spark, odd):
+    import public_tokenizers
+
+    got = nbest.with_segmentation(odd, "text", public_tokenizers.path("piece_bpe_32k.model")).select("segmentation.*").collect()
+    assert all(len(r.others) == len(r.scores) - 1 and r.ids not in r.others for r in got) and any(len(r.others) == 3 for r in got)
+
+
 def test_repeated_passages(spark):
     import random
 

@@ -131,6 +131,19 @@ def test_n_best_are_the_best_of_all_segmentations(encoder):
             assert np.allclose([s for s, _ in nbest.n_best(edges, 4)], want)
 
 
+def test_all_of_the_n_best_come_with_their_ids(encoder):
+    p = encoder.pieces
+    value = {i: p.scores[x] for x, i in p.ids.items()} | dict.fromkeys(p.bytes_, p.byte_score)
+    rng = random.Random(5)
+    xs = ["".join(rng.choice("the and, in.  \nxé中😀▁aaa--") for _ in range(rng.randrange(120))) for _ in range(200)] + ["", "a", "aaaaaaa aaaaaaa", "-" * 90]
+    data, offsets = tc.utf8(pa.array(xs))
+    for x, (ids, scores, others) in zip(xs, encoder.encode(data, offsets, 4), strict=True):
+        every = [ids.tolist(), *(o.tolist() for o in others)]
+        assert len(every) == len(scores) == len({tuple(e) for e in every})
+        assert all(nbest.decode(p, e) == x for e in every)
+        assert np.allclose([sum(value[i] for i in e) for e in every], scores)
+
+
 def test_cut_encoding_is_the_library_s():
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = tokenfiles.Encoder(path)

@@ -42,6 +42,8 @@ FLOOR = -1e6
 RANK = 1000.0
 #: Units longer than this are solved one by one.
 LONG_UNIT = 64
+#: Bytes of the texts whose results go back together.
+SENT_BYTES = 1 << 18
 #: Lattice cells (start x end x unit) that are held at once: about 20 bytes each.
 CELLS = 1 << 20
 
@@ -141,15 +143,25 @@ def n_best(edges: list, n: int) -> list[tuple[float, tuple[int, ...]]]:
     return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
 
 
+#: Comes before the first id of each lattice but the first of several joined ones.
+CUT = -1
+
+
 def joined(lattices: list[list]) -> list:
-    """One lattice out of several in sequence."""
+    """One lattice out of several in sequence; ``CUT`` stands between the ids of two."""
     out: list = [[]]
     for e in lattices:
         base = len(out) - 1
-        out += [[(a + base, s, p) for a, s, p in into] for into in e[1:]]
+        out += [[(a + base, s, (CUT, *p) if base and not a else p) for a, s, p in into] for into in e[1:]]
     return out
 
 
+def parted(ids: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The ids of each of several joined lattices."""
+    edges = [-1, *(i for i, x in enumerate(ids) if x == CUT), len(ids)]
+    return [ids[a + 1 : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 class Solver:
     """Best segmentation of many units at once: ids, score, and the second best's difference (inf if there is none)."""
 
@@ -291,7 +303,7 @@ class Encoder:
         self.names: list[str] = []
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, n: int):
-        """For each text: (ids of the best segmentation, scores of the n best, (units, their ids) of the others)."""
+        """For each text: (ids of the best segmentation, scores of the n best, whole ids of the others in the order of scores)."""
         # The space put before a text joins its first unit, so units that begin a text are told apart by a mark.
         raw = data.tobytes()
         space = data == 0x20
@@ -323,7 +335,8 @@ class Encoder:
         number = self.cache.found if len(at) else at
         ids = tc.gathered(self.cache.pool, at, size)
         edge = np.searchsorted(start, offsets)
-        total = np.concatenate(([0], np.cumsum(size)))[edge]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        total = upto[edge]
         for i in range(len(offsets) - 1):
             own = number[edge[i] : edge[i + 1]]
             best = ids[total[i] : total[i + 1]]
@@ -337,9 +350,18 @@ class Encoder:
             gap = self.values[own, 1]
             near = np.sort(np.argsort(gap, kind="stable")[: n - 1])
             near = near[np.isfinite(gap[near])]
-            some = n_best(joined([self._edges(int(own[j])) for j in near]), n) if len(near) else [(0.0, ())]
+            if not len(near):
+                yield best, [score], []
+                continue
+            some = n_best(joined([self._edges(int(own[j])) for j in near]), n)
             rest = score - some[0][0]
-            yield best, [s + rest for s, _ in some], [(near, x) for _, x in some[1:]]
+            first = edge[i] + near  # where the ids of these units lie in the best segmentation
+            start_, stop_ = (upto[first + k] - total[i] for k in range(2))
+            held = [best[a:b] for a, b in zip([0, *stop_.tolist()], [*start_.tolist(), len(best)], strict=True)]
+            own_best = [tuple(best[a:b].tolist()) for a, b in zip(start_.tolist(), stop_.tolist(), strict=True)]
+            ways = [w for w in (parted(x) for _, x in some) if w != own_best][: len(some) - 1]  # of equal scores the best one is the first
+            others = [np.concatenate([held[0], *(y for x, h in zip(w, held[1:], strict=True) for y in (np.array(x, np.int32), h))]) for w in ways]
+            yield best, [s + rest for s, _ in some], others
 
     def _edges(self, number: int) -> list:
         name = self.names[number]
@@ -369,14 +391,23 @@ def _byte_table(pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
 
-_RESULT = "n_tokens int, ids array<int>, scores array<double>, round_trip boolean"
+_RESULT = "n_tokens int, ids array<int>, scores array<double>, others array<array<int>>, round_trip boolean"
+
+
+def _places(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(_places([len(x) for x in ids]), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
 
 
 def with_segmentation(df: DataFrame, text: str, model: str, n: int = 4, into: str = "segmentation") -> DataFrame:
-    """``df`` with a struct column: n_tokens and ids of the best segmentation, scores of the n best, round_trip.
+    """``df`` with a struct column: n_tokens and ids of the best segmentation, scores of the n best, others, round_trip.
 
-    Null texts are empty: no ids and one score, 0. Fewer than n segmentations give fewer scores. round_trip: decoding
-    the ids gives the very text back, byte for byte. Repeated rows each return, an empty table stays empty. A column
+    ``others``: the whole ids of the second best to the n-th best, in the order of ``scores``. Null texts are empty: no ids
+    and one score, 0. Fewer than n segmentations give fewer scores and others. round_trip: decoding gives the very text
+    back, byte for byte, from each of the n best. Repeated rows each return, an empty table stays empty. A column
     already called ``into`` is replaced, others stay.
     """
     tc.bounded_batches(df.sparkSession)
@@ -387,19 +418,21 @@ def with_segmentation(df: DataFrame, text: str, model: str, n: int = 4, into: st
         flat, first, width = _byte_table(encoder.pieces)
         for column in batches:
             data, offsets = tc.utf8(column)
-            ids, scores, good = [], [], []
             for a, b in tc.chunks(offsets):
                 part = data[offsets[a] : offsets[b]]
-                for i, (best, some, _) in enumerate(encoder.encode(part, offsets[a : b + 1] - offsets[a], n), a):
+                ids, scores, good, others, many, held = [], [], [], [], [], 0
+                for i, (best, some, rest) in enumerate(encoder.encode(part, offsets[a : b + 1] - offsets[a], n), a):
                     own = data[offsets[i] : offsets[i + 1]]
-                    back = tc.gathered(flat, first[best], width[best])[1:] if len(best) else own[:0]
-                    same = np.array_equal(back, own)
                     ids.append(best)
                     scores.append(some)
-                    good.append(same)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
-            yield pa.StructArray.from_arrays([pa.array(size.astype(np.int32)), lists, pa.array(scores, pa.list_(pa.float64())), pa.array(good, pa.bool_())], ["n_tokens", "ids", "scores", "round_trip"])
+                    good.append(all(np.array_equal(tc.gathered(flat, first[x], width[x])[1:] if len(x) else own[:0], own) for x in (best, *rest)))
+                    others += rest
+                    many.append(len(rest))
+                    held += len(own)
+                    if held >= SENT_BYTES or i == b - 1:  # all that a batch gives would be several times as large as it
+                        size = np.fromiter(map(len, ids), np.int64, len(ids))
+                        yield pa.StructArray.from_arrays([pa.array(size.astype(np.int32)), _lists(ids), pa.array(scores, pa.list_(pa.float64())), pa.ListArray.from_arrays(_places(many), _lists(others)), pa.array(good, pa.bool_())], ["n_tokens", "ids", "scores", "others", "round_trip"])
+                        ids, scores, good, others, many, held = [], [], [], [], [], 0
 
     from pyspark.sql.pandas.functions import ArrowUDFType
 
