@@ -243,3 +243,28 @@ def test_target_states(spark):
     assert state(df) == [("7", "GOOD"), ("7", "GOOD"), ("8", "GOOD")]
     with pytest.raises(Exception, match="unknown observation source"):
         state(df.withColumn("source", F.lit("other")))
+
+
+def test_heads_are_the_effective_decisions_of_clean_sources(spark):
+    rng = random.Random(3)
+    actions = ["CONFIRM_TARGET", "CONFIRM_TARGET", "REVOKE", "DEFER", "INVALID_SEGMENT", None]
+    rows = [(rng.choice(["a", "b", None]), i // 4, i, rng.randrange(3), rng.choice(actions), rng.choice([1, 2, None]), 11, 3, rng.choice([True, False, None]), rng.choice([None, i - 1]), i) for i in range(400)]
+    d = spark.createDataFrame(rows, DECISION)
+    approvals = spark.createDataFrame([(i, rng.choice(["APPROVED", "REVOKED"]), i) for i in range(0, 400, 2)], "decision int, status string, log_pos int")
+    rules = [("FIXTURE_DEMO", "fixture", F.col("event") % 9 == 2)]
+    for a in (approvals, None):
+        full = review.classified(d, rules, a)
+        heads = review.effective_heads(d, rules, a)
+        want = sorted(r.decision for r in full.where("effective and source_class <> 'FIXTURE_DEMO'").collect())
+        assert sorted(r.decision for r in heads.collect()) == want and want
+        able = sorted(r.decision for r in full.where("timeline_eligible").collect())
+        assert sorted(r.decision for r in heads.where("kind = 'c' and approved and known").collect()) == able and able
+        summary = {r.target: (r.eligible, r.excluded) for r in review.timelines_from_decisions(d, spark.createDataFrame(SEGMENTS, "segment int, track int, start int, stop int"), rules, a, 100).summary.collect()}
+        counts = full.groupBy("target").agg(F.count_if("timeline_eligible").alias("e"), F.count_if(F.col("source_class") != review.APPROVED).alias("x")).collect()
+        assert summary == {r.target: (r.e, r.x) for r in counts}
+
+
+def test_timelines_shuffle_the_whole_log_no_further(spark):
+    t = catalog_review._timelines(spark, "/root/testdata/sf0.001")
+    plan = t.intervals._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "l_orderkey" not in plan and "supersedes" not in plan

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.operators.eventlog import active_approvals, effective_decisions, source_class
+from veldra.storage import Scratch
 
 #: Actions and classes of the decision log.
 CONFIRM, REVOKE, INVALID = "CONFIRM_TARGET", "REVOKE", "INVALID_SEGMENT"
@@ -44,6 +45,23 @@ def classified(decisions: DataFrame, rules: list[tuple[str, str, Column]], appro
     return d.withColumn("source_class", out).withColumn("exclusion_reason", reason).withColumn("timeline_eligible", eligible).drop("_class", "_approved")
 
 
+def effective_heads(decisions: DataFrame, rules: list[tuple[str, str, Column]], approvals: DataFrame | None = None) -> DataFrame:
+    """(target, event, decision, kind, segment, track, frame, known, approved): effective decisions whose source isn't kept out.
+
+    These alone make timelines, so only what these need is shuffled: by decision to leave out what is superseded, by event
+    to find its head, and the heads by decision to find their approvals. Arguments as those of ``classified``.
+    """
+    kind = F.when(F.col("action") == CONFIRM, "c").when(F.col("action") == REVOKE, "r").when(F.col("action").isin(*UNRESOLVED), "u").when(F.col("action") == INVALID, "i").otherwise("o")
+    known = F.col("segment").isNotNull() | F.coalesce("direct", F.lit(False))
+    clean = source_class([(name, c) for name, _, c in rules], APPROVED) == APPROVED
+    slim = decisions.select("target", "event", "decision", "revision", "supersedes", "log_pos", kind.alias("kind"), "segment", "track", "frame", known.alias("known"), clean.alias("_clean"))
+    heads = effective_decisions(slim, "event", "decision", "revision", "supersedes").where("_clean and decision is not null").drop("_clean", "revision", "supersedes", "log_pos")
+    if approvals is None:
+        return heads.withColumn("approved", F.lit(True))
+    ok = active_approvals(approvals, "decision", "status", "APPROVED").select(F.col("decision").alias("_ok"))
+    return heads.join(ok, F.col("decision") == F.col("_ok"), "left").withColumn("approved", F.col("_ok").isNotNull()).drop("_ok")
+
+
 def active_spans(intervals: DataFrame, by: str, start: str, stop: str, least: int) -> DataFrame:
     """(by, start, stop, most): longest frame ranges in which at least ``least`` inclusive intervals are active, and how many at most.
 
@@ -94,13 +112,16 @@ def timelines_from_decisions(decisions: DataFrame, segments: DataFrame, rules: l
     and left out. A gap lies between an interval's own end and the next start in the order of (start, stop); none is
     filled. Status: CONFLICTED if confirmed intervals of unlike segments share a frame or a segment is bound to several
     targets, else NO_APPROVED_PRODUCT_DECISIONS without an eligible confirmation, EMPTY without intervals, or OK.
-    Repeated decisions must not occur; null frames aren't checked.
+    Repeated decisions must not occur; null frames aren't checked. The effective decisions are written to the shared folder;
+    ``decisions`` is read several times.
     """
-    d = classified(decisions, rules, approvals)
+    scratch = Scratch(decisions.sparkSession, "timelines")
+    heads = scratch.keep(effective_heads(decisions, rules, approvals), "heads")
+    eligible = (F.col("kind") == "c") & F.col("approved") & F.col("known")
     seg = segments.select(F.col("segment").alias("_seg"), F.col("track").alias("_track"), "start", "stop")
-    linked = d.where("timeline_eligible").join(seg, F.col("segment") == F.col("_seg"), "left")
+    linked = heads.where(eligible).join(seg, F.col("segment") == F.col("_seg"), "left")
     wrong = F.col("segment").isNotNull() & (F.col("_seg").isNull() | F.coalesce(F.col("track") != F.col("_track"), F.lit(False)) | F.coalesce((F.col("frame") < F.col("start")) | (F.col("frame") > F.col("stop")), F.lit(False)))
-    linked = linked.withColumn("_wrong", wrong)
+    linked = scratch.keep(linked.select("target", "decision", "segment", "_track", "start", "stop", wrong.alias("_wrong")), "linked")
     blocked = linked.where("_wrong").select(F.col("target").alias("_t")).distinct()
     confirmed = linked.where(F.col("segment").isNotNull()).join(blocked, F.col("target") == F.col("_t"), "left_anti")
     confirmed = confirmed.select("target", F.lit("confirmed").alias("kind"), F.col("decision").cast("string").alias("id"), "segment", F.col("_track").alias("track"), "start", "stop")
@@ -109,10 +130,10 @@ def timelines_from_decisions(decisions: DataFrame, segments: DataFrame, rules: l
     none = lambda kind: F.lit(None).cast(kind)
     kinds = {c: confirmed.schema[c].dataType for c in ("segment", "track", "start")}
     gaps = after.select("target", F.lit("gap").alias("kind"), F.concat_ws("_", F.lit("gap"), "_a", "_b").alias("id"), none(kinds["segment"]).alias("segment"), none(kinds["track"]).alias("track"), F.col("_a").alias("start"), F.col("_b").alias("stop"))
-    mark = d.where((F.col("source_class") == APPROVED) & F.col("effective")).join(blocked, F.col("target") == F.col("_t"), "left_anti")
+    mark = heads.join(blocked, F.col("target") == F.col("_t"), "left_anti")
     zero = F.lit(0).cast(kinds["start"])
-    open_events = mark.where(F.col("action").isin(*UNRESOLVED)).select("target", F.lit("unresolved_event").alias("kind"), F.col("event").cast("string").alias("id"), none(kinds["segment"]).alias("segment"), none(kinds["track"]).alias("track"), zero.alias("start"), zero.alias("stop"))
-    invalid = mark.where(F.col("action") == INVALID).select("target", F.lit("invalid").alias("kind"), F.col("decision").cast("string").alias("id"), "segment", "track", zero.alias("start"), zero.alias("stop"))
+    open_events = mark.where("kind = 'u'").select("target", F.lit("unresolved_event").alias("kind"), F.col("event").cast("string").alias("id"), none(kinds["segment"]).alias("segment"), none(kinds["track"]).alias("track"), zero.alias("start"), zero.alias("stop"))
+    invalid = mark.where("kind = 'i'").select("target", F.lit("invalid").alias("kind"), F.col("decision").cast("string").alias("id"), "segment", "track", zero.alias("start"), zero.alias("stop"))
     intervals = confirmed.unionByName(gaps).unionByName(open_events).unionByName(invalid)
 
     unlike = confirmed.select("target", "segment", "track", "start", "stop").distinct()
@@ -132,14 +153,17 @@ def timelines_from_decisions(decisions: DataFrame, segments: DataFrame, rules: l
     pairs = overlapping_pairs(confirmed, "target", "start", "stop", ["segment", "track"])
     shared = bindings.groupBy("target").agg(F.count(F.lit(1)).alias("_bound"))
     named = lambda df, k: df.withColumnRenamed("target", k)
-    all_ = d.groupBy("target").agg(F.count_if("timeline_eligible").alias("eligible"), F.count_if(F.col("source_class") != APPROVED).alias("excluded"))
+    blind = (F.col("kind") == "c") & F.col("approved") & ~F.col("known")
+    held = heads.groupBy(F.col("target").alias("_t")).agg(F.count_if(eligible).alias("_eligible"), F.count_if((F.col("kind") != "r") & ~blind).alias("_kept"))
+    all_ = decisions.groupBy("target").agg(F.count(F.lit(1)).alias("_n")).join(held, F.col("target").eqNullSafe(F.col("_t")), "left")
+    all_ = all_.select("target", F.coalesce("_eligible", F.lit(0)).alias("eligible"), (F.col("_n") - F.coalesce("_kept", F.lit(0))).alias("excluded"))
     s = all_.join(named(totals, "_t1"), F.col("target") == F.col("_t1"), "left").join(named(pairs, "_t2"), F.col("target") == F.col("_t2"), "left").join(named(shared, "_t3"), F.col("target") == F.col("_t3"), "left").join(named(blocked.withColumnRenamed("_t", "target"), "_t4"), F.col("target") == F.col("_t4"), "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     clash = n("pairs") + n("_bound")
     status = F.when(F.col("_t4").isNotNull(), "BLOCKED").when(clash > 0, "CONFLICTED").when((F.col("eligible") == 0) & (n("confirmed") == 0), "NO_APPROVED_PRODUCT_DECISIONS").when(n("confirmed") == 0, "EMPTY").otherwise("OK")
     columns = ("confirmed", "confirmed_frames", "gaps", "gap_frames", "unresolved_events", "invalid", "tracks")
     summary = s.select("target", "eligible", "excluded", *(n(c).alias(c) for c in columns), clash.alias("conflicts"), (n("confirmed_frames") / F.lit(float(frames))).alias("coverage"), status.alias("status"))
-    return TargetTimelines(d, intervals, conflicts, summary)
+    return TargetTimelines(classified(decisions, rules, approvals), intervals, conflicts, summary)
 
 
 def provisional_intervals(log: DataFrame, approved: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ _RULES = [("ACCEPTANCE_ISOLATED", "acceptance_isolated_log", "log = '5-LOW'"), (
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as decisions: the customer is the target, the order the event, the part the segment."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("line")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_linestatus")).alias("m"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_linestatus").repartition("l_orderkey")  # serves the join too
+    li = lines.groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("line")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_linestatus")).alias("m"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     d = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("*", "m.*")
     q = F.col("l_quantity").cast("long")
@@ -70,12 +71,18 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("segment"), (F.col("p_partkey") % 97).alias("track"), start.alias("start"), (start + 20 + F.col("p_size")).alias("stop"))
 
 
-def _timelines(spark: SparkSession, sf_dir: str) -> review.TargetTimelines:
-    d = _decisions(spark, sf_dir)
+def _log_and_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, DataFrame]:
+    """The decisions, which are read several times and so written once, the rules of sources that are kept out, the approvals."""
+    d = Scratch(spark, "decisions").keep(_decisions(spark, sf_dir), "log")
     given = F.when(F.col("discount") >= 1, F.array(F.lit("APPROVED"))).otherwise(F.array().cast("array<string>"))
     status = F.when(F.col("discount") >= 9, F.array(F.lit("APPROVED"), F.lit("REVOKED"))).otherwise(given)
     approvals = d.select("decision", F.posexplode(status).alias("_p", "status")).select("decision", "status", (F.col("decision") * 2 + F.col("_p")).alias("log_pos"))
     rules = [(name, why, F.expr(c)) for name, why, c in _RULES]
+    return d, rules, approvals
+
+
+def _timelines(spark: SparkSession, sf_dir: str) -> review.TargetTimelines:
+    d, rules, approvals = _log_and_rules(spark, sf_dir)
     return review.timelines_from_decisions(d, _segments(spark, sf_dir), rules, approvals, TIMELINE_FRAMES)
 
 
@@ -100,7 +107,7 @@ bound AS (SELECT segment, count(DISTINCT target) AS n FROM confirmed GROUP BY se
 
 @query("O208 O213 O207", f"WITH {_CLASSIFIED} SELECT decision, effective, source_class, exclusion_reason, timeline_eligible FROM classified")
 def decision_classes(spark, sf_dir):
-    return _timelines(spark, sf_dir).decisions.select("decision", "effective", "source_class", "exclusion_reason", "timeline_eligible")
+    return review.classified(*_log_and_rules(spark, sf_dir)).select("decision", "effective", "source_class", "exclusion_reason", "timeline_eligible")
 
 
 @query("O213", f"WITH {_CLASSIFIED} SELECT * FROM intervals")
