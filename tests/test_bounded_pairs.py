@@ -183,3 +183,32 @@ def test_only_removals_look_up_their_runs():
     from veldra.llm import passages
 
     assert 'runs.where("own").join(shared' in inspect.getsource(passages)
+
+
+def test_points_meet_spans_in_blocks(spark):
+    from veldra.operators import joins
+
+    points = [(i, i % 3, 5 if i < 60 else i % 11) for i in range(90)] + [(90, None, 5), (91, 1, None)]
+    spans = [(i, i % 3, i % 9, i % 9 + i % 4 - (i == 7) * 9) for i in range(90)] + [(90, None, 4, 6), (91, 1, None, 6), (92, 1, 4, None)]
+    p, s = spark.createDataFrame(points, "p long, g long, at long"), spark.createDataFrame(spans, "s long, g long, lo long, hi long")
+    want = sorted((a, b) for a, g, at in points for b, h, lo, hi in spans if None not in (g, at, h, lo, hi) and g == h and lo <= at <= hi)
+    for most, tasks in ((4_000_000, 2_000), (50, 2_000), (1, 7)):
+        met = joins.points_in_spans(p, s, ["g"], "at", ("lo", "hi"), Scratch(spark, "test"), most, tasks).select("p", "s", "at", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r.p, r.s) for r in met) == want
+        assert most > 50 or len({r.task for r in met if r.at == 5}) > 3  # the pairs of one number are met in several tasks
+
+
+def test_overlaps_are_met_once(spark):
+    from veldra.operators import joins
+
+    rows = [(i % 8, 10 * (i // 8) + i % 3, 10 * (i // 8) + i % 3 + i % 5) for i in range(64)] + [(1, 200, 200), (2, 200, 200), (None, 200, 200), (3, None, 9), (4, 300, 299), (5, 290, 310)]
+    got = joins.overlap_pairs(spark.createDataFrame(rows, "t long, a long, b long"), "t", "a", "b", Scratch(spark, "test"))
+    whole = [r for r in rows if None not in r and r[1] <= r[2]]
+    want = sorted((x, y, a, b, c, d) for x, a, b in whole for y, c, d in whole if x < y and a <= d and c <= b)
+    assert sorted(tuple(r) for r in got.select("a", "b", "a_start", "a_stop", "b_start", "b_stop").collect()) == want
+
+
+@pytest.mark.parametrize("name", ["interval_overlap_conflicts"])
+def test_pairs_of_segments_are_met_by_a_hash_join_over_blocks(spark, name):
+    p = plan(catalog.QUERIES[name](spark, DATA))
+    assert "ShuffledHashJoin" in p and "_block" in p and "SortMergeJoin" not in p
