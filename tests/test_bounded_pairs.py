@@ -208,7 +208,13 @@ def test_overlaps_are_met_once(spark):
     assert sorted(tuple(r) for r in got.select("a", "b", "a_start", "a_stop", "b_start", "b_stop").collect()) == want
 
 
-@pytest.mark.parametrize("name", ["interval_overlap_conflicts"])
+@pytest.mark.parametrize("name", ["interval_overlap_conflicts", "stitch_candidates"])
 def test_pairs_of_segments_are_met_by_a_hash_join_over_blocks(spark, name):
     p = plan(catalog.QUERIES[name](spark, DATA))
     assert "ShuffledHashJoin" in p and "_block" in p and "SortMergeJoin" not in p
+
+
+def test_known_costs_are_those_of_the_rule(spark):
+    c = spark.range(6 * 201).selectExpr("1L AS track", "2L AS stop", "3L AS next_track", "4L AS next_start", "id div 201 AS gap", "id % 201 AS displacement")
+    want = {(r.gap, r.displacement): r.cost for r in catalog._costed(c).collect()}
+    assert {(r.gap, r.displacement): r.cost for r in c.withColumn("cost", catalog._known_cost()).collect()} == want
