@@ -1,4 +1,4 @@
-"""Exact text of doubles as column expressions."""
+"""Rounding and exact text of doubles as column expressions."""
 
 from __future__ import annotations
 
@@ -17,6 +17,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """``x``, a double, rounded to ``digits`` decimals as SQL engines round doubles: scaled, half away from zero, scaled back.
+
+    Spark's round takes the shortest decimal text instead: 41 / 5120, 0.0080078125 as text, lies just below that half.
+    Beyond 1e290, where scaling could overflow, there is nothing to round.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.abs(x) < 1e290, F.round(x * 10.0**digits) / 10.0**digits).otherwise(x)
+
+
 def double_bits(x: Column) -> Column:
     """The 64 bits of a double as a long; null stays null."""
     bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(x.cast("double"), F.lit(0.0)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veldra.functions import geometry as geo
 from veldra.functions import text as txt
 from veldra.functions import vectors as vec
+from veldra.functions.number import rounded
 from veldra.operators import aggregates as agg
 from veldra.operators import blocks, contracts, eventlog, evidence, graph, joins, metrics, overlap, selection, timelines, windows
 from veldra.plans import standins as st
@@ -36,8 +37,8 @@ def query(covers: str, sql: str | None = None):
     return add
 
 
-r6 = lambda c: F.round(c, 6)
-r9 = lambda c: F.round(c, 9)
+r6 = lambda c: rounded(c, 6)
+r9 = lambda c: rounded(c, 9)
 n_rows = lambda: F.count(F.lit(1))
 FRAMES = 720
 
@@ -259,8 +260,8 @@ def top_families(spark, sf_dir):
 
 
 def _first_highest(by):
-    """Orders rows by their value, then by the least ``by``; rows without a value count for nothing."""
-    return F.when(F.col("value").isNotNull(), F.struct("value", -F.col(by)))
+    """Orders rows by their value, then by the least ``by``; rows without either count for nothing."""
+    return F.when(F.col("value").isNotNull() & F.col(by).isNotNull(), F.struct("value", -F.col(by)))
 
 
 @query("O092", f"WITH {st.OBS} SELECT track, min(frame) AS first_frame, max(frame) AS last_frame, arg_max(event_id, value) AS best_value, arg_max(event_id, (x2 - x1) * (y2 - y1) * 1000000000 - event_id) AS best_area, count(DISTINCT class_name) AS strata FROM obs GROUP BY track")
@@ -279,7 +280,7 @@ def purity_rollup(spark, sf_dir):
 @query("O095 O253 O254", f"WITH {st.OBS}, t AS (SELECT track, min(frame) AS a, max(frame) AS b, count(*) AS n, arg_max(frame, value) AS representative FROM obs GROUP BY track) SELECT track, printf('EXT_%05d', row_number() OVER (ORDER BY a, track)) AS code, a AS first_frame, b AS last_frame, round(n / (b - a + 1), 9) AS coverage, representative FROM t")
 def track_mapping(spark, sf_dir):
     t = st.observations(spark, sf_dir).groupBy("track").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), n_rows().alias("n"), F.max_by("frame", _first_highest("frame")).alias("representative"))
-    t = windows.numbered(t, [F.asc("first_frame"), F.asc("track")], "_code")
+    t = windows.numbered(t, [F.asc_nulls_last("first_frame"), F.asc_nulls_last("track")], "_code")
     return t.select("track", F.format_string("EXT_%05d", "_code").alias("code"), "first_frame", "last_frame", r9(F.col("n") / (F.col("last_frame") - F.col("first_frame") + 1)).alias("coverage"), "representative")
 
 

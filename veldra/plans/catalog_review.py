@@ -33,7 +33,7 @@ def query(covers: str, sql: str | None = None):
     return add
 
 
-r9 = lambda c: F.round(c, 9)
+r9 = lambda c: number.rounded(c, 9)
 
 # --- timelines from decisions -----------------------------------------------------------------------------------
 
@@ -434,7 +434,7 @@ walk AS (SELECT track, i, id, v FROM r WHERE i = 1 UNION ALL SELECT w.track, r.i
 SELECT track, id, round(v, 6) AS value FROM walk QUALIFY row_number() OVER (PARTITION BY track ORDER BY i DESC) = 1""")
 def argmax_with_ties(spark, sf_dir):
     b = st.boxed_events(spark, sf_dir).select("track", "event_id", (F.floor("value") + (F.col("event_id") % 7) * F.lit(1e-8)).alias("v"))
-    return metrics.argmax_with_ties(b, ["track"], "v", "event_id").withColumn("value", F.round("value", 6))
+    return metrics.argmax_with_ties(b, ["track"], "v", "event_id").withColumn("value", number.rounded("value", 6))
 
 
 @query("O006 O048", "SELECT o_orderkey, l_orderkey IS NOT NULL AS found, round(abs(o_totalprice - coalesce(total, 0)), 2) AS off, coalesce(abs(o_totalprice - total) <= 1e-6 * greatest(abs(o_totalprice), abs(total)), FALSE) AS agrees FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
