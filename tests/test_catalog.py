@@ -35,7 +35,7 @@ def test_diverse_allocation_keeps_its_caps(spark):
     assert got.groupBy("lang").count().agg({"count": "max"}).first()[0] <= 12
 
 
-@pytest.mark.parametrize("name, nulls", [("track_mapping", True), ("track_mapping", False), ("track_inventory_gaps", False)])
+@pytest.mark.parametrize("name, nulls", [("track_mapping", True), ("track_mapping", False), ("track_inventory_gaps", False), ("adjacent_transitions", True)])
 def test_nulls_and_long_spans_as_in_sql(spark, tmp_path, name, nulls):
     """Tracks of 5,120 hours, whose shares may end in half a digit; a null track, null times and values. No track has its highest value twice."""
     import duckdb

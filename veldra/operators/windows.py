@@ -79,7 +79,7 @@ def timeline_bins(df: DataFrame, frame: str, bins: int, into: str = "bin") -> Da
     return df.join(p, df[frame] == p["_f"]).drop("_f")
 
 
-def transitions(df: DataFrame, by: str, order: list[str], values: list[str]) -> DataFrame:
+def transitions(df: DataFrame, by: str, order: list[str | Column], values: list[str]) -> DataFrame:
     """Neighbouring rows: (by, transition, from_<v>, to_<v>)."""
     w = Window.partitionBy(by).orderBy(*order)
     nxt = F.lead(F.struct(*values)).over(w)
