@@ -135,6 +135,31 @@ def test_print_matches_are_not_told_apart_afterwards(spark):
     assert "HashAggregate" not in plan(found)
 
 
+def test_equal_prints_are_compared_once(spark):
+    rng = random.Random(8)
+    kinds = [(v, rng.choice([None, "x", "y"]), rng.choice([None, 1, 3, 255, 1 << 30]), rng.choice([None, 0, 3]), rng.choice([None, [1.0], [6.0]])) for v in (1, 2, None) for _ in range(12)]
+    rows = [(v, None if i % 31 == 7 else i, *rest) for i, (v, *rest) in enumerate(kinds * 5)]
+    df = spark.createDataFrame(rows, "video long, id long, sha string, bits long, edge long, gray array<double>")
+    near = lambda x, y, most: None not in (x, y) and (x ^ y).bit_count() <= most
+    same = lambda p, q: p[2] is not None and p[2] == q[2]
+    close = lambda p, q: near(p[3], q[3], 2) and near(p[4], q[4], 1) and None not in (p[5], q[5]) and abs(p[5][0] - q[5][0]) <= 4
+    want = sorted(repr((p[0], p[1], q[1], same(p, q))) for p in rows for q in rows if p[0] == q[0] is not None and (same(p, q) or close(p, q)))
+    found = overlap.fingerprint_matches(df, df, ["video"], 48, 2, 1, 4.0)
+    assert sorted(repr((r.video, r.a, r.b, r.exact)) for r in found.collect()) == want
+    assert "_ids_a" in plan(found) and "ShuffledHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+    assert {len(r._ids_a) for r in overlap._once(df.where("id is not null").withColumns({"bits": F.lit(1), "sha": F.lit("x"), "edge": F.lit(1), "gray": F.lit(None)}), ["video"], ("sha", "bits", "edge", "gray"), "a", 8).where("video = 1").collect()} <= set(range(1, 9))
+
+
+@pytest.mark.parametrize("most, tasks", [(4_000_000, 2_000), (40, 2_000), (1, 7)])
+def test_weighed_rows_meet_once_in_blocks(spark, most, tasks):
+    from veldra.operators import joins
+
+    rows = [(i, i % 3 if i < 40 else None if i > 50 else 1, 1 + i % 5) for i in range(55)]
+    p, q = spark.createDataFrame(rows, "p long, k long, n long"), spark.createDataFrame(rows, "q long, k long, m long")
+    got = joins.equal_in_blocks(p, q, ["k"], Scratch(spark, "test"), most, tasks, ("n", "m")).select("p", "q")
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, x, _ in rows for b, y, _ in rows if x == y is not None)
+
+
 def test_products_with_a_gallery_are_bounded(spark, monkeypatch):
     import inspect
 

@@ -28,21 +28,18 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tupl
     return both.where((F.col(a0) <= F.col(b1)) & (F.col(b0) <= F.col(a1)) & (F.col("_bin") == F.floor(F.greatest(a0, b0) / width))).drop("_bin")
 
 
-def points_in_spans(points: DataFrame, spans: DataFrame, on: list[str], at: str, span: tuple[str, str], scratch: Scratch, most: int = 4_000_000, tasks: int = 2_000) -> DataFrame:
-    """Pairs with equal ``on`` where the whole number ``at`` of ``points`` lies in the inclusive ``span`` of ``spans``.
+def equal_in_blocks(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, most: int = 4_000_000, tasks: int = 2_000, weights: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs with equal ``keys``, met by a hash join in blocks of bounded size: nothing is sorted, and pairs are never kept.
 
-    A span goes to each number that it holds, so spans must be short; what meets is a pair, none is met twice. A number
-    with more than ``most`` pairs, or with more than its share of all pairs among ``tasks`` tasks, is cut: its points and its
-    spans are dealt to blocks by a hash of their columns, and each block of one goes to those of the other, so that both
-    travel about as much. Blocks are met by a hash join: nothing is sorted, and pairs are never kept. ``points`` and ``spans``
-    are read twice. Columns other than ``on`` must have different names; a row with a null in ``on``, ``at`` or ``span``
-    takes no part.
+    A key with more than ``most`` pairs, or with more than its share of all pairs among ``tasks`` tasks, is cut: its rows on
+    either side are dealt to blocks by a hash of their columns, and each block of one goes to those of the other, so that both
+    travel about as much. ``weights``: a column of each side that says how many rows a row stands for. Both sides are read
+    twice. Columns other than ``keys`` must have different names; rows with a null key take no part.
     """
-    keys, (lo, hi) = [*on, at], span
-    p = points.dropna(subset=keys)
-    s = spans.where(F.col(lo) <= F.col(hi)).dropna(subset=on).withColumn(at, F.explode(F.sequence(lo, hi))).withColumn(at, F.col(at).cast(points.schema[at].dataType))
-    one, none = F.count(F.lit(1)), F.lit(0).cast("long")
-    counts = s.groupBy(*keys).agg(one.alias("_s"), none.alias("_p")).unionByName(p.groupBy(*keys).agg(none.alias("_s"), one.alias("_p"))).groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_p").alias("_p"))
+    p, s = left.dropna(subset=keys), right.dropna(subset=keys)
+    n_p, n_s = (F.sum(c) for c in weights) if weights else (F.count(F.lit(1)),) * 2
+    none = F.lit(0).cast("long")
+    counts = s.groupBy(*keys).agg(n_s.alias("_s"), none.alias("_p")).unionByName(p.groupBy(*keys).agg(none.alias("_s"), n_p.alias("_p"))).groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_p").alias("_p"))
     sizes = scratch.keep(counts.withColumn("_size", F.greatest(F.col("_s") * F.col("_p"), F.col("_s") + F.col("_p"))), "sizes")
     total = sizes.agg(F.sum("_size")).first()[0] or 0
     share = max(most, -(-total // tasks))
@@ -57,7 +54,20 @@ def points_in_spans(points: DataFrame, spans: DataFrame, on: list[str], at: str,
         d = d.withColumn("_block", (F.col(i) * F.col("_np") + F.col(j)).cast("short")).drop("_ns", "_np", "_own", "_other")
         return d.repartition(max(1, min(tasks, -(-total * 2 // share))), *keys, "_block")
 
-    return dealt(p, points.columns, "_np", "_ns").join(dealt(s, spans.columns, "_ns", "_np").hint("shuffle_hash"), [*keys, "_block"]).drop("_block")
+    rest = [c for c in right.columns if c not in keys] or keys
+    return dealt(p, left.columns, "_np", "_ns").join(dealt(s, rest, "_ns", "_np").hint("shuffle_hash"), [*keys, "_block"]).drop("_block")
+
+
+def points_in_spans(points: DataFrame, spans: DataFrame, on: list[str], at: str, span: tuple[str, str], scratch: Scratch, most: int = 4_000_000, tasks: int = 2_000) -> DataFrame:
+    """Pairs with equal ``on`` where the whole number ``at`` of ``points`` lies in the inclusive ``span`` of ``spans``.
+
+    A span goes to each number that it holds, so spans must be short; what meets is a pair, none is met twice. Numbers with
+    many pairs are cut into blocks (``equal_in_blocks``). Columns other than ``on`` must have different names; a row with a
+    null in ``on``, ``at`` or ``span`` takes no part.
+    """
+    lo, hi = span
+    s = spans.where(F.col(lo) <= F.col(hi)).dropna(subset=on).withColumn(at, F.explode(F.sequence(lo, hi))).withColumn(at, F.col(at).cast(points.schema[at].dataType))
+    return equal_in_blocks(points, s, [*on, at], scratch, most, tasks)
 
 
 def overlap_pairs(spans: DataFrame, id_: str, start: str, stop: str, scratch: Scratch) -> DataFrame:
