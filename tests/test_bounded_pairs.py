@@ -125,6 +125,27 @@ def test_all_pairs_are_ranked_without_one_task_for_all(spark):
     assert "partitionBy(\"conflict\")" not in open(catalog.__file__).read()
 
 
+def test_ranks_are_read_off_the_written_order(spark):
+    from veldra.operators import windows
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, *map(float, range(40))]), rng.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, s double, n long").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got = windows.numbered(df, [F.desc_nulls_last("s"), F.asc("id")], "rank", total="m")
+    assert "Window [row_number" not in plan(got) and "rangepartitioning" not in plan(got)
+    assert {r.id: (r.rank, r.m) for r in got.collect()} == {r[0]: (i, 3000) for i, r in enumerate(order, 1)}
+    sums = {r.id: r.t for r in windows.numbered(df, [F.desc_nulls_last("s"), F.asc("id")], "rank", {"t": "n"}).collect()}
+    assert all(sums[r[0]] == sum(x[2] for x in order[: i + 1]) for i, r in enumerate(order))
+
+
+def test_all_pairs_are_not_kept(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, keep=Scratch.keep: kept.append(name) or keep(self, df, name))
+    assert catalog.QUERIES["all_pairs_similarity"](spark, DATA).count() > 0
+    assert kept == ["ranges"]
+
+
 def test_print_matches_are_not_told_apart_afterwards(spark):
     rows = [(1, i, s, b, 0, [1.0]) for i, (s, b) in enumerate([("x", 1), ("x", 1), ("y", 1), ("x", 255), (None, 1), ("x", None)])]
     df = spark.createDataFrame(rows, "video long, id long, sha string, bits long, edge long, gray array<double>")
